@@ -8,9 +8,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+from phonolith.session import ship, table  # noqa: F401
 
 
 def shared_dir(spark: SparkSession) -> str:

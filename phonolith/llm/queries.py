@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import secrets, spans, urls
+from . import secrets, simhash, spans, urls
 from .common import table
 
 
@@ -21,8 +21,13 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), outcomes).drop("bad_bound")
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", simhash.hexed(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def queries() -> dict:
-    return {"op2_secret_scan": op2_secret_scan, "op5_url_filter": op5_url_filter}
+    return {f.__name__: f for f in (op2_secret_scan, op5_url_filter, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
