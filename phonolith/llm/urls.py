@@ -63,8 +63,8 @@ def ruled(host: Column, path: Column, rules: dict[str, str]) -> Column:
     return out
 
 
-def strength(groups: DataFrame, m: Model) -> DataFrame:
-    """The prior strength that explains how far rates (bad of n) lie from mean; one row."""
+def strength(groups: DataFrame, m: Model) -> float:
+    """The prior strength that explains how far rates (bad of n) lie from mean."""
     t = groups.agg(
         F.sum("n").alias("pages"),
         F.sum(F.col("n") * F.pow(F.col("bad") / F.col("n") - F.col("mean"), 2)).alias("spread"),
@@ -74,27 +74,30 @@ def strength(groups: DataFrame, m: Model) -> DataFrame:
     # E[spread] = chance + (most - chance) / (strength + 1)
     fitted = (F.col("most") - F.col("chance")) / F.nullif(F.col("spread") - F.col("chance"), F.lit(0.0)) - 1
     fitted = F.when(F.col("spread") <= F.col("chance"), m.strongest).otherwise(fitted)
-    return t.select(F.greatest(F.lit(m.weakest), F.least(F.lit(m.strongest), F.round(F.coalesce(fitted, F.lit(m.strongest)), 6))).alias("k"))
+    return t.select(F.greatest(F.lit(m.weakest), F.least(F.lit(m.strongest), F.round(F.coalesce(fitted, F.lit(m.strongest)), 6)))).first()[0]
 
 
-def reputation(outcomes: DataFrame, m: Model) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Posteriors (a, b) of hosts, domains, suffixes and all, from outcomes(host, n, bad): one row a host."""
+def reputation(outcomes: DataFrame, m: Model) -> tuple[DataFrame, DataFrame, DataFrame, tuple[float, float]]:
+    """Posteriors (a, b) of hosts, domains, suffixes and all, from outcomes(host, n, bad): one row a host.
+
+    Only the strengths and the overall counts, a number each, pass through the driver.
+    """
     hosts = outcomes.select("host", domain(F.col("host")).alias("domain"), suffix(F.col("host")).alias("suffix"), "n", "bad")
     sums = [F.sum("n").alias("n"), F.sum("bad").alias("bad")]
     domains = hosts.groupBy("domain", "suffix").agg(*sums)
     suffixes = domains.groupBy("suffix").agg(*sums)
-    every = suffixes.agg(*sums).select((F.coalesce("bad", F.lit(0)) + 0.5).alias("a"), (F.coalesce(F.col("n") - F.col("bad"), F.lit(0)) + 0.5).alias("b"))
-    every = every.withColumn("mean", F.col("a") / (F.col("a") + F.col("b")))
-
-    def level(groups: DataFrame, keys: list[str]) -> DataFrame:
-        """groups have their parent's mean; the one-row strength is joined to each."""
-        k = strength(groups, m)
-        a, b = F.col("k") * F.col("mean") + F.col("bad"), F.col("k") * (1 - F.col("mean")) + F.col("n") - F.col("bad")
-        return groups.join(F.broadcast(k)).select(*keys, "n", a.alias("a"), b.alias("b"), (a / (a + b)).alias("mean"))
-
-    s = level(suffixes.join(F.broadcast(every.select("mean"))), ["suffix"])
-    d = level(domains.join(s.select("suffix", "mean"), "suffix"), ["domain"])
-    h = level(hosts.join(d.select("domain", "mean"), "domain"), ["host"])
+    n, bad = suffixes.agg(*sums).first()
+    every = (bad or 0) + 0.5, (n or 0) - (bad or 0) + 0.5
+
+    def level(groups: DataFrame, key: str) -> DataFrame:
+        """groups have their parent's mean."""
+        k = F.lit(strength(groups, m))
+        a, b = k * F.col("mean") + F.col("bad"), k * (1 - F.col("mean")) + F.col("n") - F.col("bad")
+        return groups.select(key, a.alias("a"), b.alias("b"), (a / (a + b)).alias("mean"))
+
+    s = level(suffixes.withColumn("mean", F.lit(every[0] / (every[0] + every[1]))), "suffix")
+    d = level(domains.join(s.select("suffix", "mean"), "suffix"), "domain")
+    h = level(hosts.join(d.select("domain", "mean"), "domain"), "host")
     return h, d, s, every
 
 
@@ -117,8 +120,7 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: dict[str, str] = RULES,
     post = lambda df, name, col: df.select(name, F.struct("a", "b").alias(col))
     own = seen.select("host", "w", domain(F.col("host")).alias("domain"), suffix(F.col("host")).alias("suffix"))
     own = own.join(post(s, "suffix", "_s"), "suffix", "left").join(post(d, "domain", "_d"), "domain", "left").join(post(h, "host", "_h"), "host", "left")
-    own = own.join(F.broadcast(every.select(F.struct("a", "b").alias("_e"))))
-    p = F.coalesce("_h", "_d", "_s", "_e")
+    p = F.coalesce("_h", "_d", "_s", F.struct(F.lit(every[0]).alias("a"), F.lit(every[1]).alias("b")))
     own = own.select("host", F.round(bound(p["a"], p["b"], m), 9).alias("bad_bound"), "w")
     own = tables.keep(own)
     out = heavy_join(read, own, "host", "w")
