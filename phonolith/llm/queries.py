@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import secrets, simhash, spans, urls
+from . import bpe, packing, secrets, simhash, spans, urls
 from .common import table
 
 
@@ -14,6 +14,12 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[spans.count(s, k).alias(f"n_{k}") for k in secrets.BASE], spans.digest(s, secrets.BASE).alias("base_sha256"), spans.joined(s).alias("spans"))
 
 
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as tokenizers
+
+    return bpe.audit(table(spark, sf_dir, "documents"), tokenizers.path("byte_bpe_multi_50k.tiktoken"), tokenizers.PATTERN)
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """labels share their ids with pages: a page of poor quality or with toxic content is a bad outcome."""
     labels = table(spark, sf_dir, "labels")
@@ -21,13 +27,19 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), outcomes).drop("bad_bound")
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as tokenizers
+
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizers.path("byte_bpe_50k.json"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", simhash.hexed(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_secret_scan, op5_url_filter, op10_simhash)}
+    return {f.__name__: f for f in (op2_secret_scan, op4_bpe, op5_url_filter, op8_packing, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
