@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
@@ -90,29 +91,17 @@ class Codec:
     def __init__(self, table: PerfectHash, pattern: str):
         import regex
 
-        self.split = regex.compile(pattern).findall
         self.find = table.finder()
-        self.words: dict[str, bytes] = {}
         self.bytes = dict(zip(table.ids, table.keys))
         self.pairs = [self.find(bytes((a, b))) for a in range(256) for b in range(256)]
-        self.cache = Cache(self._pieces)
-
-    def _pieces(self, texts: list[str]) -> list[bytes]:
-        out, words = [], self.words
-        for text in texts:
-            ids = []
-            for word in self.split(text):
-                got = words.get(word)
-                if got is None:
-                    key = word.encode()
-                    whole = self.find(key)
-                    got = np.array([whole] if whole is not None else self.merged(key), "<u4").tobytes()
-                    if len(words) >= 200_000:
-                        words.clear()
-                    if len(word) <= 64:
-                        words[word] = got
-                ids.append(got)
-            out.append(b"".join(ids))
+        self.cache = Cache(regex.compile(pattern).findall, self._words)
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Tier one: a whole token. Tier two: merges."""
+        out, find = [], self.find
+        for key in map(str.encode, words):
+            whole = find(key)
+            out.append(array("I", self.merged(key) if whole is None else (whole,)).tobytes())
         return out
 
     def merged(self, piece: bytes) -> list[int]:

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -131,11 +132,14 @@ def _cache(path: str) -> Cache:
     """One for each worker process, so that it serves later tasks too."""
     if path not in _CACHES:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import regex
+        from public_tokenizers import PATTERN
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
         t.encode_special_tokens = True  # their strings in a text are ordinary text
-        _CACHES[path] = Cache(lambda texts: [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch_fast(texts, add_special_tokens=False)])
+        split = regex.compile(PATTERN).findall
+        _CACHES[path] = Cache(split, lambda words: [array("I", e.ids).tobytes() for e in t.encode_batch_fast(words, add_special_tokens=False)])
     return _CACHES[path]
 
 

@@ -7,9 +7,10 @@ there and its pieces encoded apart; most pieces are common words that a cache an
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import chain, islice
 
 #: Entries of a cache, and the longest piece that enters it: the bounds of its memory.
-ENTRIES, LONGEST = 300_000, 48
+ENTRIES, LONGEST = 800_000, 48
 
 
 def pieces(text: str) -> list[str]:
@@ -24,34 +25,51 @@ def pieces(text: str) -> list[str]:
 
 
 class Cache:
-    """Ids of texts, packed as little-endian unsigned 32-bit integers. encode: the same of pieces, all at once."""
+    """Ids of texts, packed as little-endian unsigned 32-bit integers.
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]]):
-        self.encode, self.known = encode, {}
+    split: a piece's pre-tokens. encode: ids of pre-tokens, all at once. Both pieces and pre-tokens are
+    remembered; when full, a memory keeps its older half, where the common ones are.
+    """
+
+    def __init__(self, split: Callable[[str], list[str]], encode: Callable[[list[str]], list[bytes]]):
+        self.split, self.encode = split, encode
+        self.pieces: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
 
     def texts(self, texts: list[str]) -> list[bytes]:
-        known = self.known
-        get, cut, need = known.get, [], {}
+        known, cut, need = self.pieces, [], set()
         for text in texts:
             first, *rest = text.split(" ")
-            found = list(map(get, rest))
-            if None in found or not first or first[0].isspace():
-                missed = {p for p, f in zip(rest, found) if f is None}
-                if "" in missed or not first or any(p and p[0].isspace() for p in missed):
-                    first, *rest = pieces(text)
-                    missed = {p for p in rest if p not in known}
-                need.update(dict.fromkeys(missed))
+            new = set(rest).difference(known)
+            if "" in new or not first or any(p[0].isspace() for p in new):
+                first, *rest = pieces(text)
+                new = set(rest).difference(known)
+            need |= new
             cut.append((first, rest))
         new = list(need)
-        need.update(zip(new, self.encode([" " + p for p in new])))
-        firsts = self.encode([first for first, _ in cut])
-        out = []
-        for (_, rest), head in zip(cut, firsts):
-            ids = list(map(get, rest))
-            if None in ids:
-                ids = [need[p] if i is None else i for i, p in zip(ids, rest)]
-            out.append(b"".join([head, *ids]))
-        if len(known) + len(new) > ENTRIES:
-            known.clear()
-        known.update((p, b) for p, b in need.items() if len(p) <= LONGEST)
+        known.update(zip(new, self._ids([" " + p for p in new])))
+        get = known.__getitem__
+        heads = self._ids([first for first, _ in cut])
+        out = [b"".join([head, *map(get, rest)]) for head, (_, rest) in zip(heads, cut)]
+        for p in new:
+            if len(p) > LONGEST:
+                del known[p]
+        self.pieces = _older(known)
+        self.words = _older(self.words)
+        return out
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        cut = list(map(self.split, texts))
+        new = list(set(chain.from_iterable(cut)).difference(self.words))
+        words = self.words
+        words.update(zip(new, self.encode(new)))
+        get = words.__getitem__
+        out = [b"".join(map(get, w)) for w in cut]
+        for w in new:
+            if len(w) > LONGEST:
+                del words[w]
         return out
+
+
+def _older(known: dict[str, bytes]) -> dict[str, bytes]:
+    return known if len(known) <= ENTRIES else dict(islice(known.items(), ENTRIES // 2))
