@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, packing, quality, secrets, simhash, spans, urls, vectors, warc
+from . import bpe, chat, packing, pii, quality, secrets, simhash, spans, urls, vectors, warc
 from .common import table
 
 
@@ -26,6 +26,12 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[spans.count(s, k).alias(f"n_{k}") for k in secrets.BASE], spans.digest(s, secrets.BASE).alias("base_sha256"), spans.joined(s).alias("spans"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.scan(table(spark, sf_dir, "documents"))
+    s = F.col("found")
+    return found.select("doc_id", *[spans.count(s, k).alias(f"n_{k}") for k in pii.BASE], spans.digest(s, pii.BASE).alias("base_sha256"), spans.joined(s).alias("spans"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as tokenizers
 
@@ -71,7 +77,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_warc_fixity, op2_secret_scan, op4_bpe, op5_url_filter, op6_quality, op7_vectors, op8_packing, op9_chat, op10_simhash)}
+    return {f.__name__: f for f in (op1_warc_fixity, op2_secret_scan, op3_pii, op4_bpe, op5_url_filter, op6_quality, op7_vectors, op8_packing, op9_chat, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:

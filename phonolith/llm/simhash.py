@@ -209,5 +209,20 @@ def dedup(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE, leafy: int
     return heavy_join(marked, prints, "fp", "w").select(F.col("doc_id").alias(key), "fp", "component_id")
 
 
+def keep_one(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with one row of each component: that of the smallest key, nulls last; of rows that share it, one by a hash.
+
+    Rows get a number of their own, so repeated keys don't mix. Only numbers, keys and hashes are grouped; a text
+    moves once, to meet the verdict on its row.
+    """
+    tables = Tables(docs.sparkSession, "simhash-rows")
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.monotonically_increasing_id().alias("_rid"))
+    rows = tables.keep(rows)
+    group = dedup(rows.select("_rid", F.col(f"_row.{text}").alias("_text")), bits, shingle, key="_rid", text="_text")
+    order = rows.select("_rid", F.struct(F.col(f"_row.{key}").isNull(), F.col(f"_row.{key}"), F.xxhash64(f"_row.{text}"), F.col("_rid").alias("rid")).alias("_order"))
+    first = group.select("_rid", "component_id").join(order, "_rid").groupBy("component_id").agg(F.min("_order").alias("f"))
+    return rows.join(first.select(F.col("f.rid").alias("_rid")), "_rid", "left_semi").select("_row.*")
+
+
 def hexed(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))

@@ -37,20 +37,17 @@ class Cache:
         self.words: dict[str, bytes] = {}
 
     def texts(self, texts: list[str]) -> list[bytes]:
-        known, cut, need = self.pieces, [], set()
-        for text in texts:
-            first, *rest = text.split(" ")
-            new = set(rest).difference(known)
-            if "" in new or not first or any(p[0].isspace() for p in new):
-                first, *rest = pieces(text)
-                new = set(rest).difference(known)
-            need |= new
-            cut.append((first, rest))
-        new = list(need)
+        known, cut = self.pieces, [text.split(" ") for text in texts]
+        need = set().union(*(c[1:] for c in cut))
+        new = need.difference(known)
+        if "" in new or any(p[0].isspace() for p in new):
+            cut = [pieces(text) if any(not p or p[0].isspace() for p in c) else c for text, c in zip(texts, cut)]
+            need = set().union(*(c[1:] for c in cut))
+            new = need.difference(known)
+        new = list(new)
         known.update(zip(new, self._ids([" " + p for p in new])))
-        get = known.__getitem__
-        heads = self._ids([first for first, _ in cut])
-        out = [b"".join([head, *map(get, rest)]) for head, (_, rest) in zip(heads, cut)]
+        get = {p: known[p] for p in need}.__getitem__  # smaller than the memory, so faster
+        out = [b"".join([head, *map(get, c[1:])]) for head, c in zip(self._ids([c[0] for c in cut]), cut)]
         for p in new:
             if len(p) > LONGEST:
                 del known[p]
