@@ -1 +1,8 @@
+"""All registered queries. Importing this package registers them."""
 
+from importlib import import_module
+
+from .registry import ORACLES, QUERIES  # noqa: F401
+
+for _name in ("text", "numbers"):
+    import_module(f"{__name__}.{_name}")
