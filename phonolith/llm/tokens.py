@@ -9,8 +9,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from itertools import chain, islice
 
-#: Entries of a cache, and the longest piece that enters it: the bounds of its memory.
-ENTRIES, LONGEST = 800_000, 48
+#: Entries of a cache, the longest piece that enters it, and entries of its hot part: the bounds of its memory.
+ENTRIES, LONGEST, HOT = 800_000, 48, 16_384
 
 
 def pieces(text: str) -> list[str]:
@@ -34,27 +34,45 @@ class Cache:
     def __init__(self, split: Callable[[str], list[str]], encode: Callable[[list[str]], list[bytes]]):
         self.split, self.encode = split, encode
         self.pieces: dict[str, bytes] = {}
+        self.hot: dict[str, bytes] = {}  # the oldest pieces: small enough for a processor's cache
         self.words: dict[str, bytes] = {}
 
     def texts(self, texts: list[str]) -> list[bytes]:
-        known, cut = self.pieces, [text.split(" ") for text in texts]
-        need = set().union(*(c[1:] for c in cut))
-        new = need.difference(known)
-        if "" in new or any(p[0].isspace() for p in new):
-            cut = [pieces(text) if any(not p or p[0].isspace() for p in c) else c for text, c in zip(texts, cut)]
-            need = set().union(*(c[1:] for c in cut))
-            new = need.difference(known)
-        new = list(new)
-        known.update(zip(new, self._ids([" " + p for p in new])))
-        get = {p: known[p] for p in need}.__getitem__  # smaller than the memory, so faster
-        out = [b"".join([head, *map(get, c[1:])]) for head, c in zip(self._ids([c[0] for c in cut]), cut)]
-        for p in new:
-            if len(p) > LONGEST:
-                del known[p]
-        self.pieces = _older(known)
+        rows, need = [], {}
+        for text in texts:
+            first, *rest = text.split(" ")
+            ids, gaps = self._known(rest)
+            if any(not rest[i] or rest[i][0].isspace() for i in gaps):
+                first, *rest = pieces(text)
+                ids, gaps = self._known(rest)
+            need.update(dict.fromkeys(rest[i] for i in gaps))
+            rows.append((first, rest, ids, gaps))
+        new = list(need)
+        need.update(zip(new, self._ids([" " + p for p in new])))
+        out = []
+        for head, (_, rest, ids, gaps) in zip(self._ids([r[0] for r in rows]), rows):
+            for i in gaps:
+                ids[i] = need[rest[i]]
+            out.append(head + b"".join(ids))
+        self.pieces.update((p, x) for p, x in need.items() if len(p) <= LONGEST)
+        self.pieces = _older(self.pieces)
         self.words = _older(self.words)
+        if len(self.hot) < HOT:
+            self.hot = dict(islice(self.pieces.items(), HOT))
         return out
 
+    def _known(self, parts: list[str]) -> tuple[list[bytes | None], list[int]]:
+        """Ids of parts, and the places of those that aren't remembered."""
+        ids = list(map(self.hot.get, parts))
+        cold = [i for i, x in enumerate(ids) if x is None]
+        gaps = []
+        for i, x in zip(cold, map(self.pieces.get, [parts[i] for i in cold])):
+            if x is None:
+                gaps.append(i)
+            else:
+                ids[i] = x
+        return ids, gaps
+
     def _ids(self, texts: list[str]) -> list[bytes]:
         cut = list(map(self.split, texts))
         new = list(set(chain.from_iterable(cut)).difference(self.words))
