@@ -22,7 +22,8 @@ def total(x: Column) -> Column:
 def deinterleave(data: Column, channels: int, scale: float = 1.0) -> Column:
     """Planar channels of interleaved samples; a partial last frame is dropped."""
     frames = F.floor(F.size(data) / channels)
-    return F.array(*[F.transform(indices(frames), lambda i, c=c: at(data, i * channels + c) * scale) for c in range(channels)])
+    plane = lambda c: F.transform(indices(frames), lambda i: at(data, i * channels + c) * scale)
+    return F.array(*map(plane, range(channels)))
 
 
 def downmix(planes: Column, channels: int) -> Column:
