@@ -9,8 +9,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from itertools import chain, islice
 
-#: Entries of a cache, the longest piece that enters it, and entries of its hot part: the bounds of its memory.
-ENTRIES, LONGEST, HOT = 800_000, 48, 16_384
+#: Pieces and pre-tokens remembered, the longest that are, and pieces of the hot part: the bounds of a cache's memory.
+PIECES, WORDS, LONGEST, HOT = 400_000, 700_000, 48, 16_384
 
 
 def pieces(text: str) -> list[str]:
@@ -55,8 +55,8 @@ class Cache:
                 ids[i] = need[rest[i]]
             out.append(head + b"".join(ids))
         self.pieces.update((p, x) for p, x in need.items() if len(p) <= LONGEST)
-        self.pieces = _older(self.pieces)
-        self.words = _older(self.words)
+        self.pieces = _older(self.pieces, PIECES)
+        self.words = _older(self.words, WORDS)
         if len(self.hot) < HOT:
             self.hot = dict(islice(self.pieces.items(), HOT))
         return out
@@ -79,12 +79,12 @@ class Cache:
         words = self.words
         words.update(zip(new, self.encode(new)))
         get = words.__getitem__
-        out = [b"".join(map(get, w)) for w in cut]
+        out = [get(w[0]) if len(w) == 1 else b"".join(map(get, w)) for w in cut]
         for w in new:
             if len(w) > LONGEST:
                 del words[w]
         return out
 
 
-def _older(known: dict[str, bytes]) -> dict[str, bytes]:
-    return known if len(known) <= ENTRIES else dict(islice(known.items(), ENTRIES // 2))
+def _older(known: dict[str, bytes], most: int) -> dict[str, bytes]:
+    return known if len(known) <= most else dict(islice(known.items(), most // 2))
