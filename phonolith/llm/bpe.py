@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import ship
-from .tokens import Cache
+from .tokens import Cache, Words
 
 ROWS = 256
 
@@ -94,7 +94,7 @@ class Codec:
         self.find = table.finder()
         self.bytes = dict(zip(table.ids, table.keys))
         self.pairs = [self.find(bytes((a, b))) for a in range(256) for b in range(256)]
-        self.cache = Cache(regex.compile(pattern).findall, self._words)
+        self.cache = Cache(Words(regex.compile(pattern).findall, self._words))
 
     def _words(self, words: list[str]) -> list[bytes]:
         """Tier one: a whole token. Tier two: merges."""

@@ -134,17 +134,12 @@ def _cache(path: str) -> Cache:
     if path not in _CACHES:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         gc.set_threshold(100_000, 50, 50)  # many small lists, no cycles
-        import regex
-        from public_tokenizers import PATTERN
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
         t.encode_special_tokens = True  # their strings in a text are ordinary text
-        # It gets pre-tokens, each new one once: it need not split them again.
-        t.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         t.post_processor = None
-        split = regex.compile(PATTERN).findall
-        _CACHES[path] = Cache(split, lambda words: [array("I", e.ids).tobytes() for e in t.encode_batch_fast(words, add_special_tokens=False)])
+        _CACHES[path] = Cache(lambda texts: [array("I", e.ids).tobytes() for e in t.encode_batch_fast(texts, add_special_tokens=False)])
     return _CACHES[path]
 
 

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from itertools import chain, islice
 
 #: Pieces and pre-tokens remembered, the longest that are, and pieces of the hot part: the bounds of a cache's memory.
-PIECES, WORDS, LONGEST, HOT = 400_000, 700_000, 48, 16_384
+PIECES, WORDS, LONGEST, HOT = 700_000, 200_000, 48, 16_384
 
 
 def pieces(text: str) -> list[str]:
@@ -24,18 +24,30 @@ def pieces(text: str) -> list[str]:
     return [" ".join(x) for x in out]
 
 
+#: Marks that end a piece. After a letter or digit they always begin a pre-token of their own.
+MARKS = ".,!?;:"
+
+
+def cut_marks(piece: str) -> tuple[str, str]:
+    """A piece without the marks at its end, and these; only after a plain letter or digit, else whole."""
+    if piece and piece[-1] in MARKS:
+        word = piece.rstrip(MARKS)
+        if word and word[-1] < "\u0250" and word[-1].isalnum():
+            return word, piece[len(word) :]
+    return piece, ""
+
+
 class Cache:
-    """Ids of texts, packed as little-endian unsigned 32-bit integers.
+    """Ids of texts, packed as little-endian unsigned 32-bit integers. encode: the same of strings, all at once.
 
-    split: a piece's pre-tokens. encode: ids of pre-tokens, all at once. Both pieces and pre-tokens are
-    remembered; when full, a memory keeps its older half, where the common ones are.
+    Pieces that follow a space are remembered. When full, a memory keeps its older half, where the common ones are.
     """
 
-    def __init__(self, split: Callable[[str], list[str]], encode: Callable[[list[str]], list[bytes]]):
-        self.split, self.encode = split, encode
+    def __init__(self, encode: Callable[[list[str]], list[bytes]]):
+        self.encode = encode
         self.pieces: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
         self.hot: dict[str, bytes] = {}  # the oldest pieces: small enough for a processor's cache
-        self.words: dict[str, bytes] = {}
 
     def texts(self, texts: list[str]) -> list[bytes]:
         rows, need = [], {}
@@ -45,18 +57,18 @@ class Cache:
             if any(not rest[i] or rest[i][0].isspace() for i in gaps):
                 first, *rest = pieces(text)
                 ids, gaps = self._known(rest)
-            need.update(dict.fromkeys(rest[i] for i in gaps))
+            need.update(dict.fromkeys(cut_marks(rest[i])[0] for i in gaps))
             rows.append((first, rest, ids, gaps))
         new = list(need)
-        need.update(zip(new, self._ids([" " + p for p in new])))
+        need.update(zip(new, self.encode([" " + p for p in new])))
         out = []
-        for head, (_, rest, ids, gaps) in zip(self._ids([r[0] for r in rows]), rows):
+        for head, (_, rest, ids, gaps) in zip(self.encode([r[0] for r in rows]), rows):
             for i in gaps:
-                ids[i] = need[rest[i]]
+                word, marks = cut_marks(rest[i])
+                ids[i] = need[word] + self._marks(marks) if marks else need[word]
             out.append(head + b"".join(ids))
         self.pieces.update((p, x) for p, x in need.items() if len(p) <= LONGEST)
         self.pieces = _older(self.pieces, PIECES)
-        self.words = _older(self.words, WORDS)
         if len(self.hot) < HOT:
             self.hot = dict(islice(self.pieces.items(), HOT))
         return out
@@ -67,22 +79,43 @@ class Cache:
         cold = [i for i, x in enumerate(ids) if x is None]
         gaps = []
         for i, x in zip(cold, map(self.pieces.get, [parts[i] for i in cold])):
+            if x is None:
+                word, marks = cut_marks(parts[i])
+                x = self.pieces.get(word) if marks else None
+                x = x + self._marks(marks) if x is not None else None
             if x is None:
                 gaps.append(i)
             else:
                 ids[i] = x
         return ids, gaps
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        cut = list(map(self.split, texts))
-        new = list(set(chain.from_iterable(cut)).difference(self.words))
-        words = self.words
-        words.update(zip(new, self.encode(new)))
-        get = words.__getitem__
+    def _marks(self, marks: str) -> bytes:
+        if marks not in self.marks:
+            if len(self.marks) >= HOT:
+                self.marks.clear()
+            self.marks[marks] = self.encode([marks])[0]
+        return self.marks[marks]
+
+
+class Words:
+    """An encode of strings by their pre-tokens, which are remembered: for when a pre-token costs much.
+
+    split: a string's pre-tokens. encode: ids of pre-tokens, all at once.
+    """
+
+    def __init__(self, split: Callable[[str], list[str]], encode: Callable[[list[str]], list[bytes]]):
+        self.split, self.encode, self.known = split, encode, {}
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        cut, known = list(map(self.split, texts)), self.known
+        new = list(set(chain.from_iterable(cut)).difference(known))
+        known.update(zip(new, self.encode(new)))
+        get = known.__getitem__
         out = [get(w[0]) if len(w) == 1 else b"".join(map(get, w)) for w in cut]
         for w in new:
             if len(w) > LONGEST:
-                del words[w]
+                del known[w]
+        self.known = _older(known, WORDS)
         return out
 
 
