@@ -91,7 +91,7 @@ def score(edges: DataFrame, s: Settings, tables: Tables) -> DataFrame:
 
 
 def _marked(docs: DataFrame, s: Settings, text: str, keep_text: bool) -> DataFrame:
-    """docs' rows with `found`."""
+    """(_row, found): docs' rows as structs, with their spans."""
     tables = Tables(docs.sparkSession, "pii")
     own = [c for c in docs.columns if keep_text or c != text]
     body = F.coalesce(F.col(text), F.lit(""))
@@ -104,12 +104,12 @@ def _marked(docs: DataFrame, s: Settings, text: str, keep_text: bool) -> DataFra
     span = F.struct("start", F.lit(len(KINDS)).alias("ord"), F.lit("context").alias("kind"), "end", F.col("instance").alias("value"))
     more = cues.filter("not seed").join(trusted, "pattern").groupBy("_rid").agg(F.collect_list(span).alias("_more"))
     found = F.array_sort(F.concat("_base", F.coalesce(F.col("_more"), S.none())))
-    return read.join(more, "_rid", "left").select("_row.*", found.alias("found"))
+    return read.join(more, "_rid", "left").select("_row", found.alias("found"))
 
 
 def scan(docs: DataFrame, s: Settings = Settings(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs' key with `found`, the spans of every text by start and kind."""
-    return _marked(docs.select(key, text), s, text, False)
+    return _marked(docs.select(key, text), s, text, False).select(F.col(f"_row.{key}").alias(key), "found")
 
 
 def redact(docs: DataFrame, s: Settings = Settings(), text: str = "text") -> DataFrame:
@@ -118,7 +118,7 @@ def redact(docs: DataFrame, s: Settings = Settings(), text: str = "text") -> Dat
     Of overlapping spans the first is named, and all they cover goes.
     """
     rows = _marked(docs, s, text, True)
-    t = F.col(text)
+    t = F.col(f"_row.{text}")
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(acc: Column, span: Column) -> Column:
@@ -126,8 +126,8 @@ def redact(docs: DataFrame, s: Settings = Settings(), text: str = "text") -> Dat
         return F.struct(F.greatest(acc["at"], span["end"]).alias("at"), F.concat(acc["out"], more).alias("out"))
 
     whole = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(t, acc["at"] + 1, F.length(t)))
-    clean = F.when(F.size("found") > 0, F.aggregate("found", start, step, whole)).otherwise(t)
-    rows = rows.withColumn(text, clean)
-    if "n_chars" in docs.columns and text != "n_chars":
-        rows = rows.withColumn("n_chars", F.when(F.size("found") > 0, F.length(text).cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
-    return rows.select(docs.columns)
+    hit = F.size("found") > 0
+    rows = rows.select("_row", hit.alias("_hit"), F.when(hit, F.aggregate("found", start, step, whole)).otherwise(t).alias("_clean"))
+    chars = F.when(F.col("_hit"), F.length("_clean")).otherwise(F.col("_row.n_chars") if "n_chars" in docs.columns else F.lit(None))
+    new = {text: F.col("_clean")} | ({"n_chars": chars.cast(dict(docs.dtypes)["n_chars"])} if "n_chars" in docs.columns and text != "n_chars" else {})
+    return rows.select(*[new.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
