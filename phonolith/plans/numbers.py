@@ -149,12 +149,14 @@ def _(orders: DataFrame) -> DataFrame:
 
 
 @query("r072_confidence_averages", """with f as (select user_id, event_id % 50 as frame, avg(case when event_type <> 'error' then least(1.0, value / 200) end) as m, sum(case when event_type <> 'error' then least(1.0, value / 200) else 0 end) as s, count(case when event_type <> 'error' then 1 end) as k, count(*) as n from events group by all)
-select user_id, round(sum(case when k > 0 then s end) / sum(k), 10) as utterance, round(sum(s) / sum(n), 10) as word, round(avg(m), 10) as frame from f group by user_id""", "events")
+select user_id, round(sum(case when k > 0 then s end) / sum(k) + 1e-13, 10) as utterance, round(sum(s) / sum(n) + 1e-13, 10) as word, round(avg(m) + 1e-13, 10) as frame from f group by user_id""", "events")
 def _(events: DataFrame) -> DataFrame:
-    """Mean of known confidences, mean with missing ones as 0, mean of per-frame means."""
+    """A little is added before rounding, so that halves go one way in any order of summation.
+
+    Mean of known confidences, mean with missing ones as 0, mean of per-frame means."""
     c = F.when(F.col("event_type") != "error", F.least(F.lit(1.0), F.col("value") / 200))
     frames = events.groupBy("user_id", (F.col("event_id") % 50).alias("frame")).agg(F.avg(c).alias("m"), F.sum(c).alias("s"), F.count(c).alias("k"), F.count("*").alias("n"))
-    return frames.groupBy("user_id").agg(F.round(F.sum("s") / F.sum("k"), 10).alias("utterance"), F.round(F.coalesce(F.sum("s"), F.lit(0.0)) / F.sum("n"), 10).alias("word"), F.round(F.avg("m"), 10).alias("frame"))
+    return frames.groupBy("user_id").agg(F.round(F.sum("s") / F.sum("k") + 1e-13, 10).alias("utterance"), F.round(F.coalesce(F.sum("s"), F.lit(0.0)) / F.sum("n") + 1e-13, 10).alias("word"), F.round(F.avg("m") + 1e-13, 10).alias("frame"))
 
 
 @query("r073_frame_confidence", "select user_id, event_id % 50 as frame, round(sum(least(1.0, value / 200)), 10) as total, count(*) as n, round(avg(least(1.0, value / 200)), 10) as mean from events group by all", "events")
@@ -228,7 +230,7 @@ def _(documents: DataFrame, labels: DataFrame) -> DataFrame:
     return count(a.intersect(b), "both").union(count(a.subtract(b), "left")).union(count(b.subtract(a), "right"))
 
 
-@query("r080_match_counts", "select lang, count(*) as files, count_if(a = b) as exact, count_if(lower(a) = lower(b)) as normalized, coalesce(round(avg(case when length(a) = 0 then 0 else levenshtein(a, b)::double / length(a) end), 6), 0) as mean_cer from (select a.lang, substr(regexp_replace(a.text, '[^ -~]', '', 'g'), 1, 60) as a, substr(regexp_replace(b.text, '[^ -~]', '', 'g'), 1, 60) as b from documents a join documents b on b.doc_id = a.doc_id + 1) group by lang", "documents")
+@query("r080_match_counts", "select lang, count(*) as files, count(*) filter (where a = b) as exact, count(*) filter (where lower(a) = lower(b)) as normalized, coalesce(round(avg(case when length(a) = 0 then 0 else levenshtein(a, b)::double / length(a) end), 6), 0) as mean_cer from (select a.lang, substr(regexp_replace(a.text, '[^ -~]', '', 'g'), 1, 60) as a, substr(regexp_replace(b.text, '[^ -~]', '', 'g'), 1, 60) as b from documents a join documents b on b.doc_id = a.doc_id + 1) group by lang", "documents")
 def _(documents: DataFrame) -> DataFrame:
     from phonolith.functions.text import cer
 

@@ -50,7 +50,7 @@ def _(events: DataFrame) -> DataFrame:
     return frames(events).groupBy("user_id").agg(F.min(on(F.col("pos"))).cast("long").alias("first_frame"), F.max(on(F.col("pos"))).cast("long").alias("last_frame"), F.round(F.avg(on(lp)), 9).alias("log_prob"))
 
 
-@query("r164_span_times", f"select user_id, start as start_frame, round(start * 0.08, 6) as start_s, round((stop + 1) * 0.08, 6) as end_s, round(greatest(0, (stop + 1) * 0.08 - start * 0.08), 6) as duration_s from {SPANS}", "events")
+@query("r164_span_times", f"select user_id, start as start_frame, round(start * 0.08::double, 6) as start_s, round((stop + 1) * 0.08::double, 6) as end_s, round(greatest(0, (stop + 1) * 0.08::double - start * 0.08::double), 6) as duration_s from {SPANS}", "events")
 def _(events: DataFrame) -> DataFrame:
     s, e = F.col("start") * 0.08, (F.col("end") + 1) * 0.08
     return spans(events).select("user_id", F.col("start").alias("start_frame"), F.round(s, 6).alias("start_s"), F.round(e, 6).alias("end_s"), F.round(F.greatest(F.lit(0.0), e - s), 6).alias("duration_s"))
@@ -64,7 +64,7 @@ def tokens(conversations: DataFrame) -> DataFrame:
     return conversations.select("conv_id", "turn", F.posexplode(T.words(F.col("text"))).alias("pos", "piece"))
 
 
-@query("r089_word_groups", f"select conv_id, turn, cast(word - 1 as bigint) as word, string_agg(piece, '' order by pos) as text, min(pos) * 0.08 as start_s, (max(pos) + 1) * 0.08 as end_s, round(avg(length(piece)), 6) as confidence from (select *, sum(case when pos = 0 or regexp_matches(piece, '^[A-Z]') then 1 else 0 end) over (partition by conv_id, turn order by pos) as word from {TOKENS}) group by conv_id, turn, word", "conversations")
+@query("r089_word_groups", f"select conv_id, turn, cast(word - 1 as bigint) as word, string_agg(piece, '' order by pos) as text, min(pos) * 0.08::double as start_s, (max(pos) + 1) * 0.08::double as end_s, round(avg(length(piece)), 6) as confidence from (select *, sum(case when pos = 0 or regexp_matches(piece, '^[A-Z]') then 1 else 0 end) over (partition by conv_id, turn order by pos) as word from {TOKENS}) group by conv_id, turn, word", "conversations")
 def _(conversations: DataFrame) -> DataFrame:
     """Words of tokens: one begins where a token is marked so, or where no word is open."""
     w = Window.partitionBy("conv_id", "turn").orderBy("pos")
@@ -74,7 +74,7 @@ def _(conversations: DataFrame) -> DataFrame:
     return t.groupBy("conv_id", "turn", "word").agg(text.alias("text"), (F.min("pos") * 0.08).alias("start_s"), ((F.max("pos") + 1) * 0.08).alias("end_s"), F.round(F.avg(F.length("piece")), 6).alias("confidence"))
 
 
-@query("r058_control_tokens", f"select conv_id, turn, count_if(id is null) as kept, count(*) filter (where id = 1) as eou, count(*) filter (where id = 2) as eob, count(*) filter (where id = 3) as control from (select *, case when regexp_matches(piece, '^The') then 1 when regexp_matches(piece, '^An') then 2 when regexp_matches(piece, '^[A-Z]') then 3 end as id from {TOKENS}) group by all", "conversations")
+@query("r058_control_tokens", f"select conv_id, turn, count(*) filter (where id is null) as kept, count(*) filter (where id = 1) as eou, count(*) filter (where id = 2) as eob, count(*) filter (where id = 3) as control from (select *, case when regexp_matches(piece, '^The') then 1 when regexp_matches(piece, '^An') then 2 when regexp_matches(piece, '^[A-Z]') then 3 end as id from {TOKENS}) group by all", "conversations")
 def _(conversations: DataFrame) -> DataFrame:
     p = F.col("piece")
     kind = F.when(p.rlike("^The"), "eou").when(p.rlike("^An"), "eob").when(p.rlike("^[A-Z]"), "control")
@@ -174,7 +174,7 @@ def _(conversations: DataFrame) -> DataFrame:
     return conversations.groupBy("conv_id").agg((F.sum(F.length("text")) / 100.0).alias("duration_s"), F.count("*").alias("segments"), F.bool_and(F.col("role") != "system").alias("is_final"), F.max_by("role", "turn").alias("last_role"))
 
 
-@query("r104_argmax", "select vec_id, list_position(embedding, list_max(embedding)) - 1 as best from embeddings", "embeddings")
+@query("r104_argmax", "select vec_id, cast(list_position(embedding, list_max(embedding)) - 1 as bigint) as best from embeddings", "embeddings")
 def _(embeddings: DataFrame) -> DataFrame:
     return embeddings.select("vec_id", A.argmax(F.col("embedding")).alias("best"))
 
@@ -188,7 +188,7 @@ def _(embeddings: DataFrame) -> DataFrame:
     return embeddings.select("vec_id", F.round(lp, 6).alias("log_prob"), F.round(F.exp(lp), 6).alias("confidence"))
 
 
-@query("r135_frame_argmax", f"select vec_id, b - 1 as best, round({LOG_PROB}, 6) as log_prob from (select vec_id, embedding as x, list_position(embedding, list_max(embedding)) as b from embeddings)", "embeddings")
+@query("r135_frame_argmax", f"select vec_id, cast(b - 1 as bigint) as best, round({LOG_PROB}, 6) as log_prob from (select vec_id, embedding as x, list_position(embedding, list_max(embedding)) as b from embeddings)", "embeddings")
 def _(embeddings: DataFrame) -> DataFrame:
     d = embeddings.withColumn("best", A.argmax(F.col("embedding")))
     return d.select("vec_id", "best", F.round(A.log_softmax_at(F.col("embedding"), F.col("best")), 6).alias("log_prob"))
@@ -201,7 +201,7 @@ LOGITS = "(select vec_id // 25 as utt, vec_id % 25 as pos, list_position(embeddi
 @query("r163_ctc_pipeline", f"""with f as (select *, case when lag(id) over (partition by utt order by pos) is not distinct from id then 0 else 1 end as new from {LOGITS}),
 r as (select *, sum(new) over (partition by utt order by pos) as run from f),
 s as (select utt, run, min(id) as id, min(pos) as a, max(pos) as b from r group by utt, run having min(id) <> 0)
-select utt, string_agg(chr(cast(96 + id as int)), '' order by a) as text, count(*) as tokens, round(min(a) * 0.04, 3) as start_s, round((max(b) + 1) * 0.04, 3) as end_s from s group by utt""", "embeddings")
+select utt, string_agg(chr(cast(96 + id as int)), '' order by a) as text, count(*) as tokens, round(min(a) * 0.04::double, 3) as start_s, round((max(b) + 1) * 0.04::double, 3) as end_s from s group by utt""", "embeddings")
 def _(embeddings: DataFrame) -> DataFrame:
     """Logits to tokens to text with times, in one plan."""
     f = embeddings.select(F.expr("vec_id div 25").alias("utt"), (F.col("vec_id") % 25).alias("pos"), A.argmax(F.slice("embedding", 1, 8)).alias("id"))

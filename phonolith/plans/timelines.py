@@ -29,15 +29,15 @@ def _(events: DataFrame) -> DataFrame:
 CUT = f"(select user_id, prob, b * {BUCKET} as b0, least(e, (b + 1) * {BUCKET}) - greatest(s, b * {BUCKET}) as w from (select *, unnest(range(s // {BUCKET}, (e - 1) // {BUCKET} + 1)) as b from {INTERVALS} where e > s))"
 
 
-@query("r061_overlap_weighted", f"select user_id, b0, cast(sum(w) as bigint) as covered, round(sum(prob * w) / sum(w), 9) as prob from {CUT} group by all", "events")
+@query("r061_overlap_weighted", f"select user_id, b0, cast(sum(w) as bigint) as covered, round(sum(prob * w) / sum(w) + 1e-13, 9) as prob from {CUT} group by all", "events")
 def _(events: DataFrame) -> DataFrame:
     cut = intervals.cut(held(events), "s", "e", BUCKET)
-    return cut.groupBy("user_id", F.col("bucket_start").alias("b0")).agg(F.sum("weight").alias("covered"), F.round(F.sum(F.col("prob") * F.col("weight")) / F.sum("weight"), 9).alias("prob"))
+    return cut.groupBy("user_id", F.col("bucket_start").alias("b0")).agg(F.sum("weight").alias("covered"), F.round(F.sum(F.col("prob") * F.col("weight")) / F.sum("weight") + 1e-13, 9).alias("prob"))
 
 
-@query("r173_bucketed_timeline", f"select user_id, b0, round(sum(prob * w) / sum(w), 9) as prob, round(sum(case when prob >= 0.5 then w else 0 end) / sum(w)::double, 9) as speech_ratio, sum(case when prob >= 0.5 then w else 0 end) >= 0.5 * sum(w) as speaking from {CUT} group by all", "events")
+@query("r173_bucketed_timeline", f"select user_id, b0, round(sum(prob * w) / sum(w) + 1e-13, 9) as prob, round(sum(case when prob >= 0.5 then w else 0 end) / sum(w)::double + 1e-13, 9) as speech_ratio, sum(case when prob >= 0.5 then w else 0 end) >= 0.5 * sum(w) as speaking from {CUT} group by all", "events")
 def _(events: DataFrame) -> DataFrame:
-    return intervals.timeline(held(events), ["user_id"], "s", "e", "prob", BUCKET).select("user_id", F.col("bucket_start").alias("b0"), F.round("prob", 9).alias("prob"), F.round("speech_ratio", 9).alias("speech_ratio"), "speaking")
+    return intervals.timeline(held(events), ["user_id"], "s", "e", "prob", BUCKET).select("user_id", F.col("bucket_start").alias("b0"), F.round(F.col("prob") + 1e-13, 9).alias("prob"), F.round(F.col("speech_ratio") + 1e-13, 9).alias("speech_ratio"), "speaking")
 
 
 @query("r172_timeline_prune", f"select user_id, event_id, greatest(s, base) as s, e from (select *, max(e) over (partition by user_id) - 86400000 * 5 as base from {INTERVALS}) where e > base", "events")
@@ -83,7 +83,7 @@ def _(events: DataFrame) -> DataFrame:
     return d.groupBy("pos").agg(on("click").alias("a"), on("signup").alias("b"))
 
 
-@query("r043_time_offset", "select conv_id, turn, w.i as i, round(w.i * 0.5 + 10, 6) as start_s, case when w.i % 2 = 0 then round(w.i * 0.5 + 10.4, 6) end as end_s from conversations, range(0, 3) w(i)", "conversations")
+@query("r043_time_offset", "select conv_id, turn, w.i as i, round(w.i * 0.5::double + 10, 6) as start_s, case when w.i % 2 = 0 then round(w.i * 0.5::double + 10.4, 6) end as end_s from conversations, range(0, 3) w(i)", "conversations")
 def _(conversations: DataFrame) -> DataFrame:
     """Words shifted by ten seconds; a missing time stays missing."""
     words = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: F.struct(i.cast("long").alias("i"), (i * 0.5).alias("start_s"), F.when(i % 2 == 0, i * 0.5 + 0.4).alias("end_s")))
@@ -104,7 +104,7 @@ def _(conversations: DataFrame) -> DataFrame:
 WORDS = "(select conv_id, turn, generate_subscripts(w, 1) - 1 as pos, unnest(w) as word from (select conv_id, turn, list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '') as w from conversations))"
 
 
-@query("r166_default_segment", f"select conv_id, turn, string_agg(word, ' ' order by pos) as text, round(min(pos) * 0.3, 6) as start_s, round(max(pos) * 0.3 + 0.25, 6) as end_s, case when bool_and(length(word) > 1) then round(avg(1.0 / length(word)), 6) end as confidence from {WORDS} group by all", "conversations")
+@query("r166_default_segment", f"select conv_id, turn, string_agg(word, ' ' order by pos) as text, round(min(pos) * 0.3::double, 6) as start_s, round(max(pos) * 0.3::double + 0.25, 6) as end_s, case when bool_and(length(word) > 1) then round(avg(1.0 / length(word)), 6) end as confidence from {WORDS} group by all", "conversations")
 def _(conversations: DataFrame) -> DataFrame:
     """One segment of a turn's words: its confidence is known only if each word's is."""
     w = transcript.timed_words(conversations, ["conv_id", "turn"], "text", 0.3, 0.25).withColumn("confidence", F.when(F.length("word") > 1, 1.0 / F.length("word")))
@@ -112,7 +112,7 @@ def _(conversations: DataFrame) -> DataFrame:
     return s.select("conv_id", "turn", "text", F.round("start_s", 6).alias("start_s"), F.round("end_s", 6).alias("end_s"), F.round("confidence", 6).alias("confidence"))
 
 
-@query("r165_canonical_mapping", f"select conv_id, turn, string_agg(word, ' ' order by pos) as text, count(*) as n_words, round(min(pos) * 0.3, 6) as start_s, round(max(pos) * 0.3 + 0.25, 6) as end_s, round(avg(1.0 / length(word)), 6) as confidence from {WORDS} group by all", "conversations")
+@query("r165_canonical_mapping", f"select conv_id, turn, string_agg(word, ' ' order by pos) as text, count(*) as n_words, round(min(pos) * 0.3::double, 6) as start_s, round(max(pos) * 0.3::double + 0.25, 6) as end_s, round(avg(1.0 / length(word)), 6) as confidence from {WORDS} group by all", "conversations")
 def _(conversations: DataFrame) -> DataFrame:
     """Nested transcripts of timed words, read back flat."""
     w = transcript.timed_words(conversations, ["conv_id", "turn"], "text", 0.3, 0.25).withColumn("confidence", 1.0 / F.length("word"))
@@ -121,7 +121,7 @@ def _(conversations: DataFrame) -> DataFrame:
     return t.select("conv_id", "turn", "transcript.text", F.size("transcript.words").cast("long").alias("n_words"), F.round(seg["start_s"], 6).alias("start_s"), F.round(seg["end_s"], 6).alias("end_s"), F.round(seg["confidence"], 6).alias("confidence"))
 
 
-@query("r022_legacy_projection", "select conv_id, turn, text as utterance_text, role as model_family, length(text) as n_chars from conversations", "conversations")
+@query("r022_legacy_projection", "select conv_id, turn, text as utterance_text, role as model_family, cast(length(text) as int) as n_chars from conversations", "conversations")
 def _(conversations: DataFrame) -> DataFrame:
     """Camel-case fields to snake case."""
     d = conversations.select("conv_id", "turn", F.col("text").alias("utteranceText"), F.col("role").alias("modelFamily"), F.length("text").alias("nChars"))
