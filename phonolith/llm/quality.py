@@ -32,7 +32,7 @@ STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 @dataclass(frozen=True)
 class Settings:
-    sample: int = 2000
+    sample: int = 1200
     buckets: int = 1 << 15
     window: int = 5
     least_words: int = 10
@@ -131,20 +131,21 @@ def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), key: str
     if len(set(good)) < 2:
         return None
     cols = np.concatenate([np.frombuffer(r["ids"], "<i4") for r in rows])
-    vals = np.concatenate([np.frombuffer(r["shares"], "<f4") for r in rows]).astype(float) * 1000
+    vals = np.concatenate([np.frombuffer(r["shares"], "<f4") for r in rows]) * np.float32(1000)
     at = np.repeat(np.arange(len(rows)), [len(r["ids"]) // 4 for r in rows])
-    held = np.arange(len(rows)) % 4 == 0  # rows come in the order of a hash
+    rows.clear()
+    held = np.arange(len(good)) % 4 == 0  # rows come in the order of a hash
     weigh = np.where(good > 0, 0.5 / good.sum(), 0.5 / (1 - good).sum())  # both classes count the same
     w, past, fit = np.zeros(s.buckets), np.full(s.buckets, 1e-6), ~held
     b = 0.0
     for _ in range(s.epochs):
-        margin = np.bincount(at, vals * w[cols], len(rows)) + b
+        margin = np.bincount(at, vals * w[cols], len(good)) + b
         error = np.where(fit, weigh * (1 / (1 + np.exp(-np.clip(margin, -50, 50))) - good), 0.0)
         grad = np.bincount(cols, vals * error[at], s.buckets) + s.ridge * w
         past += grad * grad
         w -= s.rate * grad / np.sqrt(past) / 10
         b -= s.rate * error.sum()
-    margin = np.bincount(at, vals * w[cols], len(rows))
+    margin = np.bincount(at, vals * w[cols], len(good))
     scale, shift = platt(margin[held], good[held]) if len(set(good[held])) == 2 else (1.0, b)
     return Model(w, scale, shift)
 
