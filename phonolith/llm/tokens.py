@@ -10,7 +10,7 @@ from collections.abc import Callable
 from itertools import chain, islice
 
 #: Pieces and pre-tokens remembered, the longest that are, and pieces of the hot part: the bounds of a cache's memory.
-PIECES, WORDS, LONGEST, HOT = 700_000, 200_000, 48, 16_384
+PIECES, WORDS, LONGEST, HOT = 700_000, 600_000, 48, 16_384
 
 
 def pieces(text: str) -> list[str]:
