@@ -157,3 +157,8 @@ def audio_url(j: Column) -> Column:
     items = F.transform(F.from_json(F.when(j.rlike(r"^\s*\["), j), "array<string>"), lambda x: F.when(x.rlike(r"^\s*\{"), own(x, "$")).otherwise(F.nullif(x, F.lit(""))))
     first = F.filter(items, lambda x: x.isNotNull())
     return F.coalesce(F.when(j.rlike(r"^\s*\{"), own(j, "$")), F.get(first, F.lit(0)), text, F.nullif(plain, F.lit("")))
+
+
+def prefix_lengths(pieces: Column) -> Column:
+    """Length of the decoded text of each prefix of pieces."""
+    return F.transform(pieces, lambda _, i: F.length(decode_pieces(F.slice(pieces, F.lit(1), i + 1))))

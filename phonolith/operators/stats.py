@@ -65,3 +65,13 @@ def csv_lines(df: DataFrame, columns: list[str]) -> DataFrame:
 
     fields = [csv_field(F.col(c)) if c in df.columns else F.lit("") for c in columns]
     return df.withColumn("line", F.concat_ws(",", *fields))
+
+
+def report(scores: DataFrame, model: str, file: str, metrics: list[str]) -> str:
+    """A Markdown table of each model's mean metrics over the files that all models have. Few rows reach the driver."""
+    models = scores.select(model).distinct()
+    common = scores.groupBy(file).agg(F.count_distinct(model).alias("n")).join(F.broadcast(models.agg(F.count("*").alias("of"))), F.col("n") == F.col("of")).select(file)
+    rows = scores.join(common, file, "left_semi").groupBy(model).agg(F.count_distinct(file).alias("files"), *[F.avg(m).alias(m) for m in metrics]).orderBy(model).collect()
+    head = ["model", "files", *metrics]
+    lines = [[str(r[model]), str(r["files"]), *[f"{r[m]:.4f}" for m in metrics]] for r in rows]
+    return "\n".join("| " + " | ".join(x) + " |" for x in [head, ["-"] * len(head), *lines])

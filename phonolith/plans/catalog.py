@@ -200,3 +200,34 @@ def _(lineitem: DataFrame) -> DataFrame:
 def _(embeddings: DataFrame) -> DataFrame:
     """Content-keyed reuse: the first of equal keys is computed, the others are hits."""
     return embeddings.groupBy((F.get("embedding", F.lit(0)) > 0).alias("key")).agg(F.count("*").alias("lookups"), (F.count("*") - 1).alias("hits"))
+
+
+@query("r110_seed_numbers", "select r_regionkey, r_name, h as seed from (select r_regionkey, r_name, list_reduce(list_prepend(2166136261::hugeint, list_transform(string_split(r_name, ''), lambda c: ord(c)::hugeint)), lambda h, c: (xor(h::uhugeint, c::uhugeint)::hugeint * 16777619) % 4294967296)::bigint as h from region)", "region")
+def _(region: DataFrame) -> DataFrame:
+    """FNV-1a of names, as Columns."""
+    codes = F.transform(F.split("r_name", ""), lambda c: F.ascii(c).cast("long"))
+    step = lambda h, c: ((h.bitwiseXOR(c)).cast("decimal(20,0)") * 16777619 % 4294967296).cast("long")
+    return region.select("r_regionkey", "r_name", F.aggregate(codes, F.lit(2166136261), step).alias("seed"))
+
+
+@query("r111_random_numbers", None, "region")
+def _(region: DataFrame) -> DataFrame:
+    """The first numbers of a seeded generator."""
+    draw = datasets.random_numbers(datasets.seed_number("fixed-seed"))
+    return region.sparkSession.createDataFrame([(i, next(draw)) for i in range(100)], "pos int, number double")
+
+
+@query("r188_profiles", None, "region")
+def _(region: DataFrame) -> DataFrame:
+    from dataclasses import astuple
+
+    from phonolith.streaming.session import PROFILES
+
+    schema = "name string, preroll double, most double, threshold double, speech double, silence double, hangover double, lookback double"
+    return region.sparkSession.createDataFrame([tuple(x if isinstance(x, str) else float(x) for x in astuple(p)) for p in PROFILES.values()], schema)
+
+
+@query("r100_backend_choice", None, "supplier")
+def _(supplier: DataFrame) -> DataFrame:
+    best = catalog.select(backends(supplier), catalog.Criteria(precision="fp16", environment="node"), [])
+    return supplier.filter(F.col("s_name") == best).select(F.col("s_name").alias("id"))

@@ -9,8 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import StringType
 
-from phonolith.functions import text as T
-from phonolith.streaming import folds, mergers
+from phonolith.functions import signal, text as T
+from phonolith.streaming import folds, mergers, session
 from phonolith.streaming.runner import fold_batch
 
 from .registry import query
@@ -143,3 +143,80 @@ def decoded(kind: str):
 
 for _n, _kind in ((159, "durations"), (160, "transducer"), (161, "attention")):
     query(f"r{_n}_greedy_{_kind}", None, "embeddings")(lambda embeddings, k=_kind: embeddings.select("vec_id", decoded(k)("embedding").alias("tokens")))
+
+
+def samples(embeddings: DataFrame) -> DataFrame:
+    """Vectors as successive pushes of samples, fifty a stream."""
+    return embeddings.select(F.expr("vec_id div 50").alias("stream"), "vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("samples"))
+
+
+@query("r167_sample_ring", "select vec_id // 50 as stream, greatest(0, (count(*) * 64) - 1000) as base, count(*) * 64 as end_frame from embeddings group by 1", "embeddings")
+def _(embeddings: DataFrame) -> DataFrame:
+    out = fold_batch(samples(embeddings), "stream", ["vec_id"], partial(session.Ring, 1000), "base long, end long")
+    return out.groupBy("stream").agg(F.max("base").alias("base"), F.max("end").alias("end_frame"))
+
+
+@query("r030_chunk_resampler", None, "embeddings")
+def _(embeddings: DataFrame) -> DataFrame:
+    return fold_batch(samples(embeddings), "stream", ["vec_id"], partial(session.Resampler, 1.5), "frame long, samples array<double>")
+
+
+@query("r169_layered_buffer", None, "embeddings")
+def _(embeddings: DataFrame) -> DataFrame:
+    d = embeddings.select(F.expr("vec_id div 50").alias("stream"), "vec_id", (F.col("vec_id") % 50).alias("sequence"), (1.0 + F.col("vec_id") % 7).alias("seconds"))
+    return fold_batch(d, "stream", ["vec_id"], session.Layers, "first long, last long, seconds double")
+
+
+@query("r180_transcriber", None, "conversations")
+def _(conversations: DataFrame) -> DataFrame:
+    last = F.lead("turn").over(Window.partitionBy("conv_id").orderBy("turn")).isNull()
+    d = conversations.select("conv_id", "turn", F.substring("text", 1, 40).alias("text"), (~last).alias("speech"), F.lit(400.0).alias("chunk_ms"))
+    return fold_batch(d, "conv_id", ["turn"], session.Transcriber, "kind string, revision long, committed string, preview string, text string")
+
+
+@query("r181_controller", None, "conversations")
+def _(conversations: DataFrame) -> DataFrame:
+    words = F.transform(T.words(F.col("text")), lambda w, i: F.array(w, ((F.col("turn") * 30 + i) * 0.3).cast("string"), ((F.col("turn") * 30 + i) * 0.3 + 0.25).cast("string")))
+    last = F.lead("turn").over(Window.partitionBy("conv_id").orderBy("turn")).isNull()
+    d = conversations.select("conv_id", "turn", F.lit(0).alias("base"), ((F.col("turn") + 1) * 160000).alias("end"), words.alias("words"), F.when(last, 1.0).otherwise(0.0).alias("silence_s"))
+    out = fold_batch(d, "conv_id", ["turn"], Spoken, "kind string, start long, end long, revision long, committed string, preview string, cursor double")
+    return out.select("conv_id", "kind", "revision", F.length("committed").alias("committed_chars"), "cursor")
+
+
+class Spoken(session.Controller):
+    """A controller whose words come as strings."""
+
+    def step(self, row: dict) -> list[dict]:
+        return super().step(row | {"words": [(w[0], float(w[1]), float(w[2])) for w in row["words"]]})
+
+
+@query("r154_incremental_mel", None, "embeddings")
+def _(embeddings: DataFrame) -> DataFrame:
+    """Features of a growing signal by reuse, against those made at once: how many were kept, the largest difference."""
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for x in pdf["samples"]:
+                x = np.asarray(x, np.float32)
+                first, _ = signal.mel_frames(x[:1600])
+                got, kept, made = signal.mel_more(first, x)
+                rows.append((kept, made, round(float(np.abs(got - signal.mel_frames(x)[0]).max()), 6)))
+            yield pd.concat([pdf[["vec_id"]].reset_index(drop=True), pd.DataFrame(rows, columns=["kept", "made", "diff"])], axis=1)
+
+    return embeddings.select("vec_id", signal.tiled(F.col("embedding"), 50).alias("samples")).mapInPandas(run, "vec_id long, kept int, made int, diff double")
+
+
+@query("r097_prefix_lengths", "select conv_id, turn, pos, n from (select conv_id, turn, generate_subscripts(p, 1) - 1 as pos, unnest(list_transform(range(1, len(p) + 1), lambda i: length(array_to_string(p[1:i], ' ')))) as n from (select conv_id, turn, (list_filter(string_split_regex(regexp_replace(text, '[^A-Za-z\\s]', '', 'g'), '\\s+'), lambda w: w <> ''))[1:8] as p from conversations))", "conversations")
+def _(conversations: DataFrame) -> DataFrame:
+    pieces = F.transform(F.slice(T.words(F.regexp_replace("text", r"[^A-Za-z\s]", "")), 1, 8), lambda w: F.concat(F.lit("▁"), w))
+    d = conversations.select("conv_id", "turn", F.posexplode(T.prefix_lengths(pieces)).alias("pos", "n"))
+    return d.select("conv_id", "turn", F.col("pos").cast("long").alias("pos"), F.col("n").cast("long").alias("n"))
+
+
+@query("r098_onset", None, "events")
+def _(events: DataFrame) -> DataFrame:
+    """Where speech began, for each start that the gate confirms."""
+    schema = "frame long, energy double, snr double, active boolean, start boolean, end boolean, onset double"
+    out = fold_batch(hops(events).select("user_id", *ORDER, "rms"), "user_id", ORDER, partial(folds.RoughGate, threshold_db=-12.0), schema)
+    return out.filter("start").select("user_id", "frame", "onset")

@@ -179,3 +179,11 @@ def _(embeddings: DataFrame) -> DataFrame:
     both = d.join(back.withColumnRenamed("samples", "got"), "key")
     error = F.array_max(F.zip_with("samples", "got", lambda a, b: F.abs(a - b)))
     return both.select(F.col("key").alias("vec_id"), "sample_rate", F.size("got").alias("n"), F.round(error, 3).alias("error"))
+
+
+@query("r003_wav_decode", "select vec_id, 32000 as sample_rate, 64 as n from embeddings", "embeddings")
+def _(embeddings: DataFrame) -> DataFrame:
+    from phonolith.sources import wav
+
+    files = wav.encode(embeddings.select(F.col("vec_id").alias("key"), F.col("embedding").alias("samples")), 32000)
+    return wav.decode(files).select(F.col("key").alias("vec_id"), "sample_rate", F.size("samples").alias("n"))
