@@ -168,28 +168,22 @@ def _search(bits: int):
 
 def links(prints: DataFrame, tables: Tables, bits: int = BITS, leafy: int = LEAFY) -> DataFrame:
     """Links (a, b) that connect the distinct fingerprints `fp` of prints whenever they differ in at most bits."""
-    masks, rows = {0: prints.select("fp")}, []
-    while masks:
-        deal = [(m, s) for m in masks for s in segments(m, bits)]
-        routed = None
-        for m, df in masks.items():
-            nodes = F.explode(F.array(*[F.struct(F.lit(_signed(s)).alias("mask"), F.col("fp").bitwiseAND(F.lit(_signed(s))).alias("value")) for s in segments(m, bits)]))
-            part = df.select("fp", nodes.alias("n")).select("n.mask", "n.value", "fp")
-            routed = part if routed is None else routed.union(part)
-        big = tables.keep(routed.groupBy("mask", "value").agg(F.count("*").alias("n")).filter(F.col("n") > leafy))
-        over = {r[0] for r in big.groupBy("mask").count().select("mask").collect()}  # at most 3 ** depth masks
-        over = {s for _, s in deal if _signed(s) in over and 64 - s.bit_count() > leafy.bit_length() - 1}
-        if over:
-            hot = big.filter(F.col("mask").isin([_signed(s) for s in over])).select("mask", "value")
-            rows.append(routed.join(hot, ["mask", "value"], "left_anti"))
-            more = tables.keep(routed.join(hot, ["mask", "value"], "left_semi"))
-            masks = {s: more.filter(F.col("mask") == _signed(s)).select("fp") for s in over}
-        else:
-            rows.append(routed)
-            masks = {}
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.union(r)
+    level, masks, out = prints.select(F.lit(0).cast("long").alias("mask"), "fp"), [0], None
+    while True:
+        cut = F.create_map(*[x for m in masks for x in (F.lit(_signed(m)), F.array(*[F.lit(_signed(s)) for s in segments(m, bits)]))])
+        routed = level.select(F.explode(cut[F.col("mask")]).alias("mask"), "fp")
+        routed = routed.select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("value"), "fp")
+        big = tables.keep(routed.groupBy("mask", "value").agg(F.count("*").alias("n")).filter(F.col("n") > leafy).select("mask", "value"))
+        full = {r["mask"] for r in big.select("mask").distinct().collect()}  # at most 3 ** depth masks
+        # With few free bits a node can't hold more than leafy fingerprints, whatever they are.
+        masks = sorted({s for m in masks for s in segments(m, bits) if _signed(s) in full and 64 - s.bit_count() >= leafy.bit_length()})
+        if not masks:
+            out = routed if out is None else out.union(routed)
+            break
+        hot = big.filter(F.col("mask").isin([_signed(m) for m in masks]))
+        rest = routed.join(hot, ["mask", "value"], "left_anti")
+        out = rest if out is None else out.union(rest)
+        level = tables.keep(routed.join(hot, ["mask", "value"], "left_semi").select("mask", "fp"))
     ordered = out.withColumn("rank", gray_rank(F.col("fp"))).repartition("mask", "value").sortWithinPartitions("mask", "value", "rank")
     return ordered.select("mask", "value", "fp").mapInArrow(_search(bits), "a long, b long")
 
