@@ -72,16 +72,17 @@ _WORD = np.uint64(0x9E3779B97F4A7C15)
 _POWERS = np.cumprod(np.append(np.uint64(1), np.full(4095, 0x100000001B3, np.uint64)), dtype=np.uint64)
 
 
-def features(text: bytes, buckets: int, step: int = 1 << 20) -> np.ndarray:
-    """Buckets of a text's words, word pairs and byte 3-grams and 4-grams, with repeats."""
-    out, shift = [], np.uint64(64 - buckets.bit_length() + 1)
+def features(text: bytes, buckets: int, step: int = 1 << 20) -> Iterator[np.ndarray]:
+    """Buckets of a text's words, word pairs and byte 3-grams and 4-grams, with repeats; by steps of its bytes."""
+    shift = np.uint64(64 - buckets.bit_length() + 1)
     fold = lambda h, salt: ((h + np.uint64(salt)) * _WORD >> shift).astype(np.int32)
     for at in range(0, len(text), step):
         b = np.frombuffer(text, np.uint8)[at : at + step]
         wide = b.astype(np.uint64)
         if len(b) > 3:
             three = wide[:-2] << np.uint64(16) | wide[1:-1] << np.uint64(8) | wide[2:]
-            out += [fold(three, 1), fold(three[:-1] << np.uint64(8) | wide[3:], 2)]
+            yield fold(three, 1)
+            yield fold(three[:-1] << np.uint64(8) | wide[3:], 2)
         white = _WHITE[b]
         begins = np.flatnonzero(~white & np.append(True, white[:-1]))
         if len(begins):
@@ -91,9 +92,8 @@ def features(text: bytes, buckets: int, step: int = 1 << 20) -> np.ndarray:
                 place = np.append(np.zeros(begins[0], np.int64), np.arange(begins[0], len(b)) - np.repeat(begins, np.diff(np.append(begins, len(b)))))
             terms = np.where(white, np.uint64(0), (wide + np.uint64(1)) * _POWERS[place & 4095])
             word = np.add.reduceat(terms, begins) + (ends - begins).astype(np.uint64)
-            out.append(fold(word, 3))
-            out.append(fold(word[:-1] * np.uint64(31) + word[1:], 4))
-    return np.concatenate(out) if out else np.empty(0, np.int32)
+            yield fold(word, 3)
+            yield fold(word[:-1] * np.uint64(31) + word[1:], 4)
 
 
 @dataclass(frozen=True)
@@ -104,8 +104,10 @@ class Model:
 
     def score(self, text: bytes, buckets: int) -> float:
         """Calibrated probability of good quality."""
-        f = features(text, buckets)
-        margin = self.weights[f].mean() * 1000 if len(f) else 0.0
+        total = n = 0
+        for f in features(text, buckets):
+            total, n = total + self.weights[f].sum(), n + len(f)
+        margin = total / n * 1000 if n else 0.0
         return float(1 / (1 + np.exp(-np.clip(self.scale * margin + self.shift, -50, 50))))
 
 
@@ -121,7 +123,11 @@ def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), key: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for key, quality, body in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist()):
-                ids, n = np.unique(features(body or b"", s.buckets), return_counts=True)
+                counts = np.zeros(s.buckets, np.int64)
+                for f in features(body or b"", s.buckets):
+                    counts += np.bincount(f, minlength=s.buckets)
+                ids = np.flatnonzero(counts)
+                n = counts[ids]
                 row = [pa.array([key.as_py()], pa.int64()), pa.array([int(quality)], pa.int32()), pa.array([ids.astype("<i4").tobytes()]), pa.array([(n / max(1, n.sum())).astype("<f4").tobytes()])]
                 yield pa.RecordBatch.from_arrays(row, ["doc_id", "quality", "ids", "shares"])
 

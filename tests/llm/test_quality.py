@@ -73,5 +73,5 @@ def test_platt():
 
 
 def test_features_ignore_position():
-    a, b = (np.sort(quality.features(t, 1 << 15)) for t in (b"x alpha beta y", b"alpha beta"))
-    assert len(quality.features(b"", 1 << 15)) == 0 and np.isin(quality.features(b"alpha", 1 << 15), a).all() and len(b) < len(a)
+    of = lambda t: np.concatenate([np.empty(0, np.int32), *quality.features(t, 1 << 15)])
+    assert len(of(b"")) == 0 and np.isin(of(b"alpha"), of(b"x alpha beta y")).all() and len(of(b"alpha beta")) < len(of(b"x alpha beta y"))
