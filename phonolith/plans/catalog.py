@@ -75,12 +75,12 @@ def _(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", catalog.first_provider(has).alias("provider"))
 
 
-FILES = "case p_size % 4 when 0 then ['enc.onnx', 'dir/enc.int8.onnx'] when 1 then ['enc.fp16.onnx', 'vocab.txt'] when 2 then ['other.onnx'] else ['a/enc.int8.onnx', 'a/enc.fp16.onnx', 'nemo80.onnx'] end"
+FILES = "case p_size % 4 when 0 then ['enc.onnx', 'dir/enc.int8.onnx'] when 1 then ['enc.fp16.onnx', 'vocab.txt'] when 2 then ['other.onnx'] else ['a/enc.int8.onnx', 'a/enc.fp16.onnx', 'mel80.onnx'] end"
 MODES = "case p_size % 4 when 0 then ['fp32', 'int8'] when 1 then ['fp16'] when 2 then ['fp32'] else ['fp16', 'int8'] end"
 
 
 def listing(part: DataFrame) -> DataFrame:
-    kinds = [["enc.onnx", "dir/enc.int8.onnx"], ["enc.fp16.onnx", "vocab.txt"], ["other.onnx"], ["a/enc.int8.onnx", "a/enc.fp16.onnx", "nemo80.onnx"]]
+    kinds = [["enc.onnx", "dir/enc.int8.onnx"], ["enc.fp16.onnx", "vocab.txt"], ["other.onnx"], ["a/enc.int8.onnx", "a/enc.fp16.onnx", "mel80.onnx"]]
     files = F.element_at(F.array(*[F.array(*map(F.lit, k)) for k in kinds]), (F.col("p_size") % 4 + 1).cast("int"))
     return part.select("p_partkey", files.alias("files"))
 
