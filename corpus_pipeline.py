@@ -16,7 +16,7 @@ from phonolith.llm.common import Tables, table
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and that the classifier keeps."""
-    return quality.judge(docs, table(spark, sf_dir, "labels")).filter("kept").select(docs.columns)
+    return quality.keep(docs, table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -28,6 +28,7 @@ from .common import ship
 ROWS = 128
 SPACE, SYMBOLS = b" \t\n\x0b\x0c\r", b"#*$%&|<>"
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+OUT = [*STATS, "base_failed", "p_good", "kept"]
 
 
 @dataclass(frozen=True)
@@ -174,12 +175,19 @@ def platt(margin: np.ndarray, good: np.ndarray) -> tuple[float, float]:
 
 
 def judge(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with STATS, base_failed, the calibrated probability of good quality, and kept."""
+    """docs with STATS, base_failed, the calibrated probability of good quality, and kept, which replace columns of these names."""
     ship(docs.sparkSession)
     model = train(docs, labels, s, key, text)
     return scored(docs, model, s, text)
 
 
+def keep(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs that are kept, with docs' columns, whatever their names."""
+    aside = {c: f"_own_{c}" for c in docs.columns if c in OUT}
+    out = judge(docs.withColumnsRenamed(aside), labels, s, key, text).filter("kept")
+    return out.select(*[F.col(f"`{aside.get(c, c)}`").alias(c) for c in docs.columns])
+
+
 def scored(docs: DataFrame, model: Model | None, s: Settings, text: str = "text") -> DataFrame:
     out = [*[f"{c} long" for c in STATS], "base_failed boolean", "p_good double", "kept boolean"]
     names = [x.split()[0] for x in out]

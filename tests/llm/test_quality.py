@@ -45,6 +45,8 @@ def test_awkward(spark):
     got = quality.judge(clashing(docs), labels).collect()
     assert Counter((r["doc_id"], *[r[c] for c in quality.STATS]) for r in got) == Counter((r["doc_id"], *plain(r["text"])) for r in docs.collect())
     assert quality.judge(docs.filter("false"), labels).collect() == []
+    kept = quality.keep(clashing(docs), labels)
+    assert kept.columns == clashing(docs).columns and {r["kept"] for r in kept.collect()} <= {"clash"}
     one_class = quality.judge(docs, labels.filter("quality = 1")).filter("kept").collect()
     assert {r["doc_id"] for r in one_class} == set() or all(r["n_words"] >= 10 for r in one_class)
 
