@@ -215,7 +215,8 @@ def keep_one(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE, key: str
     group = dedup(rows.select("_rid", F.col(f"_row.{text}").alias("_text")), bits, shingle, key="_rid", text="_text")
     order = rows.select("_rid", F.struct(F.col(f"_row.{key}").isNull(), F.col(f"_row.{key}"), F.xxhash64(f"_row.{text}"), F.col("_rid").alias("rid")).alias("_order"))
     first = group.select("_rid", "component_id").join(order, "_rid").groupBy("component_id").agg(F.min("_order").alias("f"))
-    return rows.join(first.select(F.col("f.rid").alias("_rid")), "_rid", "left_semi").select("_row.*")
+    # Hashing the numbers lets the texts stream by; a sort-merge join would sort them.
+    return rows.join(first.select(F.col("f.rid").alias("_rid")).hint("shuffle_hash"), "_rid", "left_semi").select("_row.*")
 
 
 def hexed(fp: Column) -> Column:
