@@ -22,6 +22,7 @@ def fold_batch(df: DataFrame, key: str, order: list[str], make: Callable[[], Any
     """Rows out of a fold over each key's rows in order; schema is that of the fold's rows.
 
     Keys are dealt by a shuffle and rows come sorted to a streaming task, which holds one fold, not a group.
+    Rows with a null key are one stream.
     """
     ship(df.sparkSession)
     columns = [c for c in df.columns if c != key]
@@ -32,7 +33,7 @@ def fold_batch(df: DataFrame, key: str, order: list[str], make: Callable[[], Any
         for pdf in batches:
             out = []
             for k, row in zip(pdf[key], _rows(pdf[columns])):
-                if fold is None or k != now:
+                if fold is None or not (k == now or pd.isna(k) and pd.isna(now)):
                     now, fold = k, make()
                 out += [{key: k, **r} for r in fold.step(row)]
             yield pd.DataFrame(out, columns=[key, *names])

@@ -125,3 +125,10 @@ def test_plugins():
     for call in (lambda: p.register("transcribe", "x", len), lambda: p.register("other", "y", len), lambda: p.get("activity", "x")):
         with pytest.raises(PluginError):
             call()
+
+
+def test_null_keys_are_one_stream(spark):
+    d = spark.createDataFrame([(None, 1, 0.6), (None, 2, 0.6), (4, 1, 0.6), (4, 2, 0.6)], "k long, at int, prob double")
+    both = fold_batch(d, "k", ["at"], folds.Hysteresis, "speaking boolean")
+    assert sorted(map(tuple, both.collect()), key=str) == [(4, False), (4, True), (None, False), (None, True)]
+    assert fold_batch(d.filter("false"), "k", ["at"], folds.Hysteresis, "speaking boolean").collect() == []
