@@ -1,4 +1,4 @@
-"""A corpus pipeline: quality rules, SimHash near-dedup, removal of personal data, packing.
+"""A corpus pipeline: quality rules, near-dedup by word shingles, removal of personal data, packing.
 
 Each stage takes what its predecessor kept, written as Parquet; all but the last return the columns of documents.
 """
@@ -10,7 +10,7 @@ from collections.abc import Callable
 import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from phonolith.llm import packing, pii, quality, simhash
+from phonolith.llm import jaccard, packing, pii, quality
 from phonolith.llm.common import Tables, table
 
 
@@ -20,8 +20,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest doc_id; of rows that share it, one."""
-    return simhash.keep_one(docs)
+    """Of each group of near copies (five-word shingles, Jaccard 0.8 or more) the document with the smallest doc_id; of rows that share it, one."""
+    return jaccard.keep_one(docs)
 
 
 def remove_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
