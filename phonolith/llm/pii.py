@@ -1,16 +1,22 @@
 """Personal data by bootstrapped contextual extraction (operator 3). DataFrame operations only.
 
-The base patterns (email, ip, card, phone) find seed entities. Where a label such as `phone:` or `card no #` stands
-before an identifier-like token, label and token class make a lexical pattern, and the token is an instance. Over
-the graph of patterns and instances scores are passed to and fro for a few rounds: a pattern scores the shrunken
-mean of its instances, an instance the best of its patterns; seeds stay at 1. Patterns with enough seeds and a high
-score then mark their other instances as identifiers of kind `context`.
-
-Joins and sums run on distinct (pattern, instance) pairs, so copies of a document add one pair. Places, pairs and
-scores are written tables; texts are read once.
+The base patterns (email, ip, card, phone) find seed entities. Every identifier-like string (something with an @, or
+a run of at least six digits) is an instance, and the words around it induce its lexical patterns: the two words
+before it, the word before and the word after it, and the word before it alone if that is a label such as `phone:`.
+Over the graph of patterns and instances scores are passed to and fro until they change by less than a tolerance: a
+pattern scores the shrunken mean of its instances, a seed is worth 1, another instance as much as the best trusted
+pattern that it stands in, or nothing. A pattern is trusted if its score is high and enough of its instances are
+worth as much. So patterns that seeds made sure find unseen identifiers, and these make further patterns sure; what
+a pattern finds beyond a fifth of its instances speaks against it, which leaves clean texts alone. Instances of
+trusted patterns that aren't seeds are spans of kind `context`.
+
+Joins and sums run on distinct (pattern, instance) pairs, so copies of a document add one pair; common patterns and
+instances are joined by heavy_join(). Places, pairs and scores are written tables; texts are read once, and only
+rows with an instance that isn't a seed meet the patterns again.
 
 Defined results: a null text is empty and has no spans; null and repeated doc_ids give a row each; further columns
-pass through redact() and are ignored by scan(); an empty table gives an empty table.
+pass through redact() and are ignored by scan(); an empty table gives an empty table. The words around an instance
+are those within AROUND characters, as far as the next instance of its class.
 """
 
 from __future__ import annotations
@@ -20,10 +26,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import spans as S
-from .common import Tables
+from .common import Tables, heavy_join
 
 BASE = ["email", "ip", "card", "phone"]
 _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
+IP = rf"^{_BYTE}(?:\.{_BYTE}){{3}}$"
 
 
 def digits(value: Column) -> Column:
@@ -41,70 +48,91 @@ def luhn(value: Column) -> Column:
 #: Fixed by the contract. Possessive and look-behind forms match the same, in linear time and without recursion.
 KINDS = [
     S.Kind("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", None, lambda t: F.contains(t, F.lit("@"))),
-    S.Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", lambda m: m.rlike(rf"^{_BYTE}(?:\.{_BYTE}){{3}}$")),
+    S.Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", lambda m: m.rlike(IP)),
     S.Kind("card", r"[0-9]++(?:[\x20-][0-9]++)*+", luhn, lambda t: t.rlike(r"[0-9](?:[\x20-]?[0-9]){11}")),
     S.Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: F.length(digits(m)).between(9, 15), lambda t: F.contains(t, F.lit("+"))),
 ]
-#: A label of one or two words, a mark, and a token of up to 64 characters with a digit or an @.
-LABEL = r"[A-Za-z][A-Za-z_]{1,30}(?:\x20[A-Za-z]{1,12})?\x20?[:=#]\x20?[\"']?"
-CUE = S.Kind("cue", rf"(?<![A-Za-z_]){LABEL}(?=[A-Za-z._+()-]{{0,63}}[0-9@])[A-Za-z0-9@._+()-]{{4,64}}", None, lambda t: t.rlike("[:=#]"))
+#: Classes of instances, and which of their values are seeds.
+CLASSES = [
+    (S.Kind("@", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*+", None, lambda t: F.contains(t, F.lit("@"))), lambda v: v.rlike(r"@[A-Za-z0-9-]+\.")),
+    (S.Kind("0", r"(?<![A-Za-z0-9+])\+?+[0-9]++(?:[\x20().-]{1,3}+[0-9]++)*+", lambda v: F.length(digits(v)) >= 6, lambda t: t.rlike(r"[0-9](?:[\x20().-]{0,3}[0-9]){5}")), lambda v: (v.startswith("+") & F.length(digits(v)).between(9, 15)) | luhn(v) | v.rlike(IP)),
+]
+AROUND = 64
 
 
 @dataclass(frozen=True)
 class Settings:
-    rounds: int = 3
-    support: int = 3  # seeds that a pattern needs
+    support: int = 3  # instances worth `score` that a trusted pattern needs
     score: float = 0.8
-    doubt: float = 0.5  # instances of score 0 added to each pattern
+    doubt: float = 0.5  # instances worth nothing added to each pattern
+    tolerance: float = 0.01
+    rounds: int = 100  # more raise an error; values only rise, so they settle
 
 
 def base(text: Column) -> Column:
     return F.array_sort(F.concat(*[S.find(text, k, i) for i, k in enumerate(KINDS)]))
 
 
-def _cues(text: Column, found: Column) -> Column:
-    """(pattern, instance, start, end, seed) of each labelled token."""
-    head = lambda s: F.regexp_extract(s["value"], f"^{LABEL}", 0)
+def patterns(kind: str, left: Column, right: Column) -> Column:
+    """The patterns that the words around an instance make; ^ and $ stand for missing words."""
+    word = lambda x, p, end: F.coalesce(F.nullif(F.lower(F.regexp_extract(x, p, 1)), F.lit("")), F.lit(end))
+    one, two = word(left, r"(\S+)\s*$", "^"), word(left, r"(\S+)\s+\S+\s*$", "^")
+    both = [F.concat_ws(" ", two, one, F.lit(kind)), F.concat_ws(" ", one, F.lit(kind), word(right, r"^\s*(\S+)", "$"))]
+    label = F.when(one.rlike("[A-Za-z].*[:=#]$"), F.concat_ws(" ", one, F.lit(kind)))
+    return F.array_compact(F.array(*both, label))
+
+
+CUE = "array<struct<patterns:array<string>,instance:string,start:int,end:int,seed:boolean>>"
+
 
-    def cue(s: Column) -> Column:
-        begin = s["start"] + F.length(head(s))
-        token = F.regexp_replace(F.substring(s["value"], F.length(head(s)) + 1, F.length(s["value"])), "[.()-]+$", "")
-        kind = F.when(F.contains(token, F.lit("@")), "@").when(token.rlike("[A-Za-z]"), "mixed").otherwise("number")
-        label = F.lower(F.regexp_replace(head(s), r"[\x20\"']", ""))
-        end = begin + F.length(token)
-        seed = F.exists(found, lambda b: (b["start"] < end) & (b["end"] > begin))
-        return F.struct(F.concat_ws("/", label, kind).alias("pattern"), F.lower(token).alias("instance"), begin.alias("start"), end.alias("end"), seed.alias("seed"))
+def _cues(text: Column) -> Column:
+    """(patterns, instance, start, end, seed) of each identifier-like string."""
 
-    return F.transform(S.find(text, CUE, 0), cue)
+    def of(kind: S.Kind, seeds) -> Column:
+        found = S.places(text, kind.pattern, AROUND)
+        if kind.passes:
+            found = F.filter(found, lambda p: kind.passes(p["value"]))
+        cue = lambda p: F.struct(patterns(kind.name, p["left"], p["right"]).alias("patterns"), F.lower(p["value"]).alias("instance"), p["start"], p["end"], seeds(p["value"]).alias("seed"))
+        return F.when(kind.hint(text), F.transform(found, cue)).otherwise(F.expr(f"cast(array() as {CUE})"))
+
+    return F.concat(*[of(kind, seeds) for kind, seeds in CLASSES])
 
 
 def score(edges: DataFrame, s: Settings, tables: Tables) -> DataFrame:
-    """Patterns with their scores and seeds, from distinct edges(pattern, instance, seed)."""
-    seeds = edges.groupBy("instance").agg(F.max(F.col("seed").cast("double")).alias("start"))
-    scores = tables.keep(seeds.select("instance", "start", F.col("start").alias("value")))
+    """Trusted patterns with their scores and `w`, their places, from distinct edges(pattern, instance, seed, m places)."""
+    worth = edges.groupBy("instance").agg(F.max(F.col("seed").cast("double")).alias("start"), F.count("*").alias("d"))
+    worth = tables.keep(worth.withColumn("value", F.col("start")))
     for _ in range(s.rounds):
-        patterns = edges.join(scores, "instance").groupBy("pattern").agg((F.sum("value") / (F.count("*") + s.doubt)).alias("score"), F.sum(F.col("start")).alias("seeds"))
-        patterns = tables.keep(patterns)
-        best = edges.join(patterns.filter(F.col("seeds") >= s.support), "pattern").groupBy("instance").agg(F.max("score").alias("best"))
-        scores = tables.keep(scores.join(best, "instance", "left").select("instance", "start", F.greatest("start", F.coalesce("best", F.lit(0.0))).alias("value")))
-    return patterns
+        sums = heavy_join(edges, worth, "instance", "d").groupBy("pattern").agg(
+            (F.sum("value") / (F.count("*") + s.doubt)).alias("score"), F.count_if(F.col("value") >= s.score).alias("support"), F.count("*").alias("n"), F.sum("m").alias("w"))
+        trusted = tables.keep(sums.filter((F.col("score") >= s.score) & (F.col("support") >= s.support)))
+        best = heavy_join(edges.select("pattern", "instance"), trusted.select("pattern", "score", "n"), "pattern", "n").groupBy("instance").agg(F.max("score").alias("best"))
+        now = worth.join(best, "instance", "left").select("instance", "start", "d", F.greatest("start", F.coalesce("best", F.lit(0.0))).alias("value"), F.col("value").alias("old"))
+        now = tables.keep(now)
+        moved = now.agg(F.max(F.col("value") - F.col("old"))).first()[0]
+        if not moved or moved < s.tolerance:
+            return trusted
+        worth = now.drop("old")
+    raise RuntimeError("the scores have not settled")
 
 
 def _marked(docs: DataFrame, s: Settings, text: str, keep_text: bool) -> DataFrame:
     """(_row, found): docs' rows as structs, with their spans."""
     tables = Tables(docs.sparkSession, "pii")
     own = [c for c in docs.columns if keep_text or c != text]
-    body = F.coalesce(F.col(text), F.lit(""))
-    named = docs.select(F.struct(*[F.col(c) for c in own]).alias("_row"), body.alias("_text")).withColumn("_base", base(F.col("_text")))
-    read = named.select("_row", "_base", _cues(F.col("_text"), F.col("_base")).alias("_cues"), F.monotonically_increasing_id().alias("_rid"))
+    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    read = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("_row"), base(body).alias("_base"), _cues(body).alias("_cues"), F.monotonically_increasing_id().alias("_rid"))
     read = tables.keep(read)
-    cues = read.filter(F.size("_cues") > 0).select("_rid", F.explode("_cues").alias("c")).select("_rid", "c.*")
-    edges = tables.keep(cues.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")))
-    trusted = score(edges, s, tables).filter((F.col("score") >= s.score) & (F.col("seeds") >= s.support)).select("pattern")
+    cues = read.filter(F.size("_cues") > 0).select("_rid", F.explode("_cues").alias("c")).select("_rid", "c.instance", "c.start", "c.end", "c.seed", F.explode("c.patterns").alias("pattern"))
+    edges = tables.keep(cues.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"), F.count("*").alias("m")))
+    trusted = score(edges, s, tables)
+    unseen = heavy_join(cues.filter("not seed"), trusted.select("pattern", "score", "w"), "pattern", "w").filter("score is not null")
     span = F.struct("start", F.lit(len(KINDS)).alias("ord"), F.lit("context").alias("kind"), "end", F.col("instance").alias("value"))
-    more = cues.filter("not seed").join(trusted, "pattern").groupBy("_rid").agg(F.collect_list(span).alias("_more"))
+    more = unseen.groupBy("_rid").agg(F.collect_set(span).alias("_more"))
+    open_ = F.exists("_cues", lambda c: ~c["seed"])
     found = F.array_sort(F.concat("_base", F.coalesce(F.col("_more"), S.none())))
-    return read.join(more, "_rid", "left").select("_row", found.alias("found"))
+    met = read.filter(open_).select("_row", "_base", "_rid").join(more, "_rid", "left").select("_row", found.alias("found"))
+    return read.filter(~open_).select("_row", F.col("_base").alias("found")).union(met)
 
 
 def scan(docs: DataFrame, s: Settings = Settings(), key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -113,21 +141,12 @@ def scan(docs: DataFrame, s: Settings = Settings(), key: str = "doc_id", text: s
 
 
 def redact(docs: DataFrame, s: Settings = Settings(), text: str = "text") -> DataFrame:
-    """docs with each span of text replaced by its kind in brackets; n_chars, where there is one, follows.
-
-    Of overlapping spans the first is named, and all they cover goes.
-    """
+    """docs with each span of text replaced by its kind in brackets; n_chars, where there is one, follows."""
     rows = _marked(docs, s, text, True)
-    t = F.col(f"_row.{text}")
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc: Column, span: Column) -> Column:
-        more = F.when(span["start"] >= acc["at"], F.array(F.substring(t, acc["at"] + 1, span["start"] - acc["at"]), F.concat(F.lit("["), F.upper(span["kind"]), F.lit("]")))).otherwise(F.array().cast("array<string>"))
-        return F.struct(F.greatest(acc["at"], span["end"]).alias("at"), F.concat(acc["out"], more).alias("out"))
-
-    whole = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(t, acc["at"] + 1, F.length(t)))
+    t = F.col(f"_row.`{text}`")
     hit = F.size("found") > 0
-    rows = rows.select("_row", hit.alias("_hit"), F.when(hit, F.aggregate("found", start, step, whole)).otherwise(t).alias("_clean"))
-    chars = F.when(F.col("_hit"), F.length("_clean")).otherwise(F.col("_row.n_chars") if "n_chars" in docs.columns else F.lit(None))
-    new = {text: F.col("_clean")} | ({"n_chars": chars.cast(dict(docs.dtypes)["n_chars"])} if "n_chars" in docs.columns and text != "n_chars" else {})
+    rows = rows.select("_row", hit.alias("_hit"), F.when(hit, S.replaced(t, F.col("found"))).otherwise(t).alias("_clean"))
+    new = {text: F.col("_clean")}
+    if "n_chars" in docs.columns and text != "n_chars":
+        new["n_chars"] = F.when(F.col("_hit"), F.length("_clean")).otherwise(F.col("_row.n_chars")).cast(dict(docs.dtypes)["n_chars"])
     return rows.select(*[new.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])

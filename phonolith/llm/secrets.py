@@ -1,23 +1,29 @@
 """Secret scan by a trigram inverted index (operator 2). DataFrame operations only.
 
 Each rule's regular expression gives a Boolean query over trigrams: an OR of ANDs that any matching text must
-satisfy. Postings (trigram, document) are made for the trigrams that some rule needs, the postings of each AND
-are intersected, and only the surviving (document, rule) pairs run the regular expression. A rule without
-mandatory trigrams reads every text.
+satisfy. Postings (trigram, row) are made for the trigrams that some rule needs, the postings of each AND are
+intersected, and only the surviving (row, rule) pairs run the regular expression. A rule without mandatory trigrams
+reads every text.
 
-Defined results: a null text is empty and has no spans; null and repeated doc_ids give a row for each input row
-(a candidate found through one copy of a doc_id is verified on all its copies, which changes no result); further
-columns are ignored; an empty table gives an empty table.
+Texts are read once and stay where they are: the index pass runs the rules without trigrams in place and writes a
+row's postings; it keeps the text only of rows that have all trigrams of some AND, the others can't survive. So the
+shuffles move postings and, by a number of their own, the texts of candidates.
+
+Defined results: a null text is empty and has no spans; null and repeated doc_ids give a row for each input row;
+further columns are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import re._constants as C
 import re._parser as P
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import spans as S
+from .common import Tables
 
 BASE = ["assign", "access", "hex"]
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -29,7 +35,7 @@ RULES = [
     S.Kind("hex", "[0-9a-f]{16,}+"),
     S.Kind("private_key", "-----BEGIN [A-Z ]{0,32}PRIVATE KEY-----"),
     S.Kind("github", "gh[pousr]_[A-Za-z0-9]{36}"),
-    S.Kind("slack", "xox[abprs]-[A-Za-z0-9-]{10,72}"),
+    S.Kind("slack", "xox[abprs]-[A-Za-z0-9-]{10,}+"),
     S.Kind("google_api", "AIza[A-Za-z0-9_-]{35}"),
     S.Kind("jwt", r"eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+"),
 ]
@@ -103,29 +109,30 @@ def trigram_query(pattern: str) -> Clauses:
 
 
 def scan(docs: DataFrame, rules: list[S.Kind] = RULES, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs' key and text with `found`, the spans of all rules by start and rule."""
+    """docs' key with `found`, the spans of all rules by start and rule."""
     queries = {r.name: trigram_query(r.pattern) for r in rules}
+    free = [(i, r) for i, r in enumerate(rules) if queries[r.name] == ANY]
     indexed = [(i, r) for i, r in enumerate(rules) if queries[r.name] != ANY]
-    grams = sorted({g for _, r in indexed for c in queries[r.name] for g in c})
+    clauses = sorted({tuple(sorted(c)) for _, r in indexed for c in queries[r.name]})
+    grams = sorted({g for c in clauses for g in c})
     body = F.coalesce(F.col(text), F.lit(""))
-    read = docs.select(F.col(key).alias("_key"), body.alias("_text"), F.lower(body).alias("_low"))
     if not grams:
-        return read.select(F.col("_key").alias(key), F.col("_text").alias(text), _all(F.col("_text"), list(enumerate(rules)), None).alias("found"))
-    own = F.filter(F.array(*map(F.lit, grams)), lambda g: F.contains(F.col("_low"), g))
+        return docs.select(F.col(key), _all(body, free, None).alias("found"))
     spark = docs.sparkSession
+    own = S.let(F.lower(body), lambda low: F.filter(F.array(*map(F.lit, grams)), lambda g: F.contains(low, g)))
+    may = reduce(or_, [reduce(and_, [F.array_contains("_grams", g) for g in c]) for c in clauses])
+    read = docs.select(F.monotonically_increasing_id().alias("_rid"), F.col(key).alias("_key"), body.alias("_body"), own.alias("_grams"))
+    rows = Tables(spark, "secrets").keep(read.select("_rid", "_key", "_grams", _all(F.col("_body"), free, None).alias("_free"), F.when(may, F.col("_body")).alias("_text")))
+
     wanted = spark.createDataFrame([(r.name, n, sorted(c)) for _, r in indexed for n, c in enumerate(sorted(queries[r.name], key=sorted))], "rule string, clause int, grams array<string>")
     wanted = F.broadcast(wanted.select("rule", "clause", F.size("grams").alias("needs"), F.explode("grams").alias("gram")))  # as large as the rules
-    postings = read.select("_key", F.explode(own).alias("gram"))
-    hits = postings.join(wanted, "gram").groupBy("_key", "rule", "clause", "needs").agg(F.size(F.collect_set("gram")).alias("has"))
-    hits = hits.filter("has = needs").groupBy("_key").agg(F.collect_set("rule").alias("_rules"))
-    # Rules without trigrams run here, on each text in its place; a text moves only if some posting names it.
-    free = [(i, r) for i, r in enumerate(rules) if queries[r.name] == ANY]
-    some = F.exists(F.array(*map(F.lit, grams)), lambda g: F.contains(F.col("_low"), g))
-    here = read.select("_key", F.when(some, F.col("_text")).alias("_text"), _all(F.col("_text"), free, None).alias("_free"))
-    hits = hits.withColumnRenamed("_key", "_hit").hint("shuffle_hash")
-    both = here.join(hits, here["_key"].eqNullSafe(hits["_hit"]), "left")
-    found = F.array_sort(F.concat(F.col("_free"), _all(F.col("_text"), indexed, F.col("_rules"))))
-    return both.select(F.col("_key").alias(key), found.alias("found"))
+    postings = rows.select("_rid", F.explode("_grams").alias("gram"))
+    met = postings.join(wanted, "gram").groupBy("_rid", "rule", "clause", "needs").agg(F.count("*").alias("has")).filter("has = needs")
+    hits = met.groupBy("_rid").agg(F.collect_set("rule").alias("_rules"))  # as many as there are rules
+    candidates = rows.filter("_text is not null").select("_rid", "_key", "_free", "_text").join(hits, "_rid", "left")
+    found = F.array_sort(F.concat("_free", _all(F.col("_text"), indexed, F.col("_rules"))))
+    rest = rows.filter("_text is null").select(F.col("_key").alias(key), F.col("_free").alias("found"))
+    return candidates.select(F.col("_key").alias(key), found.alias("found")).union(rest)
 
 
 def _all(text: Column, rules: list[tuple[int, S.Kind]], only: Column | None) -> Column:

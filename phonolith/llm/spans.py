@@ -1,4 +1,4 @@
-"""Regular-expression matches with their places, as Column expressions only."""
+"""Regular-expression matches with their places, as Column expressions only; linear in a text's length and matches."""
 
 from __future__ import annotations
 
@@ -8,6 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, functions as F
 
 SPAN = "array<struct<start:int,ord:int,kind:string,end:int,value:string>>"
+#: Elements of an array that are handled together. An array that grows is copied at each step, so it grows in blocks.
+BLOCK = 256
 
 
 @dataclass(frozen=True)
@@ -24,28 +26,88 @@ def none() -> Column:
     return F.expr(f"cast(array() as {SPAN})")
 
 
-def find(text: Column, kind: Kind, order: int) -> Column:
-    """Leftmost non-overlapping matches of kind that pass its test; places are code points, the end is exclusive.
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once: inside a lambda an outer expression is computed for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def blocks(items: Column) -> Column:
+    """items, a lambda's variable, as an array of arrays of at most BLOCK elements."""
+    last = F.greatest(F.lit(0), F.floor((F.size(items) - 1) / BLOCK).cast("int"))
+    return F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(items, k * BLOCK + 1, F.lit(BLOCK)))
+
+
+def before(values: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """For each whole number of values what op makes of all those before it, beginning with 0."""
+
+    def grow(first: Column, items: Column) -> Column:
+        zero = F.struct(first.alias("now"), F.expr("cast(array() as array<int>)").alias("out"))
+        step = lambda acc, x: F.struct(op(acc["now"], x).alias("now"), F.concat(acc["out"], F.array(acc["now"])).alias("out"))
+        return F.aggregate(items, zero, step, lambda acc: acc["out"])
+
+    def whole(parts: Column) -> Column:
+        begins = grow(F.lit(0), F.transform(parts, lambda p: F.aggregate(p, F.lit(0), op)))
+        return F.flatten(F.zip_with(parts, begins, lambda p, first: grow(first, p)))
+
+    return let(values, lambda v: let(blocks(v), whole))
+
+
+def places(text: Column, pattern: str, around: int = 0) -> Column:
+    """start, end and value of the leftmost non-overlapping matches; places are code points, the end is exclusive.
 
     split() and regexp_extract_all() walk the same matches, so the lengths of the pieces between matches and of
-    the matches themselves add up to the places.
+    the matches themselves add up to the places. With around: also `left` and `right`, at most so many characters
+    before and after the match, up to the next ones.
     """
-    pattern = F.lit(kind.pattern)
-    pairs = F.arrays_zip(F.split(text, kind.pattern, -1).alias("gap"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("hit"))
-    start = F.struct(F.lit(0).alias("at"), none().alias("out"))
-
-    def step(acc: Column, pair: Column) -> Column:
-        begin = acc["at"] + F.length(pair["gap"])
-        end = begin + F.length(pair["hit"])
-        span = F.struct(begin.alias("start"), F.lit(order).alias("ord"), F.lit(kind.name).alias("kind"), end.alias("end"), pair["hit"].alias("value"))
-        ok = pair["hit"].isNotNull()
-        ok = ok & kind.passes(pair["hit"]) if kind.passes else ok
-        return F.struct(F.coalesce(end, begin).alias("at"), F.when(ok, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
-
-    found = F.aggregate(pairs, start, step, lambda acc: acc["out"])
+
+    def located(m: Column) -> Column:
+        lengths = F.zip_with(m["gaps"], m["hits"], lambda g, h: F.length(g) + F.coalesce(F.length(h), F.lit(0)))
+        after = F.slice(m["gaps"], F.lit(2), F.greatest(F.lit(0), F.size(m["gaps"]) - 1))
+        rows = F.arrays_zip(m["gaps"].alias("gap"), m["hits"].alias("hit"), before(lengths, lambda a, b: a + b).alias("at"), *([after.alias("after")] if around else []))
+
+        def place(p: Column) -> Column:
+            begin = p["at"] + F.length(p["gap"])
+            context = [F.right(p["gap"], F.lit(around)).alias("left"), F.left(p["after"], F.lit(around)).alias("right")] if around else []
+            return F.struct(begin.alias("start"), (begin + F.length(p["hit"])).alias("end"), p["hit"].alias("value"), *context)
+
+        return F.transform(F.filter(rows, lambda p: p["hit"].isNotNull()), place)
+
+    both = F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"))
+    return let(both, located)
+
+
+def find(text: Column, kind: Kind, order: int) -> Column:
+    """The matches of kind that pass its test, as SPAN."""
+    found = places(text, kind.pattern)
+    if kind.passes:
+        found = F.filter(found, lambda p: kind.passes(p["value"]))
+    spans = F.transform(found, lambda p: F.struct(p["start"], F.lit(order).alias("ord"), F.lit(kind.name).alias("kind"), p["end"], p["value"]))
     seen = text.rlike(kind.pattern)
     seen = kind.hint(text) & seen if kind.hint else seen
-    return F.when(seen, found).otherwise(none())
+    return F.when(seen, spans).otherwise(none())
+
+
+def replaced(text: Column, spans: Column) -> Column:
+    """text with each of spans, which come by start, replaced by its kind in brackets.
+
+    Of overlapping spans the first is named, and all they cover goes.
+    """
+
+    def built(m: Column) -> Column:
+        ends = F.transform(m["spans"], lambda s: s["end"])
+        rows = F.arrays_zip(m["spans"].alias("span"), before(ends, lambda a, b: F.greatest(a, b)).alias("at"))
+        marks = F.filter(rows, lambda r: r["span"]["start"] >= r["at"])
+
+        def block(b: Column) -> Column:
+            first = F.get(b, F.lit(0))["at"]
+            piece = F.substring(m["text"], first + 1, F.element_at(b, -1)["span"]["start"] - first)
+            shown = lambda x, p: F.concat(F.substring(p["text"], x["at"] - p["first"] + 1, x["span"]["start"] - x["at"]), F.lit("["), F.upper(x["span"]["kind"]), F.lit("]"))
+            return let(F.struct(piece.alias("text"), first.alias("first")), lambda p: F.array_join(F.transform(b, lambda x: shown(x, p)), ""))
+
+        tail = F.substring(m["text"], F.array_max(ends) + 1, F.length(m["text"]))
+        return F.concat(let(marks, lambda v: F.array_join(F.transform(blocks(v), block), "")), tail)
+
+    return let(F.struct(text.alias("text"), spans.alias("spans")), built)
 
 
 def joined(spans: Column) -> Column:
