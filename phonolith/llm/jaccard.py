@@ -1,11 +1,17 @@
 """Near-dedup by the Jaccard similarity of word shingles (the pipeline's near_dedup stage).
 
-Texts with the same set of shingles are folded first, so exact copies cost nothing later. Candidates come from
-MinHash bands: two texts meet in a bucket when one of `bands` groups of `rows` minima agrees, which at similarity J
-has probability 1 - (1 - J ** rows) ** bands: 0.9996 at 0.8 and more above. Every link is verified on the whole
-shingle sets, so nothing below the threshold is linked. In a bucket each text is compared with one hub first, and
-again with other hubs while the bucket holds several components; what then still lies in different components is
-compared pair by pair. So a large group of copies costs a link each, and no pair of a bucket is left out.
+Texts with the same set of shingles are folded first, so exact copies cost nothing later. Operator 10's Gray-order
+index then links what its fingerprints, here of these shingles, show to be close; this connects most copies at
+little cost. Its radius is too small for all pairs of similarity 0.8, whose fingerprints differ in about ten bits, so
+MinHash bands find the rest: two texts meet in a bucket when one of `bands` groups of `rows` minima agrees, which at
+similarity J has probability 1 - (1 - J ** rows) ** bands: 0.9996 at 0.8 and more above. A pair that meets is a
+candidate if sketches of two bits for each of `minima` minima differ in no more places than pairs at the threshold do
+(3.5 standard deviations above their mean: 0.9998 of them). Every link, the index's too, is verified on the whole
+shingle sets, so nothing below the threshold is linked.
+
+In a bucket each text is compared with one hub first, and again with other hubs while the bucket holds several
+components; what then still lies in different components is compared pair by pair. So a large group of copies costs a
+link each, and no pair of a bucket is left out.
 
 Defined results: null and blank texts are copies of each other; a text shorter than a shingle is one shingle.
 """
@@ -14,13 +20,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from . import simhash
 from .common import Tables, components, heavy_join, ship
-from .simhash import firsts
 
 
 @dataclass(frozen=True)
@@ -29,12 +37,13 @@ class Settings:
     jaccard: float = 0.8
     bands: int = 20
     rows: int = 5
+    minima: int = 512
     hubs: int = 3
     seed: int = 42
 
 
 #: Shingles whose minima are taken at once, texts turned into Python objects at once, and shingle sets remembered.
-STEP, ROWS, HELD = 4096, 256, 64
+STEP, ROWS, HELD = 1024, 256, 64
 #: Counts are whole numbers; products of them with the threshold are not.
 SLACK = 1e-6
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -60,32 +69,49 @@ def shingles(text: bytes, size: int) -> np.ndarray:
     return np.unique(mixed([h[i : len(h) - size + 1 + i] for i in range(size)]))
 
 
-def _bands(found: np.ndarray, s: Settings, mul: np.ndarray, add: np.ndarray) -> np.ndarray:
+def _minima(found: np.ndarray, mul: np.ndarray, add: np.ndarray) -> np.ndarray:
     low = np.full(len(mul), ~np.uint64(0))
     for at in range(0, len(found), STEP):
         np.minimum(low, (found[at : at + STEP, None] * mul + add).min(0), out=low)
-    grid = low.reshape(s.bands, s.rows)
+    return low
+
+
+def _bands(low: np.ndarray, s: Settings) -> np.ndarray:
+    grid = low[: s.bands * s.rows].reshape(s.bands, s.rows)
     return mixed([np.arange(s.bands, dtype=np.uint64), *grid.T]).view(np.int64)
 
 
+def _sketch(low: np.ndarray) -> np.ndarray:
+    """Two bits of each minimum, 32 minima a word."""
+    bits = (low * MIX >> np.uint64(62)).reshape(-1, 32)
+    return (bits << np.arange(0, 64, 2, dtype=np.uint64)).sum(1, dtype=np.uint64).view(np.int64)
+
+
+def alike(a: Column, b: Column, s: Settings) -> Column:
+    """Whether two sketches differ in no more places than those of pairs at the threshold."""
+    p = 0.75 * (1 - s.jaccard)
+    most = int(s.minima * p + 3.5 * (s.minima * p * (1 - p)) ** 0.5)
+    words = [F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i))) for i in range(s.minima // 32)]
+    return reduce(add, [F.bit_count(x.bitwiseOR(F.shiftright(x, 1)).bitwiseAND(F.lit(0x5555555555555555))) for x in words]) <= most
+
+
 def _signatures(s: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
 
         rng = np.random.default_rng(s.seed)
-        mul, add = rng.integers(0, 1 << 64, (2, s.bands * s.rows), np.uint64)
+        mul, plus = rng.integers(0, 1 << 64, (2, s.minima), np.uint64)
         mul |= np.uint64(1)
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(at, ROWS)
-                digests, sizes, bands = [], [], []
+                rows = []
                 for t in batch.column(1).cast(pa.binary()).to_pylist():
                     found = shingles(t or b"", s.shingle)
-                    digests.append(xxh3_128_digest(found.tobytes()))
-                    sizes.append(len(found))
-                    bands.append(_bands(found, s, mul, add) if len(found) else [])
-                columns = [batch.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, ["rid", "whole", "n", "bands"])
+                    low = _minima(found, mul, plus)
+                    rows.append((xxh3_128_digest(found.tobytes()), len(found), simhash.majority([found], len(found)), *([_bands(low, s), _sketch(low)] if len(found) else [[], []])))
+                types = [pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(zip(*rows), types)]], ["rid", "whole", "n", "fp", "bands", "sketch"])
 
     return run
 
@@ -115,37 +141,53 @@ def _verified(s: Settings):
     return run
 
 
+def _close(reps: DataFrame, tables: Tables) -> DataFrame:
+    """Pairs (a, b) of reps(rid, fp) that operator 10's index links, a star for each fingerprint and component."""
+    prints = tables.keep(reps.groupBy("fp").agg(F.min("rid").alias("rid")))
+    same = reps.join(prints.withColumnRenamed("rid", "b"), "fp").select(F.col("rid").alias("a"), "b")
+    one, two = (prints.select(F.col("fp").alias(c), F.col("rid").alias(f"r{c}")) for c in "ab")
+    near = simhash.links(prints, tables).distinct().join(one, "a").join(two, "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    return same.union(near).filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
 def links(texts: DataFrame, reps: DataFrame, tables: Tables, s: Settings) -> DataFrame:
-    """Links (a, b) that connect the numbers of reps(rid, n, bands) that are similar; texts(rid, text)."""
+    """Links (a, b) that connect the numbers of reps(rid, n, fp, bands, sketch) that are similar; texts(rid, text)."""
     spark = texts.sparkSession
-    buckets = reps.select("rid", "n", F.explode("bands").alias("value"))
-    shared = buckets.groupBy("value").agg(F.count("*").alias("m")).filter("m > 1").select("value")
-    mixed_up = tables.keep(buckets.join(shared, "value").withColumn("c", F.col("rid")))
+    buckets = reps.select("rid", F.explode("bands").alias("value"))
+    shared = tables.keep(buckets.groupBy("value").agg(F.count("*").alias("m")).filter("m > 1").select("value"))
+    mixed_up = tables.keep(buckets.join(shared, "value"))
+    close = tables.keep(_close(reps, tables))
+    met = tables.keep(mixed_up.select("rid").union(close.select("a")).union(close.select("b")).distinct())
     # Only texts that meet another one are read again.
-    texts = tables.keep(texts.join(mixed_up.select("rid").distinct().hint("shuffle_hash"), "rid", "left_semi"))
+    texts = tables.keep(texts.join(met, "rid", "left_semi"))
+    about = tables.keep(reps.select("rid", "n", "sketch").join(met, "rid", "left_semi"))
+    mixed_up = tables.keep(mixed_up.join(about, "rid").withColumn("c", F.col("rid")))
     tried, found = None, None
-    for turn in range(s.hubs + 1):
-        if turn < s.hubs:
-            order = F.struct(F.xxhash64("rid", F.lit(turn)), "rid", "n", "c")
-            hubs = mixed_up.groupBy("value").agg(F.min(order).alias("h")).select("value", "h.*")
+    for turn in range(s.hubs + 2):
+        if turn == 0:
+            pairs = close
         else:
             hubs = mixed_up
-        hubs = hubs.select("value", F.col("rid").alias("o"), F.col("n").alias("on"), F.col("c").alias("oc"))
-        near = F.least("n", "on") >= F.lit(s.jaccard) * F.greatest("n", "on") - F.lit(SLACK)  # or it can't be similar
-        pairs = mixed_up.join(hubs, "value").filter((F.col("c") != F.col("oc")) & near)
-        pairs = pairs.select(F.greatest("rid", "o").alias("a"), F.least("rid", "o").alias("b")).distinct()
-        pairs = tables.keep(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+            if turn <= s.hubs:
+                order = F.struct(F.xxhash64("rid", F.lit(turn)), "rid", "n", "c", "sketch")
+                hubs = mixed_up.groupBy("value").agg(F.min(order).alias("h")).select("value", "h.*")
+            hubs = hubs.select("value", F.col("rid").alias("o"), F.col("n").alias("on"), F.col("c").alias("oc"), F.col("sketch").alias("os"))
+            near = F.least("n", "on") >= F.lit(s.jaccard) * F.greatest("n", "on") - F.lit(SLACK)  # or it can't be similar
+            once = (F.col("rid") > F.col("o")) if turn > s.hubs else F.lit(True)
+            pairs = mixed_up.join(hubs, "value").filter((F.col("c") != F.col("oc")) & near & once & alike(F.col("sketch"), F.col("os"), s))
+            pairs = pairs.select(F.greatest("rid", "o").alias("a"), F.least("rid", "o").alias("b")).distinct()
+            pairs = tables.keep(pairs.join(tried, ["a", "b"], "left_anti"))
         tried = pairs if tried is None else tried.union(pairs)
         one, two = (texts.select(F.col("rid").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
-        both = one.join(pairs.hint("shuffle_hash"), "a").join(two, "b").select("a", "b", "text_a", "text_b")
+        both = one.join(pairs, "a").join(two, "b").select("a", "b", "text_a", "text_b")
         new = tables.keep(both.mapInArrow(_verified(s), "a long, b long"))
         found = new if found is None else found.union(new)
-        if turn == s.hubs:
+        if turn > s.hubs:
             return found
         roots = tables.keep(components(spark, found, tables))
         now = mixed_up.drop("c").join(roots.select(F.col("id").alias("rid"), "root"), "rid", "left")
-        now = now.select("value", "rid", "n", F.coalesce("root", "rid").alias("c"))
-        several = now.groupBy("value").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x <> y").select("value")
+        now = tables.keep(now.select("value", "rid", "n", "sketch", F.coalesce("root", "rid").alias("c")))
+        several = tables.keep(now.groupBy("value").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x <> y").select("value"))
         mixed_up = tables.keep(now.join(several, "value"))
         if mixed_up.isEmpty():
             return found
@@ -157,11 +199,11 @@ def keep_one(docs: DataFrame, s: Settings = Settings(), key: str = "doc_id", tex
     tables = Tables(spark, "jaccard")
     rows = tables.keep(docs.select(F.struct(*docs.columns).alias("_row"), F.monotonically_increasing_id().alias("_rid")))
     texts = rows.select(F.col("_rid").alias("rid"), F.col(f"_row.{text}").alias("text"))
-    signed = tables.keep(texts.mapInArrow(_signatures(s), "rid long, whole binary, n long, bands array<long>"))
+    signed = tables.keep(texts.mapInArrow(_signatures(s), "rid long, whole binary, n long, fp long, bands array<long>, sketch array<long>"))
     wholes = tables.keep(signed.groupBy("whole").agg(F.min("rid").alias("rid"), F.count("*").alias("w")))
-    reps = signed.join(wholes.select("rid"), "rid", "left_semi").select("rid", "n", "bands")
-    roots = components(spark, links(texts, tables.keep(reps), tables, s), tables)
+    reps = tables.keep(signed.join(wholes.select("rid"), "rid", "left_semi").drop("whole"))
+    roots = components(spark, links(texts, reps, tables, s), tables)
     grouped = wholes.join(roots.withColumnRenamed("id", "rid"), "rid", "left")
     grouped = tables.keep(grouped.select("whole", "w", F.coalesce("root", "rid").alias("component_id")))
     group = heavy_join(signed.select(F.col("rid").alias("_rid"), "whole"), grouped, "whole", "w")
-    return firsts(rows, group, key, text)
+    return simhash.firsts(rows, group, key, text, tables)

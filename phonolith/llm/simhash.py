@@ -16,7 +16,7 @@ row each; a null doc_id is never a component's smallest unless all are null; fur
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,11 +39,16 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
         return 0
     shingles = map(b" ".join, zip(*(words[i:] for i in range(shingle)))) if len(words) >= shingle else iter([b" ".join(words)])
     n = max(1, len(words) - shingle + 1)
+    sizes = [min(STEP, n - at) for at in range(0, n, STEP)]
+    return majority((np.fromiter((hashed(next(shingles), SEED) for _ in range(size)), np.uint64, size) for size in sizes), n)
+
+
+def majority(hashes: Iterable[np.ndarray], n: int) -> int:
+    """The bits that more than half of n hashes, which come in arrays, have set, as a signed 64-bit integer."""
     counts = np.zeros(64, np.int64)
-    for at in range(0, n, STEP):
-        size = min(STEP, n - at)
-        h = np.fromiter((hashed(next(shingles), SEED) for _ in range(size)), np.uint64, size)
-        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    for h in hashes:
+        for at in range(0, len(h), STEP):
+            counts += np.unpackbits(h[at : at + STEP].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(counts * 2 > n, bitorder="little").view(np.int64)[0])
 
 
@@ -203,12 +208,14 @@ def dedup(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE, leafy: int
     return heavy_join(marked, prints, "fp", "w").select(F.col("doc_id").alias(key), "fp", "component_id")
 
 
-def firsts(rows: DataFrame, group: DataFrame, key: str, text: str) -> DataFrame:
-    """Of rows(_row, _rid) one of each component of group(_rid, component_id), as its own columns."""
+def firsts(rows: DataFrame, group: DataFrame, key: str, text: str, tables: Tables) -> DataFrame:
+    """Of rows(_row, _rid) one of each component of group(_rid, component_id), as its own columns.
+
+    The kept numbers are a written table, of known size: while it is small Spark broadcasts it and no text moves.
+    """
     order = rows.select("_rid", F.struct(F.col(f"_row.{key}").isNull(), F.col(f"_row.{key}"), F.xxhash64(f"_row.{text}"), F.col("_rid").alias("rid")).alias("_order"))
     first = group.select("_rid", "component_id").join(order, "_rid").groupBy("component_id").agg(F.min("_order").alias("f"))
-    # Hashing the numbers lets the texts stream by; a sort-merge join would sort them.
-    return rows.join(first.select(F.col("f.rid").alias("_rid")).hint("shuffle_hash"), "_rid", "left_semi").select("_row.*")
+    return rows.join(tables.keep(first.select(F.col("f.rid").alias("_rid"))), "_rid", "left_semi").select("_row.*")
 
 
 def keep_one(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -221,7 +228,7 @@ def keep_one(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE, key: str
     rows = docs.select(F.struct(*docs.columns).alias("_row"), F.monotonically_increasing_id().alias("_rid"))
     rows = tables.keep(rows)
     group = dedup(rows.select("_rid", F.col(f"_row.{text}").alias("_text")), bits, shingle, key="_rid", text="_text")
-    return firsts(rows, group, key, text)
+    return firsts(rows, group, key, text, tables)
 
 
 def hexed(fp: Column) -> Column:
