@@ -20,8 +20,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
-from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +36,7 @@ class Settings:
     bands: int = 20
     rows: int = 5
     minima: int = 512
-    hubs: int = 3
+    hubs: int = 2
     seed: int = 42
 
 
@@ -91,8 +89,9 @@ def alike(a: Column, b: Column, s: Settings) -> Column:
     """Whether two sketches differ in no more places than those of pairs at the threshold."""
     p = 0.75 * (1 - s.jaccard)
     most = int(s.minima * p + 3.5 * (s.minima * p * (1 - p)) ** 0.5)
-    words = [F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i))) for i in range(s.minima // 32)]
-    return reduce(add, [F.bit_count(x.bitwiseOR(F.shiftright(x, 1)).bitwiseAND(F.lit(0x5555555555555555))) for x in words]) <= most
+    other = F.zip_with(a, b, lambda x, y: x.bitwiseXOR(y))
+    places = F.transform(other, lambda x: F.bit_count(x.bitwiseOR(F.shiftright(x, 1)).bitwiseAND(F.lit(0x5555555555555555))))
+    return F.aggregate(places, F.lit(0), lambda n, x: n + x) <= most
 
 
 def _signatures(s: Settings):
@@ -154,40 +153,36 @@ def links(texts: DataFrame, reps: DataFrame, tables: Tables, s: Settings) -> Dat
     """Links (a, b) that connect the numbers of reps(rid, n, fp, bands, sketch) that are similar; texts(rid, text)."""
     spark = texts.sparkSession
     buckets = reps.select("rid", F.explode("bands").alias("value"))
-    shared = tables.keep(buckets.groupBy("value").agg(F.count("*").alias("m")).filter("m > 1").select("value"))
+    shared = buckets.groupBy("value").agg(F.count("*").alias("m")).filter("m > 1").select("value")
     mixed_up = tables.keep(buckets.join(shared, "value"))
     close = tables.keep(_close(reps, tables))
     met = tables.keep(mixed_up.select("rid").union(close.select("a")).union(close.select("b")).distinct())
     # Only texts that meet another one are read again.
     texts = tables.keep(texts.join(met, "rid", "left_semi"))
-    about = tables.keep(reps.select("rid", "n", "sketch").join(met, "rid", "left_semi"))
-    mixed_up = tables.keep(mixed_up.join(about, "rid").withColumn("c", F.col("rid")))
+    mixed_up = tables.keep(mixed_up.join(reps.select("rid", "n", "sketch"), "rid").withColumn("c", F.col("rid")))
     tried, found = None, None
-    for turn in range(s.hubs + 2):
-        if turn == 0:
-            pairs = close
-        else:
-            hubs = mixed_up
-            if turn <= s.hubs:
-                order = F.struct(F.xxhash64("rid", F.lit(turn)), "rid", "n", "c", "sketch")
-                hubs = mixed_up.groupBy("value").agg(F.min(order).alias("h")).select("value", "h.*")
-            hubs = hubs.select("value", F.col("rid").alias("o"), F.col("n").alias("on"), F.col("c").alias("oc"), F.col("sketch").alias("os"))
-            near = F.least("n", "on") >= F.lit(s.jaccard) * F.greatest("n", "on") - F.lit(SLACK)  # or it can't be similar
-            once = (F.col("rid") > F.col("o")) if turn > s.hubs else F.lit(True)
-            pairs = mixed_up.join(hubs, "value").filter((F.col("c") != F.col("oc")) & near & once & alike(F.col("sketch"), F.col("os"), s))
-            pairs = pairs.select(F.greatest("rid", "o").alias("a"), F.least("rid", "o").alias("b")).distinct()
-            pairs = tables.keep(pairs.join(tried, ["a", "b"], "left_anti"))
+    for turn in range(s.hubs + 1):
+        hubs, last = mixed_up, turn == s.hubs
+        if not last:
+            order = F.struct(F.xxhash64("rid", F.lit(turn)), "rid", "n", "c", "sketch")
+            hubs = mixed_up.groupBy("value").agg(F.min(order).alias("h")).select("value", "h.*")
+        hubs = hubs.select("value", F.col("rid").alias("o"), F.col("n").alias("on"), F.col("c").alias("oc"), F.col("sketch").alias("os"))
+        near = F.least("n", "on") >= F.lit(s.jaccard) * F.greatest("n", "on") - F.lit(SLACK)  # or it can't be similar
+        once = (F.col("rid") > F.col("o")) if last else F.lit(True)
+        pairs = mixed_up.join(hubs, "value").filter((F.col("c") != F.col("oc")) & near & once & alike(F.col("sketch"), F.col("os"), s))
+        pairs = pairs.select(F.greatest("rid", "o").alias("a"), F.least("rid", "o").alias("b"))
+        pairs = tables.keep(pairs.union(close).distinct() if tried is None else pairs.distinct().join(tried, ["a", "b"], "left_anti"))
         tried = pairs if tried is None else tried.union(pairs)
         one, two = (texts.select(F.col("rid").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
         both = one.join(pairs, "a").join(two, "b").select("a", "b", "text_a", "text_b")
         new = tables.keep(both.mapInArrow(_verified(s), "a long, b long"))
         found = new if found is None else found.union(new)
-        if turn > s.hubs:
+        if last:
             return found
         roots = tables.keep(components(spark, found, tables))
         now = mixed_up.drop("c").join(roots.select(F.col("id").alias("rid"), "root"), "rid", "left")
-        now = tables.keep(now.select("value", "rid", "n", "sketch", F.coalesce("root", "rid").alias("c")))
-        several = tables.keep(now.groupBy("value").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x <> y").select("value"))
+        now = now.select("value", "rid", "n", "sketch", F.coalesce("root", "rid").alias("c"))
+        several = now.groupBy("value").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x <> y").select("value")
         mixed_up = tables.keep(now.join(several, "value"))
         if mixed_up.isEmpty():
             return found

@@ -3,11 +3,18 @@
 Equal vectors are folded into one representative first. In each pass the representatives are ordered
 lexicographically by concatenated random hashes (signs of projections, most significant first); each is compared
 with the `window` that follow it, by cosine in double precision, and the verified pairs of all passes are united.
-A window that ends inside a run of links is too short for its group: the components of such pairs are compared
-exactly, block against block, and only each vector's count leaves a task. So no partner is capped.
 
-The passes find links by chance: a pair at the threshold shares its place in a pass with a probability that falls
-with the number of vectors; more passes and longer windows raise recall. Tests measure it against brute force.
+The passes find links by chance. Among n vectors a window holds about those that share their first log2(n / window)
++ 1 hashes, which a pair at the threshold does with probability p = (1 - angle / pi) ** (log2(n / window) + 1); so
+passes() takes as many as find such a pair with probability `recall`. Their number grows with n to the power 0.23.
+
+A window that ends in a link may be too short for a vector. The links of such vectors are counted exactly: each is
+compared with its whole component, block against block, and only its count leaves a task. So no partner is capped,
+and for every vector n_links is the number of true links, found with at least the stated recall. Vectors with short
+windows cost nothing there, however large their component.
+
+A pass moves each vector once, by a range shuffle; the neighbours on both sides of a partition's border, a bounded
+number, meet afterwards. Nothing but links and these border rows is written.
 
 Defined results: null, empty or zero vectors and those with null or non-finite components link with nothing;
 vectors of different lengths don't link; repeated vec_ids give a row each; further columns are ignored.
@@ -15,6 +22,7 @@ vectors of different lengths don't link; repeated vec_ids give a row each; furth
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,13 +37,21 @@ from .common import Tables, components, heavy_join, ship
 @dataclass(frozen=True)
 class Settings:
     cosine: float = 0.9
-    passes: int = 12
+    recall: float = 0.95  # of pairs at the threshold; nearer ones are found more often
+    least: int = 8  # passes
     hashes: int = 48
-    window: int = 32
+    window: int = 64
     block: int = 1024
     seed: int = 7
 
 
+def passes(n: int, s: Settings) -> int:
+    """How many passes find a pair at the threshold among n vectors with probability s.recall."""
+    same = 1 - math.acos(s.cosine) / math.pi
+    p = same ** max(1.0, math.log2(max(n, 2) / s.window) + 1)
+    return max(s.least, math.ceil(math.log(1 - s.recall) / math.log(1 - p)))
+
+
 def unit(rows: list[bytes]) -> np.ndarray:
     """Rows of equal length, as unit vectors in double precision."""
     v = np.frombuffer(b"".join(rows), "<f4").reshape(len(rows), -1).astype(np.float64)
@@ -43,35 +59,88 @@ def unit(rows: list[bytes]) -> np.ndarray:
     return v / np.sqrt((v * v).sum(1, keepdims=True))
 
 
-def _keys(s: Settings):
+def _keys(s: Settings, n: int):
     weights = 1 << np.arange(s.hashes - 1, -1, -1, dtype=np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
         for batch in batches:
-            flat = [np.array(x, "<f4") for x in batch.column(1).to_pylist()]
+            flat = [np.array(x, "<f4") for x in batch.column(2).to_pylist()]
             sizes = np.array([len(x) for x in flat])
             for dim in np.unique(sizes).tolist():
                 if dim not in planes:
-                    planes[dim] = np.random.default_rng([s.seed, dim]).standard_normal((dim, s.passes * s.hashes))
+                    planes[dim] = np.random.default_rng([s.seed, dim]).standard_normal((dim, n * s.hashes))
                 at = np.flatnonzero(sizes == dim)
                 rows = [flat[i].tobytes() for i in at]
-                signs = (unit(rows) @ planes[dim] > 0).reshape(len(at), s.passes, s.hashes)
-                keys = signs @ weights
-                rids = batch.column(0).to_numpy()[at]
-                for p in range(s.passes):
-                    n = len(at)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, p, np.int32)), pa.array(np.full(n, dim, np.int32)), pa.array(keys[:, p]), pa.array(rids), pa.array(rows, pa.binary())], ["pass", "dim", "key", "rid", "vec"])
+                v, vecs = unit(rows), pa.array(rows, pa.binary())
+                rids, w = (batch.column(i).take(pa.array(at)) for i in (0, 1))
+                for p in range(n):
+                    key = (v @ planes[dim][:, p * s.hashes : (p + 1) * s.hashes] > 0) @ weights
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), p, np.int32)), pa.array(np.full(len(at), dim, np.int32)), pa.array(key), rids, w, vecs], ["pass", "dim", "key", "rid", "w", "vec"])
 
     return run
 
 
-def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    part, at = TaskContext.get().partitionId(), 0
-    for batch in batches:
-        n = batch.num_rows
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(n, part, np.int32)), pa.array(np.arange(at, at + n))], [*batch.schema.names, "part", "at"])
-        at += n
+def _near(v: np.ndarray, s: Settings, since: int = 0, step: int = 128) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j), i < j <= i + window, j >= since, whose cosine reaches the threshold; v: unit rows in order."""
+    first, second = [], []
+    for at in range(max(0, since - s.window), len(v), step):
+        cos = v[at : at + step] @ v[at : at + step + s.window].T
+        i, j = np.nonzero(cos >= s.cosine)
+        ok = (j > i) & (j - i <= s.window) & (j + at >= since)
+        first.append(i[ok] + at)
+        second.append(j[ok] + at)
+    return np.concatenate(first), np.concatenate(second)
+
+
+#: Links (part null) and border rows (b null) of the passes.
+OUT = "a long, b long, wa long, wb long, full boolean, part int, at long, place long, vec binary"
+NAMES = [x.split()[0] for x in OUT.split(", ")]
+TYPES = [pa.int64()] * 4 + [pa.bool_(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+
+
+def _links(rid: np.ndarray, w: np.ndarray, i: np.ndarray, j: np.ndarray, full: np.ndarray) -> pa.RecordBatch:
+    low = rid[i] < rid[j]
+    a, b = np.where(low, i, j), np.where(low, j, i)
+    columns = [pa.array(rid[a]), pa.array(rid[b]), pa.array(w[a]), pa.array(w[b]), pa.array(full)]
+    return pa.RecordBatch.from_arrays([*columns, *[pa.nulls(len(i), t) for t in TYPES[5:]]], NAMES)
+
+
+def _windows(s: Settings):
+    """Rows come by pass, dimension and key; the last `window` rows of a batch are carried to the next."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, seen, held = TaskContext.get().partitionId(), 0, None
+
+        def border(place, rid, w, vec, begin: int) -> pa.RecordBatch:
+            n = len(rid)
+            columns = [pa.array(rid), pa.nulls(n, pa.int64()), pa.array(w), *[pa.nulls(n, t) for t in TYPES[3:5]], pa.array(np.full(n, part, np.int32)), pa.array(np.arange(begin, begin + n)), pa.array(place), pa.array(vec, pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, NAMES)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            place = batch.column(0).to_numpy().astype(np.int64) << 32 | batch.column(1).to_numpy()
+            rid, w, vec = batch.column(3).to_numpy(), batch.column(4).to_numpy(), batch.column(5).to_pylist()
+            if seen < s.window:
+                n = s.window - seen
+                yield border(place[:n], rid[:n], w[:n], vec[:n], seen)
+            old = 0
+            if held:
+                old = len(held[1])
+                place, rid, w, vec = np.concatenate([held[0], place]), np.concatenate([held[1], rid]), np.concatenate([held[2], w]), held[3] + vec
+            cuts = [0, *(np.flatnonzero(place[1:] != place[:-1]) + 1).tolist(), len(place)]
+            for begin, end in zip(cuts, cuts[1:]):
+                if end > old:
+                    i, j = _near(unit(vec[begin:end]), s, max(0, old - begin))
+                    yield _links(rid[begin:end], w[begin:end], i, j, j - i == s.window)
+            seen += len(rid) - old
+            held = place[-s.window :], rid[-s.window :], w[-s.window :], vec[-s.window :]
+        if seen > s.window:
+            n = min(s.window, seen - s.window)
+            yield border(*[x[-n:] for x in held], seen - n)
+
+    return run
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Table]:
@@ -90,64 +159,72 @@ def _blocks(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Table
         yield pa.Table.from_batches(held)
 
 
-def _neighbours(s: Settings):
+def _across(s: Settings):
+    """Pairs of border rows of different partitions; rows come by block and rank."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _blocks(batches, "block"):
-            rank, block = t["rank"].to_numpy(), t["block"][0].as_py()
-            order = t["pass"].to_numpy().astype(np.int64) << 32 | t["dim"].to_numpy()
-            rid, vec = t["rid"].to_numpy(), t["vec"].to_pylist()
-            home = rank // s.block == block
-            cuts = [0, *(np.flatnonzero(order[1:] != order[:-1]) + 1).tolist(), len(order)]
-            a, b, full = [], [], []
+            rank, part, place, rid, w = (t[c].to_numpy() for c in ("rank", "part", "place", "rid", "w"))
+            vec, own = t["vec"].to_pylist(), rank // s.block == t["block"][0].as_py()
+            cuts = [0, *(np.flatnonzero(place[1:] != place[:-1]) + 1).tolist(), len(place)]
             for begin, end in zip(cuts, cuts[1:]):
-                v, ids, own = unit(vec[begin:end]), rid[begin:end], home[begin:end]
-                for o in range(1, min(s.window, end - begin - 1) + 1):
-                    hit = np.flatnonzero((np.einsum("ij,ij->i", v[:-o], v[o:]) >= s.cosine) & own[:-o])
-                    a.append(np.minimum(ids[hit], ids[hit + o]))
-                    b.append(np.maximum(ids[hit], ids[hit + o]))
-                    full.append(np.full(len(hit), o == s.window))
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (a, b, full)], ["a", "b", "full"])
+                i, j = (x + begin for x in _near(unit(vec[begin:end]), s))
+                ok = own[i] & (part[i] != part[j]) & (rank[j] - rank[i] <= s.window)
+                yield _links(rid, w, i[ok], j[ok], rank[j[ok]] - rank[i[ok]] == s.window)
 
     return run
 
 
-def _crossed(s: Settings):
-    """Exact counts between two blocks of a component; rows come by pair of blocks."""
+def _counted(s: Settings):
+    """Exact counts of the links between two blocks of a component; rows come by pair of blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _blocks(batches, "pair"):
-            rid, w, side, dim = (t[c].to_numpy() for c in ("rid", "w", "side", "dim"))
-            vec = np.array(t["vec"].to_pylist(), object)
-            for d in np.unique(dim):
-                one, two = np.flatnonzero((dim == d) & (side != 2)), np.flatnonzero((dim == d) & (side != 1))
-                if not len(one) or not len(two):
-                    continue
-                same = side[one[0]] == 0
-                hit = unit(vec[one].tolist()) @ unit(vec[two].tolist()).T >= s.cosine
-                if same:
-                    np.fill_diagonal(hit, False)
-                ids, n = [rid[one]], [hit @ w[two]]
-                if not same:
-                    ids.append(rid[two])
-                    n.append(w[one] @ hit)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(n).astype(np.int64))], ["rid", "n"])
+            rid, w, asks, size = (t[c].to_numpy() for c in ("rid", "w", "asks", "size"))
+            vec = [np.array(x, "<f4").tobytes() for x in t["vec"].to_pylist()]
+            for n in np.unique(size):
+                one, two = np.flatnonzero((size == n) & asks), np.flatnonzero((size == n) & ~asks)
+                if len(one) and len(two):
+                    hit = unit([vec[i] for i in one]) @ unit([vec[i] for i in two]).T >= s.cosine
+                    hit &= rid[one][:, None] != rid[two]
+                    yield pa.RecordBatch.from_arrays([pa.array(rid[one]), pa.array((hit @ w[two]).astype(np.int64))], ["rid", "n"])
 
     return run
 
 
 def _exact(members: DataFrame, s: Settings) -> DataFrame:
-    """(rid, exact) for members(root, rid, w, dim, vec): the weight of the links inside each root's component."""
-    blocks = members.groupBy("root").agg(F.ceil(F.count("*") / s.block).alias("blocks"))
-    own = members.join(blocks, "root").withColumn("own", F.pmod(F.xxhash64("rid"), "blocks"))
-    low, high = F.least("own", "other"), F.greatest("own", "other")
-    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).cast("int")
-    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.select(F.concat_ws("/", F.col("root").cast("string"), low.cast("string"), high.cast("string")).alias("pair"), "rid", "w", "dim", "vec", side.alias("side"))
-    counted = dealt.repartition("pair").sortWithinPartitions("pair", "rid").mapInArrow(_crossed(s), "rid long, n long")
+    """(rid, exact) of the full ones of members(root, rid, w, full, vec, size, fulls): the weight of their links in the component."""
+    of = lambda n: F.ceil(F.col(n) / s.block).cast("long")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), of(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("rid"), of(n))
+    asked = members.filter("full").withColumn("x", own("fulls")).withColumn("y", every("size")).withColumn("asks", F.lit(True))
+    others = members.withColumn("x", every("fulls")).withColumn("y", own("size")).withColumn("asks", F.lit(False))
+    dealt = asked.unionByName(others).select(F.concat_ws("/", F.col("root").cast("string"), F.col("x").cast("string"), F.col("y").cast("string")).alias("pair"), "rid", "w", "vec", "asks", F.size("vec").alias("size"))
+    counted = dealt.repartition("pair").sortWithinPartitions("pair", "rid").mapInArrow(_counted(s), "rid long, n long")
     return counted.groupBy("rid").agg(F.sum("n").alias("exact"))
 
 
+def links(reps: DataFrame, tables: Tables, s: Settings) -> DataFrame:
+    """Distinct links (a, b, wa, wb, full) of reps(rid, w, _v); full: a window ends in the link."""
+    spark = reps.sparkSession
+    keyed = reps.select("rid", "w", "_v").mapInArrow(_keys(s, passes(reps.count(), s)), "pass int, dim int, key long, rid long, w long, vec binary")
+    order = ["pass", "dim", "key", "rid"]
+    passed = tables.keep(keyed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_windows(s), OUT))
+    borders, begins, total = passed.filter("b is null"), [], 0
+    for part, n in sorted(borders.groupBy("part").agg(F.max("at") + 1).collect()):  # a number for each partition
+        begins.append((part, total))
+        total += n
+    begins = spark.createDataFrame(begins, "part int, begin long")
+    rank = F.col("begin") + F.col("at")
+    block = F.expr(f"rank div {s.block}")
+    halo = (F.col("rank") % s.block < s.window) & (block > 0)
+    ranked = borders.join(F.broadcast(begins), "part").select("part", "place", F.col("a").alias("rid"), F.col("wa").alias("w"), "vec", rank.alias("rank"))
+    dealt = ranked.withColumn("block", F.explode(F.when(halo, F.array(block, block - 1)).otherwise(F.array(block))))
+    across = dealt.repartition("block").sortWithinPartitions("block", "rank").mapInArrow(_across(s), OUT)
+    every = passed.filter("b is not null").union(across)
+    return tables.keep(every.groupBy("a", "b", "wa", "wb").agg(F.max("full").alias("full")))
+
+
 def dedup(vectors: DataFrame, s: Settings = Settings(), key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(key, n_links, component_id, kept) of every row of vectors."""
     spark = ship(vectors.sparkSession)
@@ -157,35 +234,19 @@ def dedup(vectors: DataFrame, s: Settings = Settings(), key: str = "vec_id", vec
     rows = vectors.select(F.col(key).cast("long").alias("_id"), F.when(sound, v).alias("_v"))
     reps = rows.filter("_v is not null").groupBy("_v").agg(F.min("_id").alias("first"), F.count("*").alias("w"))
     reps = tables.keep(reps.withColumn("rid", F.monotonically_increasing_id()))
-
-    keyed = reps.select("rid", "_v").mapInArrow(_keys(s), "pass int, dim int, key long, rid long, vec binary")
-    order = ["pass", "dim", "key", "rid"]
-    placed = keyed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_places, "pass int, dim int, key long, rid long, vec binary, part int, at long")
-    placed = tables.keep(placed)
-    begins, total = [], 0
-    for part, n in sorted(placed.groupBy("part").count().collect()):  # a number for each partition
-        begins.append((part, total))
-        total += n
-    begins = spark.createDataFrame(begins, "part int, begin long")
-    rank = F.col("begin") + F.col("at")
-    block = F.expr(f"rank div {s.block}")
-    halo = (F.col("rank") % s.block < s.window) & (block > 0)
-    ranked = placed.join(F.broadcast(begins), "part").select("pass", "dim", "rid", "vec", rank.alias("rank"))
-    dealt = ranked.withColumn("block", F.explode(F.when(halo, F.array(block, block - 1)).otherwise(F.array(block))))
-    found = dealt.repartition("block").sortWithinPartitions("block", "rank").select("pass", "dim", "rid", "vec", "rank", "block")
-    found = tables.keep(found.mapInArrow(_neighbours(s), "a long, b long, full boolean").groupBy("a", "b").agg(F.max("full").alias("full")))
+    found = links(reps, tables, s)
 
     roots = tables.keep(components(spark, found, tables))
-    w = reps.select(F.col("rid").alias("other"), "w")
-    both = found.select(F.col("a").alias("rid"), F.col("b").alias("other")).union(found.select("b", "a"))
-    counts = both.join(w, "other").groupBy("rid").agg(F.sum("w").alias("n"))
-    dense = found.filter("full").select(F.col("a").alias("id")).distinct().join(roots, "id").select("root").distinct()
-    packed = placed.filter("pass = 0").select("rid", "dim", "vec")
-    members = roots.join(dense, "root").select("root", F.col("id").alias("rid")).join(reps.select("rid", "w"), "rid").join(packed, "rid")
-    counts = counts.join(_exact(members, s), "rid", "left").select("rid", F.coalesce("exact", "n").alias("n"))
-    firsts = roots.join(reps.select(F.col("rid").alias("id"), "first"), "id").groupBy("root").agg(F.min("first").alias("low"))
-    low = roots.join(firsts, "root").select(F.col("id").alias("rid"), "low")
-    reps = reps.join(counts, "rid", "left").join(low, "rid", "left")
+    ends = found.select(F.col("a").alias("rid"), F.col("wb").alias("n"), "full").union(found.select("b", "wa", "full"))
+    counts = tables.keep(ends.groupBy("rid").agg(F.sum("n").alias("n"), F.max("full").alias("full")))
+    linked = roots.withColumnRenamed("id", "rid").join(counts, "rid").join(reps.select("rid", "first", "w"), "rid")
+    linked = tables.keep(linked)
+    whole = linked.groupBy("root").agg(F.count("*").alias("size"), F.count_if("full").alias("fulls"), F.min("first").alias("low"))
+    linked = tables.keep(heavy_join(linked, tables.keep(whole), "root", "size"))
+    members = linked.filter("fulls > 0").join(reps.select("rid", "_v"), "rid")
+    exact = _exact(members.withColumnRenamed("_v", "vec"), s)
+    counts = linked.join(exact, "rid", "left").select("rid", F.coalesce("exact", "n").alias("n"), "low")
+    reps = reps.join(counts, "rid", "left")
     reps = tables.keep(reps.select("_v", "w", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("low", "first").alias("component_id")))
     out = heavy_join(rows, reps, "_v", "w")
     component = F.when(F.col("_v").isNull(), F.col("_id")).otherwise(F.col("component_id"))
