@@ -2,7 +2,9 @@
 
 A minimal perfect hash over the vocabulary resolves each pre-token that is a token already. The others are merged
 by a heap of ranked pairs over a doubly linked list of bytes. Work runs in Arrow batches; the hash, as large as
-the vocabulary file, is broadcast. Texts are encoded whole, without special tokens.
+the vocabulary file, is broadcast. Texts are encoded whole, without special tokens. Before both tiers stands a
+memory of what was encoded before (tokens.Cache), of bounded size, which only saves time; patterns other than the
+public one, across whose pre-tokens its cuts might not hold, go without its cuts.
 
 Defined results: a null text is empty and has no ids; null and repeated doc_ids give a row each; further columns
 are ignored.
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import ship
-from .tokens import Cache, Words
+from .tokens import Cache, Words, cuts_hold
 
 ROWS = 256
 
@@ -94,7 +96,8 @@ class Codec:
         self.find = table.finder()
         self.bytes = dict(zip(table.ids, table.keys))
         self.pairs = [self.find(bytes((a, b))) for a in range(256) for b in range(256)]
-        self.cache = Cache(Words(regex.compile(pattern).findall, self._words))
+        words = Words(regex.compile(pattern).findall, self._words)
+        self.encode = Cache(words).texts if cuts_hold(pattern) else words  # lists of texts to lists of packed ids
 
     def _words(self, words: list[str]) -> list[bytes]:
         """Tier one: a whole token. Tier two: merges."""
@@ -132,9 +135,6 @@ class Codec:
             at = after[at]
         return ids
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        return self.cache.texts(texts)
-
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 

@@ -3,7 +3,7 @@
 A message's content is a list of parts: text, image, audio or document. A visitor flattens them in order: text is
 escaped, any other part becomes a placeholder, its reference is recorded with its place, and its tokens are counted
 as the part will be expanded. The template marks turns; control strings inside texts and roles are escaped
-reversibly by one more backslash after `<`. The output is a row a turn, so a conversation of any length is never
+reversibly by one more backslash after `<`; a role's newlines and backslashes are escaped too, as its line ends it. The output is a row a turn, so a conversation of any length is never
 held together; read in order, its rows are the formatted conversation.
 
 Defined results: a null text is empty, a null role too; a part of an unknown type is an error; rows of a
@@ -49,6 +49,15 @@ def unescape(text: str) -> str:
     return re.sub(r"<(\\*)\\\|", r"<\1|", text)
 
 
+def escape_role(role: str) -> str:
+    """As escape(), on one line: a newline is \\n, a backslash is doubled."""
+    return escape(role.replace("\\", "\\\\").replace("\n", "\\n"))
+
+
+def unescape_role(role: str) -> str:
+    return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], unescape(role))
+
+
 @dataclass
 class Visitor:
     """Flattens parts in order; text() and the others are called by a part's type."""
@@ -108,7 +117,7 @@ def format_turns(messages: DataFrame, costs: Costs = Costs(), key: str = "conv_i
             for at in range(0, whole.num_rows, ROWS):
                 batch, rows = whole.slice(at, ROWS), []
                 for role, parts in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                    head = f"{START}{escape(role or '')}\n"
+                    head = f"{START}{escape_role(role or '')}\n"
                     v = Visitor(costs, [head], len(head))
                     for part in parts or []:
                         v.visit(part)
@@ -125,7 +134,7 @@ def parse_turn(formatted: str) -> tuple[str, str]:
     if not (formatted.startswith(START) and formatted.endswith(END)):
         raise ValueError("not a formatted turn")
     role, _, text = formatted[len(START) : -len(END)].partition("\n")
-    return unescape(role), unescape(text)
+    return unescape_role(role), unescape(text)
 
 
 def read_back(turns: DataFrame, key: str = "conv_id", turn: str = "turn") -> DataFrame:

@@ -6,7 +6,7 @@ little cost. Its radius is too small for all pairs of similarity 0.8, whose fing
 MinHash bands find the rest: two texts meet in a bucket when one of `bands` groups of `rows` minima agrees, which at
 similarity J has probability 1 - (1 - J ** rows) ** bands: 0.9996 at 0.8 and more above. A pair that meets is a
 candidate if sketches of two bits for each of `minima` minima differ in no more places than pairs at the threshold do
-(3.5 standard deviations above their mean: 0.9998 of them). Every link, the index's too, is verified on the whole
+(3.2 standard deviations above their mean: 0.9993 of them). Every link, the index's too, is verified on the whole
 shingle sets, so nothing below the threshold is linked.
 
 In a bucket each text is compared with one hub first, and again with other hubs while the bucket holds several
@@ -88,7 +88,7 @@ def _sketch(low: np.ndarray) -> np.ndarray:
 def alike(a: Column, b: Column, s: Settings) -> Column:
     """Whether two sketches differ in no more places than those of pairs at the threshold."""
     p = 0.75 * (1 - s.jaccard)
-    most = int(s.minima * p + 3.5 * (s.minima * p * (1 - p)) ** 0.5)
+    most = int(s.minima * p + 3.2 * (s.minima * p * (1 - p)) ** 0.5)
     other = F.zip_with(a, b, lambda x, y: x.bitwiseXOR(y))
     places = F.transform(other, lambda x: F.bit_count(x.bitwiseOR(F.shiftright(x, 1)).bitwiseAND(F.lit(0x5555555555555555))))
     return F.aggregate(places, F.lit(0), lambda n, x: n + x) <= most
@@ -158,30 +158,32 @@ def links(texts: DataFrame, reps: DataFrame, tables: Tables, s: Settings) -> Dat
     close = tables.keep(_close(reps, tables))
     met = tables.keep(mixed_up.select("rid").union(close.select("a")).union(close.select("b")).distinct())
     # Only texts that meet another one are read again.
-    texts = tables.keep(texts.join(met, "rid", "left_semi"))
-    mixed_up = tables.keep(mixed_up.join(reps.select("rid", "n", "sketch"), "rid").withColumn("c", F.col("rid")))
+    texts = tables.keep(texts.join(met.hint("shuffle_hash"), "rid", "left_semi"))
+    mixed_up = tables.keep(mixed_up.join(reps.select("rid", "n", "sketch", "bands"), "rid").withColumn("c", F.col("rid")))
     tried, found = None, None
     for turn in range(s.hubs + 1):
         hubs, last = mixed_up, turn == s.hubs
         if not last:
-            order = F.struct(F.xxhash64("rid", F.lit(turn)), "rid", "n", "c", "sketch")
+            order = F.struct(F.xxhash64("rid", F.lit(turn)), "rid", "n", "c", "sketch", "bands")
             hubs = mixed_up.groupBy("value").agg(F.min(order).alias("h")).select("value", "h.*")
-        hubs = hubs.select("value", F.col("rid").alias("o"), F.col("n").alias("on"), F.col("c").alias("oc"), F.col("sketch").alias("os"))
+        hubs = hubs.select("value", F.col("rid").alias("o"), F.col("n").alias("on"), F.col("c").alias("oc"), F.col("sketch").alias("os"), F.col("bands").alias("ob"))
         near = F.least("n", "on") >= F.lit(s.jaccard) * F.greatest("n", "on") - F.lit(SLACK)  # or it can't be similar
-        once = (F.col("rid") > F.col("o")) if last else F.lit(True)
+        # All pairs of a bucket come at last, each in the first bucket that both share.
+        shares = F.zip_with("bands", "ob", lambda x, y: x == y)
+        once = (F.col("rid") > F.col("o")) & (F.get("bands", F.array_position(shares, True).cast("int") - 1) == F.col("value")) if last else F.lit(True)
         pairs = mixed_up.join(hubs, "value").filter((F.col("c") != F.col("oc")) & near & once & alike(F.col("sketch"), F.col("os"), s))
         pairs = pairs.select(F.greatest("rid", "o").alias("a"), F.least("rid", "o").alias("b"))
         pairs = tables.keep(pairs.union(close).distinct() if tried is None else pairs.distinct().join(tried, ["a", "b"], "left_anti"))
         tried = pairs if tried is None else tried.union(pairs)
         one, two = (texts.select(F.col("rid").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
-        both = one.join(pairs, "a").join(two, "b").select("a", "b", "text_a", "text_b")
+        both = one.join(pairs.hint("shuffle_hash"), "a").join(two, "b").select("a", "b", "text_a", "text_b")
         new = tables.keep(both.mapInArrow(_verified(s), "a long, b long"))
         found = new if found is None else found.union(new)
         if last:
             return found
         roots = tables.keep(components(spark, found, tables))
         now = mixed_up.drop("c").join(roots.select(F.col("id").alias("rid"), "root"), "rid", "left")
-        now = now.select("value", "rid", "n", "sketch", F.coalesce("root", "rid").alias("c"))
+        now = now.select("value", "rid", "n", "sketch", "bands", F.coalesce("root", "rid").alias("c"))
         several = now.groupBy("value").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x <> y").select("value")
         mixed_up = tables.keep(now.join(several, "value"))
         if mixed_up.isEmpty():
@@ -201,4 +203,4 @@ def keep_one(docs: DataFrame, s: Settings = Settings(), key: str = "doc_id", tex
     grouped = wholes.join(roots.withColumnRenamed("id", "rid"), "rid", "left")
     grouped = tables.keep(grouped.select("whole", "w", F.coalesce("root", "rid").alias("component_id")))
     group = heavy_join(signed.select(F.col("rid").alias("_rid"), "whole"), grouped, "whole", "w")
-    return simhash.firsts(rows, group, key, text, tables)
+    return simhash.firsts(rows, group, key, text)

@@ -1,6 +1,6 @@
 """Quality rules: base rules, then a calibrated n-gram classifier (operator 6).
 
-Words and byte n-grams of a text are hashed into buckets; a logistic regression over them is fitted to labelled
+Words, word pairs and character n-grams of a text are hashed into buckets; a logistic regression over them is fitted to labelled
 rows and calibrated by Platt's method on held-out ones. All texts are then scored in Arrow batches, whole, against
 a fixed threshold. The model, of a fixed size, travels in the task's closure.
 
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import ship
 
 ROWS = 128
-SPACE, SYMBOLS = b" \t\n\x0b\x0c\r", b"#*$%&|<>"
+SYMBOLS = b"#*$%&|<>"
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 OUT = [*STATS, "base_failed", "p_good", "kept"]
 
@@ -63,38 +63,58 @@ def stats(text: bytes, s: Settings) -> tuple[int, int, int, int, int]:
     """STATS of a text in UTF-8."""
     words = text.split()  # bytes: splits at ASCII white space only
     lines = [x for x in text.split(b"\n") if x.strip()]
-    chars = len(b"".join(words).decode())
+    chars = len(b"".join(words).decode("utf-8", "replace"))
     return len(words), chars, len(text) - len(text.translate(None, SYMBOLS)), len(lines) - len(set(lines)), repeated(words, s.window)
 
 
-_WHITE = np.zeros(256, bool)
-_WHITE[list(SPACE)] = True
-_WORD = np.uint64(0x9E3779B97F4A7C15)
-_POWERS = np.cumprod(np.append(np.uint64(1), np.full(4095, 0x100000001B3, np.uint64)), dtype=np.uint64)
+_WORD, _PRIME = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x100000001B3)
+_POWERS = np.cumprod(np.append(np.uint64(1), np.full(4095, _PRIME)), dtype=np.uint64)
 
 
-def features(text: bytes, buckets: int, step: int = 1 << 20) -> Iterator[np.ndarray]:
-    """Buckets of a text's words, word pairs and byte 3-grams and 4-grams, with repeats; by steps of its bytes."""
+def _white(c: np.ndarray) -> np.ndarray:
+    return (c == 32) | ((c >= 9) & (c <= 13))
+
+
+def _gap(c: np.ndarray, at: int) -> int:
+    """The first white space from at on, or the end."""
+    for begin in range(at, len(c), 4096):
+        hit = np.flatnonzero(_white(c[begin : begin + 4096]))
+        if len(hit):
+            return begin + int(hit[0])
+    return len(c)
+
+
+def features(text: bytes, buckets: int, step: int = 1 << 18) -> Iterator[np.ndarray]:
+    """Buckets of a text's words, word pairs and character 3-grams and 4-grams, with repeats.
+
+    A long text is taken by steps, which bounds memory and changes nothing: a step ends at white space, n-grams
+    reach back into the one before, and its last word is carried to the next.
+    """
     shift = np.uint64(64 - buckets.bit_length() + 1)
     fold = lambda h, salt: ((h + np.uint64(salt)) * _WORD >> shift).astype(np.int32)
-    for at in range(0, len(text), step):
-        b = np.frombuffer(text, np.uint8)[at : at + step]
-        wide = b.astype(np.uint64)
-        if len(b) > 3:
-            three = wide[:-2] << np.uint64(16) | wide[1:-1] << np.uint64(8) | wide[2:]
-            yield fold(three, 1)
-            yield fold(three[:-1] << np.uint64(8) | wide[3:], 2)
-        white = _WHITE[b]
+    c, at, last = np.frombuffer(text.decode("utf-8", "replace").encode("utf-32-le"), "<u4"), 0, np.empty(0, np.uint64)
+    while at < len(c):
+        end = _gap(c, at + step)
+        for n, salt in ((3, 1), (4, 2)):
+            wide = c[max(0, at - n + 1) : end].astype(np.uint64)
+            if len(wide) >= n:
+                gram = wide[: len(wide) - n + 1]
+                for i in range(1, n):
+                    gram = gram * _PRIME + wide[i : len(wide) - n + 1 + i]
+                yield fold(gram, salt)
+        b = c[at:end]
+        white = _white(b)
         begins = np.flatnonzero(~white & np.append(True, white[:-1]))
         if len(begins):
             ends = np.flatnonzero(~white & np.append(white[1:], True)) + 1
-            place = np.arange(len(b)) - np.repeat(begins, np.diff(np.append(begins, len(b))), axis=0) if begins[0] == 0 else None
-            if place is None:
-                place = np.append(np.zeros(begins[0], np.int64), np.arange(begins[0], len(b)) - np.repeat(begins, np.diff(np.append(begins, len(b)))))
-            terms = np.where(white, np.uint64(0), (wide + np.uint64(1)) * _POWERS[place & 4095])
+            place = np.arange(len(b)) - np.repeat(np.append(0, begins), np.diff(np.concatenate([[0], begins, [len(b)]])))
+            terms = np.where(white, np.uint64(0), (b.astype(np.uint64) + np.uint64(1)) * _POWERS[place & 4095])
             word = np.add.reduceat(terms, begins) + (ends - begins).astype(np.uint64)
             yield fold(word, 3)
-            yield fold(word[:-1] * np.uint64(31) + word[1:], 4)
+            both = np.append(last, word)
+            yield fold(both[:-1] * np.uint64(31) + both[1:], 4)
+            last = word[-1:]
+        at = end
 
 
 @dataclass(frozen=True)

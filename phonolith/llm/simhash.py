@@ -208,14 +208,15 @@ def dedup(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE, leafy: int
     return heavy_join(marked, prints, "fp", "w").select(F.col("doc_id").alias(key), "fp", "component_id")
 
 
-def firsts(rows: DataFrame, group: DataFrame, key: str, text: str, tables: Tables) -> DataFrame:
+def firsts(rows: DataFrame, group: DataFrame, key: str, text: str) -> DataFrame:
     """Of rows(_row, _rid) one of each component of group(_rid, component_id), as its own columns.
 
-    The kept numbers are a written table, of known size: while it is small Spark broadcasts it and no text moves.
+    Hashing the kept numbers, some bytes each and an even share of them a task, lets the texts stream by; a
+    sort-merge join would sort the texts.
     """
     order = rows.select("_rid", F.struct(F.col(f"_row.{key}").isNull(), F.col(f"_row.{key}"), F.xxhash64(f"_row.{text}"), F.col("_rid").alias("rid")).alias("_order"))
     first = group.select("_rid", "component_id").join(order, "_rid").groupBy("component_id").agg(F.min("_order").alias("f"))
-    return rows.join(tables.keep(first.select(F.col("f.rid").alias("_rid"))), "_rid", "left_semi").select("_row.*")
+    return rows.join(first.select(F.col("f.rid").alias("_rid")).hint("shuffle_hash"), "_rid", "left_semi").select("_row.*")
 
 
 def keep_one(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -228,7 +229,7 @@ def keep_one(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE, key: str
     rows = docs.select(F.struct(*docs.columns).alias("_row"), F.monotonically_increasing_id().alias("_rid"))
     rows = tables.keep(rows)
     group = dedup(rows.select("_rid", F.col(f"_row.{text}").alias("_text")), bits, shingle, key="_rid", text="_text")
-    return firsts(rows, group, key, text, tables)
+    return firsts(rows, group, key, text)
 
 
 def hexed(fp: Column) -> Column:

@@ -13,6 +13,13 @@ from itertools import chain, islice
 PIECES, WORDS, LONGEST, HOT = 700_000, 600_000, 48, 16_384
 
 
+def cuts_hold(pattern: str) -> bool:
+    """Whether texts may be cut as this module does: what it states of pre-tokens is true of the public pattern only."""
+    from public_tokenizers import PATTERN
+
+    return pattern == PATTERN
+
+
 def pieces(text: str) -> list[str]:
     """text cut at each space that a non-space follows; all but the first lack that space."""
     out: list[list[str]] = []

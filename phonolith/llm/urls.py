@@ -24,18 +24,27 @@ URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 #: Rule (host and path) and verdict.
 RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
 
+#: Public suffixes of two labels: second-level labels by country.
+SUFFIXES = tuple(f"{second}.{country}" for country, seconds in {
+    "uk": "co org ac gov ltd plc me net sch", "au": "com net org edu gov id", "nz": "co net org ac govt", "jp": "co ne or ac go ed", "br": "com net org gov edu",
+    "in": "co net org gov ac", "za": "co net org gov ac", "cn": "com net org gov edu", "tr": "com net org gov edu", "mx": "com net org gob edu", "kr": "co ne or go ac",
+    "tw": "com net org gov edu", "hk": "com net org gov edu", "sg": "com net org gov edu", "il": "co net org gov ac", "ar": "com net org gob edu", "pl": "com net org gov edu",
+}.items() for second in seconds.split())
+
 
 @dataclass(frozen=True)
 class Model:
     """threshold: share of bad pages above which a host is blocked. z: standard deviations of the lower bound.
 
-    weakest, strongest: limits of the fitted prior strengths, in pages.
+    weakest, strongest: limits of the fitted prior strengths, in pages. suffixes: public suffixes of two labels, under
+    which a registered domain has three; any other last label is a suffix by itself.
     """
 
     threshold: float = 0.5
     z: float = 1.64
     weakest: float = 2.0
     strongest: float = 200.0
+    suffixes: tuple[str, ...] = SUFFIXES
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -43,13 +52,15 @@ def parts(url: Column) -> tuple[Column, Column]:
     return F.translate(get(1), UPPER, LOWER), get(2)
 
 
-def domain(host: Column) -> Column:
-    """The registered domain: the last two labels."""
-    return F.substring_index(host, ".", -2)
+def suffix(host: Column, m: Model) -> Column:
+    two = F.substring_index(host, ".", -2)
+    return F.when(two.isin(*m.suffixes), two).otherwise(F.substring_index(host, ".", -1))
 
 
-def suffix(host: Column) -> Column:
-    return F.substring_index(host, ".", -1)
+def domain(host: Column, m: Model) -> Column:
+    """The registered domain: one label more than the suffix."""
+    two = F.substring_index(host, ".", -2)
+    return F.when(two.isin(*m.suffixes), F.substring_index(host, ".", -3)).otherwise(two)
 
 
 def ruled(host: Column, path: Column, rules: dict[str, str]) -> Column:
@@ -82,7 +93,7 @@ def reputation(outcomes: DataFrame, m: Model) -> tuple[DataFrame, DataFrame, Dat
 
     Only the strengths and the overall counts, a number each, pass through the driver.
     """
-    hosts = outcomes.select("host", domain(F.col("host")).alias("domain"), suffix(F.col("host")).alias("suffix"), "n", "bad")
+    hosts = outcomes.select("host", domain(F.col("host"), m).alias("domain"), suffix(F.col("host"), m).alias("suffix"), "n", "bad")
     sums = [F.sum("n").alias("n"), F.sum("bad").alias("bad")]
     domains = hosts.groupBy("domain", "suffix").agg(*sums)
     suffixes = domains.groupBy("suffix").agg(*sums)
@@ -118,7 +129,7 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: dict[str, str] = RULES,
     seen = tables.keep(seen)
     h, d, s, every = reputation(seen.filter("n > 0"), m)
     post = lambda df, name, col: df.select(name, F.struct("a", "b").alias(col))
-    own = seen.select("host", "w", domain(F.col("host")).alias("domain"), suffix(F.col("host")).alias("suffix"))
+    own = seen.select("host", "w", domain(F.col("host"), m).alias("domain"), suffix(F.col("host"), m).alias("suffix"))
     own = own.join(post(s, "suffix", "_s"), "suffix", "left").join(post(d, "domain", "_d"), "domain", "left").join(post(h, "host", "_h"), "host", "left")
     p = F.coalesce("_h", "_d", "_s", F.struct(F.lit(every[0]).alias("a"), F.lit(every[1]).alias("b")))
     own = own.select("host", F.round(bound(p["a"], p["b"], m), 9).alias("bad_bound"), "w")

@@ -16,12 +16,17 @@ file of its own; further columns are ignored; two empty replicas are equal and g
 
 from __future__ import annotations
 
+import hashlib
 import math
+import re
+import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from .common import Tables
+from .common import Tables, ship
 
 #: A WARC response record without dates, so that it is a function of its page; the last two lines end the record.
 HEADER = "WARC/1.0\r\nWARC-Type: resource\r\nWARC-Target-URI: {uri}\r\nContent-Type: text/html\r\nContent-Length: {length}\r\n\r\n"
@@ -45,15 +50,55 @@ def record(uri: Column, content: Column) -> Column:
 
 
 def write_records(pages: DataFrame, shape: Shape = Shape(), key: str = "page_id", url: str = "url", content: str = "html") -> DataFrame:
-    """pages as WARC records (key, file, offset, length, sha256): files of bounded size, offsets by key.
+    """pages as WARC records (key, file, offset, length, sha256): files by ranges of the key, offsets by key.
 
-    Offsets are running sums inside a file; only lengths and digests are sorted, not contents.
+    Offsets are running sums inside a file; only lengths and digests are sorted, not contents. Equal records are
+    folded before and unfolded after, so a page that repeats without bound costs the window one row; pages without
+    a key are dealt to files by their URLs.
     """
     body = record(F.col(url), F.col(content))
-    file = F.concat(F.lit("part-"), F.lpad(F.expr(f"coalesce(`{key}`, -1) div {shape.pages_per_file}").cast("string"), 8, "0"), F.lit(".warc"))
-    rows = pages.select(F.col(key).cast("long").alias(key), file.alias("file"), F.octet_length(body).cast("long").alias("length"), F.sha2(body, 256).alias("sha256"))
+    number = F.lpad(F.expr(f"`{key}` div {shape.pages_per_file}").cast("string"), 8, "0")
+    name = F.when(F.col(key).isNull(), F.concat(F.lit("null-"), F.substring(F.sha2(F.coalesce(F.col(url), F.lit("")), 256), 1, 3))).otherwise(number)
+    rows = pages.select(F.col(key).cast("long").alias(key), F.concat(F.lit("part-"), name, F.lit(".warc")).alias("file"), F.octet_length(body).cast("long").alias("length"), F.sha2(body, 256).alias("sha256"))
     before = Window.partitionBy("file").orderBy(key, "length", "sha256").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long"))
+    folded = rows.groupBy(key, "file", "length", "sha256").agg(F.count("*").alias("m"))
+    folded = folded.withColumn("begin", F.coalesce(F.sum(F.col("length") * F.col("m")).over(before), F.lit(0)))
+    each = folded.withColumn("nth", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)))
+    return each.select(key, "file", "length", "sha256", (F.col("begin") + F.col("nth") * F.col("length")).cast("long").alias("offset"))
+
+
+def split(data: bytes) -> Iterator[tuple[int, bytes]]:
+    """Offset and bytes of each record of a WARC file, plain or with a gzip member a record (bytes then unpacked)."""
+    view, at = memoryview(data), 0
+    while at < len(data):
+        if data[at : at + 2] == b"\x1f\x8b":
+            unpack, out, end = zlib.decompressobj(31), [], at
+            while not unpack.eof and end < len(data):
+                out.append(unpack.decompress(view[end : end + 65536]))
+                end = min(len(data), end + 65536)
+            whole, end = b"".join(out), end - len(unpack.unused_data)
+        else:
+            head = data.index(b"\r\n\r\n", at)
+            size = re.search(rb"(?im)^content-length:\s*(\d+)", data[at:head])
+            end = head + 4 + (int(size[1]) if size else 0) + len(TAIL)
+            whole = data[at:end]
+        yield at, whole
+        at = end
+
+
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """(file, offset, length, sha256, record) of every record of the WARC files under path; a file is a task's work."""
+    ship(spark)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                for at, whole in split(data.as_py()):
+                    row = [name], [at], [len(whole)], [hashlib.sha256(whole).hexdigest()], [whole]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()))], ["file", "offset", "length", "sha256", "record"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").load(path)
+    return files.select(F.element_at(F.split("path", "/"), -1), "content").mapInArrow(run, "file string, offset long, length long, sha256 string, record binary")
 
 
 def _joined(items: Column) -> Column:
