@@ -7,7 +7,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from phonolith.session import ship, table  # noqa: F401
 
@@ -93,10 +93,11 @@ def components(spark: SparkSession, edges: DataFrame, tables: Tables, rounds: in
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        links = tables.keep(small.union(least.select("a", F.col("m").alias("b"))).distinct())
+        seen = Observation()
+        after = small.union(least.select("a", F.col("m").alias("b"))).distinct()
+        links = tables.keep(after.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")))
         tables.drop(path)
-        path = tables.last
-        now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        path, now = tables.last, seen.get
         if now == before:
             break
         before = now

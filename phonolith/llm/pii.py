@@ -99,20 +99,25 @@ def _cues(text: Column) -> Column:
 
 
 def score(edges: DataFrame, s: Settings, tables: Tables) -> DataFrame:
-    """Trusted patterns with their scores and `w`, their places, from distinct edges(pattern, instance, seed, m places)."""
-    worth = edges.groupBy("instance").agg(F.max(F.col("seed").cast("double")).alias("start"), F.count("*").alias("d"))
-    worth = tables.keep(worth.withColumn("value", F.col("start")))
+    """Trusted patterns with their scores, `n` instances and `w` places, from distinct edges(pattern, instance, seed, m places).
+
+    Only the worth of instances that aren't seeds changes, so only their edges are joined again; mostly there is
+    none to begin with, and one round is all.
+    """
+    worth, known, unseen = None, edges.select("pattern", "m", F.col("seed").cast("double").alias("value")), edges.filter("not seed")
     for _ in range(s.rounds):
-        sums = heavy_join(edges, worth, "instance", "d").groupBy("pattern").agg(
-            (F.sum("value") / (F.count("*") + s.doubt)).alias("score"), F.count_if(F.col("value") >= s.score).alias("support"), F.count("*").alias("n"), F.sum("m").alias("w"))
+        sums = known.groupBy("pattern").agg((F.sum("value") / (F.count("*") + s.doubt)).alias("score"), F.count_if(F.col("value") >= s.score).alias("support"), F.count("*").alias("n"), F.sum("m").alias("w"))
         trusted = tables.keep(sums.filter((F.col("score") >= s.score) & (F.col("support") >= s.support)))
-        best = heavy_join(edges.select("pattern", "instance"), trusted.select("pattern", "score", "n"), "pattern", "n").groupBy("instance").agg(F.max("score").alias("best"))
-        now = worth.join(best, "instance", "left").select("instance", "start", "d", F.greatest("start", F.coalesce("best", F.lit(0.0))).alias("value"), F.col("value").alias("old"))
-        now = tables.keep(now)
-        moved = now.agg(F.max(F.col("value") - F.col("old"))).first()[0]
+        best = heavy_join(unseen.select("pattern", "instance"), trusted.select("pattern", "score", "n"), "pattern", "n").filter("score is not null")
+        now = best.groupBy("instance").agg(F.max("score").alias("value"), F.count("*").alias("d"))
+        old = now.sparkSession.createDataFrame([], "instance string, old double") if worth is None else worth.select("instance", F.col("value").alias("old"))
+        now = tables.keep(now.join(old, "instance", "left"))
+        moved = now.agg(F.max(F.col("value") - F.coalesce("old", F.lit(0.0)))).first()[0]
         if not moved or moved < s.tolerance:
             return trusted
-        worth = now.drop("old")
+        worth = now
+        again = heavy_join(unseen.select("pattern", "instance", "m"), worth.select("instance", "value", "d"), "instance", "d")
+        known = edges.filter("seed").select("pattern", "m", F.lit(1.0).alias("value")).union(again.select("pattern", "m", F.coalesce("value", F.lit(0.0))))
     raise RuntimeError("the scores have not settled")
 
 

@@ -157,22 +157,24 @@ def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), key: str
     good = np.array([r["quality"] > 0 for r in rows], float)
     if len(set(good)) < 2:
         return None
-    cols = np.concatenate([np.frombuffer(r["ids"], "<i4") for r in rows])
-    vals = np.concatenate([np.frombuffer(r["shares"], "<f4") for r in rows]) * np.float32(1000)
-    at = np.repeat(np.arange(len(rows)), [len(r["ids"]) // 4 for r in rows])
-    rows.clear()
+    # A row's buckets and shares stay as they came; sums go row by row, so the driver holds the rows once.
+    cols = [np.frombuffer(r["ids"], "<i4") for r in rows]
+    vals = [np.frombuffer(r["shares"], "<f4") * np.float32(1000) for r in rows]
+    margins = lambda w: np.array([v @ w[c] for c, v in zip(cols, vals)])
+    del rows
     held = np.arange(len(good)) % 4 == 0  # rows come in the order of a hash
     weigh = np.where(good > 0, 0.5 / good.sum(), 0.5 / (1 - good).sum())  # both classes count the same
     w, past, fit = np.zeros(s.buckets), np.full(s.buckets, 1e-6), ~held
     b = 0.0
     for _ in range(s.epochs):
-        margin = np.bincount(at, vals * w[cols], len(good)) + b
-        error = np.where(fit, weigh * (1 / (1 + np.exp(-np.clip(margin, -50, 50))) - good), 0.0)
-        grad = np.bincount(cols, vals * error[at], s.buckets) + s.ridge * w
+        error = np.where(fit, weigh * (1 / (1 + np.exp(-np.clip(margins(w) + b, -50, 50))) - good), 0.0)
+        grad = s.ridge * w
+        for i in np.flatnonzero(error):
+            grad[cols[i]] += vals[i] * error[i]  # a row's buckets are distinct
         past += grad * grad
         w -= s.rate * grad / np.sqrt(past) / 10
         b -= s.rate * error.sum()
-    margin = np.bincount(at, vals * w[cols], len(good))
+    margin = margins(w)
     scale, shift = platt(margin[held], good[held]) if len(set(good[held])) == 2 else (1.0, b)
     return Model(w, scale, shift)
 

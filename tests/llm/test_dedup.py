@@ -142,8 +142,37 @@ def test_vectors(spark):
     assert vectors.dedup(df.filter("false")).collect() == []
 
 
+def test_query(spark):
+    """The query on its whole table against brute force."""
+    rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{DATA}/embeddings.parquet").collect()]
+    got = {r["vec_id"]: r for r in queries.op7_vectors(spark, DATA).collect()}
+    near = cosine_links(rows)
+    group = labels(near)
+    found, true = sum(r["n_links"] for r in got.values()), int(near.sum())
+    assert len(got) == len(rows) and 0.9 * true <= found <= true
+    low = {}
+    for (key, _), g in zip(rows, group):
+        low[g] = min(low.get(g, key), key)
+    same = sum(got[key]["component_id"] == low[g] for (key, _), g in zip(rows, group))
+    assert same >= 0.9 * len(rows) and all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got.values())
+
+
+def test_repeated_ids_and_long_vectors(spark):
+    rng = np.random.default_rng(1)
+    v = rng.standard_normal(5000).tolist()
+    rows = [(1, v), (1, v), (1, (rng.standard_normal(5000)).tolist()), (2, v), (None, v)]
+    got = vectors.dedup(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    assert Counter((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == Counter({(1, 3, 1): 2, (1, 0, 1): 1, (2, 3, 1): 1, (None, 3, 1): 1})
+
+
+def test_passes_grow_with_the_table():
+    s = vectors.Settings()
+    n = [vectors.passes(10**k, s) for k in range(0, 13)]
+    assert n == sorted(n) and n[0] == s.least and n[-1] < 1000
+
+
 def test_recall(spark):
-    """Against brute force on the supplied vectors and on ones near the threshold."""
+    """Against brute force on vectors near the threshold."""
     rng = np.random.default_rng(9)
     base = rng.standard_normal((400, 64))
     base /= np.linalg.norm(base, axis=1)[:, None]

@@ -4,6 +4,8 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
+import xxhash
 from conftest import DATA
 from helpers import awkward, clashing, documents
 
@@ -77,3 +79,72 @@ def test_platt():
 def test_features_ignore_position():
     of = lambda t: np.concatenate([np.empty(0, np.int32), *quality.features(t, 1 << 15)])
     assert len(of(b"")) == 0 and np.isin(of(b"alpha"), of(b"x alpha beta y")).all() and len(of(b"alpha beta")) < len(of(b"x alpha beta y"))
+
+
+def plain_buckets(text, bits=15):
+    """Buckets of words, word pairs and character n-grams, one by one."""
+    prime, mask = 0x100000001B3, (1 << 64) - 1
+    fold = lambda h, salt: (h + salt) * 0x9E3779B97F4A7C15 % (1 << 64) >> 64 - bits
+    out = Counter()
+    for n, salt in ((3, 1), (4, 2)):
+        for i in range(len(text) - n + 1):
+            h = 0
+            for c in text[i : i + n]:
+                h = (h * prime + ord(c)) & mask
+            out[fold(h, salt)] += 1
+    words = []
+    for w in WORD.findall(text):
+        words.append((sum((ord(c) + 1) * pow(prime, i & 4095, 1 << 64) for i, c in enumerate(w)) + len(w)) & mask)
+    out.update(fold(w, 3) for w in words)
+    out.update(fold((a * 31 + b) & mask, 4) for a, b in zip(words, words[1:]))
+    return out
+
+
+@pytest.mark.parametrize("step", [1, 7, 64, 1 << 18])
+def test_features_whatever_the_step(step):
+    texts = ["", "ab", "abc", "día de ñandú 😀 x", " lead  and\ttrail ", "word " * 300 + "é" * 500 + " end", "日本語 の テキスト です"]
+    for t in texts:
+        got = Counter(np.concatenate([np.empty(0, np.int32), *quality.features(t.encode(), 1 << 15, step)]).tolist())
+        assert got == plain_buckets(t)
+
+
+def test_text_longer_than_a_step():
+    text = "alpha beta gamma " * 40000 + "é" * 300000 + " tail"
+    count = lambda step: Counter(np.concatenate(list(quality.features(text.encode(), 1 << 15, step))).tolist())
+    assert count(1 << 18) == count(1 << 22)
+
+
+def test_verdicts_against_plain_training(spark):
+    """The method's verdicts, from features, fit and calibration written anew over dense rows."""
+    s = quality.Settings(buckets=1 << 12, epochs=25)
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    texts = {r["doc_id"]: (r["text"] or "")[:1500] for r in docs.collect()}
+    docs = documents(spark, texts.items())
+    label = {}
+    for r in labels.collect():
+        if r["quality"] is not None and r["doc_id"] in texts:
+            label[r["doc_id"]] = min(label.get(r["doc_id"], 9), r["quality"])
+    signed = lambda i: xxhash.xxh64_intdigest(i.to_bytes(8, "little", signed=True), 42) - (1 << 64) * (xxhash.xxh64_intdigest(i.to_bytes(8, "little", signed=True), 42) >> 63)
+    ids = sorted(label, key=lambda i: (signed(i), i))
+    dense = {}
+    for i, t in texts.items():
+        x = np.zeros(s.buckets)
+        for k, n in plain_buckets(t, 12).items():
+            x[k] = n
+        dense[i] = x / max(1, x.sum()) * 1000
+    x, y = np.array([dense[i] for i in ids]), np.array([float(label[i] > 0) for i in ids])
+    fit = np.array([k % 4 != 0 for k in range(len(ids))])
+    weigh = np.where(y > 0, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
+    w, b, past = np.zeros(s.buckets), 0.0, np.full(s.buckets, 1e-6)
+    for _ in range(s.epochs):
+        error = fit * weigh * (1 / (1 + np.exp(-(x @ w + b))) - y)
+        grad = x.T @ error + s.ridge * w
+        past += grad**2
+        w, b = w - s.rate / 10 * grad / np.sqrt(past), b - s.rate * error.sum()
+    scale, shift = quality.platt((x @ w)[~fit], y[~fit]) if len(set(y[~fit])) == 2 else (1.0, b)
+    got = {r["doc_id"]: r for r in quality.judge(docs, labels, s).collect()}
+    for i in texts:
+        if not got[i]["base_failed"]:
+            p = 1 / (1 + np.exp(-(scale * (dense[i] @ w) + shift)))
+            assert abs(got[i]["p_good"] - p) < 0.01 and (abs(p - 0.5) < 0.01 or got[i]["kept"] == (p >= 0.5))

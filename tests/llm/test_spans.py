@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -73,6 +74,103 @@ def test_contexts_find_unseen_identifiers(spark):
     assert got[101] == [] and got[102] == [] and all([s["kind"] for s in got[i]] == ["email"] for i in range(6))
 
 
+def planted(words="please write to {} today", odd="someone@intranet"):
+    """Fifty seeds in one context, an unseen identifier in it, and clean texts with similar words."""
+    rows = [(i, words.format(f"user{i}@host{i}.example.org")) for i in range(50)] + [(100, words.format(odd))]
+    return rows + [(200 + i, t) for i, t in enumerate(["we spoke of nobody@home and of them", "please write today", "a ratio of 123456 to 654321", "add 1234567 to it today"])]
+
+
+def test_contexts_are_induced(spark):
+    """Words around seeds make the patterns, no label is needed; whole identifiers are found, however long."""
+    long = "y" * 90 + "@" + "z" * 70
+    for words, odd in (("please write to {} today", "someone@intranet"), ("mail: {} now", long), ("(contact {})", "me@there")):
+        docs = documents(spark, planted(words, odd))
+        got = {r["doc_id"]: [(s["kind"], s["value"]) for s in r["found"]] for r in pii.scan(docs).collect()}
+        assert got[100] == [("context", odd)] and all(got[i] == [] for i in range(200, 204))
+        clean = {r["doc_id"]: r["text"] for r in pii.redact(docs).collect()}
+        assert clean[100] == words.format("[CONTEXT]") and clean[7] == words.format("[EMAIL]") and clean[201] == "please write today"
+
+
+def test_found_instances_make_further_patterns_sure(spark):
+    """What one context finds is worth as much in another: eight numbers seen after `call` show that `fax` is one too."""
+    rows = [(i, f"please call +1 555 010 {1000 + i} now") for i in range(60)]
+    rows += [(100 + i, f"please call 555 010 {5000 + i} now") for i in range(8)] + [(200 + i, f"and fax 555 010 {5000 + i} here") for i in range(8)]
+    rows += [(300, "and fax 555 099 1111 here"), (301, "room 555 099 1111 here")]
+    got = {r["doc_id"]: [s["kind"] for s in r["found"]] for r in pii.scan(documents(spark, rows), pii.Settings(doubt=0.1, score=0.7)).collect()}
+    assert all(got[100 + i] == ["context"] == got[200 + i] for i in range(8)) and got[300] == ["context"] and got[301] == []
+
+
+def graph_by_hand(texts, s=pii.Settings()):
+    """Context spans of texts in plain Python."""
+    classes = [("@", re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*")), ("0", re.compile(r"(?<![A-Za-z0-9+])\+?[0-9]+(?:[ ().-]{1,3}[0-9]+)*"))]
+    ip = PII[1][1]
+
+    def seed(kind, v):
+        d = digits(v)
+        if kind == "@":
+            return bool(re.search(r"@[A-Za-z0-9-]+\.", v))
+        return (v.startswith("+") and 9 <= len(d) <= 15) or (12 <= len(d) <= 19 and luhn(d)) or bool(ip.fullmatch(v) and PII[1][2](ip.fullmatch(v)))
+
+    places, edges = [], {}
+    for row, t in texts:
+        for kind, pattern in classes:
+            hits = [m for m in pattern.finditer(t or "")]
+            for k, m in enumerate(hits):
+                if kind == "0" and len(digits(m[0])) < 6:
+                    continue
+                left = t[max(hits[k - 1].end() if k else 0, m.start() - 64) : m.start()]
+                right = t[m.end() : min(hits[k + 1].start() if k + 1 < len(hits) else len(t), m.end() + 64)]
+                words, after = left.lower().split(), right.lower().split()
+                one, two, nxt = (words[-1:] or ["^"])[0], (words[-2:-1] or ["^"])[0], (after[:1] or ["$"])[0]
+                own = [(two, one, kind), (one, kind, nxt)] + ([(one, kind)] if re.search("[a-z].*[:=#]$", one) else [])
+                for p in own:
+                    edges.setdefault(p, {})[m[0].lower()] = seed(kind, m[0])
+                places.append((row, m.start(), m.end(), m[0].lower(), seed(kind, m[0]), own))
+    worth = {}
+    while True:
+        trusted = {}
+        for p, inst in edges.items():
+            v = [1.0 if sd else worth.get(i, 0.0) for i, sd in inst.items()]
+            score = sum(v) / (len(v) + s.doubt)
+            if score >= s.score and sum(x >= s.score for x in v) >= s.support:
+                trusted[p] = score
+        now = {}
+        for p, score in trusted.items():
+            for i, sd in edges[p].items():
+                if not sd:
+                    now[i] = max(now.get(i, 0), score)
+        moved = max([x - worth.get(i, 0) for i, x in now.items()], default=0)
+        worth = now
+        if moved < s.tolerance:
+            return {(row, a, b) for row, a, b, _, sd, own in places if not sd and any(p in trusted for p in own)}
+
+
+def test_contexts_by_hand(spark):
+    supplied = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
+    mixed = [(10_000 + i, t) for i, t in planted()] + [(20_000 + i, t) for i, t in planted("card no: {} valid", "4000 1234 5678")] + [(30_000 + i, f"order id {700_000 + i} ok") for i in range(9)]
+    texts = supplied + mixed
+    got = {(r["doc_id"], x["start"], x["end"]) for r in pii.scan(documents(spark, texts)).collect() for x in r["found"] if x["kind"] == "context"}
+    assert got == graph_by_hand(texts) and any(row >= 10_000 for row, _, _ in got)
+    assert not any(row >= 30_000 for row, _, _ in got)
+
+
+@pytest.mark.parametrize("scan", [secrets.scan, pii.scan])
+def test_many_matches_in_one_text(spark, scan):
+    """Time is linear in matches: 100,000 in a text take seconds."""
+    n = 100_000
+    text = " ".join(f"{i:016x}" for i in range(n // 2)) + " " + " ".join(f"a{i}@b.cd" for i in range(n // 2))
+    began = time.monotonic()
+    r = scan(documents(spark, [(1, text)])).collect()[0]
+    assert time.monotonic() - began < 60 and sum(s["kind"] in ("hex", "email") for s in r["found"]) == n // 2
+    if scan is pii.scan:
+        assert pii.redact(documents(spark, [(1, text)])).first()["text"].count("[EMAIL]") == n // 2
+
+
+def test_long_slack_token(spark):
+    token = "xoxb-" + "1a" * 60
+    assert [(s["kind"], s["end"] - s["start"]) for s in secrets.scan(documents(spark, [(1, f"see {token} here")])).first()["found"] if s["kind"] == "slack"] == [("slack", len(token))]
+
+
 def test_redaction(spark):
     docs = documents(spark, [(1, "mail a@b.cd, ip 1.2.3.4."), (2, "clean"), (3, None)])
     got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in pii.redact(clashing(docs)).select(docs.columns).collect()}

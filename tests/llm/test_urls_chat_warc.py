@@ -1,5 +1,6 @@
 """URL filter, chat formatting and fixity audit."""
 
+import gzip
 import hashlib
 from collections import Counter
 
@@ -51,6 +52,50 @@ def test_escape(text):
     assert (role, back) == ("user", text)
 
 
+@given(st.text(alphabet="<|\\nim_\n\r", max_size=20), st.text(alphabet="<|\\\na", max_size=20))
+def test_roles_read_back(role, text):
+    assert chat.parse_turn(f"{chat.START}{chat.escape_role(role)}\n{chat.escape(text)}{chat.END}") == (role, text)
+
+
+def test_suffixes(spark):
+    """a.co.uk and b.co.uk are domains of their own."""
+    m, host = urls.Model(), F.col("host")
+    hosts = ["x.a.co.uk", "a.co.uk", "co.uk", "www.site.com", "com", ""]
+    rows = spark.createDataFrame([(h,) for h in hosts], "host string").select(urls.domain(host, m), urls.suffix(host, m)).collect()
+    assert list(map(tuple, rows)) == [("a.co.uk", "co.uk"), ("a.co.uk", "co.uk"), ("co.uk", "co.uk"), ("site.com", "com"), ("com", "com"), ("", "")]
+    pages = [(i, f"http://h.bad.co.uk/{i}") for i in range(60)] + [(100 + i, f"http://h.good.co.uk/{i}") for i in range(60)] + [(900, "http://new.bad.co.uk/"), (901, "http://new.good.co.uk/"), (902, "http://x/" + "y" * 200000)]
+    labels = [(i, 1) for i in range(60)] + [(100 + i, 0) for i in range(60)]
+    got = {r["page_id"]: r["verdict"] for r in urls.judge(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "page_id long, bad int")).collect()}
+    assert (got[900], got[901]) == ("block", "allow")
+
+
+def test_warc_files(spark, tmp_path):
+    """Records written by hand, plain and packed, read back at the offsets that the audit compares."""
+    docs = spark.createDataFrame([(i, f"http://x/{i}", "é" * (i * 7)) for i in range(40)] + [(41, "http://long", "z" * 3_000_000)], "page_id long, url string, html string")
+    want = warc.write_records(docs)
+    raw = [r[0].encode() for r in docs.orderBy("page_id").select(warc.record(F.col("url"), F.col("html"))).collect()]
+    (tmp_path / "part-00000000.warc").write_bytes(b"".join(raw))
+    (tmp_path / "packed.warc.gz").write_bytes(b"".join(map(gzip.compress, raw)))
+    read = warc.read_records(spark, str(tmp_path)).withColumn("page_id", F.lit(0).cast("long"))
+    got = read.filter("file = 'part-00000000.warc'")
+    assert Counter(r["status"] for r in warc.audit(want, got).collect()) == {"ok": 41}
+    packed = read.filter("file = 'packed.warc.gz'").collect()
+    assert [bytes(r["record"]) for r in sorted(packed, key=lambda r: r["offset"])] == raw
+
+
+def test_repeated_records_stay_apart(spark):
+    """One page without bound, and pages without an id: offsets are gapless in each file."""
+    rows = [(5, "u", "same")] * 300 + [(None, f"v{i}", "x") for i in range(40)] + [(6, "u", "other")]
+    got = warc.write_records(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    files = {}
+    for r in got:
+        files.setdefault(r["file"], []).append((r["offset"], r["length"]))
+    assert len(got) == 341 and len(files) > 20
+    for own in files.values():
+        own.sort()
+        assert [o for o, _ in own] == [sum(n for _, n in own[:i]) for i in range(len(own))]
+
+
 def digest(parts):
     return hashlib.sha256("".join(parts).encode()).hexdigest()
 
