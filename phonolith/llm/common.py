@@ -38,6 +38,11 @@ class Tables:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
         atexit.register(self._end)
+        self.free()
+
+    def free(self) -> None:
+        """Spark drops shuffle files when the driver's garbage, their last references, is collected; an operator of many steps asks for that."""
+        self.spark.sparkContext._jvm.System.gc()
 
     def _end(self) -> None:
         try:

@@ -186,6 +186,7 @@ def links(texts: DataFrame, reps: DataFrame, tables: Tables, s: Settings) -> Dat
         now = now.select("value", "rid", "n", "sketch", "bands", F.coalesce("root", "rid").alias("c"))
         several = now.groupBy("value").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x <> y").select("value")
         mixed_up = tables.keep(now.join(several, "value"))
+        tables.free()
         if mixed_up.isEmpty():
             return found
 

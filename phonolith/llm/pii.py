@@ -10,8 +10,9 @@ worth as much. So patterns that seeds made sure find unseen identifiers, and the
 a pattern finds beyond a fifth of its instances speaks against it, which leaves clean texts alone. Instances of
 trusted patterns that aren't seeds are spans of kind `context`.
 
-Joins and sums run on distinct (pattern, instance) pairs, so copies of a document add one pair; common patterns and
-instances are joined by heavy_join(). Places, pairs and scores are written tables; texts are read once, and only
+Joins and sums run on distinct (pattern, instance) pairs, so copies of a document add one pair. They meet trusted
+patterns, one row each: a small written table is broadcast by its known size, beyond it Spark's adaptive join splits
+what a common pattern has. Places, pairs and scores are written tables; texts are read once, and only
 rows with an instance that isn't a seed meet the patterns again.
 
 Defined results: a null text is empty and has no spans; null and repeated doc_ids give a row each; further columns
@@ -26,7 +27,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import spans as S
-from .common import Tables, heavy_join
+from .common import Tables
 
 BASE = ["email", "ip", "card", "phone"]
 _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
@@ -99,25 +100,25 @@ def _cues(text: Column) -> Column:
 
 
 def score(edges: DataFrame, s: Settings, tables: Tables) -> DataFrame:
-    """Trusted patterns with their scores, `n` instances and `w` places, from distinct edges(pattern, instance, seed, m places).
+    """Trusted patterns with their scores, from distinct edges(pattern, instance, seed).
 
     Only the worth of instances that aren't seeds changes, so only their edges are joined again; mostly there is
     none to begin with, and one round is all.
     """
-    worth, known, unseen = None, edges.select("pattern", "m", F.col("seed").cast("double").alias("value")), edges.filter("not seed")
+    worth, known, unseen = None, edges.select("pattern", F.col("seed").cast("double").alias("value")), edges.filter("not seed")
     for _ in range(s.rounds):
-        sums = known.groupBy("pattern").agg((F.sum("value") / (F.count("*") + s.doubt)).alias("score"), F.count_if(F.col("value") >= s.score).alias("support"), F.count("*").alias("n"), F.sum("m").alias("w"))
+        sums = known.groupBy("pattern").agg((F.sum("value") / (F.count("*") + s.doubt)).alias("score"), F.count_if(F.col("value") >= s.score).alias("support"))
         trusted = tables.keep(sums.filter((F.col("score") >= s.score) & (F.col("support") >= s.support)))
-        best = heavy_join(unseen.select("pattern", "instance"), trusted.select("pattern", "score", "n"), "pattern", "n").filter("score is not null")
-        now = best.groupBy("instance").agg(F.max("score").alias("value"), F.count("*").alias("d"))
+        best = unseen.join(trusted.select("pattern", "score"), "pattern")
+        now = best.groupBy("instance").agg(F.max("score").alias("value"))
         old = now.sparkSession.createDataFrame([], "instance string, old double") if worth is None else worth.select("instance", F.col("value").alias("old"))
         now = tables.keep(now.join(old, "instance", "left"))
         moved = now.agg(F.max(F.col("value") - F.coalesce("old", F.lit(0.0)))).first()[0]
         if not moved or moved < s.tolerance:
             return trusted
         worth = now
-        again = heavy_join(unseen.select("pattern", "instance", "m"), worth.select("instance", "value", "d"), "instance", "d")
-        known = edges.filter("seed").select("pattern", "m", F.lit(1.0).alias("value")).union(again.select("pattern", "m", F.coalesce("value", F.lit(0.0))))
+        again = unseen.join(worth.select("instance", "value"), "instance", "left")
+        known = edges.filter("seed").select("pattern", F.lit(1.0).alias("value")).union(again.select("pattern", F.coalesce("value", F.lit(0.0))))
     raise RuntimeError("the scores have not settled")
 
 
@@ -129,9 +130,9 @@ def _marked(docs: DataFrame, s: Settings, text: str, keep_text: bool) -> DataFra
     read = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("_row"), base(body).alias("_base"), _cues(body).alias("_cues"), F.monotonically_increasing_id().alias("_rid"))
     read = tables.keep(read)
     cues = read.filter(F.size("_cues") > 0).select("_rid", F.explode("_cues").alias("c")).select("_rid", "c.instance", "c.start", "c.end", "c.seed", F.explode("c.patterns").alias("pattern"))
-    edges = tables.keep(cues.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"), F.count("*").alias("m")))
+    edges = tables.keep(cues.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")))
     trusted = score(edges, s, tables)
-    unseen = heavy_join(cues.filter("not seed"), trusted.select("pattern", "score", "w"), "pattern", "w").filter("score is not null")
+    unseen = cues.filter("not seed").join(trusted.select("pattern"), "pattern")
     span = F.struct("start", F.lit(len(KINDS)).alias("ord"), F.lit("context").alias("kind"), "end", F.col("instance").alias("value"))
     more = unseen.groupBy("_rid").agg(F.collect_set(span).alias("_more"))
     open_ = F.exists("_cues", lambda c: ~c["seed"])
