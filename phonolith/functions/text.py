@@ -7,10 +7,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
-from pyspark.sql.types import IntegerType, StringType
-
-#: One character for each distinct word of a pair, so that a word distance is a character distance.
-ALPHABET = "".join(chr(c) for c in range(33, 127) if chr(c) not in "'\\")
+from pyspark.sql.types import StringType
 
 
 def squeeze(t: Column) -> Column:
@@ -65,26 +62,35 @@ def cer(reference: Column, got: Column) -> Column:
     return F.when(F.length(reference) == 0, 0.0).otherwise(F.levenshtein(reference, got) / F.length(reference))
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once: inside a lambda an outer expression is computed for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+#: Where the characters that stand for words begin: two planes for private use, 131,072 code points in a row.
+FIRST, PLANES = 0xF0000, 0x20000
+
+
 def word_edits(reference: Column, got: Column) -> Column:
-    """Word edits between two lists of words. Null where a pair has more distinct words than ALPHABET; see word_edits_any()."""
-    known = F.array_distinct(F.concat(reference, got))
-    spelt = lambda ws: F.array_join(F.transform(ws, lambda w: F.substring(F.lit(ALPHABET), F.array_position(known, w).cast("int"), F.lit(1))), "")
-    return F.when(F.size(known) <= len(ALPHABET), F.levenshtein(spelt(reference), spelt(got)))
+    """Word edits between two lists of words, as character edits of strings with a character for each distinct word.
+
+    A pair with more distinct words than PLANES is an error, not a wrong number.
+    """
 
+    def edits(p: Column) -> Column:
+        places = F.map_from_entries(F.transform(p["known"], lambda w, i: F.struct(w, i)))
+        return let(F.struct(p["a"], p["b"], places.alias("places")), lambda q: F.levenshtein(_spelt(q["a"], q["places"]), _spelt(q["b"], q["places"])))
 
-@F.pandas_udf(IntegerType())
-def word_edits_any(reference: pd.Series, got: pd.Series) -> pd.Series:
-    """Word edits between two lists of words, of any size."""
+    pair = F.struct(reference.alias("a"), got.alias("b"), F.array_distinct(F.concat(reference, got)).alias("known"))
+    return let(pair, lambda p: F.when(F.size(p["known"]) > PLANES, F.raise_error(F.lit("too many distinct words in a pair"))).otherwise(edits(p)).cast("int"))
 
-    def edits(a, b) -> int:
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            last, row[0] = row[0], i
-            for j, y in enumerate(b, 1):
-                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-        return row[-1]
 
-    return pd.Series([edits(list(a), list(b)) for a, b in zip(reference, got)], dtype="int32")
+def _spelt(words: Column, places: Column) -> Column:
+    """A string of the UTF-8 characters FIRST + place of each word."""
+    code = lambda w: F.element_at(places, w) + F.lit(FIRST)
+    byte = lambda c, shift, lead, mask: F.lpad(F.hex(F.shiftright(c, shift).bitwiseAND(F.lit(mask)).bitwiseOR(F.lit(lead))), 2, "0")
+    hexed = lambda c: F.concat(byte(c, 18, 0xF0, 0x07), byte(c, 12, 0x80, 0x3F), byte(c, 6, 0x80, 0x3F), byte(c, 0, 0x80, 0x3F))
+    return F.decode(F.unhex(F.array_join(F.transform(F.transform(words, code), hexed), "")), "UTF-8")
 
 
 def wer(reference: Column, got: Column) -> Column:
@@ -161,4 +167,4 @@ def audio_url(j: Column) -> Column:
 
 def prefix_lengths(pieces: Column) -> Column:
     """Length of the decoded text of each prefix of pieces."""
-    return F.transform(pieces, lambda _, i: F.length(decode_pieces(F.slice(pieces, F.lit(1), i + 1))))
+    return let(pieces, lambda all_: F.transform(all_, lambda _, i: F.length(decode_pieces(F.slice(all_, F.lit(1), i + 1)))))

@@ -70,10 +70,10 @@ def _(embeddings: DataFrame) -> DataFrame:
     return fold_batch(d, "stream", ["vec_id"], folds.WindowBuilder, "start long, end long")
 
 
-@query("r179_accumulator", None, "conversations")
+@query("r179_accumulator", "select conv_id, row_number() over (partition by conv_id order by turn) as revision, case when role = 'assistant' then trim(text, ' ' || chr(9) || chr(10) || chr(13)) else '' end as settled, case when role = 'assistant' then '' else trim(text, ' ' || chr(9) || chr(10) || chr(13)) end as preview from conversations", "conversations")
 def _(conversations: DataFrame) -> DataFrame:
-    d = conversations.select("conv_id", "turn", F.substring("text", 1, 40).alias("text"), (F.col("role") == "assistant").alias("final"))
-    return fold_batch(d, "conv_id", ["turn"], folds.Accumulator, "revision long, committed string, preview string, text string")
+    d = conversations.select("conv_id", "turn", "text", (F.col("role") == "assistant").alias("final"))
+    return fold_batch(d, "conv_id", ["turn"], folds.Accumulator, "revision long, settled string, preview string")
 
 
 @query("r182_utterance_merger", None, "conversations")
@@ -82,8 +82,8 @@ def _(conversations: DataFrame) -> DataFrame:
     w = Window.partitionBy("conv_id").orderBy("turn")
     both = F.concat_ws(" ", F.lag("text").over(w), "text")
     d = conversations.select("conv_id", "turn", T.words(both).alias("words"), F.lead("turn").over(w).isNull().alias("final"))
-    out = fold_batch(d, "conv_id", ["turn"], mergers.Utterances, "revision long, committed string, preview string, cursor double")
-    return out.groupBy("conv_id").agg(F.max("revision").alias("revision"), F.max(F.length("committed")).alias("committed_chars"))
+    out = fold_batch(d, "conv_id", ["turn"], mergers.Utterances, "revision long, settled string, preview string, cursor double")
+    return out.groupBy("conv_id").agg(F.max("revision").alias("revision"), F.sum(F.length("settled")).alias("settled_chars"))
 
 
 def token_windows(embeddings: DataFrame) -> DataFrame:
@@ -97,14 +97,14 @@ def token_windows(embeddings: DataFrame) -> DataFrame:
 
 @query("r183_aligned_merger", None, "embeddings")
 def _(embeddings: DataFrame) -> DataFrame:
-    out = fold_batch(token_windows(embeddings), "stream", ["vec_id"], mergers.Aligned, "anchors int, confirmed array<int>, pending array<int>")
-    return out.groupBy("stream").agg(F.sum("anchors").alias("anchors"), F.max(F.size("confirmed")).alias("confirmed"))
+    out = fold_batch(token_windows(embeddings), "stream", ["vec_id"], mergers.Aligned, "anchors int, settled array<int>, pending array<int>")
+    return out.groupBy("stream").agg(F.sum("anchors").alias("anchors"), F.sum(F.size("settled")).alias("settled"))
 
 
 @query("r184_common_run_merger", None, "embeddings")
 def _(embeddings: DataFrame) -> DataFrame:
-    out = fold_batch(token_windows(embeddings), "stream", ["vec_id"], mergers.CommonRun, "run int, confirmed array<int>, pending array<int>")
-    return out.groupBy("stream").agg(F.max("run").alias("longest"), F.max(F.size("confirmed")).alias("confirmed"))
+    out = fold_batch(token_windows(embeddings), "stream", ["vec_id"], mergers.CommonRun, "run int, settled array<int>, pending array<int>")
+    return out.groupBy("stream").agg(F.max("run").alias("longest"), F.sum(F.size("settled")).alias("settled"))
 
 
 @query("r136_longest_common_run", """with t as (select conv_id, turn, generate_subscripts(w, 1) as i, unnest(w) as w from (select conv_id, turn, list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '') as w from conversations)),
@@ -170,8 +170,8 @@ def _(embeddings: DataFrame) -> DataFrame:
 @query("r180_transcriber", None, "conversations")
 def _(conversations: DataFrame) -> DataFrame:
     last = F.lead("turn").over(Window.partitionBy("conv_id").orderBy("turn")).isNull()
-    d = conversations.select("conv_id", "turn", F.substring("text", 1, 40).alias("text"), (~last).alias("speech"), F.lit(400.0).alias("chunk_ms"))
-    return fold_batch(d, "conv_id", ["turn"], session.Transcriber, "kind string, revision long, committed string, preview string, text string")
+    d = conversations.select("conv_id", "turn", "text", (~last).alias("speech"), F.lit(400.0).alias("chunk_ms"))
+    return fold_batch(d, "conv_id", ["turn"], session.Transcriber, "kind string, revision long, settled string, preview string")
 
 
 @query("r181_controller", None, "conversations")
@@ -179,8 +179,35 @@ def _(conversations: DataFrame) -> DataFrame:
     words = F.transform(T.words(F.col("text")), lambda w, i: F.array(w, ((F.col("turn") * 30 + i) * 0.3).cast("string"), ((F.col("turn") * 30 + i) * 0.3 + 0.25).cast("string")))
     last = F.lead("turn").over(Window.partitionBy("conv_id").orderBy("turn")).isNull()
     d = conversations.select("conv_id", "turn", F.lit(0).alias("base"), ((F.col("turn") + 1) * 160000).alias("end"), words.alias("words"), F.when(last, 1.0).otherwise(0.0).alias("silence_s"))
-    out = fold_batch(d, "conv_id", ["turn"], Spoken, "kind string, start long, end long, revision long, committed string, preview string, cursor double")
-    return out.select("conv_id", "kind", "revision", F.length("committed").alias("committed_chars"), "cursor")
+    out = fold_batch(d, "conv_id", ["turn"], Spoken, "kind string, start long, end long, revision long, settled string, preview string, cursor double")
+    return out.select("conv_id", "kind", "revision", F.length("settled").alias("settled_chars"), "cursor")
+
+
+@query("r177_max_duration", None, "events")
+def _(events: DataFrame) -> DataFrame:
+    """Segments that their length closed, of the energy path."""
+    make = partial(folds.GatedDetector, partial(folds.RoughGate, threshold_db=-14.0)(), folds.Detector(most_ms=800.0))
+    out = fold_batch(hops(events).select("user_id", *ORDER, "rms"), "user_id", ORDER, partial(_detector, make), "start_frame long, end_frame long, reason string")
+    return out.filter("reason = 'max-duration'")
+
+
+@query("r176_voice_detector", None, "events")
+def _(events: DataFrame) -> DataFrame:
+    """Segments of the activity model's path."""
+    return fold_batch(hops(events).select("user_id", *ORDER, "prob"), "user_id", ORDER, partial(folds.VoiceDetector, threshold=0.2, enter=2, leave=2), "start_frame long, end_frame long, reason string")
+
+
+def loudness(samples: list) -> float:
+    """Stands in for an activity model."""
+    return sum(abs(v) for v in samples) / len(samples)
+
+
+@query("r178_activity_hops", """with s as (select vec_id // 50 as stream, (vec_id % 50) * 64 + generate_subscripts(embedding, 1) - 1 as place, abs(unnest(embedding)::double) as v from embeddings)
+select stream, place // 48 * 48 as frame, round(least(1.0, avg(v)), 6) as prob from s group by all having count(*) = 48""", "embeddings")
+def _(embeddings: DataFrame) -> DataFrame:
+    """Pushes of 64 samples as hops of 48."""
+    out = fold_batch(samples(embeddings), "stream", ["vec_id"], partial(folds.Hops, loudness, 48), "frame long, prob double")
+    return out.withColumn("prob", F.round("prob", 6))
 
 
 class Spoken(session.Controller):
@@ -207,9 +234,9 @@ def _(embeddings: DataFrame) -> DataFrame:
     return embeddings.select("vec_id", signal.tiled(F.col("embedding"), 50).alias("samples")).mapInPandas(run, "vec_id long, kept int, made int, diff double")
 
 
-@query("r097_prefix_lengths", "select conv_id, turn, pos, n from (select conv_id, turn, generate_subscripts(p, 1) - 1 as pos, unnest(list_transform(range(1, len(p) + 1), lambda i: length(array_to_string(p[1:i], ' ')))) as n from (select conv_id, turn, (list_filter(string_split_regex(regexp_replace(text, '[^A-Za-z\\s]', '', 'g'), '\\s+'), lambda w: w <> ''))[1:8] as p from conversations))", "conversations")
+@query("r097_prefix_lengths", "select conv_id, turn, pos, n from (select conv_id, turn, generate_subscripts(p, 1) - 1 as pos, unnest(list_transform(range(1, len(p) + 1), lambda i: length(array_to_string(p[1:i], ' ')))) as n from (select conv_id, turn, (list_filter(string_split_regex(regexp_replace(text, '[^A-Za-z\\s]', '', 'g'), '\\s+'), lambda w: w <> '')) as p from conversations))", "conversations")
 def _(conversations: DataFrame) -> DataFrame:
-    pieces = F.transform(F.slice(T.words(F.regexp_replace("text", r"[^A-Za-z\s]", "")), 1, 8), lambda w: F.concat(F.lit("▁"), w))
+    pieces = F.transform(T.words(F.regexp_replace("text", r"[^A-Za-z\s]", "")), lambda w: F.concat(F.lit("▁"), w))
     d = conversations.select("conv_id", "turn", F.posexplode(T.prefix_lengths(pieces)).alias("pos", "n"))
     return d.select("conv_id", "turn", F.col("pos").cast("long").alias("pos"), F.col("n").cast("long").alias("n"))
 

@@ -200,13 +200,13 @@ def _(embeddings: DataFrame) -> DataFrame:
     return d.select("vec_id", "same_shape", F.round(F.array_max("d"), 6).alias("max_abs"), F.round(F.aggregate("d", F.lit(0.0), lambda a, x: a + x) / F.size("d"), 6).alias("mean_abs"))
 
 
-#: Two result sets by file: lines of shipped and of returned orders, a later line overwriting an earlier one.
-SIDES = "l as (select l_orderkey as file, (list(l_quantity order by l_linenumber desc, l_quantity desc))[1] as v from lineitem where l_linenumber <= 3 and l_orderkey % 3 <> 0 group by 1), r as (select l_orderkey as file, (list(l_quantity order by l_linenumber desc, l_quantity desc))[1] as v from lineitem where l_linenumber > 2 group by 1)"
+#: Two result sets by file: lines of filled orders and lines that weren't returned, a later line overwriting an earlier one.
+SIDES = "l as (select l_orderkey as file, (list(l_quantity order by l_linenumber desc, l_quantity desc))[1] as v from lineitem where l_linestatus = 'F' group by 1), r as (select l_orderkey as file, (list(l_quantity order by l_linenumber desc, l_quantity desc))[1] as v from lineitem where l_returnflag <> 'R' group by 1)"
 
 
 def sides(lineitem: DataFrame) -> tuple[DataFrame, DataFrame]:
     last = lambda d: stats.keep_last(d.select(F.col("l_orderkey").alias("file"), F.col("l_quantity").alias("v"), "l_linenumber"), ["file"], F.struct("l_linenumber", "v")).select("file", "v")
-    return last(lineitem.filter("l_linenumber <= 3 and l_orderkey % 3 <> 0")), last(lineitem.filter("l_linenumber > 2"))
+    return last(lineitem.filter("l_linestatus = 'F'")), last(lineitem.filter("l_returnflag <> 'R'"))
 
 
 @query("r059_result_sets", f"with {SIDES} select coalesce(l.file, r.file) as file, case when r.file is null then 'left' when l.file is null then 'right' else 'both' end as side, l.v as v_left, r.v as v_right from l full join r on l.file = r.file", "lineitem")
@@ -230,14 +230,15 @@ def _(documents: DataFrame, labels: DataFrame) -> DataFrame:
     return count(a.intersect(b), "both").union(count(a.subtract(b), "left")).union(count(b.subtract(a), "right"))
 
 
-@query("r080_match_counts", "select lang, count(*) as files, count(*) filter (where a = b) as exact, count(*) filter (where lower(a) = lower(b)) as normalized, coalesce(round(avg(case when length(a) = 0 then 0 else levenshtein(a, b)::double / length(a) end), 6), 0) as mean_cer from (select a.lang, substr(regexp_replace(a.text, '[^ -~]', '', 'g'), 1, 60) as a, substr(regexp_replace(b.text, '[^ -~]', '', 'g'), 1, 60) as b from documents a join documents b on b.doc_id = a.doc_id + 1) group by lang", "documents")
-def _(documents: DataFrame) -> DataFrame:
+@query("r080_match_counts", "select role, count(*) as files, count(*) filter (where a = b) as exact, count(*) filter (where lower(a) = lower(b)) as normalized, coalesce(round(avg(case when length(a) = 0 then 0 else levenshtein(a, b)::double / length(a) end), 6), 0) as mean_cer from (select a.role, regexp_replace(coalesce(a.text, ''), '[^ -~]', '', 'g') as a, regexp_replace(coalesce(b.text, ''), '[^ -~]', '', 'g') as b from conversations a join conversations b on b.conv_id = a.conv_id and b.turn = a.turn + 1) group by role", "conversations")
+def _(conversations: DataFrame) -> DataFrame:
+    """Whole turns against the next ones."""
     from phonolith.functions.text import cer
 
-    a = documents.select("doc_id", "lang", F.substring(F.regexp_replace("text", "[^ -~]", ""), 1, 60).alias("a"))
-    b = a.select((F.col("doc_id") - 1).alias("doc_id"), F.col("a").alias("b"))
+    a = conversations.select("conv_id", "turn", "role", F.regexp_replace(F.coalesce("text", F.lit("")), "[^ -~]", "").alias("a"))
+    b = a.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("a").alias("b"))
     same = lambda x, y: F.count_if(x == y)
-    return a.join(b, "doc_id").groupBy("lang").agg(F.count("*").alias("files"), same(F.col("a"), F.col("b")).alias("exact"), same(F.lower("a"), F.lower("b")).alias("normalized"), F.coalesce(F.round(F.avg(cer(F.col("a"), F.col("b"))), 6), F.lit(0.0)).alias("mean_cer"))
+    return a.join(b, ["conv_id", "turn"]).groupBy("role").agg(F.count("*").alias("files"), same(F.col("a"), F.col("b")).alias("exact"), same(F.lower("a"), F.lower("b")).alias("normalized"), F.coalesce(F.round(F.avg(cer(F.col("a"), F.col("b"))), 6), F.lit(0.0)).alias("mean_cer"))
 
 
 @query("r105_top_mismatches", "select l_orderkey, l_linenumber, abs(l_discount - l_tax) as diff from lineitem order by diff desc, l_orderkey, l_linenumber limit 10", "lineitem")
@@ -284,3 +285,13 @@ def _(lineitem: DataFrame) -> DataFrame:
 def _(lineitem: DataFrame) -> DataFrame:
     prediction, reference = F.when(F.col("l_returnflag") == "R", "a"), F.when(F.col("l_linestatus") == "F", "b")
     return lineitem.filter(prediction.isNotNull() & reference.isNotNull()).select("l_orderkey", "l_linenumber")
+
+
+@query("r021_report", """with s as (select l_returnflag as model, l_orderkey as file, avg(l_discount) as wer from lineitem group by all), c as (select file from s group by file having count(*) = (select count(distinct model) from s)),
+r as (select model, count(*) as files, avg(wer) as wer from s join c using (file) group by model)
+select 0::bigint as pos, '| model | files | wer |' as line union all select 1, '| - | - | - |' union all select 1 + row_number() over (order by model), '| ' || model || ' | ' || files || ' | ' || printf('%.4f', wer) || ' |' from r""", "lineitem")
+def _(lineitem: DataFrame) -> DataFrame:
+    """A Markdown report over the files that all models have, a row a line."""
+    scores = lineitem.groupBy(F.col("l_returnflag").alias("model"), F.col("l_orderkey").alias("file")).agg(F.avg("l_discount").alias("wer"))
+    lines = stats.report(scores, "model", "file", ["wer"]).split("\n")
+    return lineitem.sparkSession.createDataFrame(list(enumerate(lines)), "pos long, line string")

@@ -194,8 +194,8 @@ def _(embeddings: DataFrame) -> DataFrame:
     return d.select("vec_id", "best", F.round(A.log_softmax_at(F.col("embedding"), F.col("best")), 6).alias("log_prob"))
 
 
-#: Utterances of 25 logit frames over 8 tokens, token 0 blank.
-LOGITS = "(select vec_id // 25 as utt, vec_id % 25 as pos, list_position(embedding[1:8], list_max(embedding[1:8])) - 1 as id from embeddings)"
+#: Utterances of 25 logit frames over 64 tokens, token 0 blank.
+LOGITS = "(select vec_id // 25 as utt, vec_id % 25 as pos, list_position(embedding, list_max(embedding)) - 1 as id from embeddings)"
 
 
 @query("r163_ctc_pipeline", f"""with f as (select *, case when lag(id) over (partition by utt order by pos) is not distinct from id then 0 else 1 end as new from {LOGITS}),
@@ -204,7 +204,7 @@ s as (select utt, run, min(id) as id, min(pos) as a, max(pos) as b from r group
 select utt, string_agg(chr(cast(96 + id as int)), '' order by a) as text, count(*) as tokens, round(min(a) * 0.04::double, 3) as start_s, round((max(b) + 1) * 0.04::double, 3) as end_s from s group by utt""", "embeddings")
 def _(embeddings: DataFrame) -> DataFrame:
     """Logits to tokens to text with times, in one plan."""
-    f = embeddings.select(F.expr("vec_id div 25").alias("utt"), (F.col("vec_id") % 25).alias("pos"), A.argmax(F.slice("embedding", 1, 8)).alias("id"))
+    f = embeddings.select(F.expr("vec_id div 25").alias("utt"), (F.col("vec_id") % 25).alias("pos"), A.argmax(F.col("embedding")).alias("id"))
     s = islands.runs(f, ["utt"], ["pos"], F.col("id")).filter("value <> 0")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "value"))), lambda x: F.char(96 + x["value"])), "")
     return s.groupBy("utt").agg(text.alias("text"), F.count("*").alias("tokens"), F.round(F.min("start") * 0.04, 3).alias("start_s"), F.round((F.max("end") + 1) * 0.04, 3).alias("end_s"))

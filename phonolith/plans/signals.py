@@ -181,9 +181,9 @@ def _(embeddings: DataFrame) -> DataFrame:
     return both.select(F.col("key").alias("vec_id"), "sample_rate", F.size("got").alias("n"), F.round(error, 3).alias("error"))
 
 
-@query("r003_wav_decode", "select vec_id, 32000 as sample_rate, 64 as n from embeddings", "embeddings")
+@query("r003_wav_decode", "select vec_id, 32000 as sample_rate, i, trunc(greatest(-1.0::double, least(1.0, v)) * case when v < 0 then 32768 else 32767 end) / 32768 as v from (select vec_id, generate_subscripts(embedding, 1) - 1 as i, unnest(embedding)::double as v from embeddings)", "embeddings")
 def _(embeddings: DataFrame) -> DataFrame:
     from phonolith.sources import wav
 
     files = wav.encode(embeddings.select(F.col("vec_id").alias("key"), F.col("embedding").alias("samples")), 32000)
-    return wav.decode(files).select(F.col("key").alias("vec_id"), "sample_rate", F.size("samples").alias("n"))
+    return wav.decode(files).select(F.col("key").alias("vec_id"), "sample_rate", F.posexplode("samples").alias("i", "v")).withColumns({"i": F.col("i").cast("long"), "v": F.col("v").cast("double")})

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 PAGE = 100
+#: Ranges of an order by which sample() numbers rows.
+RANGES = 64
 
 
 def page(df: DataFrame, order: str, offset: int, length: int) -> DataFrame:
@@ -63,17 +65,24 @@ def offsets(total: int, wanted: int, seed: str | None) -> list[int]:
 def sample(df: DataFrame, order: str, wanted: int, seed: str | None) -> DataFrame:
     """wanted rows without replacement, with `ord`: by page, then as drawn.
 
-    Offsets become keys by a range partition and its row counts, so no task sees all rows.
+    Offsets become keys by ranges of the order and their row counts, so no task sees all rows. The ranges' bounds
+    are drawn first, so both passes over the rows number them alike, however Spark plans or repeats them.
     """
     spark = df.sparkSession
-    drawn = offsets(df.count(), wanted, seed)
-    places = sorted(range(len(drawn)), key=lambda i: (drawn[i] // PAGE, i))
-    wish = spark.createDataFrame([(drawn[i], n) for n, i in enumerate(places)], "offset long, ord int")
-    parts = df.repartitionByRange(order).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id() % F.lit(1 << 33))
+    spread = df.select(F.percentile_approx(order, [i / RANGES for i in range(1, RANGES)], 10 * RANGES).alias("b")).first()["b"] or []
+    bounds = sorted({b for b in spread if b is not None})
+    part = F.lit(0)
+    for b in bounds:
+        part = part + F.when(F.col(order) > F.lit(b), 1).otherwise(0)
+    parts = df.withColumn("_part", part.cast("int"))
     begins, total = [], 0
-    for part, n in sorted(parts.groupBy("_part").count().collect()):  # a number for each partition
-        begins.append((part, total))
+    for p, n in sorted(parts.groupBy("_part").count().collect()):  # at most RANGES numbers
+        begins.append((p, total, n))
         total += n
-    begin = spark.createDataFrame(begins, "_part int, _begin long")
-    numbered = parts.join(F.broadcast(begin), "_part").withColumn("offset", F.col("_begin") + F.col("_at"))
-    return numbered.join(F.broadcast(wish), "offset").select("ord", *df.columns)
+    drawn = offsets(total, wanted, seed)
+    places = sorted(range(len(drawn)), key=lambda i: (drawn[i] // PAGE, i))
+    wish = [(p, drawn[i] - begin + 1, n) for n, i in enumerate(places) for p, begin, size in begins if begin <= drawn[i] < begin + size]
+    wish = spark.createDataFrame(wish, "_part int, _at int, ord int")
+    hit = parts.join(F.broadcast(wish.select("_part").distinct()), "_part", "left_semi")  # ranges without a drawn offset end here
+    numbered = hit.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy(order)))
+    return numbered.join(F.broadcast(wish), ["_part", "_at"]).select("ord", *df.columns)

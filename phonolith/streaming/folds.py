@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from collections import deque
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 
@@ -170,18 +171,24 @@ class Detector:
     base: int = 0
     opened: int | None = None
 
+    def open(self, onset: int) -> None:
+        self.opened = max(self.base, onset - round(self.preroll_ms / 1000 * self.rate))
+
     def close(self, end: int, reason: str) -> dict:
         out = {"start_frame": self.opened, "end_frame": end, "reason": reason}
         self.base, self.opened = end, None
         return out
 
+    def too_long(self, end: int) -> bool:
+        return end - self.opened >= self.most_ms / 1000 * self.rate
+
     def step(self, row: dict) -> list[dict]:
         """row: a RoughGate's output."""
         end, out = row["frame"] + self.hop, []
         if self.opened is None and row["start"]:
-            self.opened = max(self.base, (row["onset"] or 0) - round(self.preroll_ms / 1000 * self.rate))
+            self.open(row["onset"] or 0)
         elif self.opened is not None:
-            if end - self.opened >= self.most_ms / 1000 * self.rate:
+            if self.too_long(end):
                 out.append(self.close(end, "max-duration"))
                 if row["active"]:
                     self.opened = end
@@ -193,6 +200,65 @@ class Detector:
         return [self.close(end, "finish")] if self.opened is not None else []
 
 
+@dataclass
+class VoiceDetector(Detector):
+    """Segments from the probabilities of an activity model, a row a hop, without the energy gate.
+
+    A run of speech opens a segment at its start once it is `enter` hops long, and hops below the threshold for
+    `leave` in a row close it. phase: listening, candidate (speech not sure yet, or silence not), speaking.
+    """
+
+    threshold: float = 0.5
+    enter: int = 3
+    leave: int = 5
+    frame: int = 0
+    run: int = 0
+    quiet: int = 0
+    phase: str = "listening"
+
+    def step(self, row: dict) -> list[dict]:
+        speech = row["prob"] is not None and row["prob"] >= self.threshold  # NaN isn't
+        self.frame += self.hop
+        self.run, self.quiet = (self.run + 1, 0) if speech else (0, self.quiet + 1)
+        if self.opened is None:
+            self.phase = "candidate" if speech else "listening"
+            if self.run >= self.enter:
+                self.open(self.frame - self.run * self.hop)
+                self.phase = "speaking"
+            return []
+        if self.too_long(self.frame):
+            out = self.close(self.frame, "max-duration")
+            self.opened, self.phase = (self.frame, "speaking") if speech else (None, "listening")
+            return [out]
+        if self.quiet >= self.leave:
+            self.phase = "listening"
+            return [self.close(self.frame, "vad-silence")]
+        self.phase = "speaking" if speech else "candidate"
+        return []
+
+
+@dataclass
+class Hops:
+    """Adapts an activity model to pushes of any size: samples gather to hops, each gets a probability.
+
+    model: samples of a hop to a probability; it must pickle for streams.
+    """
+
+    model: Callable[[list], float]
+    hop: int = 256
+    held: list = field(default_factory=list)
+    frame: int = 0
+
+    def step(self, row: dict) -> list[dict]:
+        self.held += list(row["samples"])
+        out = []
+        while len(self.held) >= self.hop:
+            now, self.held = self.held[: self.hop], self.held[self.hop :]
+            out.append({"frame": self.frame, "prob": min(1.0, max(0.0, float(self.model(now))))})
+            self.frame += self.hop
+        return out
+
+
 @dataclass
 class GatedDetector:
     """A gate and the detector behind it."""
@@ -206,20 +272,14 @@ class GatedDetector:
 
 @dataclass
 class Accumulator:
-    """Final texts are committed, partial ones replace the preview."""
+    """Final texts are settled, partial ones replace the preview. A row emits what it settles; read in order that is the text."""
 
-    committed: str = ""
-    preview: str = ""
     revision: int = 0
 
     def step(self, row: dict) -> list[dict]:
         self.revision += 1
-        if row["final"]:
-            self.committed, self.preview = " ".join(x for x in (self.committed, row["text"].strip()) if x), ""
-        else:
-            self.preview = row["text"].strip()
-        whole = " ".join(x for x in (self.committed, self.preview) if x)
-        return [{"revision": self.revision, "committed": self.committed, "preview": self.preview, "text": whole}]
+        text = (row["text"] or "").strip()
+        return [{"revision": self.revision, "settled": text if row["final"] else "", "preview": "" if row["final"] else text}]
 
 
 @dataclass

@@ -1,9 +1,17 @@
-"""Folds that merge overlapping transcripts into settled text."""
+"""Folds that merge overlapping transcripts. Each emits what it newly settles and what is still open.
+
+What is settled leaves the state: only a tail stays, to tell repeats from new words. So state, work and output of a
+row don't grow with the stream; settled rows read in order are the transcript.
+"""
 
 from __future__ import annotations
 
+import math
 import re
+from bisect import bisect_left, insort
+from collections import defaultdict, deque
 from dataclasses import dataclass, field
+from difflib import SequenceMatcher
 
 SENTENCE = re.compile(r"[^.!?]+[.!?]+|[^.!?]+$")
 
@@ -12,146 +20,191 @@ def key_of(text: str) -> str:
     return " ".join(text.lower().split())
 
 
+def bare(text: str) -> int:
+    """Characters that aren't white space."""
+    return len("".join(text.split()))
+
+
+def cut_sentences(words: list) -> list[list]:
+    """words, whose first items are texts, by the sentences that these make; a word goes to the sentence it ends in."""
+    out, left = [], iter(words)
+    for sentence in SENTENCE.findall(" ".join(w[0] for w in words)):
+        own, want = [], bare(sentence)
+        while want > 0 and (word := next(left, None)) is not None:
+            own.append(word)
+            want -= bare(word[0])
+        if own:
+            out.append(own)
+    if rest := list(left):
+        out.append(rest)
+    return out
+
+
 @dataclass
 class Utterances:
-    """Commits all sentences but the last; repeats that end at about the same time are dropped."""
+    """Settles all sentences of a window but the last; repeats that end at about the same time are dropped.
+
+    A sentence is told from the last `memory` settled ones.
+    """
 
     tolerance: float = 0.15
     least_words: int = 1
-    committed: list = field(default_factory=list)  # (text, end or None)
+    memory: int = 256
+    tail: deque = field(default_factory=deque)  # (key, end or None)
     pending: list = field(default_factory=list)  # words (text, start, end)
     cursor: float = 0.0
     revision: int = 0
 
     def known(self, text: str, end: float | None) -> bool:
-        return any(key_of(t) == key_of(text) and (e is None or end is None or abs(e - end) <= self.tolerance) for t, e in self.committed)
-
-    def _commit(self, words: list) -> bool:
-        text, end = " ".join(w[0] for w in words), words[-1][2]
-        if len(words) < self.least_words or self.known(text, end):
-            return False
-        self.committed.append((text, end))
-        if end is not None:
-            self.cursor = max(self.cursor, end)
-        return True
+        near = lambda e: e is None or end is None or abs(e - end) <= self.tolerance
+        return any(k == key_of(text) and near(e) for k, e in self.tail)
+
+    def _settle(self, sentences: list[list]) -> list[str]:
+        out = []
+        for words in sentences:
+            text, end = " ".join(w[0] for w in words), words[-1][2]
+            if len(words) >= self.least_words and not self.known(text, end):
+                out.append(text)
+                self.tail.append((key_of(text), end))
+                self.cursor = max(self.cursor, end or 0.0)
+        while len(self.tail) > self.memory:
+            self.tail.popleft()
+        return out
 
     def process(self, words: list) -> dict:
         """words: (text, start, end) of a window's transcript; times may be None."""
         self.revision += 1
-        self.pending = []
-        joined = " ".join(w[0] for w in words)
-        sentences = [s.strip() for s in SENTENCE.findall(joined) if s.strip()]
-        at, cuts = 0, []
-        for s in sentences:
-            want, have = len(re.sub(r"\s+", "", s)), 0
-            for i in range(at, len(words)):
-                have += len(re.sub(r"\s+", "", words[i][0]))
-                if have >= want:
-                    cuts.append((at, i + 1))
-                    at = i + 1
-                    break
-        for a, b in cuts[:-1]:
-            self._commit(words[a:b])
-        self.pending = words[cuts[-1][0] :] if cuts else list(words)
-        return self.state()
+        *done, self.pending = cut_sentences(words) or [[]]
+        return self.state(self._settle(done))
 
     def finalize(self) -> dict:
-        if self.pending:
-            self.revision += self._commit(self.pending)
-            self.pending = []
-        return self.state()
+        settled = self._settle([self.pending] if self.pending else [])
+        self.revision, self.pending = self.revision + len(settled), []
+        return self.state(settled)
 
-    def state(self) -> dict:
-        return {"revision": self.revision, "committed": " ".join(t for t, _ in self.committed), "preview": " ".join(w[0] for w in self.pending), "cursor": self.cursor}
+    def state(self, settled: list[str]) -> dict:
+        return {"revision": self.revision, "settled": " ".join(settled), "preview": " ".join(w[0] for w in self.pending), "cursor": self.cursor}
 
     def step(self, row: dict) -> list[dict]:
         words = [(w, None, None) if isinstance(w, str) else tuple(w) for w in row["words"]]
         return [self.process(words)] + ([self.finalize()] if row.get("final") else [])
 
 
+@dataclass
+class Times:
+    """Times of tokens by id, in order."""
+
+    of: dict = field(default_factory=lambda: defaultdict(list))
+
+    def add(self, token: tuple) -> None:
+        insort(self.of[token[0]], token[1])
+
+    def near(self, token: tuple, distance: float) -> bool:
+        """Whether a token of this id lies closer than distance."""
+        times = self.of.get(token[0], ())
+        at = bisect_left(times, token[1])
+        return any(abs(t - token[1]) < distance for t in times[max(0, at - 1) : at + 1])
+
+    def forget(self, before: float) -> None:
+        for i in list(self.of):
+            self.of[i] = [t for t in self.of[i] if t >= before]
+            if not self.of[i]:
+                del self.of[i]
+
+
+#: Seconds behind a window's start in which a settled token may be seen again.
+REACH = 60.0
+
+
 @dataclass
 class Aligned:
-    """Tokens by time: what two overlapping windows agree on, or see twice, is settled."""
+    """Tokens by time: what comes before the first token that two windows share is settled, and so is what is seen often."""
 
     frame_s: float = 0.08
     near_s: float = 0.2
     stable: int = 2
-    confirmed: list = field(default_factory=list)  # (id, time)
-    pending: list = field(default_factory=list)
-    seen: dict = field(default_factory=dict)
-
-    def _has(self, token: tuple) -> bool:
-        return any(i == token[0] and abs(t - token[1]) < self.near_s for i, t in self.confirmed)
-
-    def process(self, ids: list, frames: list, start: float, overlap: float) -> dict:
-        tokens = [(i, start + f * self.frame_s) for i, f in zip(ids, frames)]
-        old = [t for t in tokens if t[1] < start + overlap]
-        anchors = sorted((t for t in old if any(p[0] == t[0] and abs(p[1] - t[1]) < self.near_s for p in self.pending)), key=lambda t: t[1])
-        if anchors:
-            self.confirmed += [p for p in self.pending if p[1] < anchors[0][1]]
-            for t in old:
-                place = (t[0], round(10 * t[1]))
-                self.seen[place] = self.seen.get(place, 0) + 1
-                if self.seen[place] >= self.stable and not self._has(t):
-                    self.confirmed.append(t)
-        self.pending = tokens[len(old) :]
-        oldest = round(10 * (start - 60))  # what can't come again is forgotten
-        self.seen = {k: v for k, v in self.seen.items() if k[1] >= oldest}
-        return {"anchors": len(anchors), "confirmed": [i for i, _ in self.confirmed], "pending": [i for i, _ in self.pending]}
+    settled: Times = field(default_factory=Times)
+    pending: list = field(default_factory=list)  # (id, time)
+    votes: dict = field(default_factory=dict)  # by id and tenth of a second
+
+    def _anchor(self, again: list) -> tuple[int, float | None]:
+        """How many tokens of the overlap are pending too, and when the first of them is."""
+        open_ = Times()
+        for t in self.pending:
+            open_.add(t)
+        shared = [t[1] for t in again if open_.near(t, self.near_s)]
+        return len(shared), min(shared, default=None)
+
+    def _voted(self, again: list):
+        for t in again:
+            slot = t[0], math.floor(10 * t[1] + 0.5)
+            self.votes[slot] = self.votes.get(slot, 0) + 1
+            if self.votes[slot] >= self.stable and not self.settled.near(t, self.near_s):
+                yield t
 
     def step(self, row: dict) -> list[dict]:
-        return [self.process(row["ids"], row["frames"], row["start"], row["overlap"])]
+        tokens = [(i, row["start"] + f * self.frame_s) for i, f in zip(row["ids"], row["frames"])]
+        limit, out = row["start"] + row["overlap"], []
+
+        def settle(some) -> None:
+            for t in some:
+                out.append(t[0])
+                self.settled.add(t)
+
+        again = [t for t in tokens if t[1] < limit]
+        anchors, first = self._anchor(again)
+        if first is not None:
+            settle(t for t in self.pending if t[1] < first)
+            settle(self._voted(again))
+        self.pending = [t for t in tokens if t[1] >= limit]
+        self.settled.forget(row["start"] - REACH)
+        self.votes = {k: n for k, n in self.votes.items() if k[1] >= 10 * (row["start"] - REACH)}
+        return [{"anchors": anchors, "settled": out, "pending": [t[0] for t in self.pending]}]
 
 
 def longest_run(a: list, b: list) -> tuple[int, int, int]:
     """Where the longest common run of two lists begins in each, and its length; the first of equals."""
-    best, row = (0, 0, 0), [0] * (len(b) + 1)
-    for i, x in enumerate(a):
-        for j in range(len(b) - 1, -1, -1):
-            row[j + 1] = row[j] + 1 if x == b[j] else 0
-            if row[j + 1] > best[2] or (row[j + 1] == best[2] > 0 and i + 1 - row[j + 1] == best[0] and j + 1 - row[j + 1] < best[1]):
-                best = (i + 1 - row[j + 1], j + 1 - row[j + 1], row[j + 1])
-    return best
+    found = SequenceMatcher(None, a, b, autojunk=False).find_longest_match()
+    return (found.a, found.b, found.size) if found.size else (0, 0, 0)
 
 
 @dataclass
 class CommonRun:
-    """Tokens by their longest common run: an anchor if long and in time, else the likelier side wins."""
+    """Tokens by the longest run that two windows share: kept if it is long and in time, else the likelier side's is.
+
+    With nothing pending a window is taken as it is.
+    """
 
     frame_s: float = 0.08
     least: int = 3
     near_s: float = 0.15
-    confirmed: list = field(default_factory=list)
     pending: list = field(default_factory=list)  # (id, time, weight)
-    begun: bool = False
-
-    def process(self, ids: list, frames: list, log_probs: list, start: float, overlap: float) -> dict:
-        import math
-
-        n = max(1, len(ids))
-        weight = lambda i: math.exp(-((i - (n - 1) / 2) ** 2) / (2 * (n * 0.25) ** 2))
-        tokens = [(t, start + f * self.frame_s, p * weight(i)) for i, (t, f, p) in enumerate(zip(ids, frames, log_probs))]
-        if not self.begun:
-            self.begun, self.pending = True, tokens
-            return self._state(0)
-        old = [t for t in tokens if t[1] < start + overlap]
-        a, b, n = longest_run([p[0] for p in self.pending], [t[0] for t in old])
-        mine, theirs = self.pending[a : a + n], old[b : b + n]
-        if n >= self.least and all(abs(x[1] - y[1]) <= self.near_s for x, y in zip(mine, theirs)):
-            self.confirmed += [p[0] for p in self.pending[: a + n]]
-        elif n:
-            better = theirs if sum(t[2] for t in theirs) > sum(t[2] for t in mine) else mine
-            self.confirmed += [p[0] for p in self.pending[:a]] + [t[0] for t in better]
-        else:
-            self.confirmed += [p[0] for p in self.pending]
-        self.pending = tokens[len(old) :]
-        return self._state(n)
-
-    def _state(self, run: int) -> dict:
-        return {"run": run, "confirmed": list(self.confirmed), "pending": [p[0] for p in self.pending]}
+
+    def _weighed(self, row: dict) -> list[tuple]:
+        """Tokens with their log-probabilities, less sure towards a window's ends."""
+        n = max(1, len(row["ids"]))
+        ease = lambda i: math.exp(-((i - (n - 1) / 2) ** 2) / (2 * (n * 0.25) ** 2))
+        return [(t, row["start"] + f * self.frame_s, p * ease(i)) for i, (t, f, p) in enumerate(zip(row["ids"], row["frames"], row["log_probs"]))]
+
+    def _agreed(self, again: list) -> tuple[int, list]:
+        """Length of the shared run, and what it settles of pending tokens."""
+        ids = lambda some: [t[0] for t in some]
+        a, b, n = longest_run(ids(self.pending), ids(again))
+        if not n:
+            return 0, self.pending
+        before, mine, theirs = self.pending[:a], self.pending[a : a + n], again[b : b + n]
+        timely = n >= self.least and all(abs(x[1] - y[1]) <= self.near_s for x, y in zip(mine, theirs))
+        worth = lambda some: sum(t[2] for t in some)
+        return n, before + (theirs if not timely and worth(theirs) > worth(mine) else mine)
 
     def step(self, row: dict) -> list[dict]:
-        return [self.process(row["ids"], row["frames"], row["log_probs"], row["start"], row["overlap"])]
+        tokens, limit = self._weighed(row), row["start"] + row["overlap"]
+        run, settled = 0, []
+        if self.pending:
+            run, settled = self._agreed([t for t in tokens if t[1] < limit])
+            tokens = [t for t in tokens if t[1] >= limit]
+        self.pending = tokens
+        return [{"run": run, "settled": [t[0] for t in settled], "pending": [t[0] for t in tokens]}]
 
 
 # Greedy decoders over logits given as data.

@@ -59,22 +59,74 @@ def test_utterances():
     words = [("Hello", 0.0, 0.4), ("world.", 0.4, 0.8), ("This", 0.9, 1.0), ("is", 1.0, 1.1), ("still", 1.1, 1.3), ("running", 1.3, 1.6)]
     m = mergers.Utterances()
     s = m.process(words)
-    assert (s["committed"], s["preview"], s["cursor"]) == ("Hello world.", "This is still running", 0.8)
+    assert (s["settled"], s["preview"], s["cursor"]) == ("Hello world.", "This is still running", 0.8)
     again = m.process(words)
-    assert again["committed"] == "Hello world." and again["revision"] == 2
-    assert m.finalize()["committed"] == "Hello world. This is still running" and m.finalize()["revision"] == 3
+    assert again["settled"] == "" and again["revision"] == 2
+    assert m.finalize()["settled"] == "This is still running" and m.finalize() == {"revision": 3, "settled": "", "preview": "", "cursor": 1.6}
+    far = [("Hello", 9.0, 9.4), ("world.", 9.4, 9.8), ("x", None, None)]
+    assert m.process(far)["settled"] == "Hello world."  # at another time it is said anew
+
+
+def test_utterances_state_is_bounded():
+    m = mergers.Utterances(memory=8)
+    out = [m.process([(f"s{i}.", i, i + 0.5), ("open", i + 0.5, i + 0.9)]) for i in range(500)]
+    assert [o["settled"] for o in out] == [f"s{i}." for i in range(500)] and len(m.tail) == 8
+
+
+def aligned(f, ids, frames, start, overlap):
+    return f.step({"ids": ids, "frames": frames, "start": start, "overlap": overlap})[0]
 
 
 def test_token_mergers():
     a = mergers.Aligned(frame_s=1.0, near_s=0.2)
-    assert a.process([1, 2, 3], [0, 1, 2], 0.0, 0.0)["pending"] == [1, 2, 3]
-    got = a.process([2, 3, 4], [0, 1, 2], 1.0, 2.0)
-    assert got == {"anchors": 2, "confirmed": [1], "pending": [4]}
+    assert aligned(a, [1, 2, 3], [0, 1, 2], 0.0, 0.0)["pending"] == [1, 2, 3]
+    assert aligned(a, [2, 3, 4], [0, 1, 2], 1.0, 2.0) == {"anchors": 2, "settled": [1], "pending": [4]}
+    assert aligned(a, [3, 4, 5], [0, 1, 2], 2.0, 2.0) == {"anchors": 1, "settled": [3], "pending": [5]}  # 3 is seen twice
+    assert aligned(a, [9], [0], 300.0, 0.0)["settled"] == [] and not a.settled.of and not a.votes  # what can't come again is forgotten
+
+
+def test_votes_round_half_up():
+    a = mergers.Aligned(frame_s=0.25, stable=1)
+    aligned(a, [7], [1], 0.0, 0.0)
+    aligned(a, [7], [1], 0.0, 1.0)
+    assert list(a.votes) == [(7, 3)]
+
+
+def common(f, ids, start, overlap, p=None):
+    return f.step({"ids": ids, "frames": list(range(len(ids))), "log_probs": p or [-1] * len(ids), "start": start, "overlap": overlap})[0]
+
+
+def test_common_run():
+    c = mergers.CommonRun(frame_s=1.0)
+    common(c, [1, 2, 3, 4], 0.0, 0.0)
+    assert common(c, [2, 3, 4, 5], 1.0, 3.0) == {"run": 3, "settled": [1, 2, 3, 4], "pending": [5]}
+    assert mergers.longest_run([1, 2, 3, 9, 2, 3], [0, 2, 3]) == (1, 1, 2) and mergers.longest_run([1], [2]) == (0, 0, 0)
     c = mergers.CommonRun(frame_s=1.0)
-    c.process([1, 2, 3, 4], [0, 1, 2, 3], [-1] * 4, 0.0, 0.0)
-    got = c.process([2, 3, 4, 5], [0, 1, 2, 3], [-1] * 4, 1.0, 3.0)
-    assert got == {"run": 3, "confirmed": [1, 2, 3, 4], "pending": [5]}
-    assert mergers.longest_run([1, 2, 3, 9, 2, 3], [0, 2, 3]) == (1, 1, 2)
+    out = [common(c, ids, start, overlap) for ids, start, overlap in (([1, 2, 3], 0.0, 0.0), ([2, 3], 1.0, 9.0), ([7, 8, 9], 5.0, 0.0), ([9, 10], 7.0, 1.0))]
+    assert [o["settled"] for o in out] == [[], [1, 2, 3], [], [7, 8, 9]] and out[-1]["pending"] == [10]  # an empty state begins anew
+    for p, kept in (([0, 0], "mine"), ([-1, -1], "mine"), ([5.0, 5.0], "theirs")):  # without likelihoods the pending side stays
+        c = mergers.CommonRun(frame_s=1.0)
+        common(c, [1, 2], 0.0, 0.0, [0, 0] if p == [0, 0] else [-0.5, -0.5])
+        c.step({"ids": [1, 2], "frames": [3, 4], "log_probs": p, "start": 0.0, "overlap": 9.0})
+        mine = mergers.CommonRun(frame_s=1.0)
+        mine.pending = [(1, 0.0, 0.0), (2, 1.0, 0.0)]
+        _, got = mine._agreed([(1, 3.0, p[0]), (2, 4.0, p[1])])
+        assert [t[1] for t in got] == ([0.0, 1.0] if kept == "mine" else [3.0, 4.0])
+
+
+def test_voice_detector():
+    probs = [0.1] * 10 + [0.9] * 6 + [0.1] * 8 + [0.9] * 2 + [0.1] * 5
+    d = folds.VoiceDetector(hop=16, rate=1000, preroll_ms=32.0, enter=3, leave=5)
+    got = run(d, [{"prob": p} for p in probs])
+    assert got == [{"start_frame": 128, "end_frame": 336, "reason": "vad-silence"}] and d.phase == "listening"
+    long = run(folds.VoiceDetector(hop=16, rate=1000, preroll_ms=0.0, most_ms=160.0), [{"prob": 0.9}] * 30)
+    assert [x["reason"] for x in long] == ["max-duration"] * len(long) and all(a["end_frame"] == b["start_frame"] for a, b in zip(long, long[1:]))
+    assert run(folds.VoiceDetector(), [{"prob": None}, {"prob": math.nan}] * 20) == []
+
+
+def test_hops_adapter():
+    f = folds.Hops(len, 4)
+    assert [f.step({"samples": [0] * n}) for n in (3, 6, 1)] == [[], [{"frame": 0, "prob": 1.0}, {"frame": 4, "prob": 1.0}], []] and len(f.held) == 2
 
 
 def test_decoders():

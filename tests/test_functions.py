@@ -1,5 +1,6 @@
 """Known values of the scalar, text and array functions."""
 
+import re
 import math
 
 import numpy as np
@@ -27,12 +28,48 @@ def test_text(spark):
     assert list(one(spark, T.csv_field(F.lit('a"b')), T.csv_field(F.lit(None)), T.csv_field(F.lit("x")))) == ['"a""b"', "", "x"]
 
 
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
 def test_word_edits(spark):
-    a, b = "the cat sat on the mat".split(), "a cat sat in the mat today".split()
-    exact, any_size = one(spark, T.word_edits(lits(*a), lits(*b)), T.word_edits_any(lits(*a), lits(*b)))
-    assert exact == any_size == 3
-    many = [str(i) for i in range(200)]
-    assert list(one(spark, T.word_edits(lits(*many), lits(*many[1:])), T.word_edits_any(lits(*many), lits(*many[1:])))) == [None, 1]
+    many = [f"w{i}" for i in range(70_000)]  # beyond one private plane
+    for a, b in ((["a", "b", "c"], ["a", "x", "c", "d"]), ([], []), ([], ["a"]), (["a"], []), (["é", "b"], ["b", "é", "é"])):
+        d = spark.createDataFrame([(a, b)], "a array<string>, b array<string>")
+        assert d.select(T.word_edits(F.col("a"), F.col("b"))).first()[0] == edits(a, b)
+    d = spark.createDataFrame([(many, many[1:5])], "a array<string>, b array<string>")
+    assert d.select(T.word_edits(F.col("a"), F.col("b"))).first()[0] == len(many) - 4
+
+
+def test_error_rates_of_whole_turns(spark):
+    """The queries on word edits, counted by hand over the whole table."""
+    from conftest import DATA
+    from phonolith import plans
+
+    norm = lambda t: " ".join(re.sub(r"[^a-z0-9\s]", " ", (t or "").lower()).split())
+    rows = {(r["conv_id"], r["turn"]): (norm(r["text"]), r["role"]) for r in spark.read.parquet(f"{DATA}/conversations.parquet").collect()}
+    pairs = {k: (rows[k][0].split(), rows[k[0], k[1] + 1][0].split(), rows[k][1]) for k in rows if (k[0], k[1] + 1) in rows}
+    got = {(r["conv_id"], r["turn"]): r["edits"] for r in plans.QUERIES["r121_word_edits_any"](spark, DATA).collect()}
+    want = {k: edits(a, b) for k, (a, b, _) in pairs.items()}
+    assert got == want
+    wer = {(r["conv_id"], r["turn"]): r["wer"] for r in plans.QUERIES["r121_cer_wer"](spark, DATA).collect()}
+    assert all(abs(wer[k] - (want[k] / len(a) if a else 0)) < 1e-9 for k, (a, _, _) in pairs.items())
+    for r in plans.QUERIES["r122_corpus_error_rates"](spark, DATA).collect():
+        own = [k for k in pairs if pairs[k][2] == r["role"]]
+        assert abs(r["corpus_wer"] - sum(want[k] for k in own) / sum(len(pairs[k][0]) for k in own)) < 1e-9
+
+
+def test_sample_of_a_wide_table(spark):
+    """Every drawn offset is found once, over many partitions."""
+    d = spark.range(100_000).select(F.col("id").alias("k"), F.repeat(F.lit("x"), 512).alias("wide")).repartition(7)
+    got = datasets.sample(d, "k", 300, "fixed-seed").orderBy("ord").collect()
+    drawn = datasets.offsets(100_000, 300, "fixed-seed")
+    assert len(got) == 300 and [r["k"] for r in got] == [drawn[i] for i in sorted(range(300), key=lambda i: (drawn[i] // datasets.PAGE, i))]
 
 
 @pytest.mark.parametrize(("json", "url"), [('{"src": "a"}', "a"), ('[{"path": "b"}]', "b"), ('"c"', "c"), ("d", "d"), ('{"x": 1}', None), ("", None), (None, None)])

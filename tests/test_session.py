@@ -53,9 +53,9 @@ def test_transcriber():
 def test_controller():
     c = S.Controller()
     first = c.step({"base": 0, "end": 48000, "words": [("Hello", 0.0, 0.4), ("there.", 0.5, 0.9), ("More", 1.0, 1.2)], "silence_s": 0.0})
-    assert [(o["kind"], o["committed"], o["preview"]) for o in first] == [("partial", "Hello there.", "More")] and c.windows.cursor == 14400
+    assert [(o["kind"], o["settled"], o["preview"]) for o in first] == [("partial", "Hello there.", "More")] and c.windows.cursor == 14400
     last = c.step({"base": 0, "end": 49000, "words": [], "silence_s": 1.0})
-    assert [(o["kind"], o["committed"]) for o in last] == [("silence-finalize", "Hello there. More")]
+    assert [(o["kind"], o["settled"]) for o in last] == [("silence-finalize", "More")]
 
 
 def test_profiles():
