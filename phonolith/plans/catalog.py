@@ -106,6 +106,15 @@ def _(part: DataFrame) -> DataFrame:
     return part.select(F.col("p_name").alias("name")).filter(F.trim("name") != "").distinct()
 
 
+#: The first numbers of the generator seeded by a hash of 'fixed-seed', as (pos, number). 32-bit words in 64-bit ones.
+LOW = "4294967295::ubigint"
+DRAWS = f"""(select pos, (xor(t, t >> 14) & {LOW})::double / 4294967296 as number
+from (select pos, xor(t, (t + ((xor(t, t >> 7) * (t | 61)) & {LOW})) & {LOW}) as t
+from (select pos, (xor(s, s >> 15) * (s | 1)) & {LOW} as t
+from (select pos, (h + (pos + 1) * 1831565813)::ubigint & {LOW} as s
+from (select list_reduce(list_prepend(2166136261::hugeint, list_transform(string_split('fixed-seed', ''), lambda c: ord(c)::hugeint)), lambda h, c: (xor(h::uhugeint, c::uhugeint)::hugeint * 16777619) % 4294967296)::bigint as h), range(0, 1000) p(pos)))))"""
+
+
 #: Backends of the catalogue: suppliers, with properties derived from their keys.
 BACKENDS = "(select s_suppkey as reg, s_name as id, s_suppkey % 5 > 0 as available, s_suppkey % 3 = 0 as experimental, case when s_suppkey % 2 = 0 then ['fp32', 'fp16'] else ['fp32'] end as precisions, case s_suppkey % 4 when 0 then ['npu'] when 1 then ['gpu'] when 2 then ['hybrid'] else ['cpu'] end as acceleration, s_suppkey % 7 = 0 as shared_buffer, s_suppkey % 2 = 1 as fallback, s_nationkey as priority from supplier)"
 
@@ -174,7 +183,9 @@ def _(lineitem: DataFrame) -> DataFrame:
     return d.groupBy("l_orderkey").agg(F.count("*").alias("words"), F.round(F.max("d"), 6).alias("max_diff"), over(0.04).alias("over_40"), over(0.08).alias("over_80"))
 
 
-@query("r112_seeded_sample", None, "documents")
+@query("r112_seeded_sample", f"""with n as (select count(*) as n from documents), d as (select pos, floor(number * n)::bigint as place from {DRAWS}, n where pos < least(3 * n, n + 500)),
+o as (select place, min(pos) as pos from d group by place order by 2 limit 25)
+select (row_number() over (order by place // 100, pos) - 1)::int as ord, doc_id, n_chars from o join (select doc_id, n_chars, row_number() over (order by doc_id) - 1 as place from documents) using (place)""", "documents")
 def _(documents: DataFrame) -> DataFrame:
     return datasets.sample(documents.select("doc_id", "n_chars"), "doc_id", 25, "fixed-seed")
 
@@ -210,14 +221,14 @@ def _(region: DataFrame) -> DataFrame:
     return region.select("r_regionkey", "r_name", F.aggregate(codes, F.lit(2166136261), step).alias("seed"))
 
 
-@query("r111_random_numbers", None, "region")
+@query("r111_random_numbers", f"select pos::int as pos, number from {DRAWS} where pos < 100", "region")
 def _(region: DataFrame) -> DataFrame:
     """The first numbers of a seeded generator."""
     draw = datasets.random_numbers(datasets.seed_number("fixed-seed"))
     return region.sparkSession.createDataFrame([(i, next(draw)) for i in range(100)], "pos int, number double")
 
 
-@query("r188_profiles", None, "region")
+@query("r188_profiles", "select n as name, ceil(a / 16) * 16 as preroll, ceil(b / 16) * 16 as most, t as threshold, ceil(c / 16) * 16 as speech, ceil(d / 16) * 16 as silence, ceil(e / 16) * 16 as hangover, ceil(f / 16) * 16 as lookback from (values ('realtime', 680::double, 3600::double, 0.55::double, 240::double, 320::double, 320::double, 240::double), ('generic', 680, 3600, 0.55, 240, 320, 320, 240), ('aggressive', 680, 3600, 0.42, 160, 128, 320, 240), ('conservative', 680, 3600, 0.6, 240, 256, 480, 240)) v(n, a, b, t, c, d, e, f)", "region")
 def _(region: DataFrame) -> DataFrame:
     from dataclasses import astuple
 
@@ -227,7 +238,7 @@ def _(region: DataFrame) -> DataFrame:
     return region.sparkSession.createDataFrame([tuple(x if isinstance(x, str) else float(x) for x in astuple(p)) for p in PROFILES.values()], schema)
 
 
-@query("r100_backend_choice", None, "supplier")
+@query("r100_backend_choice", f"select id from {BACKENDS} where available and not experimental and list_contains(precisions, 'fp16') order by reg limit 1", "supplier")
 def _(supplier: DataFrame) -> DataFrame:
     best = catalog.select(backends(supplier), catalog.Criteria(precision="fp16", environment="node"), [])
     return supplier.filter(F.col("s_name") == best).select(F.col("s_name").alias("id"))

@@ -1,4 +1,4 @@
-"""Queries of recursive operators: folds per key, greedy decoders, mergers. SQL doesn't express them; tests do."""
+"""Queries of recursive operators: folds per key, greedy decoders, mergers. Where SQL doesn't express them, tests do."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import StringType
 
 from phonolith.functions import signal, text as T
+from phonolith.operators import islands
 from phonolith.streaming import folds, mergers, session
 from phonolith.streaming.runner import fold_batch
 
@@ -23,15 +24,31 @@ def hops(events: DataFrame) -> DataFrame:
 
 
 ORDER = ["ts", "event_id"]
+#: hops() in SQL, numbered.
+HOPS = "(select user_id, ts, event_id, least(1.0, value / 200) as p, event_type = 'error' as rejected, row_number() over (partition by user_id order by ts, event_id) as n from events)"
 
 
-@query("r095_hysteresis", None, "events")
+@query("r095_hysteresis", f"""with k as (select *, case when p is null or isnan(p) or p < 0.35 then -1 when p >= 0.5 then 1 else 0 end as kind from {HOPS}),
+i as (select *, n - row_number() over (partition by user_id, kind order by n) as island from k),
+e as (select *, row_number() over (partition by user_id, kind, island order by n) as place from i),
+s as (select user_id, coalesce(last_value(case when kind = 1 and place >= 2 then true when kind = -1 and place >= 4 then false end ignore nulls) over (partition by user_id order by n rows unbounded preceding), false) as speaking from e)
+select user_id, count_if(speaking)::bigint as speaking, count(*) as hops from s group by user_id""", "events")
 def _(events: DataFrame) -> DataFrame:
-    out = fold_batch(hops(events).select("user_id", *ORDER, "prob"), "user_id", ORDER, folds.Hysteresis, "speaking boolean")
+    out = islands.hysteresis(hops(events).select("user_id", *ORDER, "prob"), ["user_id"], ORDER, F.col("prob"))
     return out.groupBy("user_id").agg(F.count_if("speaking").alias("speaking"), F.count("*").alias("hops"))
 
 
-@query("r174_noise_floor", None, "events")
+#: Mean of the lowest 60 of 100 of a list; null of an empty one.
+LOW_MEAN = "list_avg(list_sort({0})[1:greatest(1, floor(len({0}) * 0.6::double)::int)])"
+
+
+@query("r174_noise_floor", f"""with recursive h as (select user_id, n, greatest(1e-5::double, p / 2) as e, rejected as r from {HOPS}),
+f as (select user_id, 0::bigint as n, 0.005::double as floor, 0.0::double as silence, []::double[] as quiet, []::double[] as loud from h group by user_id
+union all select user_id, n, greatest(1e-5::double, floor * (1 - rate) + rate * case when q is not null and l is not null then 0.8::double * q + 0.2::double * l else coalesce(q, l) end), silence, quiet, loud
+from (select *, {LOW_MEAN.format("quiet")} as q, {LOW_MEAN.format("loud")} as l, case when r then 0.005::double when silence >= 1 then 0.01::double else 0.15::double - 0.14::double * silence end as rate
+from (select h.user_id, h.n, r, floor, case when r then 0.0::double else silence + 0.08::double end as silence, case when r then quiet else list_append(quiet, e)[-64:] end as quiet, case when r then list_append(loud, e)[-64:] else loud end as loud
+from f join h on h.user_id = f.user_id and h.n = f.n + 1)))
+select user_id, round(min(floor), 9) as least, round(max(floor), 9) as most from f where n > 0 group by user_id""", "events")
 def _(events: DataFrame) -> DataFrame:
     out = fold_batch(hops(events).select("user_id", *ORDER, "energy", "seconds", "rejected"), "user_id", ORDER, folds.NoiseFloor, "floor double")
     return out.groupBy("user_id").agg(F.round(F.min("floor"), 9).alias("least"), F.round(F.max("floor"), 9).alias("most"))
@@ -56,13 +73,19 @@ def _detector(make) -> folds.GatedDetector:
     return copy.deepcopy(make())
 
 
-@query("r168_rolling_window", None, "embeddings")
+#: Chunks of streams with the running sum of their seconds, and what of them a window of 30 seconds holds.
+CHUNKS = "(select vec_id // 50 as stream, vec_id, vec_id % 50 as n, 1.0::double + vec_id % 7 as s, sum(1.0::double + vec_id % 7) over (partition by vec_id // 50 order by vec_id) as total from embeddings)"
+ROLLING = f"select t.stream, min(f.n) as first, t.n as last, t.total - min(f.total - f.s) as seconds from {CHUNKS} t join {CHUNKS} f on t.stream = f.stream and f.n <= t.n and not (t.total - f.total + f.s > 30 and f.n < t.n and t.total - f.total >= 2) group by t.stream, t.n, t.total"
+
+
+@query("r168_rolling_window", ROLLING, "embeddings")
 def _(embeddings: DataFrame) -> DataFrame:
     d = embeddings.select(F.expr("vec_id div 50").alias("stream"), "vec_id", (F.col("vec_id") % 50).alias("sequence"), (1.0 + F.col("vec_id") % 7).alias("seconds"))
     return fold_batch(d, "stream", ["vec_id"], folds.RollingWindow, "first long, last long, seconds double")
 
 
-@query("r170_window_builder", None, "embeddings")
+@query("r170_window_builder", """with d as (select vec_id // 50 as stream, (vec_id % 50 + 1) * 16000 as e, max(case when vec_id % 5 = 4 then vec_id % 50 * 16000 else 0 end) over (partition by vec_id // 50 order by vec_id) as cursor from embeddings)
+select stream, greatest(cursor, case when cursor > 0 then e - 480000 else 0 end) as start, case when cursor > 0 then e else least(e, 480000) end as "end" from d where e - cursor >= case when cursor > 0 then 48000 else 24000 end""", "embeddings")
 def _(embeddings: DataFrame) -> DataFrame:
     k = F.col("vec_id") % 50
     d = embeddings.select(F.expr("vec_id div 50").alias("stream"), "vec_id", F.lit(0).cast("long").alias("base"), ((k + 1) * 16000).alias("end"), F.when(k % 5 == 4, k * 16000).alias("cursor"))
@@ -141,8 +164,21 @@ def decoded(kind: str):
     return decode
 
 
+#: The place, from 0, of the first largest of n logits from the i-th on.
+TOP = "(list_position(embedding[{0} + 1:{0} + {1}], list_max(embedding[{0} + 1:{0} + {1}])) - 1)"
+GREEDY = {
+    "durations": f"""with recursive b as (select vec_id, f, {TOP.format("f * 8", 5)} as token, {TOP.format("f * 8 + 5", 3)} as step from embeddings, range(0, 8) t(f)),
+d as (select vec_id, 0::bigint as place, []::varchar[] as out from embeddings
+union all select b.vec_id, place + greatest(1, step), case when token = 0 then out else list_concat(out, list_transform(range(0, case step when 0 then 10 else 1 end), lambda i: token || '@' || place)) end from d join b on b.vec_id = d.vec_id and b.f = d.place)
+select vec_id, array_to_string(out, ' ') as tokens from d where place >= 8""",
+    "transducer": f"""with b as (select vec_id, f, {TOP.format("f * 8", 4)} as one, {TOP.format("f * 8 + 4", 4)} as two from embeddings, range(0, 8) t(f))
+select vec_id, coalesce(string_agg(one || '@' || f || case when two = 0 then '' else ' ' || two || '@' || f end, ' ' order by f) filter (where one > 0), '') as tokens from b group by vec_id""",
+    "attention": f"""with b as (select vec_id, list({TOP.format("f * 8", 8)} order by f) as ids from embeddings, range(0, 6) t(f) group by vec_id)
+select vec_id, case when list_contains(ids, 7) then array_to_string(ids[1:list_position(ids, 7) - 1], ' ') else array_to_string(ids, ' ') || ' ...' end as tokens from b""",
+}
+
 for _n, _kind in ((159, "durations"), (160, "transducer"), (161, "attention")):
-    query(f"r{_n}_greedy_{_kind}", None, "embeddings")(lambda embeddings, k=_kind: embeddings.select("vec_id", decoded(k)("embedding").alias("tokens")))
+    query(f"r{_n}_greedy_{_kind}", GREEDY[_kind], "embeddings")(lambda embeddings, k=_kind: embeddings.select("vec_id", decoded(k)("embedding").alias("tokens")))
 
 
 def samples(embeddings: DataFrame) -> DataFrame:
@@ -156,18 +192,23 @@ def _(embeddings: DataFrame) -> DataFrame:
     return out.groupBy("stream").agg(F.max("base").alias("base"), F.max("end").alias("end_frame"))
 
 
-@query("r030_chunk_resampler", None, "embeddings")
+@query("r030_chunk_resampler", """with x as (select vec_id // 50 as stream, list(v order by vec_id, i) as x from (select vec_id, generate_subscripts(embedding, 1) as i, unnest(embedding)::double as v from embeddings) group by 1),
+o as (select stream, x, unnest(range(0, ((2 * len(x) - 1) // 3)::bigint)) as j, (2 * len(x) - 1) // 3 as made from x)
+select stream, j as frame, x[j * 3 // 2 + 1] + (x[j * 3 // 2 + 2] - x[j * 3 // 2 + 1]) * (j % 2) / 2 as v from o where j < made // 256 * 256""", "embeddings")
 def _(embeddings: DataFrame) -> DataFrame:
-    return fold_batch(samples(embeddings), "stream", ["vec_id"], partial(session.Resampler, 1.5), "frame long, samples array<double>")
+    """Two samples for three, in chunks of 256; a stream's last samples wait for more."""
+    out = fold_batch(samples(embeddings), "stream", ["vec_id"], partial(session.Resampler, 1.5), "frame long, samples array<double>")
+    return out.select("stream", "frame", F.posexplode("samples").alias("i", "v")).select("stream", (F.col("frame") + F.col("i")).alias("frame"), "v")
 
 
-@query("r169_layered_buffer", None, "embeddings")
+@query("r169_layered_buffer", ROLLING, "embeddings")
 def _(embeddings: DataFrame) -> DataFrame:
     d = embeddings.select(F.expr("vec_id div 50").alias("stream"), "vec_id", (F.col("vec_id") % 50).alias("sequence"), (1.0 + F.col("vec_id") % 7).alias("seconds"))
     return fold_batch(d, "stream", ["vec_id"], session.Layers, "first long, last long, seconds double")
 
 
-@query("r180_transcriber", None, "conversations")
+@query("r180_transcriber", """with d as (select conv_id, trim(text, ' ' || chr(9) || chr(10) || chr(13)) as text, row_number() over w as revision, lead(turn) over w is null and row_number() over w > 1 as final from conversations window w as (partition by conv_id order by turn))
+select conv_id, case when final then 'final' else 'partial' end as kind, revision, case when final then text else '' end as settled, case when final then '' else text end as preview from d""", "conversations")
 def _(conversations: DataFrame) -> DataFrame:
     last = F.lead("turn").over(Window.partitionBy("conv_id").orderBy("turn")).isNull()
     d = conversations.select("conv_id", "turn", "text", (~last).alias("speech"), F.lit(400.0).alias("chunk_ms"))
@@ -191,7 +232,12 @@ def _(events: DataFrame) -> DataFrame:
     return out.filter("reason = 'max-duration'")
 
 
-@query("r176_voice_detector", None, "events")
+@query("r176_voice_detector", f"""with recursive h as (select user_id, n, n * 1280 as frame, coalesce(p >= 0.2 and not isnan(p), false) as speech from {HOPS}),
+s as (select user_id, 0::bigint as n, 0::bigint as base, null::bigint as opened, 0::bigint as run, 0::bigint as quiet, null::bigint as start_frame, null::varchar as reason from h group by user_id
+union all select user_id, n, case when why is null then base else frame end, case when why = 'max-duration' and speech then frame when why is null then coalesce(opened, case when run >= 2 then greatest(base, frame - run * 1280 - 10880) end) end, run, quiet, case when why is not null then opened end, why
+from (select *, case when frame - opened >= 57600 then 'max-duration' when opened is not null and quiet >= 2 then 'vad-silence' end as why
+from (select h.user_id, h.n, frame, speech, base, opened, case when speech then run + 1 else 0 end as run, case when speech then 0 else quiet + 1 end as quiet from s join h on h.user_id = s.user_id and h.n = s.n + 1)))
+select user_id, start_frame, n * 1280 as end_frame, reason from s where reason is not null""", "events")
 def _(events: DataFrame) -> DataFrame:
     """Segments of the activity model's path."""
     return fold_batch(hops(events).select("user_id", *ORDER, "prob"), "user_id", ORDER, partial(folds.VoiceDetector, threshold=0.2, enter=2, leave=2), "start_frame long, end_frame long, reason string")
@@ -217,7 +263,7 @@ class Spoken(session.Controller):
         return super().step(row | {"words": [(w[0], float(w[1]), float(w[2])) for w in row["words"]]})
 
 
-@query("r154_incremental_mel", None, "embeddings")
+@query("r154_incremental_mel", "select vec_id, 8::int as kept, 13::int as made, 0.0::double as diff from embeddings", "embeddings")
 def _(embeddings: DataFrame) -> DataFrame:
     """Features of a growing signal by reuse, against those made at once: how many were kept, the largest difference."""
 

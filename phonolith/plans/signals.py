@@ -110,15 +110,17 @@ def _(embeddings: DataFrame) -> DataFrame:
     return embeddings.select("vec_id", F.round(A.total(product), 6).alias("windowed"))
 
 
-@query("r150_power_spectrum", None, "embeddings")
+@query("r150_power_spectrum", "select vec_id, i, round(sum(v * cos(2 * pi() * i * n / 64)) ** 2 + sum(v * sin(2 * pi() * i * n / 64)) ** 2, 6) as v from (select vec_id, generate_subscripts(embedding, 1) - 1 as n, unnest(embedding)::double as v from embeddings), range(0, 33) k(i) group by vec_id, i", "embeddings")
 def _(embeddings: DataFrame) -> DataFrame:
-    return exploded(embeddings.select("vec_id", signal.power_spectrum(64)("embedding").alias("m")), "m")
+    return exploded(embeddings.select("vec_id", signal.power_spectrum(64)("embedding").alias("m")), "m").withColumn("v", F.round("v", 6))
 
 
-@query("r151_mel_filterbank", None, "embeddings")
+@query("r151_mel_filterbank", """with e as (select m, case when x >= 15 then 1000 * exp((x - 15) * ln(6.4) / 27) else x * 200 / 3 end as hz from (select m, m * (15 + ln(8) * 27 / ln(6.4)) / 81 as x from range(0, 82) t(m))),
+t as (select a.m, i, 2 / (c.hz - a.hz) * greatest(0, least((i * 31.25 - a.hz) / (b.hz - a.hz), (c.hz - i * 31.25) / (c.hz - b.hz))) as w from e a join e b on b.m = a.m + 1 join e c on c.m = a.m + 2, range(0, 257) s(i))
+select m::int as mel, arg_max(i, (w, -i))::int as peak_bin, round(sum(w), 9) as area from t group by m""", "embeddings")
 def _(embeddings: DataFrame) -> DataFrame:
     bank = signal.mel_filterbank(16000, 512, 80)
-    rows = [(m, int(w.argmax()), float(w.sum())) for m, w in enumerate(bank)]
+    rows = [(m, int(w.argmax()), round(float(w.sum()), 9)) for m, w in enumerate(bank)]
     return embeddings.sparkSession.createDataFrame(rows, "mel int, peak_bin int, area double")
 
 
@@ -169,7 +171,7 @@ def _(embeddings: DataFrame) -> DataFrame:
     return embeddings.select("vec_id", signal.audio_key(F.col("embedding")).alias("key"))
 
 
-@query("r019_wav_round_trip", None, "embeddings")
+@query("r019_wav_round_trip", "select vec_id, 16000 as sample_rate, count(*)::int as n, round(max(abs(v - trunc(greatest(-1.0::double, least(1.0, v)) * case when v < 0 then 32768 else 32767 end) / 32768)), 6) as error from (select vec_id, unnest(embedding)::double / 10 as v from embeddings) group by vec_id", "embeddings")
 def _(embeddings: DataFrame) -> DataFrame:
     """Samples as WAV bytes and back: how many, and the largest error."""
     from phonolith.sources import wav
@@ -178,7 +180,7 @@ def _(embeddings: DataFrame) -> DataFrame:
     back = wav.decode(wav.encode(d, 16000))
     both = d.join(back.withColumnRenamed("samples", "got"), "key")
     error = F.array_max(F.zip_with("samples", "got", lambda a, b: F.abs(a - b)))
-    return both.select(F.col("key").alias("vec_id"), "sample_rate", F.size("got").alias("n"), F.round(error, 3).alias("error"))
+    return both.select(F.col("key").alias("vec_id"), "sample_rate", F.size("got").alias("n"), F.round(error, 6).alias("error"))
 
 
 @query("r003_wav_decode", "select vec_id, 32000 as sample_rate, i, trunc(greatest(-1.0::double, least(1.0, v)) * case when v < 0 then 32768 else 32767 end) / 32768 as v from (select vec_id, generate_subscripts(embedding, 1) - 1 as i, unnest(embedding)::double as v from embeddings)", "embeddings")

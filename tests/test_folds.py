@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from phonolith.operators import catalog
+from phonolith.operators import catalog, islands
 from phonolith.operators.plugins import PluginError, Plugins
 from phonolith.streaming import folds, mergers
 from phonolith.streaming.runner import fold_batch, fold_stream, sessions, windowed
@@ -31,6 +31,17 @@ def test_hysteresis():
     assert got == [False, True, True, True, True, True, True, True, True, True, False]
 
 
+def test_hysteresis_by_windows_equals_fold(spark):
+    values = [None, math.nan, 0.0, 0.35, 0.36, 0.5, 0.9]
+    rows = [(k, n, values[(n * n * (k + 3) + n // 7) % 7] if k else 0.9) for k in range(5) for n in range(200)]
+    d = spark.createDataFrame(rows, "k int, n int, prob double")
+    for shape in ({}, {"enter": 1, "leave": 1}, {"enter": 3, "leave": 2, "offset": 0.0}):
+        want = {(k, n): o["speaking"] for k in range(5) for f in [folds.Hysteresis(**shape)] for _, n, p in [r for r in rows if r[0] == k] for o in f.step({"prob": p})}
+        got = islands.hysteresis(d, ["k"], ["n"], F.col("prob"), **shape)
+        assert got.columns == ["k", "n", "prob", "speaking"] and {(r["k"], r["n"]): r["speaking"] for r in got.collect()} == want
+    assert islands.hysteresis(d.filter("false"), ["k"], ["n"], F.col("prob")).count() == 0
+
+
 def test_gate_and_detector():
     levels = [0.0005] * 10 + [0.002, 0.02] + [0.2] * 10 + [0.0005] * 30
     gate = folds.RoughGate()
