@@ -42,6 +42,38 @@ def _(events: DataFrame) -> DataFrame:
 LOW_MEAN = "list_avg(list_sort({0})[1:greatest(1, floor(len({0}) * 0.6::double)::int)])"
 
 
+def gate_sql(threshold_db: float) -> str:
+    """RoughGate over hops() as common tables: g (state after each window), o (a start's first window and onset)."""
+    db = "greatest(-100.0::double, 20 * log10({0}))".format
+    floor = "greatest(1e-5::double, {0} * (1 - {1}) + {1} * case when q is not null and l is not null then 0.8::double * q + 0.2::double * l else coalesce(q, l) end)".format
+    means = f"{LOW_MEAN.format('quiet')} as q, {LOW_MEAN.format('loud')} as l"
+    return f"""with recursive h as (select user_id, n, p / 2 as rms, avg(p / 2) over (partition by user_id order by n rows 5 preceding) as e from {HOPS}),
+g as (select user_id, 0::bigint as n, 0.0::double as e, 0.0::double as snr, 0.005::double as floor, 0.0::double as silence, []::double[] as quiet, []::double[] as loud, false as active, 0 as speech, 0 as silent, []::double[] as pending, 0::bigint as run, false as begins, false as ends from h group by user_id
+union all select user_id, n, e, snr, case when calm then {floor("floor", "rate")} else floor end, silence, quiet, loud,
+(active and not (not cand and silent >= 800)) or (cand and speech >= 240), speech, case when silent >= 800 then 0 else silent end, case when cand and speech < 240 then pending else [] end, len(pending), cand and not active and speech >= 240, active and silent >= 800
+from (select * exclude (q, l), {means}, case when silence >= 1 then 0.01::double else 0.15::double - 0.14::double * silence end as rate
+from (select * replace (case when calm then silence + 0.08::double else silence end as silence, case when calm then list_append(quiet, greatest(1e-5::double, rms))[-64:] else quiet end as quiet, case when shut then {floor("floor", "0.005::double")} else floor end as floor)
+from (select *, {means}
+from (select * replace (case when shut then 0.0::double else silence end as silence, case when shut then list_append(loud, greatest(1e-5::double, list_avg(pending)))[-64:] else loud end as loud)
+from (select * replace (case when cand and not active then list_append(pending, e) else pending end as pending, case when not cand then 0 when active then speech else speech + 80 end as speech, case when active and not cand then silent + 80 else 0 end as silent), not cand and not active as calm, not cand and not active and len(pending) > 0 as shut
+from (select *, {db("e")} > {threshold_db} or snr > 6 as cand
+from (select h.user_id, h.n, h.rms, h.e, {db("h.e")} - {db("floor")} as snr, floor, silence, quiet, loud, active, speech, silent, pending from g join h on h.user_id = g.user_id and h.n = g.n + 1)))))))),
+b as (select user_id, n, n - run + 1 as first, greatest(1, n - 23) as oldest from g where begins),
+p as (select b.user_id, b.n, first, oldest, g.n as i, g.snr, lead(g.e) over (partition by b.user_id, b.n order by g.n) > g.e * 1.08 as rises from b join g on g.user_id = b.user_id and g.n between oldest and first),
+s as (select *, max(case when i < first and (first - i > 6 or snr < 3) then i end) over (partition by user_id, n) as stop from p),
+o as (select user_id, n, 1280 * (coalesce(min(case when i < first and i >= coalesce(stop, oldest) and rises then i end), max(case when i = stop and snr < 6 then stop + 1 end), greatest(any_value(oldest), any_value(first) - 4)) - 1) as onset from s group by user_id, n)"""
+
+
+def detector_sql(most: int) -> str:
+    """The detector behind the gate, on top of gate_sql(): segments of at most `most` frames and a window."""
+    return f"""{gate_sql(-14.0)},
+r as (select g.user_id, g.n, g.n * 1280 as e, active, begins, ends, onset from g left join o on o.user_id = g.user_id and o.n = g.n where g.n > 0),
+d as (select user_id, 0::bigint as n, 0::bigint as base, null::bigint as opened, null::bigint as start_frame, null::varchar as reason from r group by user_id
+union all select user_id, n, case when why is null then base else e end, case when why = 'max-duration' and active then e when why is null then coalesce(opened, case when begins then greatest(base, onset - 10880) end) end, case when why is not null then opened end, why
+from (select r.*, base, opened, case when e - opened >= {most} then 'max-duration' when opened is not null and ends then 'silence' end as why from d join r on r.user_id = d.user_id and r.n = d.n + 1))
+select user_id, start_frame, n * 1280 as end_frame, reason from d where reason is not null"""
+
+
 @query("r174_noise_floor", f"""with recursive h as (select user_id, n, greatest(1e-5::double, p / 2) as e, rejected as r from {HOPS}),
 f as (select user_id, 0::bigint as n, 0.005::double as floor, 0.0::double as silence, []::double[] as quiet, []::double[] as loud from h group by user_id
 union all select user_id, n, greatest(1e-5::double, floor * (1 - rate) + rate * case when q is not null and l is not null then 0.8::double * q + 0.2::double * l else coalesce(q, l) end), silence, quiet, loud
@@ -54,13 +86,15 @@ def _(events: DataFrame) -> DataFrame:
     return out.groupBy("user_id").agg(F.round(F.min("floor"), 9).alias("least"), F.round(F.max("floor"), 9).alias("most"))
 
 
-@query("r175_rough_gate", None, "events")
+@query("r175_rough_gate", f"""{gate_sql(-14.0)}
+select g.user_id, g.n * 1280 - 1280 as frame, round(e, 9) as energy, round(snr, 9) as snr, active, begins as start, ends as "end", onset::double as onset from g left join o on o.user_id = g.user_id and o.n = g.n where g.n > 0""", "events")
 def _(events: DataFrame) -> DataFrame:
     schema = "frame long, energy double, snr double, active boolean, start boolean, end boolean, onset double"
-    return fold_batch(hops(events).select("user_id", *ORDER, "rms"), "user_id", ORDER, partial(folds.RoughGate, threshold_db=-14.0), schema)
+    out = fold_batch(hops(events).select("user_id", *ORDER, "rms"), "user_id", ORDER, partial(folds.RoughGate, threshold_db=-14.0), schema)
+    return out.withColumns({c: F.round(c, 9) for c in ("energy", "snr")})
 
 
-@query("r176_detector", None, "events")
+@query("r176_detector", detector_sql(57600), "events")
 def _(events: DataFrame) -> DataFrame:
     make = partial(folds.GatedDetector, partial(folds.RoughGate, threshold_db=-14.0)())
     return fold_batch(hops(events).select("user_id", *ORDER, "rms"), "user_id", ORDER, partial(_detector, make), "start_frame long, end_frame long, reason string")
@@ -224,7 +258,7 @@ def _(conversations: DataFrame) -> DataFrame:
     return out.select("conv_id", "kind", "revision", F.length("settled").alias("settled_chars"), "cursor")
 
 
-@query("r177_max_duration", None, "events")
+@query("r177_max_duration", f"{detector_sql(12800)} and reason = 'max-duration'", "events")
 def _(events: DataFrame) -> DataFrame:
     """Segments that their length closed, of the energy path."""
     make = partial(folds.GatedDetector, partial(folds.RoughGate, threshold_db=-14.0)(), folds.Detector(most_ms=800.0))
@@ -287,7 +321,7 @@ def _(conversations: DataFrame) -> DataFrame:
     return d.select("conv_id", "turn", F.col("pos").cast("long").alias("pos"), F.col("n").cast("long").alias("n"))
 
 
-@query("r098_onset", None, "events")
+@query("r098_onset", f"{gate_sql(-12.0)} select user_id, n * 1280 - 1280 as frame, onset::double as onset from o", "events")
 def _(events: DataFrame) -> DataFrame:
     """Where speech began, for each start that the gate confirms."""
     schema = "frame long, energy double, snr double, active boolean, start boolean, end boolean, onset double"
