@@ -79,18 +79,29 @@ def _(conversations: DataFrame) -> DataFrame:
     return pairs(conversations).select("conv_id", "turn", T.cer(F.col("a"), F.col("b")).alias("cer"))
 
 
-# DuckDB's levenshtein() counts bytes, and bytes don't suffice for a turn's words; a test counts these by hand.
-@query("r121_cer_wer", None, "conversations")
+#: Word edits of pairs, as common tables ending in x(conv_id, turn, edits): a row of the distance matrix at each step.
+#: (DuckDB's levenshtein() counts bytes, and bytes don't suffice for a turn's words.)
+WORD_EDITS = f"""with recursive w as materialized {WORD_PAIRS},
+n as materialized (select conv_id, turn, len(wa) as na, len(wb) as nb from w),
+s as materialized (select conv_id, turn, i, j from (select conv_id, turn, generate_subscripts(wa, 1) as i, unnest(wa) as word from w) join (select conv_id, turn, generate_subscripts(wb, 1) as j, unnest(wb) as word from w) using (conv_id, turn, word)),
+m as (select conv_id, turn, 0::bigint as i, unnest(range(0, nb + 1)) as j, unnest(range(0, nb + 1)) as d from n
+union all select conv_id, turn, i + 1, j, j + min(t - j) over (partition by conv_id, turn order by j)
+from (select m.*, least(d + 1, lag(d) over (partition by m.conv_id, m.turn order by m.j) + case when s.j is null then 1 else 0 end) as t
+from m join n on n.conv_id = m.conv_id and n.turn = m.turn and m.i < na left join s on s.conv_id = m.conv_id and s.turn = m.turn and s.i = m.i + 1 and s.j = m.j)),
+x as (select conv_id, turn, d::int as edits from n join m using (conv_id, turn) where i = na and j = nb)"""
+
+
+@query("r121_cer_wer", f"{WORD_EDITS} select conv_id, turn, case when length(a) = 0 then 0.0::double else levenshtein(a, b)::double / length(a) end as cer, case when len(wa) = 0 then 0.0::double else edits::double / len(wa) end as wer from w join x using (conv_id, turn)", "conversations")
 def _(conversations: DataFrame) -> DataFrame:
     return word_pairs(conversations).select("conv_id", "turn", T.cer(F.col("a"), F.col("b")).alias("cer"), T.wer(F.col("wa"), F.col("wb")).alias("wer"))
 
 
-@query("r121_word_edits_any", None, "conversations")
+@query("r121_word_edits_any", f"{WORD_EDITS} select * from x", "conversations")
 def _(conversations: DataFrame) -> DataFrame:
     return word_pairs(conversations).select("conv_id", "turn", T.word_edits(F.col("wa"), F.col("wb")).alias("edits"))
 
 
-@query("r122_corpus_error_rates", None, "conversations")
+@query("r122_corpus_error_rates", f"{WORD_EDITS} select role, sum(edits)::double / sum(len(wa)) as corpus_wer, sum(levenshtein(a, b))::double / sum(length(a)) as corpus_cer from w join x using (conv_id, turn) group by role", "conversations")
 def _(conversations: DataFrame) -> DataFrame:
     p = word_pairs(conversations)
     edits, chars = T.word_edits(F.col("wa"), F.col("wb")), F.levenshtein("a", "b")
