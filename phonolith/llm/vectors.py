@@ -248,6 +248,7 @@ def dedup(vectors: DataFrame, s: Settings = Settings(), key: str = "vec_id", vec
     counts = linked.join(exact, "rid", "left").select("rid", F.coalesce("exact", "n").alias("n"), "low")
     reps = reps.join(counts, "rid", "left")
     reps = tables.keep(reps.select("_v", "w", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("low", "first").alias("component_id")))
-    out = heavy_join(rows, reps, "_v", "w")
-    component = F.when(F.col("_v").isNull(), F.col("_id")).otherwise(F.col("component_id"))
-    return out.select(F.col("_id").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("_id").eqNullSafe(component).alias("kept"))
+    out = heavy_join(rows.filter("_v is not null"), reps, "_v", "w").select("_id", "n_links", "component_id")
+    alone = rows.filter("_v is null").select("_id", F.lit(0).cast("long").alias("n_links"), F.col("_id").alias("component_id"))
+    kept = F.col("_id").eqNullSafe(F.col("component_id"))
+    return out.union(alone).select(F.col("_id").alias(key), F.col("n_links").cast("long").alias("n_links"), "component_id", kept.alias("kept"))
