@@ -5,7 +5,24 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-KINDS = ("backend", "family", "preset", "transcribe", "activity", "tokenizer", "normalizer")
+from pyspark.sql import Column, DataFrame
+
+#: The type of a kind's results, which apply() checks; None where a plug-in isn't a function of Columns.
+CONTRACTS: dict[str, str | None] = {
+    "backend": None,
+    "family": None,
+    "preset": None,
+    "transcribe": "string",
+    "activity": "double",
+    "tokenizer": "array<int>",
+    "timestamps": "array<struct<text:string,start_s:double,end_s:double,confidence:double>>",
+    "confidence": "struct<utterance:double,words:double,tokens:double>",
+    "rate_policy": "int",
+    "cache_key": "string",
+    "cache_size": "bigint",
+    "normalizer": None,
+}
+KINDS = tuple(CONTRACTS)
 
 
 class PluginError(LookupError):
@@ -30,5 +47,15 @@ class Plugins:
             raise PluginError(f"no {kind} named {name!r}")
         return self.known[kind, name]
 
+    def apply(self, df: DataFrame, kind: str, name: str, into: str, *columns: Column) -> DataFrame:
+        """df with a plug-in's result; its type is checked as the plan is made, before any row is read."""
+        if (want := CONTRACTS.get(kind)) is None:
+            raise PluginError(f"{kind} plug-ins aren't functions of Columns")
+        out = df.withColumn(into, self.get(kind, name)(*columns))
+        got = out.schema[into].dataType.simpleString()
+        if got != want:
+            raise PluginError(f"{kind} {name!r} gives {got}, not {want}")
+        return out
+
     def names(self, kind: str) -> list[str]:
         return [n for k, n in self.known if k == kind]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from phonolith.operators import intervals, transcript
+from phonolith.operators import intervals, mapping, transcript
 
 from .registry import query
 
@@ -121,6 +121,61 @@ def _(conversations: DataFrame) -> DataFrame:
     return t.select("conv_id", "turn", "transcript.text", F.size("transcript.words").cast("long").alias("n_words"), F.round(seg["start_s"], 6).alias("start_s"), F.round(seg["end_s"], 6).alias("end_s"), F.round(seg["confidence"], 6).alias("confidence"))
 
 
+FAMILY_SQL = f"""with w as (select *, pos * 0.3::double as s, pos * 0.3::double + 0.25 as e from {WORDS} where turn % 5 <> 3),
+t as (select conv_id, turn, pos, pos * 0.3::double + 0.05 as s, pos * 0.3::double + 0.05 + 0.02::double * length(word) as e from {WORDS}),
+wa as (select conv_id, turn, count(*) as n, min(s) as s, max(e) as e, string_agg(word, ' ' order by pos) as said, case when bool_and(length(word) > 1) then avg(1.0::double / length(word)) end as sure from w group by all),
+ta as (select conv_id, turn, count(*) as n, min(s) as s, max(e) as e from t group by all),
+sa as (select conv_id, turn, count(*) as n, min(s) as s, max(s) + 1.0::double as e from (select conv_id, turn, generate_subscripts(l, 1) - 1.0::double as s from (select conv_id, turn, list_filter(string_split(text, '.'), lambda l: trim(l) <> '') as l from conversations)) group by all),
+li as (select w.conv_id, w.turn, count(*) as n from w join t on w.conv_id = t.conv_id and w.turn = t.turn and w.pos = t.pos and t.s >= w.s and t.e <= w.e group by all),
+f as (select c.conv_id, c.turn, c.text, fam, turn % 4 as lv, coalesce(wa.n, 0) as nw, coalesce(ta.n, 0) as nt, coalesce(sa.n, 0) as ns, coalesce(li.n, 0) as nl, wa.s as ws, wa.e as we, ta.s as ts, ta.e as te, sa.s as ss, sa.e as se, said, sure
+from conversations c cross join (values ('attention'), ('ctc'), ('seq2seq'), ('transducer')) x(fam) left join wa using (conv_id, turn) left join ta using (conv_id, turn) left join sa using (conv_id, turn) left join li using (conv_id, turn)),
+g as (select *, case fam when 'seq2seq' then ns when 'ctc' then (nw + nt > 0)::int when 'transducer' then (nw > 0)::int else (nw > 0 or length(text) > 0)::int end as n_seg, case when fam = 'seq2seq' then ns else nw end as n_word from f)
+select conv_id, turn, fam as family, cast(case when lv >= 1 and n_seg > 0 then n_seg end as int) as segments,
+case when lv >= 1 and n_seg > 0 then case when fam = 'seq2seq' then ss when nw > 0 then ws when fam = 'ctc' then ts else 0.0::double end end as start_s,
+case when lv >= 1 and n_seg > 0 then case when fam = 'seq2seq' then se when nw > 0 then we when fam = 'ctc' then te else 9.0::double end end as end_s,
+case when lv >= 1 and n_seg > 0 then case when fam = 'seq2seq' then null when fam = 'ctc' or nw = 0 then 0.5::double else round(sure, 6) end end as confidence,
+case when lv >= 1 and n_seg > 0 and fam <> 'seq2seq' then case when fam = 'ctc' or nw = 0 then text else said end end as segment_text,
+cast(case when lv >= 2 and n_word > 0 then n_word end as int) as words, cast(case when lv >= 2 and nw > 0 and fam <> 'seq2seq' then nl end as int) as linked,
+cast(case when lv >= 3 and nt > 0 then nt end as int) as tokens, cast(case when nt > 0 and (lv >= 3 or fam in ('ctc', 'seq2seq')) then nt end as int) as token_count from g"""
+
+
+@query("r165_families", FAMILY_SQL, "conversations")
+def _(conversations: DataFrame) -> DataFrame:
+    """Every family's mapper over all turns, at a level of detail by turn; every fifth turn has tokens but no words."""
+    keys, level = ["conv_id", "turn"], F.element_at(F.array(*map(F.lit, transcript.LEVELS)), (F.col("turn") % 4 + 1).cast("int"))
+    native = conversations.select(*keys, "text", F.lit(0.5).alias("utterance"), F.lit(9.0).alias("duration_s"), level.alias("detail"))
+    timed = transcript.timed_words(conversations, keys, "text", 0.3, 0.25).withColumnRenamed("word", "text")
+    words = timed.filter("turn % 5 <> 3").withColumn("confidence", F.when(F.length("text") > 1, F.lit(1.0) / F.length("text")))
+    tokens = timed.withColumn("start_s", F.col("start_s") + 0.05).withColumns({"end_s": F.col("start_s") + 0.02 * F.length("text"), "confidence": F.lit(0.5)})
+    lines = conversations.select(*keys, F.posexplode(F.filter(F.split("text", "[.]"), lambda x: F.trim(x) != "")).alias("pos", "text"))
+    lines = lines.withColumns({"start_s": F.col("pos") * 1.0, "end_s": F.col("pos") + 1.0, "confidence": F.lit(None).cast("double")})
+    out = None
+    for family in mapping.FAMILIES.values():
+        t = mapping.to_canonical(native, words, tokens, lines, keys, family).select(*keys, "transcript.*")
+        first, last = F.get("segments", F.lit(0)), F.element_at("segments", -1)
+        joined = F.aggregate("words", F.lit(0), lambda n, w: n + F.size(w["tokens"])) if family.segments != "native" else F.lit(None).cast("int")
+        said = first["text"] if family.segments != "native" else F.lit(None).cast("string")
+        rows = t.select(*keys, "family", F.when(F.col("segments").isNotNull(), F.size("segments")).alias("segments"), first["start_s"].alias("start_s"), last["end_s"].alias("end_s"), F.round(first["confidence"], 6).alias("confidence"), said.alias("segment_text"), F.when(F.col("words").isNotNull(), F.size("words")).alias("words"), F.when(F.col("words").isNotNull(), joined).alias("linked"), F.when(F.col("tokens").isNotNull(), F.size("tokens")).alias("tokens"), F.col("tokens_count").alias("token_count"))
+        out = rows if out is None else out.union(rows)
+    return out
+
+
+@query("r193_plugin_hooks", "select vec_id, round(least(1.0::double, list_sum(list_transform(embedding, lambda x: abs(x::double))) / len(embedding)), 9) as activity, cast(16000 as int) as rate, cast(len(embedding) * 4 as bigint) as bytes, list_transform(list_filter(embedding, lambda x: x > 0), lambda x: cast(1 as int)) as ids from embeddings", "embeddings")
+def _(embeddings: DataFrame) -> DataFrame:
+    """Hooks of a session as plug-ins whose results' types are checked: activity, rate policy, cache size, tokenizer."""
+    from phonolith.operators.plugins import Plugins
+
+    p, x = Plugins(), F.col("embedding")
+    p.register("activity", "mean", lambda s: F.least(F.lit(1.0), F.aggregate(s, F.lit(0.0), lambda a, v: a + F.abs(v.cast("double"))) / F.size(s)))
+    p.register("rate_policy", "fixed", lambda: F.lit(16000))
+    p.register("cache_size", "float32", lambda s: F.size(s).cast("long") * 4)
+    p.register("tokenizer", "signs", lambda s: F.transform(F.filter(s, lambda v: v > 0), lambda v: F.lit(1)))
+    d = p.apply(embeddings, "activity", "mean", "activity", x)
+    d = p.apply(d, "rate_policy", "fixed", "rate")
+    d = p.apply(d, "cache_size", "float32", "bytes", x)
+    return p.apply(d, "tokenizer", "signs", "ids", x).select("vec_id", F.round("activity", 9).alias("activity"), "rate", "bytes", "ids")
+
+
 @query("r022_legacy_projection", "select conv_id, turn, text as utterance_text, role as model_family, cast(length(text) as int) as n_chars from conversations", "conversations")
 def _(conversations: DataFrame) -> DataFrame:
     """Camel-case fields to snake case."""

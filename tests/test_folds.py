@@ -190,6 +190,17 @@ def test_plugins():
             call()
 
 
+def test_plugin_contracts(spark):
+    p, d = Plugins(), spark.createDataFrame([([0.5, 1.5],)], "x array<double>")
+    p.register("activity", "first", lambda x: F.get(x, F.lit(0)))
+    p.register("activity", "text", lambda x: F.lit("loud"))
+    p.register("preset", "any", dict)
+    assert p.apply(d, "activity", "first", "p", F.col("x")).first()["p"] == 0.5
+    for kind, name in (("activity", "text"), ("activity", "none"), ("preset", "any")):
+        with pytest.raises(PluginError):
+            p.apply(d, kind, name, "p", F.col("x"))
+
+
 def test_null_keys_are_one_stream(spark):
     d = spark.createDataFrame([(None, 1, 0.6), (None, 2, 0.6), (4, 1, 0.6), (4, 2, 0.6)], "k long, at int, prob double")
     both = fold_batch(d, "k", ["at"], folds.Hysteresis, "speaking boolean")
