@@ -183,7 +183,7 @@ def _(embeddings: DataFrame) -> DataFrame:
     return both.select(F.col("key").alias("vec_id"), "sample_rate", F.size("got").alias("n"), F.round(error, 6).alias("error"))
 
 
-@query("r003_wav_decode", "select vec_id, 32000 as sample_rate, i, trunc(greatest(-1.0::double, least(1.0, v)) * case when v < 0 then 32768 else 32767 end) / 32768 as v from (select vec_id, generate_subscripts(embedding, 1) - 1 as i, unnest(embedding)::double as v from embeddings)", "embeddings")
+@query("r003_wav_decode", "select vec_id, 32000 as sample_rate, i, cast(trunc(greatest(-1.0::double, least(1.0, v)) * case when v < 0 then 32768 else 32767 end) as int) / 32768.0::double as v from (select vec_id, generate_subscripts(embedding, 1) - 1 as i, unnest(embedding)::double as v from embeddings)", "embeddings")
 def _(embeddings: DataFrame) -> DataFrame:
     from phonolith.sources import wav
 
