@@ -147,3 +147,12 @@ def test_vocabulary(spark, tmp_path):
 def test_keep_last(spark):
     df = spark.createDataFrame([Row(k=1, v="a", o=1), Row(k=1, v="b", o=2)])
     assert stats.keep_last(df, ["k"], "o").select("v").collect() == [Row(v="b")]
+
+
+def test_audio_key(spark):
+    """Equal 16-bit audio has an equal key; a differing sample anywhere, a length or the order of samples shows."""
+    long = [((i * 37) % 200 - 100) / 128 for i in range(5000)]
+    audio = [long, [x + 1e-7 for x in long], long[:2500] + [0.9] + long[2501:], long[:-1], long[::-1], [2.0, -3.0], [1.0, -1.0], []]
+    rows = spark.createDataFrame(list(enumerate(audio)), "i int, x array<double>").select("i", signal.audio_key(F.col("x")).alias("key"))
+    key = {r["i"]: r["key"] for r in rows.collect()}
+    assert key[0] == key[1] and key[5] == key[6] and len({key[i] for i in (0, 2, 3, 4, 5, 7)}) == 6
