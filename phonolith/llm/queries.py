@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, packing, pii, quality, secrets, simhash, spans, urls, vectors, warc
+from . import bpe, chat, exact, negatives, packing, pii, quality, repair, secrets, simhash, spans, urls, vectors, warc
 from .common import table
 
 
@@ -76,8 +76,25 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", simhash.hexed(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.mark(table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh label is wrong, as the contract has it; each hundredth vector is an anchor."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.col("label").cast("long").alias("label"))
+    wrong = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(rows.withColumn("label", wrong), F.col("vec_id") % 100 == 0)
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return repair.repair(repair.damage(rows), rows.select(F.col("conv_id").alias("conv"))).withColumnRenamed("conv", "conv_id")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_warc_fixity, op2_secret_scan, op3_pii, op4_bpe, op5_url_filter, op6_quality, op7_vectors, op8_packing, op9_chat, op10_simhash)}
+    own = (op1_warc_fixity, op2_secret_scan, op3_pii, op4_bpe, op5_url_filter, op6_quality, op7_vectors, op8_packing, op9_chat, op10_simhash, op11_exact_dedup, op12_hard_negatives, op13_conversation_repair)
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
