@@ -17,7 +17,8 @@ rows with an instance that isn't a seed meet the patterns again.
 
 Defined results: a null text is empty and has no spans; null and repeated doc_ids give a row each; further columns
 pass through redact() and are ignored by scan(); an empty table gives an empty table. The words around an instance
-are those within AROUND characters, as far as the next instance of its class.
+are whole, however long, and reach as far as the next instance of its class; ^ and $ stand for words that are missing
+there. Words over LONG characters enter patterns by their SHA-256, so patterns stay small.
 """
 
 from __future__ import annotations
@@ -58,7 +59,9 @@ CLASSES = [
     (S.Kind("@", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*+", None, lambda t: F.contains(t, F.lit("@"))), lambda v: v.rlike(r"@[A-Za-z0-9-]+\.")),
     (S.Kind("0", r"(?<![A-Za-z0-9+])\+?+[0-9]++(?:[\x20().-]{1,3}+[0-9]++)*+", lambda v: F.length(digits(v)) >= 6, lambda t: t.rlike(r"[0-9](?:[\x20().-]{0,3}[0-9]){5}")), lambda v: (v.startswith("+") & F.length(digits(v)).between(9, 15)) | luhn(v) | v.rlike(IP)),
 ]
-AROUND = 64
+LONG = 64
+#: White space, as \\s has it.
+SPACE = "\t\n\x0b\f\r "
 
 
 @dataclass(frozen=True)
@@ -74,13 +77,32 @@ def base(text: Column) -> Column:
     return F.array_sort(F.concat(*[S.find(text, k, i) for i, k in enumerate(KINDS)]))
 
 
+def last_word(text: Column) -> Column:
+    """What follows the last space of text, which has no other white space and none at its end."""
+    return F.substring_index(text, " ", -1)
+
+
 def patterns(kind: str, left: Column, right: Column) -> Column:
-    """The patterns that the words around an instance make; ^ and $ stand for missing words."""
-    word = lambda x, p, end: F.coalesce(F.nullif(F.lower(F.regexp_extract(x, p, 1)), F.lit("")), F.lit(end))
-    one, two = word(left, r"(\S+)\s*$", "^"), word(left, r"(\S+)\s+\S+\s*$", "^")
-    both = [F.concat_ws(" ", two, one, F.lit(kind)), F.concat_ws(" ", one, F.lit(kind), word(right, r"^\s*(\S+)", "$"))]
-    label = F.when(one.rlike("[A-Za-z].*[:=#]$"), F.concat_ws(" ", one, F.lit(kind)))
-    return F.array_compact(F.array(*both, label))
+    """The patterns that the words around an instance make; left and right reach to the next instances."""
+    plain = lambda x: F.translate(x, SPACE, " " * len(SPACE))
+
+    def word(x: Column, end: str) -> Column:
+        known = F.when(F.length(x) > LONG, F.concat(F.lit("#"), F.sha2(F.lower(x), 256))).otherwise(F.lower(x))
+        return F.when(x == "", F.lit(end)).otherwise(known)
+
+    def made(w: Column) -> Column:
+        one, two, after = word(w["one"], "^"), word(w["two"], "^"), word(w["after"], "$")
+        both = [F.concat_ws(" ", two, one, F.lit(kind)), F.concat_ws(" ", one, F.lit(kind), after)]
+        label = F.when(w["one"].rlike("[A-Za-z]") & w["one"].rlike("[:=#]$"), F.concat_ws(" ", one, F.lit(kind)))
+        return F.array_compact(F.array(*both, label))
+
+    def words(x: Column) -> Column:
+        one = last_word(x["left"])
+        before = F.rtrim(F.substring(x["left"], F.lit(1), F.length(x["left"]) - F.length(one)))
+        return F.struct(one.alias("one"), last_word(before).alias("two"), F.substring_index(x["right"], " ", 1).alias("after"))
+
+    sides = F.struct(F.rtrim(plain(left)).alias("left"), F.ltrim(plain(right)).alias("right"))
+    return S.let(sides, lambda x: S.let(words(x), made))
 
 
 CUE = "array<struct<patterns:array<string>,instance:string,start:int,end:int,seed:boolean>>"
@@ -90,7 +112,7 @@ def _cues(text: Column) -> Column:
     """(patterns, instance, start, end, seed) of each identifier-like string."""
 
     def of(kind: S.Kind, seeds) -> Column:
-        found = S.places(text, kind.pattern, AROUND)
+        found = S.places(text, kind.pattern, True)
         if kind.passes:
             found = F.filter(found, lambda p: kind.passes(p["value"]))
         cue = lambda p: F.struct(patterns(kind.name, p["left"], p["right"]).alias("patterns"), F.lower(p["value"]).alias("instance"), p["start"], p["end"], seeds(p["value"]).alias("seed"))

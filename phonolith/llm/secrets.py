@@ -7,7 +7,8 @@ reads every text.
 
 Texts are read once and stay where they are: the index pass runs the rules without trigrams in place and writes a
 row's postings; it keeps the text only of rows that have all trigrams of some AND, the others can't survive. So the
-shuffles move postings and, by a number of their own, the texts of candidates.
+shuffles move postings and, by a number of their own, the texts of candidates. Which rows have candidates is thus
+known when postings are written; their intersection says for which rules.
 
 Defined results: a null text is empty and has no spans; null and repeated doc_ids give a row for each input row;
 further columns are ignored; an empty table gives an empty table.
@@ -28,15 +29,16 @@ from .common import Tables
 BASE = ["assign", "access", "hex"]
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 
-#: The first three are fixed by the contract; the others are public key formats that the method adds.
+#: The first three are fixed by the contract; the others are public key formats that the method adds. Tokens have no
+#: greatest length: what a longer one has beyond the usual is part of its span.
 RULES = [
     S.Kind("assign", ASSIGN, lambda m: F.length(F.regexp_extract(m, f"^{ASSIGN}$", 1)) >= 12),
     S.Kind("access", "AKIA[A-Z0-9]+", lambda m: F.length(m) >= 18),
     S.Kind("hex", "[0-9a-f]{16,}+"),
-    S.Kind("private_key", "-----BEGIN [A-Z ]{0,32}PRIVATE KEY-----"),
-    S.Kind("github", "gh[pousr]_[A-Za-z0-9]{36}"),
+    S.Kind("private_key", "-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    S.Kind("github", "gh[pousr]_[A-Za-z0-9]{36,}+"),
     S.Kind("slack", "xox[abprs]-[A-Za-z0-9-]{10,}+"),
-    S.Kind("google_api", "AIza[A-Za-z0-9_-]{35}"),
+    S.Kind("google_api", "AIza[A-Za-z0-9_-]{35,}+"),
     S.Kind("jwt", r"eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+"),
 ]
 

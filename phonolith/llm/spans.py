@@ -52,12 +52,12 @@ def before(values: Column, op: Callable[[Column, Column], Column]) -> Column:
     return let(values, lambda v: let(blocks(v), whole))
 
 
-def places(text: Column, pattern: str, around: int = 0) -> Column:
+def places(text: Column, pattern: str, around: bool = False) -> Column:
     """start, end and value of the leftmost non-overlapping matches; places are code points, the end is exclusive.
 
     split() and regexp_extract_all() walk the same matches, so the lengths of the pieces between matches and of
-    the matches themselves add up to the places. With around: also `left` and `right`, at most so many characters
-    before and after the match, up to the next ones.
+    the matches themselves add up to the places. With around: also `left` and `right`, the pieces of the text before
+    and after the match, up to the next ones.
     """
 
     def located(m: Column) -> Column:
@@ -67,7 +67,7 @@ def places(text: Column, pattern: str, around: int = 0) -> Column:
 
         def place(p: Column) -> Column:
             begin = p["at"] + F.length(p["gap"])
-            context = [F.right(p["gap"], F.lit(around)).alias("left"), F.left(p["after"], F.lit(around)).alias("right")] if around else []
+            context = [p["gap"].alias("left"), p["after"].alias("right")] if around else []
             return F.struct(begin.alias("start"), (begin + F.length(p["hit"])).alias("end"), p["hit"].alias("value"), *context)
 
         return F.transform(F.filter(rows, lambda p: p["hit"].isNotNull()), place)

@@ -118,8 +118,8 @@ def graph_by_hand(texts, s=pii.Settings()):
             for k, m in enumerate(hits):
                 if kind == "0" and len(digits(m[0])) < 6:
                     continue
-                left = t[max(hits[k - 1].end() if k else 0, m.start() - 64) : m.start()]
-                right = t[m.end() : min(hits[k + 1].start() if k + 1 < len(hits) else len(t), m.end() + 64)]
+                left = t[hits[k - 1].end() if k else 0 : m.start()]
+                right = t[m.end() : hits[k + 1].start() if k + 1 < len(hits) else len(t)]
                 words, after = left.lower().split(), right.lower().split()
                 one, two, nxt = (words[-1:] or ["^"])[0], (words[-2:-1] or ["^"])[0], (after[:1] or ["$"])[0]
                 own = [(two, one, kind), (one, kind, nxt)] + ([(one, kind)] if re.search("[a-z].*[:=#]$", one) else [])
@@ -166,9 +166,34 @@ def test_many_matches_in_one_text(spark, scan):
         assert pii.redact(documents(spark, [(1, text)])).first()["text"].count("[EMAIL]") == n // 2
 
 
-def test_long_slack_token(spark):
-    token = "xoxb-" + "1a" * 60
-    assert [(s["kind"], s["end"] - s["start"]) for s in secrets.scan(documents(spark, [(1, f"see {token} here")])).first()["found"] if s["kind"] == "slack"] == [("slack", len(token))]
+@pytest.mark.parametrize("more", [0, 1, 27, 28, 5000])
+def test_long_tokens(spark, more):
+    """Tokens are spanned whole and redacted whole, whatever their length."""
+    tokens = {"slack": "xoxb-" + "1G" * 6, "github": "ghp_" + "aZ" * 18, "google_api": "AIza" + "Zz_-x" * 7, "private_key": "-----BEGIN " + "RSA " * (more // 4) + "PRIVATE KEY-----", "jwt": "eyJ" + "Zz" * 5 + ".eyJ" + "Yy" * 5 + "." + "Qq" * 5}
+    tokens = {k: t + ("" if k == "private_key" else "Z" * more) for k, t in tokens.items()}
+    docs = documents(spark, [(i, f"see {t}, here") for i, t in enumerate(tokens.values())])
+    got = {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["found"] if s["kind"] not in secrets.BASE] for r in secrets.scan(docs).collect()}
+    assert got == {i: [(k, 4, 4 + len(t))] for i, (k, t) in enumerate(tokens.items())}
+
+
+@pytest.mark.parametrize("long", [1, 37, 64, 65, 5000])
+def test_words_around_are_whole(spark, long):
+    """Far words are read and long words told apart: what stands after blanks isn't the beginning of a text."""
+    far = [(i, f"mailto{' ' * long}user{i}@host{i}.example.org") for i in range(20)] + [(100, "bob@intranet is a name"), (101, f"mailto{' ' * (long + 3)}eve@intranet")]
+    words = [(200 + i, f"{'w' * long}a u{i}@h{i}.example.org b") for i in range(20)] + [(300, f"{'w' * long}b joe@intranet c"), (301, f"{'w' * long}a ann@intranet c")]
+    for texts in (far, words):
+        got = {(r["doc_id"], x["start"], x["end"]) for r in pii.scan(documents(spark, texts)).collect() for x in r["found"] if x["kind"] == "context"}
+        assert got == graph_by_hand(texts)
+    got = {r["doc_id"] for r in pii.scan(documents(spark, far)).collect() if r["found"]}
+    assert 100 not in got and 101 in got
+
+
+def test_one_very_long_word(spark):
+    """Time is linear in a word's length."""
+    text = "x1" * 1_000_000 + ": a@b.cd " + "y" * 1_000_000 + " 123456789"
+    began = time.monotonic()
+    assert [x["kind"] for x in pii.scan(documents(spark, [(1, text)])).first()["found"]] == ["email"]
+    assert time.monotonic() - began < 30
 
 
 def test_redaction(spark):
