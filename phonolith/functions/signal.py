@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from . import arrays as A, scalar as N
+from .text import imul, let
 
 
 def tiled(x: Column, times: int) -> Column:
@@ -129,7 +130,48 @@ def normalize_features(df: DataFrame, utterance: str, feature: str, value: str)
     return df.withColumn("normal", (x - F.avg(x).over(w)) / (F.coalesce(F.stddev_samp(x).over(w), F.lit(0.0)) + 1e-5))
 
 
-def audio_key(x: Column) -> Column:
-    """A key of samples as 16-bit integers: equal audio, equal key."""
+#: Fixed values of the key: Murmur3's 32-bit constants, and how a long signal is sampled.
+MIX_A, MIX_B, MIX_C, END_A, END_B = 0xCC9E2D51, 0x1B873593, 0xE6546B64, 0x85EBCA6B, 0xC2B2AE35
+WHOLE, EDGE, POINTS = 1_000_000, 1024, 131_072
+
+
+def _turned(x: Column, bits: int) -> Column:
+    """An unsigned 32-bit number, rotated left."""
+    return F.shiftleft(x, bits).bitwiseOR(F.shiftright(x, 32 - bits)).bitwiseAND(F.lit(0xFFFFFFFF))
+
+
+def sampled(n: Column, whole: int = WHOLE, edge: int = EDGE, points: int = POINTS) -> Column:
+    """The places of n samples that a key reads: all of a signal of up to `whole`, else both edges and a strided middle."""
+    stride = F.greatest(F.lit(1), F.floor((n - 2 * edge) / (points - 2 * edge)).cast("int"))
+    long = F.concat(F.sequence(F.lit(0), F.lit(edge - 1)), F.sequence(F.lit(edge), n - edge - 1, stride), F.sequence(n - edge, n - 1))
+    return F.when(n <= whole, F.sequence(F.lit(0), n - 1)).otherwise(long)
+
+
+def audio_key(x: Column, whole: int = WHOLE, edge: int = EDGE, points: int = POINTS) -> Column:
+    """`count_hash` of samples as 16-bit integers, mixed in order by Murmur3's steps; samples that aren't finite are 0.
+
+    Equal audio has an equal key. A signal longer than `whole` is read at its edges and at strides between them.
+    """
+    n = F.size(x)
+
+    def mixed(state: Column, place: Column) -> Column:
+        v = F.get(x, place).cast("double")
+        finite = F.when(F.abs(v) < float("inf"), v).otherwise(0.0)
+        unit = F.greatest(F.lit(-32768), F.least(F.lit(32767), F.floor(finite * 32768 + 0.5))).bitwiseAND(F.lit(0xFFFF))
+        key = let(imul(unit, MIX_A), lambda k: imul(_turned(k, 15), MIX_B))
+        after = let(state.bitwiseXOR(key), lambda s: _turned(s, 13))
+        return (imul(after, 5) + MIX_C).bitwiseAND(F.lit(0xFFFFFFFF))
+
+    def ended(state: Column) -> Column:
+        once = let(state, lambda s: imul(s.bitwiseXOR(F.shiftright(s, 16)), END_A))
+        twice = let(once, lambda s: imul(s.bitwiseXOR(F.shiftright(s, 13)), END_B))
+        return let(twice, lambda s: s.bitwiseXOR(F.shiftright(s, 16)))
+
+    hashed = F.aggregate(sampled(n, whole, edge, points), n.cast("long"), mixed, ended)
+    return F.when(n == 0, "0_0").otherwise(F.concat_ws("_", n.cast("string"), hashed.cast("string")))
+
+
+def content_key(x: Column) -> Column:
+    """A 64-bit key of all samples as 16-bit integers, for joins; cheaper than audio_key()."""
     quantised = F.transform(x, lambda v: F.floor(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), v.cast("double"))) * 32767).cast("int"))
     return F.lower(F.hex(F.xxhash64(quantised, F.size(x))))

@@ -155,16 +155,24 @@ def toggle_token(name: str, on: Column) -> Column:
     return F.when(on, f"<|{name}|>").otherwise(f"<|no{name}|>")
 
 
-def audio_url(j: Column) -> Column:
-    """The first usable URL in JSON: a string itself, an object's src, url or path, or an array's first hit."""
-    own = lambda x, at: F.coalesce(*[F.get_json_object(x, f"{at}.{k}") for k in ("src", "url", "path")])
-    text = F.when(j.startswith('"'), F.get_json_object(j, "$"))
-    plain = F.when(~j.rlike(r'^\s*["\[{]'), j)
-    items = F.transform(F.from_json(F.when(j.rlike(r"^\s*\["), j), "array<string>"), lambda x: F.when(x.rlike(r"^\s*\{"), own(x, "$")).otherwise(F.nullif(x, F.lit(""))))
-    first = F.filter(items, lambda x: x.isNotNull())
-    return F.coalesce(F.when(j.rlike(r"^\s*\{"), own(j, "$")), F.get(first, F.lit(0)), text, F.nullif(plain, F.lit("")))
-
-
 def prefix_lengths(pieces: Column) -> Column:
     """Length of the decoded text of each prefix of pieces."""
     return let(pieces, lambda all_: F.transform(all_, lambda _, i: F.length(decode_pieces(F.slice(all_, F.lit(1), i + 1)))))
+
+
+def utf16(t: Column) -> Column:
+    """The UTF-16 units of a text, as longs."""
+    hexed = F.hex(F.encode(t, "UTF-16BE"))
+    count = F.floor(F.length(hexed) / 4).cast("int")
+    return F.when(count == 0, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.conv(F.substring(hexed, i * 4 + 1, F.lit(4)), 16, 10).cast("long")))
+
+
+def imul(a: Column, b: int) -> Column:
+    """The low 32 bits of a product of unsigned 32-bit numbers."""
+    low, high = a.bitwiseAND(F.lit(0xFFFF)), F.shiftright(a, 16)
+    return (low * b + F.shiftleft((high * b).bitwiseAND(F.lit(0xFFFF)), 16)).bitwiseAND(F.lit(0xFFFFFFFF))
+
+
+def fnv1a(t: Column) -> Column:
+    """FNV-1a in 32 bits over the UTF-16 units of a text; null for null and empty texts, which seed nothing."""
+    return F.when(t != "", F.aggregate(utf16(t), F.lit(2166136261).cast("long"), lambda h, c: imul(h.bitwiseXOR(c), 16777619)))

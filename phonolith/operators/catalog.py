@@ -86,12 +86,6 @@ def named(wanted: str, id_column: str, aliases: str) -> Column:
     return (F.lower(id_column) == key) | F.exists(aliases, lambda a: F.lower(a) == key)
 
 
-def canonical(fields: Column) -> Column:
-    """A map of JSON arrays of one value as an object with sorted keys."""
-    item = lambda e: F.concat(F.lit('"'), e["key"], F.lit('":'), F.regexp_extract(e["value"], r"(?s)^\[(.*)\]$", 1))
-    return F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(F.map_entries(fields)), item), ","), F.lit("}"))
-
-
 def repo_path(path: Column) -> Column:
     """Path parts percent-encoded, empty ones dropped."""
     parts = F.filter(F.split(path, "/"), lambda p: p != "")

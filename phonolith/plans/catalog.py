@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from phonolith.functions import nested, text as T
 from phonolith.operators import catalog
 from phonolith.sources import datasets, vocabulary
 
@@ -190,10 +191,17 @@ def _(documents: DataFrame) -> DataFrame:
     return datasets.sample(documents.select("doc_id", "n_chars"), "doc_id", 25, "fixed-seed")
 
 
-@query("r142_canonical_key", "select page_id, '{\"a\":' || page_id || ',\"b\":\"' || page_id % 3 || '\"}' as cache_key from pages", "pages")
+#: A request with the page's id for 7: keys out of order at each level, numbers in several forms, arrays kept in order.
+REQUEST = '{"model": {"options": {"z": 1.50, "é": null, "a": [3, {"y": true, "x": "q\\"z"}, 1e3]}, "id": 7}, "b": "7", "10": 1e-7, "9": [], "A": {}}'
+SORTED = '{"9":[],"10":1e-7,"A":{},"b":"7","model":{"id":7,"options":{"a":[3,{"x":"q\\"z","y":true},1000],"z":1.5,"é":null}}}'
+
+
+@query("r142_canonical_key", f"""select page_id, case when page_id % 5 < 4 then replace('{SORTED}', '7,"o', page_id || ',"o') end as cache_key from pages""", "pages")
 def _(pages: DataFrame) -> DataFrame:
-    fields = F.create_map(F.lit("b"), F.to_json(F.array((F.col("page_id") % 3).cast("string"))), F.lit("a"), F.to_json(F.array(F.col("page_id"))))
-    return pages.select("page_id", catalog.canonical(fields).alias("cache_key"))
+    """A key from nested values, sorted at every level; null where a value isn't JSON."""
+    request = F.replace(F.lit(REQUEST), F.lit("7}"), F.concat(F.col("page_id").cast("string"), F.lit("}")))
+    request = F.when(F.col("page_id") % 5 < 4, request).otherwise(F.substring(request, F.lit(1), F.length(request) - 1))
+    return pages.select("page_id", nested.canonical(request, nested.deepest(pages, request)).alias("cache_key"))
 
 
 @query("r144_repo_path", "select page_id, 'a%20b/' || page_id || '/c%3Fd' as path from pages", "pages")
@@ -213,12 +221,14 @@ def _(embeddings: DataFrame) -> DataFrame:
     return embeddings.groupBy((F.get("embedding", F.lit(0)) > 0).alias("key")).agg(F.count("*").alias("lookups"), (F.count("*") - 1).alias("hits"))
 
 
-@query("r110_seed_numbers", "select r_regionkey, r_name, h as seed from (select r_regionkey, r_name, list_reduce(list_prepend(2166136261::hugeint, list_transform(string_split(r_name, ''), lambda c: ord(c)::hugeint)), lambda h, c: (xor(h::uhugeint, c::uhugeint)::hugeint * 16777619) % 4294967296)::bigint as h from region)", "region")
+#: A name with characters within and beyond 16 bits, and its UTF-16 units: 𝄞 is a pair.
+UNITS = "list_concat(list_transform(string_split(r_name, ''), lambda c: ord(c)::hugeint), [233, 55348, 56606])"
+
+
+@query("r110_seed_numbers", f"select r_regionkey, r_name, list_reduce(list_prepend(2166136261::hugeint, {UNITS}), lambda h, c: (xor(h::uhugeint, c::uhugeint)::hugeint * 16777619) % 4294967296)::bigint as seed from region", "region")
 def _(region: DataFrame) -> DataFrame:
-    """FNV-1a of names, as Columns."""
-    codes = F.transform(F.split("r_name", ""), lambda c: F.ascii(c).cast("long"))
-    step = lambda h, c: ((h.bitwiseXOR(c)).cast("decimal(20,0)") * 16777619 % 4294967296).cast("long")
-    return region.select("r_regionkey", "r_name", F.aggregate(codes, F.lit(2166136261), step).alias("seed"))
+    """FNV-1a of names over UTF-16 units, as Columns."""
+    return region.select("r_regionkey", "r_name", T.fnv1a(F.concat("r_name", F.lit("é𝄞"))).alias("seed"))
 
 
 @query("r111_random_numbers", f"select pos::int as pos, number from {DRAWS} where pos < 100", "region")

@@ -43,7 +43,7 @@ LOW_MEAN = "list_avg(list_sort({0})[1:greatest(1, floor(len({0}) * 0.6::double):
 
 
 def gate_sql(threshold_db: float) -> str:
-    """RoughGate over hops() as common tables: g (state after each window), o (a start's first window and onset)."""
+    """RoughGate over hops() as common tables: g (state after each window), o (a start's onset: looking back from its window)."""
     db = "greatest(-100.0::double, 20 * log10({0}))".format
     floor = "greatest(1e-5::double, {0} * (1 - {1}) + {1} * case when q is not null and l is not null then 0.8::double * q + 0.2::double * l else coalesce(q, l) end)".format
     means = f"{LOW_MEAN.format('quiet')} as q, {LOW_MEAN.format('loud')} as l"
@@ -52,16 +52,15 @@ g as (select user_id, 0::bigint as n, 0.0::double as e, 0.0::double as snr, 0.00
 union all select user_id, n, e, snr, case when calm then {floor("floor", "rate")} else floor end, silence, quiet, loud,
 (active and not (not cand and silent >= 800)) or (cand and speech >= 240), speech, case when silent >= 800 then 0 else silent end, case when cand and speech < 240 then pending else [] end, len(pending), cand and not active and speech >= 240, active and silent >= 800
 from (select * exclude (q, l), {means}, case when silence >= 1 then 0.01::double else 0.15::double - 0.14::double * silence end as rate
-from (select * replace (case when calm then silence + 0.08::double else silence end as silence, case when calm then list_append(quiet, greatest(1e-5::double, rms))[-64:] else quiet end as quiet, case when shut then {floor("floor", "0.005::double")} else floor end as floor)
+from (select * replace (case when calm then silence + 0.08::double else silence end as silence, case when calm then list_append(quiet, greatest(1e-5::double, e))[-64:] else quiet end as quiet, case when shut then {floor("floor", "0.005::double")} else floor end as floor)
 from (select *, {means}
 from (select * replace (case when shut then 0.0::double else silence end as silence, case when shut then list_append(loud, greatest(1e-5::double, list_avg(pending)))[-64:] else loud end as loud)
 from (select * replace (case when cand and not active then list_append(pending, e) else pending end as pending, case when not cand then 0 when active then speech else speech + 80 end as speech, case when active and not cand then silent + 80 else 0 end as silent), not cand and not active as calm, not cand and not active and len(pending) > 0 as shut
 from (select *, {db("e")} > {threshold_db} or snr > 6 as cand
 from (select h.user_id, h.n, h.rms, h.e, {db("h.e")} - {db("floor")} as snr, floor, silence, quiet, loud, active, speech, silent, pending from g join h on h.user_id = g.user_id and h.n = g.n + 1)))))))),
-b as (select user_id, n, n - run + 1 as first, greatest(1, n - 23) as oldest from g where begins),
-p as (select b.user_id, b.n, first, oldest, g.n as i, g.snr, lead(g.e) over (partition by b.user_id, b.n order by g.n) > g.e * 1.08 as rises from b join g on g.user_id = b.user_id and g.n between oldest and first),
-s as (select *, max(case when i < first and (first - i > 6 or snr < 3) then i end) over (partition by user_id, n) as stop from p),
-o as (select user_id, n, 1280 * (coalesce(min(case when i < first and i >= coalesce(stop, oldest) and rises then i end), max(case when i = stop and snr < 6 then stop + 1 end), greatest(any_value(oldest), any_value(first) - 4)) - 1) as onset from s group by user_id, n)"""
+p as (select b.user_id, b.n, greatest(1, b.n - 23) as oldest, g.n as i, g.snr, lead(g.e) over (partition by b.user_id, b.n order by g.n) > g.e * 1.08 as rises from g b join g on b.begins and g.user_id = b.user_id and g.n between greatest(1, b.n - 23) and b.n),
+s as (select *, max(case when i < n and (n - i > 6 or snr < 3) then i end) over (partition by user_id, n) as stop from p),
+o as (select user_id, n, 1280 * (coalesce(min(case when i < n and i >= coalesce(stop, 1) and rises then i end), max(case when snr < 6 then least(n, i + 1) end), greatest(any_value(oldest), n - 4)) - 1) as onset from s group by user_id, n)"""
 
 
 def detector_sql(most: int) -> str:

@@ -166,11 +166,33 @@ def _(part: DataFrame) -> DataFrame:
     return part.select("p_partkey", signal.nearest([160, 256], 100 + F.col("p_size") * 5).alias("hop"))
 
 
-@query("r113_audio_key", None, "embeddings")
+#: The key's steps in SQL: unsigned 32-bit products in 128 bits; s is the state, u a sample's 16 bits.
+_M32 = "(({0})::hugeint & 4294967295)"
+_ROTL = lambda x, n: _M32.format(f"(({x}) << {n}) | (({x}) >> {32 - n})")
+_KEY = _M32.format(f"{_ROTL(_M32.format(f'u * {signal.MIX_A}'), 15)} * {signal.MIX_B}")
+_STEP = _M32.format(f"{_ROTL(f'xor(s, {_KEY})', 13)} * 5 + {signal.MIX_C}")
+_UNIT = "(greatest(-32768, least(32767, floor(v::double * 32768 + 0.5)))::hugeint & 65535)"
+_END = lambda x, n, by: _M32.format(f"xor({x}, {x} >> {n}) * {by}")
+
+
+def _audio_key_sql(places: str) -> str:
+    """Keys of embeddings read at the places that a list expression of n, their length, gives."""
+    return f"""with k as (select vec_id, len(embedding) as n, list_reduce(list_prepend(len(embedding)::hugeint, list_transform(list_transform({places.replace('$n', 'len(embedding)')}, lambda i: embedding[i + 1]), lambda v: {_UNIT})), lambda s, u: {_STEP}) as a from embeddings),
+b as (select vec_id, n, {_END('a', 16, signal.END_A)} as b from k), c as (select vec_id, n, {_END('b', 13, signal.END_B)} as c from b)
+select vec_id, n || '_' || xor(c, c >> 16) as key from c"""
+
+
+@query("r113_audio_key", _audio_key_sql("range($n)"), "embeddings")
 def _(embeddings: DataFrame) -> DataFrame:
     return embeddings.select("vec_id", signal.audio_key(F.col("embedding")).alias("key"))
 
 
+@query("r113_audio_key_long", _audio_key_sql("list_concat(range(8), range(8, $n - 8, ($n - 16) // (32 - 16)), range($n - 8, $n))"), "embeddings")
+def _(embeddings: DataFrame) -> DataFrame:
+    """The key of signals that count as long: both edges and a strided middle."""
+    return embeddings.select("vec_id", signal.audio_key(F.col("embedding"), whole=16, edge=8, points=32).alias("key"))
+
+
 @query("r019_wav_round_trip", "select vec_id, 16000 as sample_rate, count(*)::int as n, round(max(abs(v - trunc(greatest(-1.0::double, least(1.0, v)) * case when v < 0 then 32768 else 32767 end) / 32768)), 6) as error from (select vec_id, unnest(embedding)::double / 10 as v from embeddings) group by vec_id", "embeddings")
 def _(embeddings: DataFrame) -> DataFrame:
     """Samples as WAV bytes and back: how many, and the largest error."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from phonolith.functions import scalar, text as T
+from phonolith.functions import nested, scalar, text as T
 from phonolith.operators import stats
 
 from .registry import query
@@ -178,12 +178,16 @@ def _(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", F.size(w).alias("n_words"), F.get(w, F.lit(0)).alias("first_word"))
 
 
-FIELD = "case page_id % 4 when 0 then '{\"src\": \"' || url || '\"}' when 1 then '[{\"path\": \"' || url || '\"}, \"x\"]' when 2 then url else '{\"other\": 1}' end"
+#: Shapes in which a data set gives the place of its audio, by page; U stands for the page's URL.
+SHAPES = ['{"src": "U"}', '[{"path": "U"}, "x"]', "U", '{"other": 1}', '[[], [[{"src": null, "url": "U"}]], "x"]', '[0, null, "", {"src": ""}, ["U"]]', '{"src": {"url": ["", "U"]}, "path": "x"}', '[[[[[{"path": "U"}]]]]]', '"U"', '[{"src": [false]}, {}]']
+FIELD = f"replace(case page_id % 10 {' '.join(f"when {i} then '{x}'" for i, x in enumerate(SHAPES))} end, 'U', url)"
 
 
-@query("r131_audio_url", "select page_id, case when page_id % 4 < 3 then url end as audio_url from pages", "pages")
+@query("r131_audio_url", "select page_id, case when page_id % 10 not in (3, 9) then url end as audio_url from pages", "pages")
 def _(pages: DataFrame) -> DataFrame:
-    return pages.select("page_id", T.audio_url(F.expr(FIELD)).alias("audio_url"))
+    """The first URL in nested JSON; as many levels as the deepest value has."""
+    field = F.expr(FIELD)
+    return pages.select("page_id", nested.audio_url(field, nested.deepest(pages, field)).alias("audio_url"))
 
 
 @query("r132_dotted_path", "select event_id, json_extract_string(props, '$.k') as k, json_extract_string(props, '$.a.b') as missing from events", "events")

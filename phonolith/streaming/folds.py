@@ -99,6 +99,7 @@ class RoughGate:
     smooth: int = 6
     threshold_db: float = -45.0
     snr_db: float | None = 6.0
+    least_snr_db: float = 6.0  # below it speech has not begun; half of it is the noise floor
     speech_ms: float = 240.0
     silence_ms: float = 800.0
     lookback: int = 6
@@ -113,19 +114,17 @@ class RoughGate:
     noise: NoiseFloor = field(default_factory=NoiseFloor)
 
     def onset(self) -> int:
-        """Where the energy began to rise, looking back from the first window of the run."""
-        h = list(self.history)
-        first = max(0, len(h) - max(1, len(self.pending)))
-        found, i = None, first - 1
-        while i >= 0:
-            if h[i + 1][1] > h[i][1] * 1.08:
-                found = i
-            if first - i > self.lookback or (self.snr_db is not None and h[i][2] < self.snr_db / 2):
-                break
-            i -= 1
-        if found is None and self.snr_db is not None and i >= 0 and h[i][2] < self.snr_db:
-            found = i + 1
-        return h[found if found is not None else max(0, first - self.default_lookback)][0]
+        """Where the energy began to rise, looking back from the newest window, a candidate.
+
+        Rises count back to the nearest window near the noise floor, and `lookback` + 1 windows at most; the earliest
+        counts. Without any: the window after the nearest one below the least SNR, else a fixed number back.
+        """
+        h, newest = list(self.history), len(self.history) - 1
+        low = lambda limit: [i for i, x in enumerate(h) if self.snr_db is not None and x[2] < limit]
+        back = max([0, newest - self.lookback - 1, *(i for i in low(self.least_snr_db / 2) if i < newest)])
+        rises = [i for i in range(back, newest) if h[i + 1][1] > h[i][1] * 1.08]
+        quiet = [min(newest, i + 1) for i in low(self.least_snr_db)[-1:]]
+        return h[[*rises, *quiet, max(0, newest - self.default_lookback)][0]][0]
 
     def step(self, row: dict) -> list[dict]:
         """row: rms of one window."""
@@ -156,7 +155,7 @@ class RoughGate:
                     total = sum(s for _, s in self.pending)
                     self.noise.observe(sum(e * s for e, s in self.pending) / total, total, rejected=True)
                     self.pending = []
-                self.noise.observe(row["rms"], seconds)
+                self.noise.observe(energy, seconds)
         return [{"frame": begin, "energy": energy, "snr": snr, "active": self.active, "start": start, "end": end, "onset": onset}]
 
 

@@ -1,5 +1,6 @@
 """Known values of the scalar, text and array functions."""
 
+import random
 import re
 import math
 
@@ -7,9 +8,10 @@ import numpy as np
 import pytest
 from pyspark.sql import Row, functions as F
 
-from phonolith.functions import arrays as A, scalar as N, signal, text as T
+from phonolith.functions import arrays as A, nested, scalar as N, signal, text as T
 from phonolith.operators import stats
 from phonolith.sources import datasets, vocabulary, wav
+from phonolith.streaming import folds
 
 
 def one(spark, *columns):
@@ -72,9 +74,66 @@ def test_sample_of_a_wide_table(spark):
     assert len(got) == 300 and [r["k"] for r in got] == [drawn[i] for i in sorted(range(300), key=lambda i: (drawn[i] // datasets.PAGE, i))]
 
 
-@pytest.mark.parametrize(("json", "url"), [('{"src": "a"}', "a"), ('[{"path": "b"}]', "b"), ('"c"', "c"), ("d", "d"), ('{"x": 1}', None), ("", None), (None, None)])
-def test_audio_url(spark, json, url):
-    assert one(spark, T.audio_url(F.lit(json).cast("string")))[0] == url
+URLS = {'{"src": "a"}': "a", '[{"path": "b"}]': "b", '"c"': "c", "d": "d", '{"x": 1}': None, "": None, None: None, '[[{"src":"a"}]]': "a", '{"src":{"url":"a"}}': "a", '[null, 0, [], {}, [[["z"]]]]': "z", '{"src": null, "url": "u", "path": "p"}': "u", '["", "e"]': "e", "[1, 2": None, '{"url": "q\\"]["}': 'q"][', "[[[[[[[[[[]]]]]]]]]]": None}
+KEYS = {'{"b":1,"a":{"d":[{"z":1,"y":2}],"c":null}}': '{"a":{"c":null,"d":[{"y":2,"z":1}]},"b":1}', "[3,1,2]": "[3,1,2]", '{"10":1,"9":2,"-1":3,"01":4}': '{"9":2,"10":1,"-1":3,"01":4}', "1.50": "1.5", "1e3": "1000", "1e21": "1e+21", "1.5e-7": "1.5e-7", "0.000001": "0.000001", "123456789012345680000": "123456789012345680000", "-0.0": "0", "-2.5e30": "-2.5e+30", '"x\\n"': '"x\\n"', "{": None, None: None, '{"a":{}}': '{"a":{}}', '{"𐀀":1,"\uffee":2}': '{"𐀀":1,"\uffee":2}', "true": "true"}
+
+
+def test_nested_values(spark):
+    """Nested JSON, walked as deep as it goes."""
+    for table, f in ((URLS, nested.audio_url), (KEYS, nested.canonical)):
+        df = spark.createDataFrame([(k, v) for k, v in table.items()], "json string, want string")
+        rows = df.select("json", "want", f(F.col("json"), nested.deepest(df, F.col("json"))).alias("got")).collect()
+        assert {r["json"]: r["got"] for r in rows} == table
+    df = spark.createDataFrame([("[" * 40 + "]" * 40,)], "json string")
+    with pytest.raises(nested.TooDeep):
+        nested.deepest(df, F.col("json"))
+    with pytest.raises(Exception, match="deeper"):
+        df.select(nested.audio_url(F.col("json"), 3)).collect()
+
+
+def test_audio_key(spark):
+    """Against plain integers; samples beyond the range and those that aren't finite; edges and a strided middle."""
+
+    def by_hand(x, whole=1_000_000, edge=1024, points=131_072):
+        n, rot = len(x), lambda v, b: (v << b | v >> 32 - b) & 0xFFFFFFFF
+        at = range(n) if n <= whole else [*range(edge), *range(edge, n - edge, max(1, (n - 2 * edge) // (points - 2 * edge))), *range(n - edge, n)]
+        s = n
+        for i in at:
+            v = x[i] if x[i] is not None and math.isfinite(x[i]) else 0
+            k = max(-32768, min(32767, math.floor(v * 32768 + 0.5))) & 0xFFFF
+            s = (rot(s ^ rot(k * 0xCC9E2D51 & 0xFFFFFFFF, 15) * 0x1B873593 & 0xFFFFFFFF, 13) * 5 + 0xE6546B64) & 0xFFFFFFFF
+        s = (s ^ s >> 16) * 0x85EBCA6B & 0xFFFFFFFF
+        s = (s ^ s >> 13) * 0xC2B2AE35 & 0xFFFFFFFF
+        return f"{n}_{s ^ s >> 16}" if n else "0_0"
+
+    rows = [[], [0.5], [-1.0, 1.0, 2.0, -3.0], [float("nan"), float("inf"), None, 0.25], [math.sin(i) for i in range(3000)]]
+    df = spark.createDataFrame([(x,) for x in rows], "x array<double>")
+    for s in ({}, {"whole": 3, "edge": 1, "points": 8}, {"whole": 2000, "edge": 64, "points": 500}):
+        fit = [x for x in rows if not (s and s["whole"] < len(x) < 2 * s["edge"])]
+        got = [r[0] for r in df.select(signal.audio_key(F.col("x"), **s)).collect()]
+        assert [g for g, x in zip(got, rows) if x in fit or x is rows[3]] == [by_hand(x, **s) for x in rows if x in fit or x is rows[3]]
+    assert one(spark, T.fnv1a(F.lit("")), T.fnv1a(F.lit("a")), T.fnv1a(F.lit("foobar")))[:] == (None, 0xE40C292C, 0xBF9CF968)
+
+
+def test_onset_by_its_rule(spark):
+    """From the newest candidate walk back; a rise moves the onset; stop past the look-back or near the noise floor."""
+    rng = random.Random(8)
+    for _ in range(3000):
+        gate = folds.RoughGate(snr_db=rng.choice([None, 6.0]), least_snr_db=rng.choice([3.0, 6.0]))
+        rows = [(i * 1280, rng.choice([0.1, 0.105, 0.11, 0.2, 0.4]), rng.uniform(-1, 12)) for i in range(rng.randrange(1, 25))]
+        gate.history.extend(rows)
+        at = newest = len(rows) - 1
+        want = None
+        while at > 0:
+            at -= 1
+            if rows[at + 1][1] > rows[at][1] * 1.08:
+                want = at
+            if newest - at > 6 or gate.snr_db and rows[at][2] < gate.least_snr_db / 2:
+                break
+        if want is None and gate.snr_db:
+            below = [i for i, r in enumerate(rows) if r[2] < gate.least_snr_db]
+            want = min(newest, below[-1] + 1) if below else None
+        assert gate.onset() == 1280 * (max(0, newest - 4) if want is None else want)
 
 
 def test_numbers(spark):
