@@ -247,8 +247,7 @@ def _(lineitem: DataFrame) -> DataFrame:
     return d.orderBy(F.col("diff").desc(), "l_orderkey", "l_linenumber").limit(10)
 
 
-@query("r020_transcript_diff", f"with {SIDES}, d as (select file, abs(l.v - r.v) as diff from l join r using (file)) select file, diff, (select count(*) from d) as shared, (select round(avg(diff), 6) from d) as mean_diff from d order by diff desc, file limit 10", "lineitem")
-def _(lineitem: DataFrame) -> DataFrame:
+def differences(lineitem: DataFrame) -> DataFrame:
     """The ten worst differences of two result sets, each with the whole summary."""
     left, right = (d.withColumnRenamed("v", n) for d, n in zip(sides(lineitem), ("a", "b")))
     d = left.join(right, "file").select("file", F.abs(F.col("a") - F.col("b")).alias("diff"))
@@ -256,6 +255,11 @@ def _(lineitem: DataFrame) -> DataFrame:
     return worst.join(F.broadcast(d.agg(F.count("*").alias("shared"), F.round(F.avg("diff"), 6).alias("mean_diff"))))
 
 
+@query("r020_transcript_diff", f"with {SIDES}, d as (select file, abs(l.v - r.v) as diff from l join r using (file)) select file, diff, (select count(*) from d) as shared, (select round(avg(diff), 6) from d) as mean_diff from d order by diff desc, file limit 10", "lineitem")
+def _(lineitem: DataFrame) -> DataFrame:
+    return differences(lineitem)
+
+
 RUN = """select l_orderkey || '-' || l_linenumber as run_id, l_quantity as audio_duration_sec, l_extendedprice as encode_ms, l_discount as decode_ms, case when l_returnflag = 'R' then 'failed, badly' end as error from lineitem"""
 
 

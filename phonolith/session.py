@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import re
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -45,3 +48,29 @@ def ship(spark: SparkSession) -> SparkSession:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share: spark.checkpoint.dir, or one of our own on a single machine where it is unset (tests)."""
+    known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not known and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    if not known:
+        known = "file://" + tempfile.mkdtemp(prefix="phonolith-")
+        spark.sparkContext.setCheckpointDir(known)
+    return known
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the shared folder; it goes when the driver ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+    def end() -> None:
+        try:
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # the JVM may have ended before; the folder is the cluster's to clean then
+            return
+
+    atexit.register(end)
+    return path

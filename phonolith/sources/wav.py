@@ -2,31 +2,60 @@
 
 from __future__ import annotations
 
+import io
 import struct
 from collections.abc import Iterator
+from dataclasses import dataclass
+from typing import BinaryIO
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
-def parse(data: bytes) -> tuple[int, np.ndarray]:
-    """Sample rate and mono samples of a RIFF file: PCM of 8, 16, 24, 32 bits or float of 32, 64; channels averaged."""
-    if data[:4] != b"RIFF" or data[8:12] != b"WAVE":
+@dataclass(frozen=True)
+class Layout:
+    """Where a WAV file's samples lie and how they are written."""
+
+    code: int  # 1: PCM, 3: float
+    channels: int
+    rate: int
+    bits: int
+    begin: int  # of the samples, in bytes
+    size: int  # of the samples, in bytes, as the header has it
+
+    @property
+    def frame(self) -> int:
+        return self.channels * self.bits // 8
+
+
+def layout(f: BinaryIO) -> Layout:
+    """Of a seekable RIFF file, by its chunks; the samples aren't read."""
+    head = f.read(12)
+    if head[:4] != b"RIFF" or head[8:12] != b"WAVE":
         raise ValueError("not a WAV file")
-    at, layout, body = 12, None, None
-    while at + 8 <= len(data):
-        name, size = data[at : at + 4], struct.unpack_from("<I", data, at + 4)[0]
+    at, form, body = 12, None, None
+    while form is None or body is None:
+        f.seek(at)
+        head = f.read(8)
+        if len(head) < 8:
+            raise ValueError("a WAV file without format or data")
+        name, size = head[:4], struct.unpack("<I", head[4:])[0]
         if name == b"fmt ":
-            layout = struct.unpack_from("<HHIIHH", data, at + 8)
+            fields = f.read(16)
+            if len(fields) < 16:
+                raise ValueError("a WAV file whose format is cut off")
+            form = struct.unpack("<HHIIHH", fields)
         elif name == b"data":
-            body = data[at + 8 : at + 8 + size]
+            body = at + 8, size
         at += 8 + size + size % 2  # chunks are padded to even sizes
-    if layout is None or body is None:
-        raise ValueError("a WAV file without format or data")
-    code, channels, rate, _, _, bits = layout
-    body = body[: len(body) // (channels * bits // 8) * (channels * bits // 8)]
-    if code == 3:
+    return Layout(form[0], form[1], form[2], form[5], *body)
+
+
+def mono(body: bytes, form: Layout) -> np.ndarray:
+    """Samples of whole frames: PCM of 8, 16, 24, 32 bits or float of 32, 64; channels averaged."""
+    body, bits = body[: len(body) // form.frame * form.frame], form.bits
+    if form.code == 3:
         x = np.frombuffer(body, {32: "<f4", 64: "<f8"}[bits]).astype(np.float64)
     elif bits == 8:
         x = (np.frombuffer(body, np.uint8).astype(np.float64) - 128) / 128
@@ -35,7 +64,13 @@ def parse(data: bytes) -> tuple[int, np.ndarray]:
         x = ((b[:, 0] << 8 | b[:, 1] << 16 | b[:, 2] << 24) >> 8) / 8388608
     else:
         x = np.frombuffer(body, {16: "<i2", 32: "<i4"}[bits]).astype(np.float64) / 2.0 ** (bits - 1)
-    return rate, x.reshape(-1, channels).mean(1).astype(np.float32)
+    return x.reshape(-1, form.channels).mean(1).astype(np.float32)
+
+
+def parse(data: bytes) -> tuple[int, np.ndarray]:
+    """Sample rate and mono samples of a RIFF file."""
+    form = layout(io.BytesIO(data))
+    return form.rate, mono(data[form.begin : form.begin + form.size], form)
 
 
 def build(x: np.ndarray, rate: int) -> bytes:
@@ -73,8 +108,12 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return decode(files.select(F.element_at(F.split("path", "/"), -1).alias("key"), "content"))
 
 
+def labels(spark: SparkSession, path: str) -> DataFrame:
+    """The fields of all JSON files of a folder, with their stem."""
+    stem = F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "")
+    return spark.read.option("multiLine", True).json(f"{path}/*.json").select("*", stem.alias("stem"))
+
+
 def read_labelled(spark: SparkSession, path: str) -> DataFrame:
     """WAV files with the fields of the JSON files of the same stem; files without a partner are left out."""
-    stem = lambda c: F.regexp_replace(c, r"\.[^.]*$", "")
-    labels = spark.read.option("multiLine", True).json(f"{path}/*.json").select("*", F.col("_metadata.file_name").alias("_file")).withColumn("stem", stem("_file")).drop("_file")
-    return read(spark, path).withColumn("stem", stem("key")).join(labels, "stem")
+    return read(spark, path).withColumn("stem", F.regexp_replace("key", r"\.[^.]*$", "")).join(labels(spark, path), "stem")
