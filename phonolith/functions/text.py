@@ -155,9 +155,48 @@ def toggle_token(name: str, on: Column) -> Column:
     return F.when(on, f"<|{name}|>").otherwise(f"<|no{name}|>")
 
 
-def prefix_lengths(pieces: Column) -> Column:
-    """Length of the decoded text of each prefix of pieces."""
-    return let(pieces, lambda all_: F.transform(all_, lambda _, i: F.length(decode_pieces(F.slice(all_, F.lit(1), i + 1)))))
+def common_run(a: Column, b: Column) -> Column:
+    """(a, b, n): where the longest run of equal words of two lists begins in each, from 0; of equals the first in a, then in b.
+
+    Hashes of runs of 1, 2, 4 ... words are made by doubling, and two of them that overlap make the hash of a run of
+    any length. A run of n words holds runs of fewer, so n is found bit by bit; each test meets two sets of hashes, so
+    words that occur often cost no more than others. The run found is compared word for word; were hashes to
+    mislead, that is an error, not a wrong answer.
+    """
+    get, size = F.get, F.size
+    pow2 = lambda j: F.call_function("shiftleft", F.lit(1), j)
+    high = lambda n: F.length(F.bin(n)).cast("int") - 1  # noqa: E731  of n's highest bit
+
+    def doubled(words: Column) -> Column:
+        def more(all_: Column, j: Column) -> Column:
+            half = pow2(j - 1)
+            pairs = let(F.struct(get(all_, j - 1).alias("h"), half.alias("half")), lambda p: F.transform(F.sequence(F.lit(0), size(p["h"]) - p["half"] - 1), lambda i: F.xxhash64(get(p["h"], i), get(p["h"], i + p["half"]))))
+            return F.concat(all_, F.array(pairs))
+
+        first = F.array(F.transform(words, lambda w: F.xxhash64(w)))
+        levels = F.when(size(words) > 1, F.sequence(F.lit(1), high(size(words)))).otherwise(F.array().cast("array<int>"))
+        return F.aggregate(levels, first, more)
+
+    def grams(side: Column, n: Column) -> Column:
+        """Hashes of all runs of n words: two overlapping halves each."""
+        parts = let(high(n), lambda j: F.struct(get(side["levels"], j).alias("h"), (n - pow2(j)).alias("back")))
+        return let(parts, lambda p: F.transform(F.slice(p["h"], F.lit(1), size(p["h"]) - p["back"]), lambda h, i: F.xxhash64(h, get(p["h"], i + p["back"]))))
+
+    def found(p: Column) -> Column:
+        most = F.least(size(p["x"]["words"]), size(p["y"]["words"]))
+        bits = F.when(most > 0, F.transform(F.sequence(F.lit(0), high(most)), lambda i: pow2(high(most) - i))).otherwise(F.array().cast("array<int>"))
+        shared = lambda n: F.when(n <= most, F.arrays_overlap(grams(p["x"], n), grams(p["y"], n))).otherwise(False)
+        longest = F.aggregate(bits, F.lit(0), lambda n, bit: F.when(shared(n + bit), n + bit).otherwise(n))
+        return let(longest, lambda n: F.when(n > 0, placed(p, n)))
+
+    def placed(p: Column, n: Column) -> Column:
+        both = F.struct(grams(p["x"], n).alias("x"), grams(p["y"], n).alias("y"))
+        first = let(both, lambda g: let(get(F.array_intersect(g["x"], g["y"]), F.lit(0)), lambda h: F.struct((F.array_position(g["x"], h) - 1).alias("a"), (F.array_position(g["y"], h) - 1).alias("b"), n.cast("long").alias("n"))))
+        part = lambda side, at: F.slice(side["words"], at.cast("int") + 1, n)
+        return let(first, lambda r: F.when(part(p["x"], r["a"]) == part(p["y"], r["b"]), r).otherwise(F.raise_error(F.lit("two runs share a hash")).cast("struct<a:bigint,b:bigint,n:bigint>")))
+
+    side = lambda words: F.struct(words.alias("words"), doubled(words).alias("levels"))
+    return let(F.struct(side(a).alias("x"), side(b).alias("y")), found)
 
 
 def utf16(t: Column) -> Column:

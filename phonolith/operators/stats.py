@@ -6,31 +6,31 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from phonolith.functions.scalar import finite
 
+from . import selection
+
 
 def nearest_rank(column: str, q: float) -> Column:
     """Nearest-rank percentile of a named column; nulls don't count."""
     return F.expr(f"percentile_disc({q}) within group (order by `{column}`)")
 
 
-def summary(df: DataFrame, keys: list[str], column: str) -> DataFrame:
+def summary(df: DataFrame, keys: list[str], column: str, coarse: bool = False) -> DataFrame:
     """count, min, max, mean, median, p90 (nearest rank) and stddev (sample; 0 of one) of finite values by keys.
 
-    One shuffle; the exact percentiles sort a group's distinct values with their counts.
+    One shuffle; the exact percentiles sort a group's distinct values with their counts in one task. For coarse keys,
+    whose groups outgrow a task, they are selected in two passes that no task holds a group in.
     """
     v = F.col("_v")
-    return (
-        df.select(*keys, F.when(finite(F.col(column)), F.col(column).cast("double")).alias("_v"))
-        .groupBy(*keys)
-        .agg(
-            F.count(v).alias("count"),
-            F.min(v).alias("min"),
-            F.max(v).alias("max"),
-            F.avg(v).alias("mean"),
-            F.median(v).alias("median"),
-            nearest_rank("_v", 0.9).alias("p90"),
-            F.when(F.count(v) == 1, 0.0).otherwise(F.stddev_samp(v)).alias("stddev"),
-        )
-    )
+    rows = df.select(*keys, F.when(finite(F.col(column)), F.col(column).cast("double")).alias("_v"))
+    simple = [F.count(v).alias("count"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean")]
+    spread = F.when(F.count(v) == 1, 0.0).otherwise(F.stddev_samp(v)).alias("stddev")
+    if not coarse:
+        return rows.groupBy(*keys).agg(*simple, F.median(v).alias("median"), nearest_rank("_v", 0.9).alias("p90"), spread)
+    ranked = selection.select(rows, keys, "_v", [*selection.MIDDLE, selection.nearest("p90", 0.9)])
+    ranked = ranked.select(*[F.col(k).alias(f"_of_{k}") for k in keys], ((F.col("_low") + F.col("_high")) / 2).alias("median"), "p90")
+    sums = rows.groupBy(*keys).agg(*simple, spread)
+    both = sums.join(ranked, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys]) if keys else sums.join(F.broadcast(ranked))
+    return both.select(*keys, "count", "min", "max", "mean", "median", "p90", "stddev")
 
 
 def parity(a: Column, b: Column) -> list[Column]:

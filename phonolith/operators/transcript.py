@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from phonolith.functions.text import words
 
@@ -57,3 +57,55 @@ def concat(df: DataFrame, keys: list[str], order: str, text: str) -> DataFrame:
 
 def snake_case(df: DataFrame) -> DataFrame:
     return df.toDF(*[re.sub(r"(?<!^)(?=[A-Z])", "_", c).lower() for c in df.columns])
+
+
+def prefix_lengths(pieces: DataFrame, keys: list[str], order: str, piece: str) -> DataFrame:
+    """pieces' rows with `n`, the length of the decoded text of all pieces up to each; linear in the pieces of a text.
+
+    Decoded as text.decode_pieces() does. A character that isn't white space counts, and a space before it if white
+    space stands between it and an earlier such character and it is no punctuation mark. What a piece adds depends on
+    the pieces before it only by whether they have a character and end in white space, so running sums suffice.
+    """
+    own = F.when((F.col(piece) == "<blank>") | F.col(piece).rlike("^<.*>$"), "").otherwise(F.replace(F.col(piece), F.lit("▁"), F.lit(" ")))
+    inside = F.size(F.regexp_extract_all("_t", F.lit(r"\S\s+(?=[^\s.,!?;:])"), F.lit(0)))
+    solid = F.length(F.regexp_replace("_t", r"\s+", ""))
+    w = Window.partitionBy(*keys).orderBy(order)
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    rows = pieces.withColumn("_t", own).withColumns({"_solid": solid, "_ends": F.when(F.col("_t") != "", F.col("_t").rlike(r"\s$"))})
+    space = F.coalesce(F.last("_ends", ignorenulls=True).over(before), F.lit(False)) | F.col("_t").rlike(r"^\s")
+    after = F.coalesce(F.sum("_solid").over(before), F.lit(0)) > 0
+    led = F.when(space & after & F.col("_t").rlike(r"^\s*[^\s.,!?;:]"), 1).otherwise(0)
+    rows = rows.withColumn("_adds", F.col("_solid") + inside + led)
+    return rows.withColumn("n", F.sum("_adds").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_t", "_solid", "_ends", "_adds")
+
+
+def boundaries(sentences: DataFrame, words: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, sentence, boundary): how many words there are up to the end of each sentence.
+
+    Both come as (keys, i, size), sizes without white space. Running sums place both on one line; of the words that
+    reach a sentence's end the first is the least place among those after it, by one more window.
+    """
+    sums = Window.partitionBy(*keys).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    upto = lambda d, word: d.select(*keys, F.sum("size").over(sums).alias("upto"), F.lit(word).alias("word"), "i")
+    line = upto(sentences, False).union(upto(words, True))
+    reach = Window.partitionBy(*keys).orderBy(F.col("upto").desc(), F.col("word").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    placed = line.withColumn("boundary", F.min(F.when(F.col("word"), F.col("i"))).over(reach) + 1)
+    return placed.filter(~F.col("word") & F.col("boundary").isNotNull()).select(*keys, F.col("i").alias("sentence"), "boundary")
+
+
+def joined_pieces(parts: DataFrame, keys: list[str], order: list[str], text: str, separator: str, size: int = 1 << 16) -> DataFrame:
+    """(keys, piece, begin, parts, text): a key's texts in order, joined, as pieces of about `size` characters.
+
+    Where each text begins in the whole is a running sum, so a piece holds the texts that begin in its stretch and
+    begins itself where the first of them does: put together by `piece`, pieces are the joined text. No array holds a
+    key's texts, only those of a piece, and a text of its own length at most beyond.
+    """
+    w = Window.partitionBy(*keys).orderBy(*order)
+    own = F.coalesce(F.col(text), F.lit(""))
+    step = F.length(own) + len(separator)
+    at = F.coalesce(F.sum(step).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = parts.select(*keys, at.alias("_at"), F.row_number().over(w).alias("_n"), own.alias("_text"))
+    placed = placed.withColumns({"piece": F.floor(F.col("_at") / size), "_text": F.concat(F.when(F.col("_n") > 1, separator).otherwise(""), "_text")})
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("_n", "_text"))), lambda x: x["_text"])
+    begin = F.min(F.when(F.col("_n") > 1, F.col("_at") - len(separator)).otherwise(0))
+    return placed.groupBy(*keys, "piece").agg(begin.alias("begin"), F.count("*").alias("parts"), F.array_join(ordered, "").alias("text"))

@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import StringType
 
 from phonolith.functions import signal, text as T
-from phonolith.operators import islands
+from phonolith.operators import islands, transcript
 from phonolith.streaming import folds, mergers, session
-from phonolith.streaming.runner import fold_batch
+from phonolith.streaming.runner import coalesced, fold_batch
 
 from .registry import query
 
@@ -170,13 +170,10 @@ l as (select conv_id, turn, i - j as d, island, min(i) - 1 as a, min(j) - 1 as b
 select conv_id, turn, first(a order by n desc, a, b) as a, first(b order by n desc, a, b) as b, max(n) as n from l group by conv_id, turn""", "conversations")
 def _(conversations: DataFrame) -> DataFrame:
     """The longest run of words that a turn shares with the next: where it begins in each; the first of equals."""
-    t = conversations.select("conv_id", "turn", F.posexplode(T.words(F.col("text"))).alias("i", "w"))
-    after = t.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("i").alias("j"), "w")
-    m = t.join(after, ["conv_id", "turn", "w"]).withColumn("d", F.col("i") - F.col("j"))
-    w = Window.partitionBy("conv_id", "turn", "d").orderBy("i")
-    runs = m.withColumn("island", F.col("i") - F.row_number().over(w)).groupBy("conv_id", "turn", "d", "island").agg(F.min("i").alias("a"), F.min("j").alias("b"), F.count("*").alias("n"))
-    best = F.min(F.struct((-F.col("n")).alias("m"), "a", "b")).alias("x")
-    return runs.groupBy("conv_id", "turn").agg(best).select("conv_id", "turn", F.col("x.a").cast("long").alias("a"), F.col("x.b").cast("long").alias("b"), (-F.col("x.m")).alias("n"))
+    t = conversations.select("conv_id", "turn", T.words(F.col("text")).alias("w"))
+    after = t.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("w").alias("next"))
+    d = t.join(after, ["conv_id", "turn"]).select("conv_id", "turn", T.common_run(F.col("w"), F.col("next")).alias("r"))
+    return d.filter("r is not null").select("conv_id", "turn", "r.a", "r.b", "r.n")
 
 
 def decoded(kind: str):
@@ -316,7 +313,8 @@ def _(embeddings: DataFrame) -> DataFrame:
 @query("r097_prefix_lengths", "select conv_id, turn, pos, n from (select conv_id, turn, generate_subscripts(p, 1) - 1 as pos, unnest(list_transform(range(1, len(p) + 1), lambda i: length(array_to_string(p[1:i], ' ')))) as n from (select conv_id, turn, (list_filter(string_split_regex(regexp_replace(text, '[^A-Za-z\\s]', '', 'g'), '\\s+'), lambda w: w <> '')) as p from conversations))", "conversations")
 def _(conversations: DataFrame) -> DataFrame:
     pieces = F.transform(T.words(F.regexp_replace("text", r"[^A-Za-z\s]", "")), lambda w: F.concat(F.lit("▁"), w))
-    d = conversations.select("conv_id", "turn", F.posexplode(T.prefix_lengths(pieces)).alias("pos", "n"))
+    d = conversations.select("conv_id", "turn", F.posexplode(pieces).alias("pos", "piece"))
+    d = transcript.prefix_lengths(d, ["conv_id", "turn"], "pos", "piece")
     return d.select("conv_id", "turn", F.col("pos").cast("long").alias("pos"), F.col("n").cast("long").alias("n"))
 
 
@@ -326,3 +324,12 @@ def _(events: DataFrame) -> DataFrame:
     schema = "frame long, energy double, snr double, active boolean, start boolean, end boolean, onset double"
     out = fold_batch(hops(events).select("user_id", *ORDER, "rms"), "user_id", ORDER, partial(folds.RoughGate, threshold_db=-12.0), schema)
     return out.filter("start").select("user_id", "frame", "onset")
+
+
+@query("r187_coalesced", """with m as (select *, row_number() over (partition by user_id, epoch_us(ts) // 21600000000 order by ts desc, event_id desc) as back from events where event_type = 'view')
+select user_id, event_type, epoch_us(ts) as at, event_id, value from m where back = 1 union all select user_id, event_type, epoch_us(ts), event_id, value from events where event_type is distinct from 'view'""", "events")
+def _(events: DataFrame) -> DataFrame:
+    """Views are metrics: the last of each six hours of a user; all other events pass."""
+    d = events.select("user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"), "event_id", "value")
+    out = coalesced(d, "ts", "1 hour", "6 hours", "user_id", "event_type", "view", ["event_id"])
+    return out.select("user_id", "event_type", F.unix_micros("ts").alias("at"), "last.event_id", "last.value")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from phonolith.functions import scalar as N
-from phonolith.operators import stats
+from phonolith.operators import selection, stats
 
 from .registry import query
 
@@ -132,15 +132,21 @@ def _(events: DataFrame) -> DataFrame:
 for _n, _name, _agg in (
     (67, "mean", ("round(avg(l_extendedprice), 6)", lambda: F.round(F.avg("l_extendedprice"), 6))),
     (68, "median", ("median(l_extendedprice)", lambda: F.median("l_extendedprice"))),
-    (69, "percentile", ("quantile_disc(l_extendedprice, 0.9)", lambda: stats.nearest_rank("l_extendedprice", 0.9))),
     (70, "stddev", ("round(case when count(*) = 1 then 0 else stddev_samp(l_extendedprice) end, 6)", lambda: F.round(F.when(F.count("*") == 1, 0.0).otherwise(F.stddev_samp("l_extendedprice")), 6))),
 ):
     query(f"r{_n:03d}_{_name}", f"select l_returnflag, {_agg[0]} as {_name} from lineitem group by l_returnflag", "lineitem")(lambda lineitem, a=_agg[1], n=_name: lineitem.groupBy("l_returnflag").agg(a().alias(n)))
 
 
+@query("r069_percentile", "select l_returnflag, quantile_disc(l_extendedprice, 0.9) as percentile, quantile_disc(l_extendedprice, 0.5) as p50, quantile_disc(l_extendedprice, 0.0) as p0, quantile_disc(l_extendedprice, 1.0) as p100 from lineitem group by l_returnflag", "lineitem")
+def _(lineitem: DataFrame) -> DataFrame:
+    """Nearest-rank percentiles of coarse keys, selected without a task that holds a group."""
+    ranks = [selection.nearest(n, q) for n, q in (("percentile", 0.9), ("p50", 0.5), ("p0", 0.0), ("p100", 1.0))]
+    return selection.select(lineitem, ["l_returnflag"], "l_extendedprice", ranks)
+
+
 @query("r071_numeric_summary", f"select l_returnflag, l_linestatus, {SUMMARY.format('l_extendedprice')} from lineitem group by all", "lineitem")
 def _(lineitem: DataFrame) -> DataFrame:
-    return tidy(stats.summary(lineitem, ["l_returnflag", "l_linestatus"], "l_extendedprice"))
+    return tidy(stats.summary(lineitem, ["l_returnflag", "l_linestatus"], "l_extendedprice", coarse=True))
 
 
 @query("r071_order_summary", f"select o_custkey, {SUMMARY.format('o_totalprice')} from orders group by o_custkey", "orders")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from phonolith.functions import arrays as A, text as T
-from phonolith.operators import islands
+from phonolith.operators import islands, transcript
 
 from .registry import query
 
@@ -169,6 +169,21 @@ def _(conversations: DataFrame) -> DataFrame:
     return both.groupBy("conv_id").agg(text.alias("text"), F.count("*").alias("parts"))
 
 
+@query("r108_concat_pieces", """with t as (select conv_id, turn, text, coalesce(sum(length(text) + 1) over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding), 0) as o from conversations)
+select conv_id, o // 1000 as piece, min(case when o > 0 then o - 1 else 0 end) as begin, count(*) as parts, string_agg(case when o > 0 then chr(10) else '' end || text, '' order by turn) as text from t group by 1, 2""", "conversations")
+def _(conversations: DataFrame) -> DataFrame:
+    """Results of a conversation in order, as pieces that follow each other; none holds a whole conversation."""
+    return transcript.joined_pieces(conversations, ["conv_id"], ["turn"], "text", "\n", 1000)
+
+
+@query("r129_join_pieces", """with p as (select conv_id, turn, trim(regexp_replace(text, '\\s+', ' ', 'g')) as text from conversations), t as (select conv_id, turn, text, coalesce(sum(length(text) + 1) over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding), 0) as o from p where text <> '')
+select conv_id, o // 1000 as piece, min(case when o > 0 then o - 1 else 0 end) as begin, count(*) as parts, string_agg(case when o > 0 then ' ' else '' end || text, '' order by turn) as text from t group by 1, 2""", "conversations")
+def _(conversations: DataFrame) -> DataFrame:
+    """Trimmed fragments joined by single spaces, as pieces that follow each other."""
+    tidy = conversations.select("conv_id", "turn", T.squeeze(F.col("text")).alias("text")).filter("text <> ''")
+    return transcript.joined_pieces(tidy, ["conv_id"], ["turn"], "text", " ", 1000)
+
+
 @query("r079_merge_meta", "select conv_id, sum(length(text)) / 100.0::double as duration_s, count(*) as segments, bool_and(role <> 'system') as is_final, arg_max(role, turn) as last_role from conversations group by conv_id", "conversations")
 def _(conversations: DataFrame) -> DataFrame:
     return conversations.groupBy("conv_id").agg((F.sum(F.length("text")) / 100.0).alias("duration_s"), F.count("*").alias("segments"), F.bool_and(F.col("role") != "system").alias("is_final"), F.max_by("role", "turn").alias("last_role"))

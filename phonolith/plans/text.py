@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from phonolith.functions import nested, scalar, text as T
-from phonolith.operators import stats
+from phonolith.operators import stats, transcript
 
 from .registry import query
 
@@ -145,15 +145,10 @@ w as (select conv_id, turn, i, sum(length({KEY.format('x')})) over (partition by
 select s.conv_id, s.turn, cast(s.i - 1 as int) as sentence, cast(min(w.i) as int) as boundary from s join w on s.conv_id = w.conv_id and s.turn = w.turn and w.upto >= s.upto group by all""", "conversations")
 def _(conversations: DataFrame) -> DataFrame:
     """How many words a turn has up to the end of each sentence, by lengths without white space."""
-    length = lambda x: F.length(F.regexp_replace(F.lower(x), r"\s+", ""))
-
-    def sums(items) -> F.Column:
-        return T.let(F.transform(items, length), lambda n: F.transform(n, lambda _, i: F.aggregate(F.slice(n, F.lit(1), i + 1), F.lit(0), lambda a, y: a + y)))
-
-    d = conversations.select("conv_id", "turn", sums(T.sentences(F.col("text"))).alias("s"), sums(T.words(F.col("text"))).alias("w"))
-    d = d.select("conv_id", "turn", "w", F.posexplode("s").alias("sentence", "upto"))
-    first = F.array_position(F.transform("w", lambda x: x >= F.col("upto")), True)
-    return d.filter(first > 0).select("conv_id", "turn", "sentence", first.cast("int").alias("boundary"))
+    size = F.length(F.regexp_replace(F.lower("x"), r"\s+", "")).alias("size")
+    items = lambda parts: conversations.select("conv_id", "turn", F.posexplode(parts).alias("i", "x")).select("conv_id", "turn", "i", size)
+    d = transcript.boundaries(items(T.sentences(F.col("text"))), items(T.words(F.col("text"))), ["conv_id", "turn"])
+    return d.select("conv_id", "turn", F.col("sentence").cast("int").alias("sentence"), F.col("boundary").cast("int").alias("boundary"))
 
 
 DECODED = r"trim(regexp_replace(regexp_replace(replace(array_to_string(list_filter(p, lambda x: x <> '<blank>' and not regexp_matches(x, '^<.*>$')), ''), '▁', ' '), '\s+([.,!?;:])', '\1', 'g'), '\s+', ' ', 'g'))"

@@ -85,3 +85,20 @@ def sessions(events: DataFrame, time: str, late: str, gap: str, keys: list[str],
     from pyspark.sql import functions as F
 
     return events.withWatermark(time, late).groupBy(*keys, F.session_window(time, gap)).agg(*aggregates)
+
+
+def coalesced(events: DataFrame, time: str, late: str, slot: str, key: str, kind: str, metric: str, order: list[str]) -> DataFrame:
+    """Rows (key, kind, time, last): of events of kind `metric` the last of each slot of event time, other events all.
+
+    `last` has the event's other columns; of equal times the last by order. In batch, or over a stream in update mode:
+    a slot's row comes again when it changes, and its state goes once the watermark, `late` behind, has passed it.
+    """
+    from pyspark.sql import functions as F
+
+    rest = F.struct(*[c for c in events.columns if c not in (key, kind, time)])
+    seen = events.withWatermark(time, late) if events.isStreaming else events
+    slots = seen.filter(F.col(kind) == metric).groupBy(key, F.window(time, slot).alias("_slot"))
+    last = slots.agg(F.max(F.struct(F.col(time).alias("t"), *order, rest.alias("r"))).alias("_last"))
+    metrics = last.select(key, F.lit(metric).alias(kind), F.col("_last.t").alias(time), F.col("_last.r").alias("last"))
+    others = seen.filter(~F.col(kind).eqNullSafe(metric)).select(key, kind, time, rest.alias("last"))
+    return metrics.union(others)

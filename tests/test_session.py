@@ -86,8 +86,3 @@ def test_wav_formats(code, bits, body):
     data = b"RIFF\x00\x00\x00\x00WAVE" + extra + fmt + b"data" + struct.pack("<I", len(body)) + body
     rate, x = wav.parse(data)
     assert rate == 8000 and np.allclose(x, {8: [0, 127 / 128, -1], 24: [0.5, -0.5], 32: [0.5, -1], 64: [0.5, -1]}[bits])
-
-
-def test_prefix_lengths(spark):
-    pieces = F.array(*map(F.lit, ("▁a", "bc", "▁d", ".")))
-    assert spark.range(1).select(T.prefix_lengths(pieces)).first()[0] == [1, 3, 5, 6]
