@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from phonolith.functions import nested, scalar, text as T
+from phonolith.functions import edits, nested, scalar, text as T
 from phonolith.operators import stats, transcript
 
 from .registry import query
@@ -108,6 +108,37 @@ def _(conversations: DataFrame) -> DataFrame:
     return p.groupBy("role").agg((F.sum(edits) / F.sum(F.size("wa"))).alias("corpus_wer"), (F.sum(chars) / F.sum(F.length("a"))).alias("corpus_cer"))
 
 
+#: Whole documents against the next ones.
+NEXT = f"(select doc_id, {NORM.format('d.text')} as a, {NORM.format('e.text')} as b from documents d join (select doc_id - 1 as doc_id, text from documents) e using (doc_id))"
+
+
+def document_pairs(documents: DataFrame) -> DataFrame:
+    d = documents.select("doc_id", T.normalize(F.col("text")).alias("a"))
+    return d.join(d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("a").alias("b")), "doc_id")
+
+
+@query("r119_document_distance", f"select doc_id, levenshtein(a, b)::bigint as distance, round(case when greatest(length(a), length(b)) = 0 then 1.0::double else 1 - levenshtein(a, b)::double / greatest(length(a), length(b)) end, 9) as similarity, round(case when length(a) = 0 then 0.0::double else levenshtein(a, b)::double / length(a) end, 9) as cer from {NEXT}", "documents")
+def _(documents: DataFrame) -> DataFrame:
+    """Character edits between whole documents, with their similarity and error rate."""
+    d = document_pairs(documents).withColumn("distance", edits.char_edits("a", "b"))
+    longer = F.greatest(F.length("a"), F.length("b"))
+    return d.select("doc_id", "distance", F.round(F.when(longer == 0, 1.0).otherwise(1 - F.col("distance") / longer), 9).alias("similarity"), F.round(edits.rate(F.col("distance"), F.length("a")), 9).alias("cer"))
+
+
+@query("r122_document_error_rates", f"select lang, sum(levenshtein(a, b)) / sum(length(a)) as corpus_cer from {NEXT} join (select doc_id, lang from documents) using (doc_id) group by lang", "documents")
+def _(documents: DataFrame) -> DataFrame:
+    """Pooled character error rates of whole documents, by language."""
+    d = document_pairs(documents).join(documents.select("doc_id", "lang"), "doc_id").withColumn("n", edits.char_edits("a", "b"))
+    return d.groupBy("lang").agg((F.sum("n") / F.sum(F.length("a"))).alias("corpus_cer"))
+
+
+@query("r121_document_wer", None, "documents")
+def _(documents: DataFrame) -> DataFrame:
+    """Word edits and word error rates of whole documents."""
+    d = document_pairs(documents).select("doc_id", T.words(F.col("a")).alias("a"), T.words(F.col("b")).alias("b")).withColumn("edits", edits.item_edits("a", "b"))
+    return d.select("doc_id", "edits", edits.rate(F.col("edits"), F.size("a")).alias("wer"))
+
+
 PREFIX = "cast(coalesce((select min(i) - 1 from range(1, least(len({0}), len({1})) + 1) r(i) where {0}[i] <> {1}[i]), least(len({0}), len({1}))) as bigint)"
 RATIO4 = "case when {1} > 0 then floor({0}::double / {1} * 10000 + 0.5) / 10000 else 0.0::double end"
 

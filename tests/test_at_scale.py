@@ -8,7 +8,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from phonolith.functions import text as T
+from phonolith.functions import edits, text as T
 from phonolith.operators import selection, stats, transcript
 from phonolith.streaming.runner import coalesced
 
@@ -123,3 +123,37 @@ def test_coalesced_stream(spark, tmp_path, steps):
 
     out.writeStream.outputMode("update").foreachBatch(take).option("checkpointLocation", str(tmp_path / "at")).trigger(availableNow=True).start().awaitTermination()
     assert sorted(seen.values()) == want
+
+
+def edits_by_hand(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        now = [i + 1]
+        for j, y in enumerate(b):
+            now.append(min(now[j] + 1, row[j + 1] + 1, row[j] + (x != y)))
+        row = now
+    return row[-1]
+
+
+def test_edits(spark):
+    rng = random.Random(7)
+    for _ in range(1500):
+        a, b = ("".join(rng.choice("abé😀"[: rng.randrange(1, 5)]) for _ in range(rng.randrange(14))) for _ in "ab")
+        assert edits.distance(a, b) == edits_by_hand(a, b)
+    rows = [(" ".join(rng.choice(["one", "two", "three", str(i)]) for i in range(rng.randrange(150))), " ".join(rng.choice(["one", "two", "four", str(i)]) for i in range(rng.randrange(150)))) for _ in range(25)] + [("", ""), ("", "a b"), (None, "a"), ("x", None)]
+    df = spark.createDataFrame(rows, "a string, b string").withColumns({"wa": T.words(F.col("a")), "wb": T.words(F.col("b"))})
+    for r in df.select("a", "b", edits.char_edits("a", "b").alias("c"), edits.item_edits("wa", "wb").alias("w")).collect():
+        known, a, b = r["a"] is not None and r["b"] is not None, r["a"] or "", r["b"] or ""  # words of null are none
+        assert r["c"] == (edits_by_hand(a, b) if known else None) and r["w"] == edits_by_hand(a.split(), b.split())
+
+
+def test_edits_of_long_texts(spark):
+    """Two unlike texts of 30,000 characters, and 20,000 words of as many kinds: whole, in seconds."""
+    rng = random.Random(9)
+    a, b = ("".join(rng.choice("abcdefgh ") for _ in range(30_000)) for _ in "ab")
+    began = time.monotonic()
+    got = spark.createDataFrame([(a, b)], "a string, b string").select(edits.char_edits("a", "b"), F.levenshtein("a", "b")).first()
+    assert got[0] == got[1]
+    words = [str(i) for i in range(20_000)]
+    assert edits.distance(words, words[5:] + ["x"]) == 6 and edits.distance(words, words[::-1]) <= 20_000
+    assert time.monotonic() - began < 90
