@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import StringType
 
 from phonolith.functions import signal, text as T
-from phonolith.operators import islands, transcript
+from phonolith.operators import islands, merging, transcript
 from phonolith.streaming import folds, mergers, session
 from phonolith.streaming.runner import coalesced, fold_batch
 
@@ -142,6 +142,18 @@ def _(conversations: DataFrame) -> DataFrame:
     return out.groupBy("conv_id").agg(F.max("revision").alias("revision"), F.sum(F.length("settled")).alias("settled_chars"))
 
 
+@query("r182_settled_sentences", r"""with w as (select conv_id, turn, concat_ws(' ', lag(text) over (partition by conv_id order by turn), text) as t, lead(turn) over (partition by conv_id order by turn) is null as final from conversations),
+s as (select conv_id, turn, final, list_filter(list_transform(regexp_extract_all(trim(regexp_replace(t, '\s+', ' ', 'g')), '[^.!?]+[.!?]+|[^.!?]+$'), lambda x: trim(x)), lambda x: x <> '') as s from w),
+e as (select conv_id, turn, final, len(s) as n, generate_subscripts(s, 1) - 1 as place, unnest(s) as text from s)
+select conv_id, turn, place::int as place, text from e where final or place < n - 1 qualify row_number() over (partition by conv_id, lower(text) order by turn, place) = 1""", "conversations")
+def _(conversations: DataFrame) -> DataFrame:
+    """Every sentence of overlapping windows once, where it was settled first, however far back that was."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    both = F.concat_ws(" ", F.lag("text").over(w), "text")
+    d = conversations.select("conv_id", "turn", T.words(both).alias("words"), F.lead("turn").over(w).isNull().alias("final"))
+    return merging.settled(d, "conv_id", "turn", "words", None, "final").select("conv_id", "turn", "place", "text")
+
+
 def token_windows(embeddings: DataFrame) -> DataFrame:
     """Windows of 20 tokens a second apart, of which half overlap."""
     ids = F.transform(F.sequence(F.lit(0), F.lit(19)), lambda i: ((F.col("vec_id") % 50) * 10 + i) % 37)

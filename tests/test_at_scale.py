@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from phonolith.functions import edits, text as T
-from phonolith.operators import selection, stats, transcript
+from phonolith.operators import merging, selection, stats, transcript
+from phonolith.streaming import mergers
 from phonolith.streaming.runner import coalesced
 
 
@@ -125,6 +126,26 @@ def test_coalesced_stream(spark, tmp_path, steps):
     assert sorted(seen.values()) == want
 
 
+@pytest.mark.parametrize("timed", [False, True])
+def test_repeats_far_back(spark, timed):
+    """A sentence that comes again after 300 others is dropped; with times, only near its first end."""
+    rng = random.Random(10)
+    rows = [(0, i, [f"word{i % 301}", f"s{i % 301}.", "and", "open"], [t, t + 0.1, t + 0.2, None], i == 699) for i in range(700) for t in [round(i % 301 + (0.0 if i < 301 else rng.choice([0.0, 0.1, 0.2, 0.4])), 1)]]
+    rows += [(1, 0, [], [], False), (1, 1, ["a."], [1.0], True), (2, 0, ["x.", "X.", "x.", "y"], [None, 5.0, 9.0, 9.5], True)]
+    df = spark.createDataFrame(rows, "k int, n int, w array<string>, e array<double>, final boolean")
+    got = merging.settled(df, "k", "n", "w", "e" if timed else None, "final").collect()
+    want = []
+    for k in (0, 1, 2):
+        one = mergers.Utterances(memory=10**9)
+        for _, n, words, ends, final in (r for r in rows if r[0] == k):
+            *done, last = mergers.cut_sentences([(w, None, e if timed else None) for w, e in zip(words, ends)]) or [[]]
+            for s in done + ([last] if final and last else []):
+                want += [(k, n, t) for t in one._settle([s])]
+    assert sorted((r["k"], r["n"], r["text"]) for r in got) == sorted(want)
+    if not timed:
+        assert sum(r["k"] == 0 for r in got) == 302
+
+
 def edits_by_hand(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a):
