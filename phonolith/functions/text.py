@@ -206,7 +206,7 @@ def utf16(t: Column) -> Column:
     return F.when(count == 0, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.conv(F.substring(hexed, i * 4 + 1, F.lit(4)), 16, 10).cast("long")))
 
 
-def imul(a: Column, b: int) -> Column:
+def imul(a: Column, b: Column | int) -> Column:
     """The low 32 bits of a product of unsigned 32-bit numbers."""
     low, high = a.bitwiseAND(F.lit(0xFFFF)), F.shiftright(a, 16)
     return (low * b + F.shiftleft((high * b).bitwiseAND(F.lit(0xFFFF)), 16)).bitwiseAND(F.lit(0xFFFFFFFF))
@@ -215,3 +215,13 @@ def imul(a: Column, b: int) -> Column:
 def fnv1a(t: Column) -> Column:
     """FNV-1a in 32 bits over the UTF-16 units of a text; null for null and empty texts, which seed nothing."""
     return F.when(t != "", F.aggregate(utf16(t), F.lit(2166136261).cast("long"), lambda h, c: imul(h.bitwiseXOR(c), 16777619)))
+
+
+def draws(seed: Column, count: int) -> Column:
+    """The first numbers, from 0 to below 1, of the 32-bit Mulberry generator with an unsigned 32-bit seed."""
+    low = F.lit(0xFFFFFFFF)
+    turn = lambda s: imul(s.bitwiseXOR(F.shiftright(s, 15)), s.bitwiseOR(F.lit(1)))
+    mix = lambda t: t.bitwiseXOR((t + imul(t.bitwiseXOR(F.shiftright(t, 7)), t.bitwiseOR(F.lit(61)))).bitwiseAND(low))
+    number = lambda t: t.bitwiseXOR(F.shiftright(t, 14)).bitwiseAND(low) / (1 << 32)
+    one = lambda i: let(let((seed + (i + 1) * F.lit(0x6D2B79F5).cast("long")).bitwiseAND(low), lambda s: turn(s)), lambda t: let(mix(t), number))
+    return F.transform(F.sequence(F.lit(0), F.lit(count - 1)), one)

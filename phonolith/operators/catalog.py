@@ -51,14 +51,19 @@ def ranked(backends: DataFrame, preferred: list[str], precision: str | None = No
     return backends.withColumn("rank", F.row_number().over(Window.orderBy(*keys, "reg")).cast("long"))
 
 
+def choice(backends: DataFrame, c: Criteria, preferred: list[str]) -> DataFrame:
+    """The best backend's row, none if none fits."""
+    return ranked(backends.filter(matches(c)), preferred).filter("rank = 1")
+
+
 def select(backends: DataFrame, c: Criteria, preferred: list[str]) -> str:
-    """The best backend's id."""
+    """The best backend's id; an error says what is missing."""
     n, up = backends.agg(F.count("*"), F.count_if("available")).first()
     if not n:
         raise BackendError("no backend is registered")
     if not up:
         raise BackendError("no backend is available")
-    best = ranked(backends.filter(matches(c)), preferred).filter("rank = 1").first()
+    best = choice(backends, c, preferred).first()
     if best is None:
         raise BackendError(f"no backend fits {c}")
     return best["id"]

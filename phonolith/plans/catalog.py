@@ -231,11 +231,16 @@ def _(region: DataFrame) -> DataFrame:
     return region.select("r_regionkey", "r_name", T.fnv1a(F.concat("r_name", F.lit("é𝄞"))).alias("seed"))
 
 
-@query("r111_random_numbers", f"select pos::int as pos, number from {DRAWS} where pos < 100", "region")
-def _(region: DataFrame) -> DataFrame:
-    """The first numbers of a seeded generator."""
-    draw = datasets.random_numbers(datasets.seed_number("fixed-seed"))
-    return region.sparkSession.createDataFrame([(i, next(draw)) for i in range(100)], "pos int, number double")
+def _draws_sql(name: str, table: str, count: int) -> str:
+    """DRAWS for each row of a table, seeded by a name of its own."""
+    seed = "(select list_reduce(list_prepend(2166136261::hugeint, list_transform(string_split('fixed-seed', ''), lambda c: ord(c)::hugeint)), lambda h, c: (xor(h::uhugeint, c::uhugeint)::hugeint * 16777619) % 4294967296)::bigint as h)"
+    return DRAWS.replace(seed, seed.replace("select list_reduce", "select c_custkey, list_reduce").replace("'fixed-seed'", name).replace(" as h)", f" as h from {table})")).replace("select pos", "select c_custkey, pos").replace("range(0, 1000)", f"range(0, {count})")
+
+
+@query("r111_random_numbers", f"select c_custkey, pos::int as pos, number from {_draws_sql('c_name', 'customer', 5)}", "customer")
+def _(customer: DataFrame) -> DataFrame:
+    """The first numbers of a seeded generator, one seed for each customer's name."""
+    return customer.select("c_custkey", F.posexplode(T.draws(T.fnv1a(F.col("c_name")), 5)).alias("pos", "number"))
 
 
 @query("r188_profiles", "select n as name, ceil(a / 16) * 16 as preroll, ceil(b / 16) * 16 as most, t as threshold, ceil(c / 16) * 16 as speech, ceil(d / 16) * 16 as silence, ceil(e / 16) * 16 as hangover, ceil(f / 16) * 16 as lookback from (values ('realtime', 680::double, 3600::double, 0.55::double, 240::double, 320::double, 320::double, 240::double), ('generic', 680, 3600, 0.55, 240, 320, 320, 240), ('aggressive', 680, 3600, 0.42, 160, 128, 320, 240), ('conservative', 680, 3600, 0.6, 240, 256, 480, 240)) v(n, a, b, t, c, d, e, f)", "region")
@@ -250,5 +255,4 @@ def _(region: DataFrame) -> DataFrame:
 
 @query("r100_backend_choice", f"select id from {BACKENDS} where available and not experimental and list_contains(precisions, 'fp16') order by reg limit 1", "supplier")
 def _(supplier: DataFrame) -> DataFrame:
-    best = catalog.select(backends(supplier), catalog.Criteria(precision="fp16", environment="node"), [])
-    return supplier.filter(F.col("s_name") == best).select(F.col("s_name").alias("id"))
+    return catalog.choice(backends(supplier), catalog.Criteria(precision="fp16", environment="node"), []).select("id")

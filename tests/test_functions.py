@@ -115,6 +115,12 @@ def test_audio_key(spark):
     assert one(spark, T.fnv1a(F.lit("")), T.fnv1a(F.lit("a")), T.fnv1a(F.lit("foobar")))[:] == (None, 0xE40C292C, 0xBF9CF968)
 
 
+def test_draws(spark):
+    for seed in (0, 1, 0x9E3779B9, 0xFFFFFFFF):
+        draw = datasets.random_numbers(seed)
+        assert one(spark, T.draws(F.lit(seed).cast("long"), 20))[0] == [next(draw) for _ in range(20)]
+
+
 def test_onset_by_its_rule(spark):
     """From the newest candidate walk back; a rise moves the onset; stop past the look-back or near the noise floor."""
     rng = random.Random(8)
