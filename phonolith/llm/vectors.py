@@ -16,6 +16,8 @@ windows cost nothing there, however large their component.
 A pass moves each vector once, by a range shuffle; the neighbours on both sides of a partition's border, a bounded
 number, meet afterwards. Nothing but links and these border rows is written.
 
+Components are taken in single precision, as embeddings are stored, and cosines computed from them in double.
+
 Defined results: null, empty or zero vectors and those with null or non-finite components link with nothing;
 vectors of different lengths don't link; repeated vec_ids give a row each; further columns are ignored.
 """
