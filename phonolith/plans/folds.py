@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import StringType
 
 from phonolith.functions import signal, text as T
-from phonolith.operators import islands, merging, transcript
+from phonolith.operators import islands, merging, transcript, windows
 from phonolith.streaming import folds, mergers, session
 from phonolith.streaming.runner import coalesced, fold_batch
 
@@ -122,14 +122,14 @@ select stream, greatest(cursor, case when cursor > 0 then e - 480000 else 0 end)
 def _(embeddings: DataFrame) -> DataFrame:
     k = F.col("vec_id") % 50
     d = embeddings.select(F.expr("vec_id div 50").alias("stream"), "vec_id", F.lit(0).cast("long").alias("base"), ((k + 1) * 16000).alias("end"), F.when(k % 5 == 4, k * 16000).alias("cursor"))
-    d = d.withColumn("cursor", F.coalesce("cursor", F.lit(0)))
-    return fold_batch(d, "stream", ["vec_id"], folds.WindowBuilder, "start long, end long")
+    d = d.withColumn("sentence_end", F.lit(None).cast("long"))
+    return windows.stretches(d, "stream", ["vec_id"]).select("stream", "start", F.col("stop").alias("end"))
 
 
 @query("r179_accumulator", "select conv_id, row_number() over (partition by conv_id order by turn) as revision, case when role = 'assistant' then trim(text, ' ' || chr(9) || chr(10) || chr(13)) else '' end as settled, case when role = 'assistant' then '' else trim(text, ' ' || chr(9) || chr(10) || chr(13)) end as preview from conversations", "conversations")
 def _(conversations: DataFrame) -> DataFrame:
     d = conversations.select("conv_id", "turn", "text", (F.col("role") == "assistant").alias("final"))
-    return fold_batch(d, "conv_id", ["turn"], folds.Accumulator, "revision long, settled string, preview string")
+    return windows.accumulated(d, "conv_id", ["turn"], "text", "final").select("conv_id", "revision", "settled", "preview")
 
 
 @query("r182_utterance_merger", None, "conversations")
@@ -230,7 +230,7 @@ def samples(embeddings: DataFrame) -> DataFrame:
 
 @query("r167_sample_ring", "select vec_id // 50 as stream, greatest(0, (count(*) * 64) - 1000) as base, count(*) * 64 as end_frame from embeddings group by 1", "embeddings")
 def _(embeddings: DataFrame) -> DataFrame:
-    out = fold_batch(samples(embeddings), "stream", ["vec_id"], partial(session.Ring, 1000), "base long, end long")
+    out = windows.ring(samples(embeddings), "stream", ["vec_id"], F.size("samples"), 1000)
     return out.groupBy("stream").agg(F.max("base").alias("base"), F.max("end").alias("end_frame"))
 
 
@@ -239,8 +239,7 @@ o as (select stream, x, unnest(range(0, ((2 * len(x) - 1) // 3)::bigint)) as j,
 select stream, j as frame, x[j * 3 // 2 + 1] + (x[j * 3 // 2 + 2] - x[j * 3 // 2 + 1]) * (j % 2) / 2 as v from o where j < made // 256 * 256""", "embeddings")
 def _(embeddings: DataFrame) -> DataFrame:
     """Two samples for three, in chunks of 256; a stream's last samples wait for more."""
-    out = fold_batch(samples(embeddings), "stream", ["vec_id"], partial(session.Resampler, 1.5), "frame long, samples array<double>")
-    return out.select("stream", "frame", F.posexplode("samples").alias("i", "v")).select("stream", (F.col("frame") + F.col("i")).alias("frame"), "v")
+    return windows.resampled(samples(embeddings), "stream", ["vec_id"], "samples", 1.5)
 
 
 @query("r169_layered_buffer", ROLLING, "embeddings")

@@ -9,8 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from phonolith.functions import edits, text as T
-from phonolith.operators import merging, selection, stats, transcript
-from phonolith.streaming import mergers
+from phonolith.operators import merging, selection, stats, transcript, windows
+from phonolith.streaming import folds, mergers, session
 from phonolith.streaming.runner import coalesced
 
 
@@ -178,3 +178,42 @@ def test_edits_of_long_texts(spark):
     words = [str(i) for i in range(20_000)]
     assert edits.distance(words, words[5:] + ["x"]) == 6 and edits.distance(words, words[::-1]) <= 20_000
     assert time.monotonic() - began < 90
+
+
+def test_batch_plans_equal_folds(spark):
+    """What streams carry from row to row, as windows in batch: stretches, resampled chunks, rings, accumulated texts."""
+    rng = random.Random(11)
+    rows, pushes = [], []
+    for k in range(12):
+        end = cursor = 0
+        for n in range(60):
+            end += rng.randrange(4000, 40000)
+            cursor = max(cursor, rng.choice([0, 0, end - rng.randrange(20000)]) if k % 3 else 0)
+            rows.append((k, n, max(0, end - 900_000), end, rng.choice([None, cursor]) if k % 2 else cursor or None, rng.choice([None, None, end - rng.randrange(9000)]) if k % 4 else None))
+            pushes.append((k, n, [rng.uniform(-1, 1) for _ in range(rng.choice([0, 1, 7, 200]))], rng.choice([" a ", "b\n", "", None]), rng.random() < 0.4))
+    want = []
+    for k in range(12):
+        builder = folds.WindowBuilder()
+        for r in (r for r in rows if r[0] == k):
+            builder.mature(r[4] or 0, r[5])
+            got = builder.build(r[2], r[3])
+            want += [(k, r[1], *got)] if got else []
+    df = spark.createDataFrame(rows, "k int, n int, base long, end long, cursor long, sentence_end long")
+    assert sorted((r["k"], r["n"], r["start"], r["stop"]) for r in windows.stretches(df, "k", ["n"]).collect()) == want
+    df = spark.createDataFrame(pushes, "k int, n int, x array<double>, t string, f boolean")
+    for ratio in (1.5, 0.4, 3.0):
+        got, made = defaultdict(dict), defaultdict(list)
+        for r in windows.resampled(df, "k", ["n"], "x", ratio, 16).collect():
+            got[r["k"]][r["frame"]] = r["v"]
+        for k in range(12):
+            fold = session.Resampler(ratio, 16)
+            for r in (r for r in pushes if r[0] == k):
+                made[k] += [v for c in fold.step({"samples": r[2]}) for v in c["samples"]]
+            assert sorted(got[k]) == list(range(len(made[k]))) and all(abs(got[k][i] - v) < 1e-9 for i, v in enumerate(made[k]))
+    rings = {(r["k"], r["n"]): (r["base"], r["end"]) for r in windows.ring(df, "k", ["n"], F.size("x"), 100).collect()}
+    texts = {(r["k"], r["n"]): (r["revision"], r["settled"], r["preview"]) for r in windows.accumulated(df, "k", ["n"], "t", "f").collect()}
+    for k in range(12):
+        ring, heard = session.Ring(100), folds.Accumulator()
+        for _, n, x, t, f in (r for r in pushes if r[0] == k):
+            ring.write(x)
+            assert rings[k, n] == (ring.base, ring.end) and texts[k, n] == tuple(heard.step({"text": t, "final": f})[0].values())
