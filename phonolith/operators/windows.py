@@ -62,3 +62,24 @@ def resampled(pushes: DataFrame, key: str, order: list[str], samples: str, ratio
     made = made.select(key, "frame", (F.col("x") + (F.col("next") - F.col("x")) * (F.col("frame") * ratio - F.col("i"))).alias("v"))
     whole = F.floor((F.max("frame").over(Window.partitionBy(key)) + 1) / size) * size
     return made.withColumn("_whole", whole).filter(F.col("frame") < F.col("_whole")).drop("_whole")
+
+
+def foreground(segments: DataFrame, levels: DataFrame, key: str, onset: int, least_db: float, onset_db: float, long_db: float, short: int, long: int) -> DataFrame:
+    """segments(key, start_frame, end_frame) with foreground_db, onset_db and reason, the first threshold that they miss.
+
+    levels: (key, frame, db, noise_db), a row for each analysis window. A segment's 90th percentile level, and that of
+    its first `onset` frames, are held against the noise floor of its last window. Segments of a key don't overlap, so
+    a window belongs to the last segment that begins before it: one window over both, no join.
+    """
+    marks = segments.select(key, F.col("start_frame").alias("_at"), F.struct("start_frame", "end_frame").alias("_s"), F.lit(None).cast("double").alias("db"), F.lit(None).cast("double").alias("noise_db"))
+    rows = marks.union(levels.select(key, "frame", F.lit(None).cast(dict(marks.dtypes)["_s"]), "db", "noise_db"))
+    w = Window.partitionBy(key).orderBy("_at", F.col("_s").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    inside = rows.withColumn("_own", F.last("_s", ignorenulls=True).over(w)).filter("_own is not null").filter((F.col("_s").isNotNull()) | (F.col("_at") < F.col("_own.end_frame")))
+    first = F.when(F.col("_at") < F.col("_own.start_frame") + onset, F.col("db"))
+    rank = lambda c: F.coalesce(F.expr(f"percentile_disc(0.9) within group (order by {c})"), F.lit(-100.0))
+    noise = F.max_by("noise_db", F.when(F.col("noise_db").isNotNull(), F.col("_at")))
+    found = inside.withColumn("_first", first).groupBy(key, F.col("_own.start_frame").alias("start_frame"), F.col("_own.end_frame").alias("end_frame")).agg(rank("db").alias("_all"), rank("_first").alias("_begin"), noise.alias("_noise"))
+    size = F.col("end_frame") - F.col("start_frame")
+    scored = found.select(key, "start_frame", "end_frame", (F.col("_all") - F.col("_noise")).alias("foreground_db"), (F.col("_begin") - F.col("_noise")).alias("onset_db"))
+    reason = F.when(F.col("foreground_db") < least_db, "foreground-too-quiet").when((size < short) & (F.col("onset_db") < onset_db), "short-onset-too-quiet")
+    return scored.withColumn("reason", reason.when((size >= long) & (F.col("foreground_db") < long_db), "long-quiet-background").otherwise("accepted"))

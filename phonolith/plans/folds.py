@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import StringType
 
-from phonolith.functions import signal, text as T
+from phonolith.functions import scalar, signal, text as T
 from phonolith.operators import islands, merging, transcript, windows
 from phonolith.streaming import folds, mergers, session
 from phonolith.streaming.runner import coalesced, fold_batch
@@ -99,6 +99,24 @@ def _(events: DataFrame) -> DataFrame:
     return fold_batch(hops(events).select("user_id", *ORDER, "rms"), "user_id", ORDER, partial(_detector, make), "start_frame long, end_frame long, reason string")
 
 
+@query("r176_accepted_segments", detector_sql(57600).rpartition("\nselect user_id, start_frame")[0] + """,
+segments as (select user_id, start_frame, n * 1280 as end_frame from d where reason is not null),
+levels as (select g.user_id, g.n * 1280 - 1280 as frame, greatest(-100.0::double, 20 * log10(h.rms)) as db, greatest(-100.0::double, 20 * log10(g.e)) - snr as noise from g join h on h.user_id = g.user_id and h.n = g.n),
+scored as (select v.user_id, start_frame, end_frame, quantile_disc(db, 0.9) as seg, coalesce(quantile_disc(db, 0.9) filter (frame < start_frame + 5120), -100) as begin_, arg_max(noise, frame) as noise from segments v join levels l on l.user_id = v.user_id and frame >= start_frame and frame < end_frame group by all)
+select user_id, start_frame, end_frame, round(seg - noise, 6) as foreground_db, round(begin_ - noise, 6) as onset_db, case when seg - noise < 34 then 'foreground-too-quiet' when end_frame - start_frame < 62000 and begin_ - noise < 35 then 'short-onset-too-quiet' when end_frame - start_frame >= 50000 and seg - noise < 36 then 'long-quiet-background' else 'accepted' end as reason from scored""", "events")
+def _(events: DataFrame) -> DataFrame:
+    """The detector's segments, and whether each stands out from its noise floor."""
+    h = hops(events).select("user_id", *ORDER, "rms")
+    make = partial(folds.GatedDetector, partial(folds.RoughGate, threshold_db=-14.0)())
+    segments = fold_batch(h, "user_id", ORDER, partial(_detector, make), "start_frame long, end_frame long, reason string")
+    gate = fold_batch(h, "user_id", ORDER, partial(folds.RoughGate, threshold_db=-14.0), "frame long, energy double, snr double, active boolean, start boolean, end boolean, onset double")
+    n = F.row_number().over(Window.partitionBy("user_id").orderBy(*ORDER))
+    own = h.select("user_id", ((n - 1) * 1280).cast("long").alias("frame"), scalar.dbfs(F.col("rms")).alias("db"))
+    levels = own.join(gate.select("user_id", "frame", (scalar.dbfs(F.col("energy")) - F.col("snr")).alias("noise_db")), ["user_id", "frame"])
+    out = windows.foreground(segments.select("user_id", "start_frame", "end_frame"), levels, "user_id", onset=5120, least_db=34.0, onset_db=35.0, long_db=36.0, short=62000, long=50000)
+    return out.withColumns({c: F.round(c, 6) for c in ("foreground_db", "onset_db")})
+
+
 def _detector(make) -> folds.GatedDetector:
     """A new gate for each key."""
     import copy
