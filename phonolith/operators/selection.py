@@ -2,7 +2,7 @@
 
 A mergeable sketch brackets each rank: percentile_approx() errs by at most n / accuracy ranks, so the values at
 twice that error to both sides enclose the one that is asked for. A second pass counts the values below a bracket and
-groups the distinct values inside it, a few hundred-thousandths of a group; a window over those finds the value whose
+groups the distinct values inside it, a few ten-thousandths of a group; a window over those finds the value whose
 running count reaches the rank. Both passes are pre-aggregated; what is shuffled are sketches, counts and the values
 inside brackets.
 """
@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-ACCURACY = 100_000
+ACCURACY = 10_000
 
 
 @dataclass(frozen=True)
