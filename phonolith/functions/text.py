@@ -74,7 +74,7 @@ FIRST, PLANES = 0xF0000, 0x20000
 def word_edits(reference: Column, got: Column) -> Column:
     """Word edits between two lists of words, as character edits of strings with a character for each distinct word.
 
-    A pair with more distinct words than PLANES is an error, not a wrong number.
+    A pair with more distinct words than PLANES is an error, not a wrong number; edits.item_edits() takes those.
     """
 
     def edits(p: Column) -> Column:
