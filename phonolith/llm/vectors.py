@@ -8,10 +8,12 @@ The passes find links by chance. Among n vectors a window holds about those that
 + 1 hashes, which a pair at the threshold does with probability p = (1 - angle / pi) ** (log2(n / window) + 1); so
 passes() takes as many as find such a pair with probability `recall`. Their number grows with n to the power 0.23.
 
-A window that ends in a link may be too short for a vector. The links of such vectors are counted exactly: each is
-compared with its whole component, block against block, and only its count leaves a task. So no partner is capped,
-and for every vector n_links is the number of true links, found with at least the stated recall. Vectors with short
-windows cost nothing there, however large their component.
+A window that ends in a link may be too short for a vector. The links of such vectors in their component are counted
+exactly: by the triangle inequality, angles to the component's centre tell of most pairs whether they link, and these
+are counted by weights of rings around it; the pairs that angles leave open are compared, block against block, and
+only counts leave a task. So a tight group of near copies, of mutual cosine about 0.95 and more, costs a row for each
+member, no partner is capped, and for every vector n_links is the number of true links, found with at least the stated
+recall. Vectors whose windows suffice cost nothing there, however large their component.
 
 A pass moves each vector once, by a range shuffle; the neighbours on both sides of a partition's border, a bounded
 number, meet afterwards. Nothing but links and these border rows is written.
@@ -36,6 +38,10 @@ from pyspark.sql import DataFrame, functions as F
 from .common import Tables, components, heavy_join, ship
 
 
+#: Angles are computed to within this, in radians.
+SLACK = 1e-6
+
+
 @dataclass(frozen=True)
 class Settings:
     cosine: float = 0.9
@@ -44,8 +50,21 @@ class Settings:
     hashes: int = 48
     window: int = 64
     block: int = 1024
+    sample: int = 64  # members that make a component's centre, about
+    step: float = 0.005  # of the rings around it, in radians
+    zone: int = 8  # rings
     seed: int = 7
 
+    @property
+    def sure(self) -> int:
+        """Members whose rings sum to at most this are linked: their angles sum to less than the threshold's."""
+        return math.floor((math.acos(self.cosine) - SLACK) / self.step) - 2
+
+    @property
+    def far(self) -> int:
+        """Members whose rings differ by more than this aren't linked."""
+        return math.floor((math.acos(self.cosine) + SLACK) / self.step) + 1
+
 
 def passes(n: int, s: Settings) -> int:
     """How many passes find a pair at the threshold among n vectors with probability s.recall."""
@@ -178,32 +197,76 @@ def _across(s: Settings):
 
 
 def _counted(s: Settings):
-    """Exact counts of the links between two blocks of a component; rows come by pair of blocks."""
+    """Exact counts of the links between two blocks of a component, but for those that the angles settle; rows come by pair of blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _blocks(batches, "pair"):
-            rid, w, asks, size = (t[c].to_numpy() for c in ("rid", "w", "asks", "size"))
+            rid, w, ring, asks, size = (t[c].to_numpy() for c in ("rid", "w", "ring", "asks", "size"))
             vec = [np.array(x, "<f4").tobytes() for x in t["vec"].to_pylist()]
             for n in np.unique(size):
                 one, two = np.flatnonzero((size == n) & asks), np.flatnonzero((size == n) & ~asks)
                 if len(one) and len(two):
                     hit = unit([vec[i] for i in one]) @ unit([vec[i] for i in two]).T >= s.cosine
-                    hit &= rid[one][:, None] != rid[two]
+                    hit &= (rid[one][:, None] != rid[two]) & (ring[one][:, None] + ring[two] > s.sure)
                     yield pa.RecordBatch.from_arrays([pa.array(rid[one]), pa.array((hit @ w[two]).astype(np.int64))], ["rid", "n"])
 
     return run
 
 
-def _exact(members: DataFrame, s: Settings) -> DataFrame:
-    """(rid, exact) of the full ones of members(root, rid, w, full, vec, size, fulls): the weight of their links in the component."""
-    of = lambda n: F.ceil(F.col(n) / s.block).cast("long")
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), of(n) - 1))
-    own = lambda n: F.pmod(F.xxhash64("rid"), of(n))
-    asked = members.filter("full").withColumn("x", own("fulls")).withColumn("y", every("size")).withColumn("asks", F.lit(True))
-    others = members.withColumn("x", every("fulls")).withColumn("y", own("size")).withColumn("asks", F.lit(False))
-    dealt = asked.unionByName(others).select(F.concat_ws("/", F.col("root").cast("string"), F.col("x").cast("string"), F.col("y").cast("string")).alias("pair"), "rid", "w", "vec", "asks", F.size("vec").alias("size"))
-    counted = dealt.repartition("pair").sortWithinPartitions("pair", "rid").mapInArrow(_counted(s), "rid long, n long")
-    return counted.groupBy("rid").agg(F.sum("n").alias("exact"))
+def _ringed(members: DataFrame, tables: Tables, s: Settings) -> DataFrame:
+    """members with the ring each lies in: its angle to its component's centre, in steps of s.step.
+
+    A centre is the mean of some members' directions; any would do, as the bounds hold for each. Beside
+    a centre of length zero all members are in one ring, which settles nothing.
+    """
+    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda n, x: n + x.cast("double") * x))
+    some = members.filter((F.col("rid") == F.col("root")) | (F.pmod(F.xxhash64("rid"), F.col("size")) < s.sample))
+    parts = some.select("root", "size", norm(F.col("vec")).alias("norm"), F.posexplode("vec").alias("pos", "x"))
+    means = parts.groupBy("root", "pos").agg(F.max("size").alias("size"), F.avg(F.col("x") / F.col("norm")).alias("x"))
+    centres = means.groupBy("root").agg(F.max("size").alias("size"), F.array_sort(F.collect_list(F.struct("pos", "x"))).getField("x").alias("centre"))
+    beside = heavy_join(members.drop("size"), tables.keep(centres), "root", "size")
+    dot = F.aggregate(F.zip_with("vec", "centre", lambda x, y: x.cast("double") * y), F.lit(0.0), lambda n, x: n + x)
+    cos = F.try_divide(dot, norm(F.col("vec")) * norm(F.col("centre")))
+    ring = F.floor(F.acos(F.least(F.greatest(cos, F.lit(-1.0)), F.lit(1.0))) / s.step)
+    return tables.keep(beside.withColumn("ring", F.coalesce(ring, F.lit(s.sure + 1).cast("long"))).drop("centre"))
+
+
+def _exact(members: DataFrame, tables: Tables, s: Settings) -> DataFrame:
+    """(rid, exact) of the full ones of members(root, rid, w, full, vec, size): the weight of their links in the component.
+
+    Angles to a centre bound those between members: two whose rings sum to at most `sure` are linked, two whose
+    rings differ by more than `far` aren't. The first are counted from the rings' weights. Only what neither
+    settles is compared, zone by zone of rings, in blocks.
+    """
+    ringed = _ringed(members, tables, s)
+    zone = F.when(F.col("size") > s.block, F.expr(f"ring div {s.zone}")).otherwise(0).cast("long")
+    placed = ringed.withColumn("zone", zone)
+    rings = placed.groupBy("root", "size", "zone", "ring").agg(F.sum("w").alias("w"), F.count("*").alias("m"), F.count_if("full").alias("f"))
+    zones = rings.groupBy("root", "size", "zone").agg(F.min("ring").alias("low"), F.max("ring").alias("high"), F.sum("m").alias("m"), F.sum("f").alias("f"), F.collect_list(F.struct("ring", "w")).alias("rings"))
+    zones = tables.keep(zones.groupBy("root", "size").agg(F.collect_list(F.struct("zone", "low", "high", "m", "f", "rings")).alias("zones")))
+    placed = tables.keep(heavy_join(placed.drop("size"), zones, "root", "size"))
+
+    near = lambda z: F.filter(z["rings"], lambda r: r["ring"] + F.col("ring") <= s.sure)
+    weight = F.aggregate("zones", F.lit(0).cast("long"), lambda n, z: n + F.aggregate(near(z), F.lit(0).cast("long"), lambda k, r: k + r["w"]))
+    itself = F.when(2 * F.col("ring") <= s.sure, F.col("w")).otherwise(0)
+    settled = placed.filter("full").select("rid", (weight - itself).alias("n"))
+
+    ring, blocks = F.col("ring"), lambda n: F.ceil(n / s.block).cast("long")
+    open_ = lambda z: (ring + z["high"] > s.sure) & (z["low"] - ring <= s.far) & (ring - z["high"] <= s.far)
+    own = F.element_at(F.filter("zones", lambda z: z["zone"] == F.col("zone")), 1)
+
+    def dealt(rows: DataFrame, asks: bool) -> DataFrame:
+        """rows once for each block of members they are to meet; a block is (zone, number)."""
+        mine, other = ("f", "m") if asks else ("m", "f")
+        met = rows.withColumn("z", F.explode(F.filter("zones", lambda z: (z[other] > 0) & open_(z))))
+        met = met.withColumn("theirs", F.explode(F.sequence(F.lit(0).cast("long"), blocks(F.col(f"z.{other}")) - 1)))
+        me, they = F.concat_ws(":", "zone", F.pmod(F.xxhash64("rid"), blocks(own[mine]))), F.concat_ws(":", "z.zone", "theirs")
+        pair = F.concat_ws("/", F.col("root").cast("string"), *((me, they) if asks else (they, me)))
+        return met.select(pair.alias("pair"), "rid", "w", "ring", "vec", F.lit(asks).alias("asks"), F.size("vec").alias("size"))
+
+    both = dealt(placed.filter("full"), True).union(dealt(placed, False))
+    compared = both.repartition("pair").sortWithinPartitions("pair", "rid").mapInArrow(_counted(s), "rid long, n long")
+    return settled.union(compared).groupBy("rid").agg(F.sum("n").alias("exact"))
 
 
 def links(reps: DataFrame, tables: Tables, s: Settings) -> DataFrame:
@@ -245,9 +308,11 @@ def dedup(vectors: DataFrame, s: Settings = Settings(), key: str = "vec_id", vec
     linked = tables.keep(linked)
     whole = linked.groupBy("root").agg(F.count("*").alias("size"), F.count_if("full").alias("fulls"), F.min("first").alias("low"))
     linked = tables.keep(heavy_join(linked, tables.keep(whole), "root", "size"))
-    members = linked.filter("fulls > 0").join(reps.select("rid", "_v"), "rid")
-    exact = _exact(members.withColumnRenamed("_v", "vec"), s)
-    counts = linked.join(exact, "rid", "left").select("rid", F.coalesce("exact", "n").alias("n"), "low")
+    counts = linked.select("rid", "n", "low")
+    if not linked.filter("full").isEmpty():
+        members = linked.filter("fulls > 0").join(reps.select("rid", F.col("_v").alias("vec")), "rid")
+        exact = _exact(tables.keep(members.select("root", "rid", "w", "full", "vec", "size")), tables, s)
+        counts = linked.join(exact, "rid", "left").select("rid", F.coalesce("exact", "n").alias("n"), "low")
     reps = reps.join(counts, "rid", "left")
     reps = tables.keep(reps.select("_v", "w", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("low", "first").alias("component_id")))
     out = heavy_join(rows.filter("_v is not null"), reps, "_v", "w").select("_id", "n_links", "component_id")

@@ -171,6 +171,38 @@ def test_passes_grow_with_the_table():
     assert n == sorted(n) and n[0] == s.least and n[-1] < 1000
 
 
+@pytest.mark.parametrize("block, zone", [(32, 1), (64, 8), (1024, 8)])
+def test_counts_of_large_groups(spark, block, zone):
+    """Every vector of groups that outgrow their windows has its exact count, whether angles settle its pairs or not."""
+    rng = np.random.default_rng(13)
+    groups = []
+    for size, noise in ((220, 0.02), (220, 0.31), (180, 0.25), (30, 0.28)):
+        centre = rng.standard_normal(24)
+        groups.append(centre / np.linalg.norm(centre) * 5 + 5 * noise * rng.standard_normal((size, 24)) / 24**0.5)
+    fan = np.linspace(0, 3.1, 240)  # a chain of links around half a circle
+    groups.append(np.concatenate([np.stack([np.cos(fan), np.sin(fan)], 1), np.zeros((240, 22))], 1))
+    v = np.concatenate(groups).astype(np.float32).astype(float)
+    v = np.concatenate([v, v[:7]])
+    s = vectors.Settings(window=4, block=block, zone=zone)
+    got = {r["vec_id"]: r for r in vectors.dedup(spark.createDataFrame(list(enumerate(v.tolist())), "vec_id long, embedding array<float>"), s).collect()}
+    unit = v / np.linalg.norm(v, axis=1)[:, None]
+    near = unit @ unit.T >= 0.9
+    true = near.sum(1) - 1
+    assert [got[i]["component_id"] for i in range(len(v))] == labels(near).tolist()
+    n = np.array([got[i]["n_links"] for i in range(len(v))])
+    whole = np.arange(len(v)) // 220 != 1  # groups of pairs well above the threshold: every window is full
+    assert (n <= true).all() and n.sum() >= 0.95 * true.sum() and (n[:220] == true[:220]).all() and (n[650:890] == true[650:890]).all()
+    assert (n == true)[whole].mean() > 0.9
+
+
+def test_one_bad_component(spark):
+    """A single null or NaN component keeps a vector out of all links."""
+    v = [1.0, 2.0, 3.0]
+    rows = [(1, v), (2, [1.0, None, 3.0]), (3, [1.0, float("nan"), 3.0]), (4, [1.0, 2.0, float("-inf")]), (5, v)]
+    got = vectors.dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert {(r["vec_id"], r["n_links"], r["component_id"]) for r in got} == {(1, 1, 1), (2, 0, 2), (3, 0, 3), (4, 0, 4), (5, 1, 1)}
+
+
 def test_recall(spark):
     """Against brute force on vectors near the threshold."""
     rng = np.random.default_rng(9)
