@@ -114,6 +114,25 @@ def _near(v: np.ndarray, s: Settings, since: int = 0, step: int = 128) -> tuple[
     return np.concatenate(first), np.concatenate(second)
 
 
+def _needed(i: np.ndarray, j: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of pairs (i, j) in order, those that are kept, and whether each marks a vector whose window may be too short.
+
+    Vectors in a pair that ends a window are marked and counted exactly later, so a pair of two of them only has to
+    keep them connected. It is left out if i's first partner k makes a pair with j too, as (i, k) is kept and (k, j),
+    a shorter pair, is kept or left out for the same reason.
+    """
+    if not ends.any():
+        return i, j, ends
+    n = int(j.max()) + 1
+    marked = np.zeros(n, bool)
+    marked[i[ends]] = marked[j[ends]] = True
+    begin = np.r_[True, i[1:] != i[:-1]]
+    first = j[begin][np.cumsum(begin) - 1]
+    implied = (j != first) & marked[i] & marked[j] & np.isin(first * n + j, i * n + j)
+    i, j = i[~implied], j[~implied]
+    return i, j, marked[i] | marked[j]
+
+
 #: Links (part null) and border rows (b null) of the passes.
 OUT = "a long, b long, wa long, wb long, full boolean, part int, at long, place long, vec binary"
 NAMES = [x.split()[0] for x in OUT.split(", ")]
@@ -154,7 +173,7 @@ def _windows(s: Settings):
             for begin, end in zip(cuts, cuts[1:]):
                 if end > old:
                     i, j = _near(unit(vec[begin:end]), s, max(0, old - begin))
-                    yield _links(rid[begin:end], w[begin:end], i, j, j - i == s.window)
+                    yield _links(rid[begin:end], w[begin:end], *_needed(i, j, j - i == s.window))
             seen += len(rid) - old
             held = place[-s.window :], rid[-s.window :], w[-s.window :], vec[-s.window :]
         if seen > s.window:
@@ -191,7 +210,8 @@ def _across(s: Settings):
             for begin, end in zip(cuts, cuts[1:]):
                 i, j = (x + begin for x in _near(unit(vec[begin:end]), s))
                 ok = own[i] & (part[i] != part[j]) & (rank[j] - rank[i] <= s.window)
-                yield _links(rid, w, i[ok], j[ok], rank[j[ok]] - rank[i[ok]] == s.window)
+                i, j = i[ok], j[ok]
+                yield _links(rid, w, *_needed(i, j, rank[j] - rank[i] == s.window))
 
     return run
 
@@ -270,7 +290,10 @@ def _exact(members: DataFrame, tables: Tables, s: Settings) -> DataFrame:
 
 
 def links(reps: DataFrame, tables: Tables, s: Settings) -> DataFrame:
-    """Distinct links (a, b, wa, wb, full) of reps(rid, w, _v); full: a window ends in the link."""
+    """Distinct links (a, b, wa, wb, full) of reps(rid, w, _v); full: the window of an end may be too short.
+
+    Of links between two such ends only those that connect them are sure to be here.
+    """
     spark = reps.sparkSession
     keyed = reps.select("rid", "w", "_v").mapInArrow(_keys(s, passes(reps.count(), s)), "pass int, dim int, key long, rid long, w long, vec binary")
     order = ["pass", "dim", "key", "rid"]

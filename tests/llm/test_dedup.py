@@ -195,6 +195,19 @@ def test_counts_of_large_groups(spark, block, zone):
     assert (n == true)[whole].mean() > 0.9
 
 
+def test_needed_pairs_connect():
+    rng = np.random.default_rng(2)
+    for density in (0.2, 0.6, 1):
+        i, j = np.nonzero(np.triu(rng.random((60, 60)) < density, 1) & ~np.triu(np.ones((60, 60), bool), 9))
+        a, b, full = vectors._needed(i, j, j - i == 8)
+        whole, kept = np.zeros((60, 60), bool), np.zeros((60, 60), bool)
+        whole[i, j] = whole[j, i] = kept[a, b] = kept[b, a] = True
+        ends = {*i[j - i == 8], *j[j - i == 8]}
+        assert (labels(whole) == labels(kept)).all() and ends <= {*a[full], *b[full]}
+        assert all(kept[x].sum() == whole[x].sum() for x in range(60) if x not in ends)
+    assert len(a) < len(i) / 4
+
+
 def test_one_bad_component(spark):
     """A single null or NaN component keeps a vector out of all links."""
     v = [1.0, 2.0, 3.0]
