@@ -16,8 +16,9 @@ def op1_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """pages as a WARC replica against a second one in which some records have rotted: their first < is a >."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     rotten = F.col("html").startswith("<") & F.sha2(F.col("page_id").cast("string"), 256).startswith(ROT)
-    other = pages.withColumn("html", F.when(rotten, F.concat(F.lit(">"), F.expr("substring(html, 2)"))).otherwise(F.col("html")))
-    return warc.audit(warc.write_records(pages), warc.write_records(other))
+    other = F.when(rotten, F.concat(F.lit(">"), F.expr("substring(html, 2)"))).otherwise(F.col("html"))
+    records = warc.write_records(pages.withColumn("other", other), replica="other")
+    return warc.audit(records.drop("replica"), records.withColumn("sha256", F.col("replica")))
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

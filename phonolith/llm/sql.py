@@ -91,9 +91,11 @@ def _warc(shape: warc.Shape = warc.Shape()) -> str:
     body = lambda c: f"{crlf(head)} || coalesce(url, '') || {crlf(mid)} || cast(strlen(coalesce({c}, '')) as varchar) || {crlf(last)} || coalesce({c}, '') || {crlf(warc.TAIL)}"
     return f"""
 with p as (select *, case when starts_with(html, '<') and starts_with(sha256(cast(page_id as varchar)), '00') then '>' || substr(html, 2) else html end as other from pages),
-r as (select page_id, 'part-' || case when page_id is null then 'null-' || substr(sha256(coalesce(url, '')), 1, 3) else lpad(cast(page_id // {shape.pages_per_file} as varchar), 8, '0') end || '.warc' as file, {body('html')} as a, {body('other')} as b from p),
-d as (select page_id, file, cast(strlen(a) as bigint) as length, sha256(a) as sha256, sha256(b) as other from r)
-select page_id, file, cast(coalesce(sum(length) over (partition by file order by page_id, length, sha256 rows between unbounded preceding and 1 preceding), 0) as bigint) as "offset", length, sha256, case when sha256 = other then 'ok' else 'corrupt' end as status from d"""
+r as (select page_id, 'part-' || case when page_id is null then 'null-' || substr(sha256(coalesce(url, '')), 1, 3) else lpad(cast(page_id // {shape.pages_per_file} as varchar), 8, '0') end as file, {body('html')} as a, {body('other')} as b from p),
+e as (select page_id, file, cast(strlen(a) as bigint) as length, sha256(a) as sha256, sha256(b) as other from r),
+n as (select file, count(*) as size from (select distinct * from e) group by file having count(*) > {shape.most}),
+d as (select page_id, file || coalesce('-' || cast(('0x' || substr(sha256, 1, 8))::bigint % ceil(size / {shape.most})::bigint as varchar), '') || '.warc' as file, length, sha256, other from e left join n using (file))
+select page_id, file, cast(coalesce(sum(length) over (partition by file order by page_id, length, sha256, other rows between unbounded preceding and 1 preceding), 0) as bigint) as "offset", length, sha256, case when sha256 = other then 'ok' else 'corrupt' end as status from d"""
 
 
 _ESCAPED = r"regexp_replace({0}, '<(\\*)\|', '<\1\\|', 'g')"

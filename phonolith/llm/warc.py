@@ -26,7 +26,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from .common import Tables, ship
+from .common import Tables, heavy_join, ship
 
 #: A WARC response record without dates, so that it is a function of its page; the last two lines end the record.
 HEADER = "WARC/1.0\r\nWARC-Type: resource\r\nWARC-Target-URI: {uri}\r\nContent-Type: text/html\r\nContent-Length: {length}\r\n\r\n"
@@ -40,6 +40,7 @@ class Shape:
     range_bytes: int = 1 << 18
     fanout: int = 16
     pages_per_file: int = 512
+    most: int = 4096  # different records of a file, about
 
 
 def record(uri: Column, content: Column) -> Column:
@@ -49,22 +50,30 @@ def record(uri: Column, content: Column) -> Column:
     return F.concat(F.lit(a), F.coalesce(uri, F.lit("")), F.lit(b), F.octet_length(content).cast("string"), F.lit(c), content, F.lit(TAIL))
 
 
-def write_records(pages: DataFrame, shape: Shape = Shape(), key: str = "page_id", url: str = "url", content: str = "html") -> DataFrame:
+def write_records(pages: DataFrame, shape: Shape = Shape(), key: str = "page_id", url: str = "url", content: str = "html", replica: str | None = None) -> DataFrame:
     """pages as WARC records (key, file, offset, length, sha256): files by ranges of the key, offsets by key.
 
-    Offsets are running sums inside a file; only lengths and digests are sorted, not contents. Equal records are
-    folded before and unfolded after, so a page that repeats without bound costs the window one row; pages without
-    a key are dealt to files by their URLs.
+    A column replica of contents that have the same lengths gives a further digest, `replica`, of the record at the
+    same place. Offsets are running sums inside a file; only lengths and digests are sorted, not contents. Equal
+    records are folded before and unfolded after, so a page that repeats without bound costs the window one row;
+    pages without a key are dealt to files by their URLs. A range of keys with more than `most` different records, as
+    a key with many contents makes, is dealt to numbered files by digests.
     """
-    body = record(F.col(url), F.col(content))
+    tables = Tables(pages.sparkSession, "records")
+    bodies = {"sha256": record(F.col(url), F.col(content))} | ({"replica": record(F.col(url), F.col(replica))} if replica else {})
     number = F.lpad(F.expr(f"`{key}` div {shape.pages_per_file}").cast("string"), 8, "0")
     name = F.when(F.col(key).isNull(), F.concat(F.lit("null-"), F.substring(F.sha2(F.coalesce(F.col(url), F.lit("")), 256), 1, 3))).otherwise(number)
-    rows = pages.select(F.col(key).cast("long").alias(key), F.concat(F.lit("part-"), name, F.lit(".warc")).alias("file"), F.octet_length(body).cast("long").alias("length"), F.sha2(body, 256).alias("sha256"))
-    before = Window.partitionBy("file").orderBy(key, "length", "sha256").rowsBetween(Window.unboundedPreceding, -1)
-    folded = rows.groupBy(key, "file", "length", "sha256").agg(F.count("*").alias("m"))
-    folded = folded.withColumn("begin", F.coalesce(F.sum(F.col("length") * F.col("m")).over(before), F.lit(0)))
-    each = folded.withColumn("nth", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)))
-    return each.select(key, "file", "length", "sha256", (F.col("begin") + F.col("nth") * F.col("length")).cast("long").alias("offset"))
+    rows = pages.select(F.col(key).cast("long").alias(key), F.concat(F.lit("part-"), name).alias("file"), F.octet_length(bodies["sha256"]).cast("long").alias("length"), *[F.sha2(c, 256).alias(n) for n, c in bodies.items()])
+    order = [key, "length", *bodies]
+    folded = tables.keep(rows.groupBy("file", *order).agg(F.count("*").alias("m")))
+    large = tables.keep(folded.groupBy("file").agg(F.count("*").alias("size")).filter(F.col("size") > shape.most))
+    dealt = heavy_join(folded, large, "file", "size")
+    piece = F.pmod(F.conv(F.substring("sha256", 1, 8), 16, 10).cast("long"), F.ceil(F.col("size") / shape.most))
+    dealt = dealt.withColumn("file", F.concat("file", F.coalesce(F.concat(F.lit("-"), piece.cast("string")), F.lit("")), F.lit(".warc")))
+    before = Window.partitionBy("file").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    begun = dealt.withColumn("begin", F.coalesce(F.sum(F.col("length") * F.col("m")).over(before), F.lit(0)))
+    each = begun.withColumn("nth", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)))
+    return each.select(key, "file", "length", *bodies, (F.col("begin") + F.col("nth") * F.col("length")).cast("long").alias("offset"))
 
 
 def split(data: bytes) -> Iterator[tuple[int, bytes]]:

@@ -96,6 +96,22 @@ def test_repeated_records_stay_apart(spark):
         assert [o for o, _ in own] == [sum(n for _, n in own[:i]) for i in range(len(own))]
 
 
+def test_many_contents_of_one_page(spark, tmp_path):
+    """A page with a third of all records, all different: its file is split, and both engines agree on every place."""
+    import duckdb
+
+    rows = [(5, "u", f"<{i}>") for i in range(400)] + [(5, "u", "<7>")] * 30 + [(i, "v", f"<p>{i}") for i in range(600)] + [(None, "w", f"<{i}>") for i in range(200)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    want = duckdb.sql(sql._warc().replace("from pages)", f"from '{tmp_path}/pages.parquet/*.parquet')")).fetchall()
+    assert Counter(map(tuple, queries.op1_warc_fixity(spark, str(tmp_path)).select("page_id", "file", "offset", "length", "sha256", "status").collect())) == Counter(want)
+    shape = warc.Shape(pages_per_file=16, most=64)
+    got = warc.write_records(spark.read.parquet(str(tmp_path / "pages.parquet")), shape).collect()
+    places = duckdb.sql(sql._warc(shape).replace("from pages)", f"from '{tmp_path}/pages.parquet/*.parquet')")).fetchall()
+    assert Counter((r["page_id"], r["file"], r["offset"], r["length"], r["sha256"]) for r in got) == Counter(r[:5] for r in places)
+    distinct = Counter(r["file"] for r in {*got})
+    assert max(distinct.values()) < 128 and sum(f.startswith("part-00000000-") for f in distinct) == 7
+
+
 def digest(parts):
     return hashlib.sha256("".join(parts).encode()).hexdigest()
 
