@@ -101,3 +101,22 @@ def snap(v: Column, low: float, high: float, step: float) -> Column:
     """A control's value inside its limits, on its grid from the lower one."""
     inside = F.least(F.lit(high), F.greatest(F.lit(low), v))
     return F.least(F.lit(high), F.greatest(F.lit(low), low + F.floor((inside - low) / step + 0.5) * step))
+
+
+def with_settings(df: DataFrame, name: str, known: list[dict], own: dict[str, Column], grid: float, free: tuple[str, ...] = ()) -> DataFrame:
+    """df with the settings of the profile it names, a bounded list of them; a row's own values come first.
+
+    All but the free ones are raised to the grid, one step at least. Rows that name no known profile have nulls.
+    """
+    if unknown := set(own) - set(known[0]):
+        raise ValueError(f"no settings {sorted(unknown)}")
+    settings = [c for c in known[0] if c != name]
+    of = F.get(F.filter(F.array(*[F.struct(F.lit(p[name]).alias("_of"), *[F.lit(float(p[c])).alias(c) for c in settings]) for p in known]), lambda p: p["_of"] == F.col(name)), F.lit(0))
+    d = df.withColumn("_p", of)
+
+    def value(c: str) -> Column:
+        v = F.coalesce(own[c].cast("double"), F.col(f"_p.{c}")) if c in own else F.col(f"_p.{c}")
+        v = v if c in free else F.greatest(F.lit(grid), F.ceil(v / grid) * grid)
+        return F.when(F.col("_p").isNotNull(), v).alias(c)
+
+    return d.select(*df.columns, *map(value, settings))

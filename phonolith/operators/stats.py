@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from phonolith.functions.scalar import finite
 
@@ -67,11 +67,13 @@ def csv_lines(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumn("line", F.concat_ws(",", *fields))
 
 
-def report(scores: DataFrame, model: str, file: str, metrics: list[str]) -> str:
-    """A Markdown table of each model's mean metrics over the files that all models have. Few rows reach the driver."""
+def report(scores: DataFrame, model: str, file: str, metrics: list[str]) -> DataFrame:
+    """(pos, line) of a Markdown table of each model's mean metrics over the files that all models have, a row a model."""
     models = scores.select(model).distinct()
     common = scores.groupBy(file).agg(F.count_distinct(model).alias("n")).join(F.broadcast(models.agg(F.count("*").alias("of"))), F.col("n") == F.col("of")).select(file)
-    rows = scores.join(common, file, "left_semi").groupBy(model).agg(F.count_distinct(file).alias("files"), *[F.avg(m).alias(m) for m in metrics]).orderBy(model).collect()
+    rows = scores.join(common, file, "left_semi").groupBy(model).agg(F.count_distinct(file).alias("files"), *[F.avg(m).alias(m) for m in metrics])
+    line = lambda *cells: F.concat(F.lit("| "), F.array_join(F.array(*cells), " | "), F.lit(" |"))
     head = ["model", "files", *metrics]
-    lines = [[str(r[model]), str(r["files"]), *[f"{r[m]:.4f}" for m in metrics]] for r in rows]
-    return "\n".join("| " + " | ".join(x) + " |" for x in [head, ["-"] * len(head), *lines])
+    top = rows.sparkSession.range(2).select(F.col("id").alias("pos"), F.when(F.col("id") == 0, line(*map(F.lit, head))).otherwise(line(*[F.lit("-")] * len(head))).alias("line"))
+    pos = F.row_number().over(Window.orderBy(model)).cast("long") + 1
+    return top.union(rows.select(pos, line(F.col(model), F.col("files").cast("string"), *[F.format_string("%.4f", m) for m in metrics])))

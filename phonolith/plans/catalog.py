@@ -243,14 +243,22 @@ def _(customer: DataFrame) -> DataFrame:
     return customer.select("c_custkey", F.posexplode(T.draws(T.fnv1a(F.col("c_name")), 5)).alias("pos", "number"))
 
 
-@query("r188_profiles", "select n as name, ceil(a / 16) * 16 as preroll, ceil(b / 16) * 16 as most, t as threshold, ceil(c / 16) * 16 as speech, ceil(d / 16) * 16 as silence, ceil(e / 16) * 16 as hangover, ceil(f / 16) * 16 as lookback from (values ('realtime', 680::double, 3600::double, 0.55::double, 240::double, 320::double, 320::double, 240::double), ('generic', 680, 3600, 0.55, 240, 320, 320, 240), ('aggressive', 680, 3600, 0.42, 160, 128, 320, 240), ('conservative', 680, 3600, 0.6, 240, 256, 480, 240)) v(n, a, b, t, c, d, e, f)", "region")
-def _(region: DataFrame) -> DataFrame:
-    from dataclasses import astuple
+PROFILE_SQL = """with p as (select * from (values ('realtime', 680::double, 3600::double, 0.55::double, 240::double, 320::double, 320::double, 240::double), ('generic', 680, 3600, 0.55, 240, 320, 320, 240), ('aggressive', 680, 3600, 0.42, 160, 128, 320, 240), ('conservative', 680, 3600, 0.6, 240, 256, 480, 240)) v(name, a, b, t, c, d, e, f)),
+c as (select c_custkey, ['realtime', 'generic', 'aggressive', 'conservative', 'none'][c_nationkey % 5 + 1] as name, case when c_acctbal > 0 then c_acctbal / 10 end as silence from customer)
+select c_custkey, name, ceil(a / 16) * 16 as preroll, ceil(b / 16) * 16 as most, t as threshold, ceil(c / 16) * 16 as speech, case when a is not null then greatest(16, ceil(coalesce(silence, d) / 16) * 16) end as silence, ceil(e / 16) * 16 as hangover, ceil(f / 16) * 16 as lookback from c left join p using (name)"""
+
+
+@query("r188_profiles", PROFILE_SQL, "customer")
+def _(customer: DataFrame) -> DataFrame:
+    """Each customer's profile, by name, with a pause of its own where it has one; an unknown name has no settings."""
+    from dataclasses import asdict
 
     from phonolith.streaming.session import PROFILES
 
-    schema = "name string, preroll double, most double, threshold double, speech double, silence double, hangover double, lookback double"
-    return region.sparkSession.createDataFrame([tuple(x if isinstance(x, str) else float(x) for x in astuple(p)) for p in PROFILES.values()], schema)
+    names = F.array(*map(F.lit, [*PROFILES, "none"]))
+    rows = customer.select("c_custkey", F.get(names, (F.col("c_nationkey") % 5).cast("int")).alias("name"), F.when(F.col("c_acctbal") > 0, F.col("c_acctbal") / 10).alias("wish"))
+    d = catalog.with_settings(rows, "name", [asdict(p) for p in PROFILES.values()], {"silence": F.col("wish")}, 16.0, ("threshold",))
+    return d.drop("wish")
 
 
 @query("r100_backend_choice", f"select id from {BACKENDS} where available and not experimental and list_contains(precisions, 'fp16') order by reg limit 1", "supplier")

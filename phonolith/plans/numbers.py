@@ -303,5 +303,4 @@ select 0::bigint as pos, '| model | files | wer |' as line union all select 1, '
 def _(lineitem: DataFrame) -> DataFrame:
     """A Markdown report over the files that all models have, a row a line."""
     scores = lineitem.groupBy(F.col("l_returnflag").alias("model"), F.col("l_orderkey").alias("file")).agg(F.avg("l_discount").alias("wer"))
-    lines = stats.report(scores, "model", "file", ["wer"]).split("\n")
-    return lineitem.sparkSession.createDataFrame(list(enumerate(lines)), "pos long, line string")
+    return stats.report(scores, "model", "file", ["wer"])

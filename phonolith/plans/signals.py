@@ -115,13 +115,16 @@ def _(embeddings: DataFrame) -> DataFrame:
     return exploded(embeddings.select("vec_id", signal.power_spectrum(64)("embedding").alias("m")), "m").withColumn("v", F.round("v", 6))
 
 
-@query("r151_mel_filterbank", """with e as (select m, case when x >= 15 then 1000 * exp((x - 15) * ln(6.4) / 27) else x * 200 / 3 end as hz from (select m, m * (15 + ln(8) * 27 / ln(6.4)) / 81 as x from range(0, 82) t(m))),
-t as (select a.m, i, 2 / (c.hz - a.hz) * greatest(0, least((i * 31.25 - a.hz) / (b.hz - a.hz), (c.hz - i * 31.25) / (c.hz - b.hz))) as w from e a join e b on b.m = a.m + 1 join e c on c.m = a.m + 2, range(0, 257) s(i))
-select m::int as mel, arg_max(i, (w, -i))::int as peak_bin, round(sum(w), 9) as area from t group by m""", "embeddings")
-def _(embeddings: DataFrame) -> DataFrame:
-    bank = signal.mel_filterbank(16000, 512, 80)
-    rows = [(m, int(w.argmax()), round(float(w.sum()), 9)) for m, w in enumerate(bank)]
-    return embeddings.sparkSession.createDataFrame(rows, "mel int, peak_bin int, area double")
+@query("r151_mel_filterbank", """with e as (select m, case when x >= 15 then 1000 * exp((x - 15) * ln(6.4) / 27) else x * 200 / 3 end as hz from (select m, m * (15 + ln(8) * 27 / ln(6.4)) / 13 as x from range(0, 14) t(m))),
+t as (select a.m, i, 2 / (c.hz - a.hz) * greatest(0, least((i * 250 - a.hz) / (b.hz - a.hz), (c.hz - i * 250) / (c.hz - b.hz))) as w from e a join e b on b.m = a.m + 1 join e c on c.m = a.m + 2, range(0, 33) s(i)),
+p as (select vec_id, i, sum(v * cos(2 * pi() * i * n / 64)) ** 2 + sum(v * sin(2 * pi() * i * n / 64)) ** 2 as v from (select vec_id, generate_subscripts(embedding, 1) - 1 as n, unnest(embedding)::double as v from embeddings), range(0, 33) k(i) group by vec_id, i)
+select vec_id, m::int as mel, round(sum(v * w), 6) as energy from p join t using (i) group by vec_id, m""", "embeddings")
+def _(embeddings: DataFrame) -> DataFrame:
+    """Energies of each vector's spectrum in twelve mel bands, at 16 kHz."""
+    bank = F.array(*[F.array(*map(F.lit, w.tolist())) for w in signal.mel_filterbank(16000, 64, 12)])
+    power = embeddings.select("vec_id", signal.power_spectrum(64)("embedding").alias("power"))
+    energy = F.transform(bank, lambda w: F.aggregate(F.zip_with("power", w, lambda p, x: p * x), F.lit(0.0), lambda n, x: n + x))
+    return power.select("vec_id", F.posexplode(energy).alias("mel", "v")).select("vec_id", "mel", F.round("v", 6).alias("energy"))
 
 
 @query("r152_log_mel", None, "embeddings")

@@ -176,6 +176,44 @@ def _(embeddings: DataFrame) -> DataFrame:
     return p.apply(d, "tokenizer", "signs", "ids", x).select("vec_id", F.round("activity", 9).alias("activity"), "rate", "bytes", "ids")
 
 
+RECOGNISED_SQL = """with x as (select vec_id, preset, list_aggregate(list_transform(range(0, 64 // n), lambda k: case when list_sum(embedding[k * n + 1:k * n + n]::double[]) > 0 then 'up' else 'down' end), 'string_agg', ' ') as text, 64 / rate as seconds from embeddings, (values ('short', 16, 16000.0::double), ('long', 32, 8000.0::double)) p(preset, n, rate)),
+y as (select *, string_split(text, ' ') as w from x)
+select vec_id, preset, case preset when 'short' then 'signs' else 'slow_signs' end as family, text, list_transform(w, lambda v: len(v)::int) as tokens, len(w)::int as n_words, w[2] as second, round(seconds / len(w), 9) as second_start_s, round(seconds, 9) as end_s, round(list_sum(list_transform(w, lambda v: 1.0::double / len(v))) / len(w), 9) as confidence, text as native_text from y"""
+
+
+@query("r197_recognition_envelopes", RECOGNISED_SQL, "embeddings")
+def _(embeddings: DataFrame) -> DataFrame:
+    """Two presets of two families, each a chain of registered plug-ins, in envelopes of the canonical and the native form."""
+    from phonolith.functions.arrays import total
+    from phonolith.operators.plugins import Normalizer, Plugins, mean_confidence, spread_words
+
+    def signs(n: int):
+        part = lambda x, k: total(F.transform(F.slice(x, k * n + 1, n), lambda v: v.cast("double")))
+        return lambda x, rate: F.array_join(F.transform(F.sequence(F.lit(0), (F.size(x) / n).cast("int") - 1), lambda k: F.when(part(x, k) > 0, "up").otherwise("down")), " ")
+
+    p = Plugins()
+    p.register("rate_policy", "16k", lambda x: F.lit(16000))
+    p.register("rate_policy", "8k", lambda x: F.lit(8000))
+    p.register("transcribe", "signs16", signs(16))
+    p.register("transcribe", "signs32", signs(32))
+    p.register("tokenizer", "lengths", lambda text: F.transform(F.split(text, " "), lambda w: F.length(w)))
+    p.register("timestamps", "spread", spread_words)
+    p.register("confidence", "mean", mean_confidence)
+    common = {"tokenizer": "lengths", "timestamps": "spread", "confidence": "mean"}
+    p.register("family", "signs", lambda: {"rate_policy": "16k", "transcribe": "signs16", **common})
+    p.register("family", "slow_signs", lambda: {"rate_policy": "16k", "transcribe": "signs32", **common})
+    p.register("preset", "short", lambda: ("signs", {}))
+    p.register("preset", "long", lambda: ("slow_signs", {"rate_policy": "8k"}))
+    rows, out = embeddings.select("vec_id", "embedding"), None
+    for preset in p.names("preset"):
+        e = p.recognise(rows, preset, F.col("embedding")).select("vec_id", Normalizer("flat").to_envelope(F.col("native")).alias("e")).select("vec_id", "e.*")
+        c = F.col("canonical")
+        second = F.get(c["words"], F.lit(1))
+        e = e.select("vec_id", F.lit(preset).alias("preset"), c["family"].alias("family"), c["text"].alias("text"), "native.tokens", F.size(c["words"]).alias("n_words"), second["text"].alias("second"), F.round(second["start_s"], 9).alias("second_start_s"), F.round(F.get(c["segments"], F.lit(0))["end_s"], 9).alias("end_s"), F.round(c["confidence"]["words"], 9).alias("confidence"), F.col("native.text").alias("native_text"))
+        out = e if out is None else out.union(e)
+    return out
+
+
 @query("r022_legacy_projection", "select conv_id, turn, text as utterance_text, role as model_family, cast(length(text) as int) as n_chars from conversations", "conversations")
 def _(conversations: DataFrame) -> DataFrame:
     """Camel-case fields to snake case."""

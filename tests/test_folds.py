@@ -190,6 +190,36 @@ def test_plugins():
             call()
 
 
+def test_recognition(spark):
+    from pyspark.sql import functions as F
+
+    from phonolith.operators.plugins import Normalizer, mean_confidence, spread_words
+
+    p = Plugins()
+    p.register("rate_policy", "two", lambda x: F.lit(2))
+    p.register("transcribe", "counts", lambda x, rate: F.when(F.size(x) > 0, F.repeat(F.lit("ab c "), F.size(x))).otherwise(F.lit("")))
+    p.register("tokenizer", "none", lambda text: F.expr("cast(array() as array<int>)"))
+    p.register("timestamps", "spread", spread_words)
+    p.register("confidence", "mean", mean_confidence)
+    hooks = {"rate_policy": "two", "transcribe": "counts", "tokenizer": "none", "timestamps": "spread", "confidence": "mean"}
+    p.register("family", "f", lambda: hooks)
+    p.register("family", "half", lambda: {"transcribe": "counts"})
+    p.register("preset", "p", lambda: ("f", {}))
+    p.register("preset", "bad", lambda: ("half", {}))
+    p.register("preset", "lost", lambda: ("f", {"confidence": "other"}))
+    d = spark.createDataFrame([(1, [0.5, 0.5], "kept"), (2, [], "kept")], "id long, x array<double>, native string").drop("native")
+    rows = p.recognise(d, "p", F.col("x")).select("id", *[Normalizer("n").to_envelope(F.col("native"), level).alias(level) for level in ("text", "segments", "words")]).orderBy("id").collect()
+    words = rows[0]["words"]["canonical"]
+    assert [(w["text"], w["start_s"], w["end_s"], w["confidence"]) for w in words["words"]] == [("ab", 0, 0.25, 0.5), ("c", 0.25, 0.5, 1), ("ab", 0.5, 0.75, 0.5), ("c", 0.75, 1, 1)]
+    assert words["segments"][0].asDict() == {"text": "ab c ab c", "start_s": 0, "end_s": 1, "confidence": 0.75} and words["family"] == "f" and words["normalizer"] == "n"
+    assert rows[0]["words"]["native"]["text"] == "ab c ab c " and rows[0]["segments"]["canonical"]["words"] is None and rows[0]["segments"]["canonical"]["segments"] and rows[0]["text"]["canonical"]["segments"] is None
+    empty = rows[1]["words"]["canonical"]
+    assert (empty["text"], empty["words"], empty["segments"], empty["confidence"]["words"]) == ("", None, None, None)
+    for preset in ("bad", "lost", "unknown"):
+        with pytest.raises(PluginError):
+            p.recognise(d, preset, F.col("x"))
+
+
 def test_plugin_contracts(spark):
     p, d = Plugins(), spark.createDataFrame([([0.5, 1.5],)], "x array<double>")
     p.register("activity", "first", lambda x: F.get(x, F.lit(0)))
