@@ -10,8 +10,8 @@ candidate if sketches of two bits for each of `minima` minima differ in no more
 shingle sets, so nothing below the threshold is linked.
 
 In a bucket each text is compared with one hub first, and again with other hubs while the bucket holds several
-components; what then still lies in different components is compared pair by pair. So a large group of copies costs a
-link each, and no pair of a bucket is left out.
+components; what then still lies in different components is compared pair by pair, block against block, so a bucket
+of any size is many small groups. So a large group of copies costs a link each, and no pair of a bucket is left out.
 
 Defined results: null and blank texts are copies of each other; a text shorter than a shingle is one shingle.
 """
@@ -37,6 +37,7 @@ class Settings:
     rows: int = 5
     minima: int = 512
     hubs: int = 2
+    block: int = 512  # texts of a bucket that meet in a task at last
     seed: int = 42
 
 
@@ -149,11 +150,35 @@ def _close(reps: DataFrame, tables: Tables) -> DataFrame:
     return same.union(near).filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
+def _met_hubs(bucketed: DataFrame, turn: int) -> DataFrame:
+    """bucketed(value, rid, n, c, sketch, bands, m) with one hub of each bucket; hubs of the largest buckets are broadcast."""
+    order = F.struct(F.xxhash64("rid", F.lit(turn)), "rid", "n", "c", "sketch", "bands")
+    hubs = bucketed.groupBy("value").agg(F.min(order).alias("h"), F.count("*").alias("size"))
+    names = {"rid": "o", "n": "on", "c": "oc", "sketch": "os", "bands": "ob"}
+    return heavy_join(bucketed, hubs.select("value", "size", *[F.col(f"h.{c}").alias(o) for c, o in names.items()]), "value", "size")
+
+
+def _met_all(bucketed: DataFrame, s: Settings) -> DataFrame:
+    """Pairs (rid > o) of each bucket of m texts, each in the first bucket that both share.
+
+    Texts of a bucket are dealt to blocks, and each pair of blocks is a group of its own.
+    """
+    blocks = F.ceil(F.col("m") / s.block).cast("long")
+    own = bucketed.withColumn("own", F.pmod(F.xxhash64("rid"), blocks)).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    own = own.withColumns({"x": F.least("own", "with"), "y": F.greatest("own", "with")}).drop("m", "with")
+    names = {"rid": "o", "n": "on", "c": "oc", "sketch": "os", "bands": "ob", "own": "oown"}
+    others = own.select("value", "x", "y", *[F.col(c).alias(o) for c, o in names.items()])
+    shares = F.zip_with("bands", "ob", lambda x, y: x == y)
+    once = (F.col("rid") > F.col("o")) & (F.get("bands", F.array_position(shares, True).cast("int") - 1) == F.col("value"))
+    here = (F.col("x") == F.col("y")) | (F.col("own") != F.col("oown"))
+    return own.join(others, ["value", "x", "y"]).filter(here & once)
+
+
 def links(texts: DataFrame, reps: DataFrame, tables: Tables, s: Settings) -> DataFrame:
     """Links (a, b) that connect the numbers of reps(rid, n, fp, bands, sketch) that are similar; texts(rid, text)."""
     spark = texts.sparkSession
     buckets = reps.select("rid", F.explode("bands").alias("value"))
-    shared = buckets.groupBy("value").agg(F.count("*").alias("m")).filter("m > 1").select("value")
+    shared = buckets.groupBy("value").agg(F.count("*").alias("m")).filter("m > 1")
     mixed_up = tables.keep(buckets.join(shared, "value"))
     close = tables.keep(_close(reps, tables))
     met = tables.keep(mixed_up.select("rid").union(close.select("a")).union(close.select("b")).distinct())
@@ -162,16 +187,10 @@ def links(texts: DataFrame, reps: DataFrame, tables: Tables, s: Settings) -> Dat
     mixed_up = tables.keep(mixed_up.join(reps.select("rid", "n", "sketch", "bands"), "rid").withColumn("c", F.col("rid")))
     tried, found = None, None
     for turn in range(s.hubs + 1):
-        hubs, last = mixed_up, turn == s.hubs
-        if not last:
-            order = F.struct(F.xxhash64("rid", F.lit(turn)), "rid", "n", "c", "sketch", "bands")
-            hubs = mixed_up.groupBy("value").agg(F.min(order).alias("h")).select("value", "h.*")
-        hubs = hubs.select("value", F.col("rid").alias("o"), F.col("n").alias("on"), F.col("c").alias("oc"), F.col("sketch").alias("os"), F.col("bands").alias("ob"))
+        last = turn == s.hubs
         near = F.least("n", "on") >= F.lit(s.jaccard) * F.greatest("n", "on") - F.lit(SLACK)  # or it can't be similar
-        # All pairs of a bucket come at last, each in the first bucket that both share.
-        shares = F.zip_with("bands", "ob", lambda x, y: x == y)
-        once = (F.col("rid") > F.col("o")) & (F.get("bands", F.array_position(shares, True).cast("int") - 1) == F.col("value")) if last else F.lit(True)
-        pairs = mixed_up.join(hubs, "value").filter((F.col("c") != F.col("oc")) & near & once & alike(F.col("sketch"), F.col("os"), s))
+        pairs = _met_all(mixed_up, s) if last else _met_hubs(mixed_up, turn)
+        pairs = pairs.filter((F.col("c") != F.col("oc")) & near & alike(F.col("sketch"), F.col("os"), s))
         pairs = pairs.select(F.greatest("rid", "o").alias("a"), F.least("rid", "o").alias("b"))
         pairs = tables.keep(pairs.union(close).distinct() if tried is None else pairs.distinct().join(tried, ["a", "b"], "left_anti"))
         tried = pairs if tried is None else tried.union(pairs)
@@ -182,9 +201,9 @@ def links(texts: DataFrame, reps: DataFrame, tables: Tables, s: Settings) -> Dat
         if last:
             return found
         roots = tables.keep(components(spark, found, tables))
-        now = mixed_up.drop("c").join(roots.select(F.col("id").alias("rid"), "root"), "rid", "left")
+        now = mixed_up.drop("c", "m").join(roots.select(F.col("id").alias("rid"), "root"), "rid", "left")
         now = now.select("value", "rid", "n", "sketch", "bands", F.coalesce("root", "rid").alias("c"))
-        several = now.groupBy("value").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x <> y").select("value")
+        several = now.groupBy("value").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count("*").alias("m")).filter("x <> y").select("value", "m")
         mixed_up = tables.keep(now.join(several, "value"))
         tables.free()
         if mixed_up.isEmpty():

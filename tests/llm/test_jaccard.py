@@ -2,11 +2,14 @@
 
 import random
 import re
+from collections import Counter
 
 import corpus_pipeline
 import numpy as np
+import pytest
 from conftest import DATA
 from helpers import awkward, clashing, documents
+from pyspark.sql import Window, functions as F
 from test_dedup import UPPER, labels
 
 from phonolith.llm import jaccard
@@ -49,14 +52,28 @@ def test_planted_copies(spark):
     assert kept == kept_by_brute_force(docs) and len(kept) < len(docs) - 80
 
 
-def test_large_group(spark):
+@pytest.mark.parametrize("block", [1, 7, 512])
+def test_every_pair_of_a_bucket_once(spark, block):
+    """Blocks meet so that each pair comes once, in the first bucket that both share."""
+    bands = {i: [i % 2, 10 + i % 3, 20] for i in range(40)}
+    rows = [(v, i, 1, i, [0], b) for i, b in bands.items() for v in b]
+    df = spark.createDataFrame(rows, "value long, rid long, n long, c long, sketch array<long>, bands array<long>")
+    df = df.withColumn("m", F.count("*").over(Window.partitionBy("value")))
+    got = Counter((r["rid"], r["o"], r["value"]) for r in jaccard._met_all(df, jaccard.Settings(block=block)).collect())
+    assert got == Counter((i, j, next(x for x, y in zip(bands[i], bands[j]) if x == y)) for i in bands for j in bands if i > j)
+    hubs = jaccard._met_hubs(df, 1).collect()
+    assert len(hubs) == len(rows) and len({(r["value"], r["o"]) for r in hubs}) == 6 and all(r["value"] in bands[r["o"]] for r in hubs)
+
+
+@pytest.mark.parametrize("block", [16, 512])
+def test_large_group(spark, block):
     """Copies of one text that are not all similar to each other; hubs alone would leave components apart."""
     rng = random.Random(8)
     words = [f"w{i}" for i in range(200)]
     docs = [(i, edited(rng, words, 0.025)) for i in range(150)]
     _, near = groups([t for _, t in docs])
     assert not near.all()
-    kept = sorted(r["doc_id"] for r in jaccard.keep_one(documents(spark, docs), jaccard.Settings(hubs=1)).collect())
+    kept = sorted(r["doc_id"] for r in jaccard.keep_one(documents(spark, docs), jaccard.Settings(hubs=1, block=block)).collect())
     assert kept == kept_by_brute_force(docs)
 
 
