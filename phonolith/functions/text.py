@@ -16,8 +16,8 @@ def squeeze(t: Column) -> Column:
 
 
 def normalize(t: Column) -> Column:
-    """Lower case, a-z, 0-9 and single spaces only."""
-    return squeeze(F.regexp_replace(F.lower(F.coalesce(t, F.lit(""))), r"[^a-z0-9\s]", " "))
+    """Lower case, a-z, 0-9 and single spaces only; in one pass, as what is neither a letter nor a digit becomes space."""
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(t, F.lit(""))), "[^a-z0-9]+", " "))
 
 
 def normalize_unicode(t: Column) -> Column:

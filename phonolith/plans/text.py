@@ -113,8 +113,11 @@ NEXT = f"(select doc_id, {NORM.format('d.text')} as a, {NORM.format('e.text')} a
 
 
 def document_pairs(documents: DataFrame) -> DataFrame:
-    d = documents.select("doc_id", T.normalize(F.col("text")).alias("a"))
-    return d.join(d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("a").alias("b")), "doc_id")
+    """Normalised texts of documents and the next ones. What follows costs far more than its bytes tell: no partitions are coalesced."""
+    parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = documents.select("doc_id", T.normalize(F.col("text")).alias("a")).repartition(parts, "doc_id")
+    after = documents.select((F.col("doc_id") - 1).alias("doc_id"), T.normalize(F.col("text")).alias("b"))
+    return d.join(after.repartition(parts, "doc_id"), "doc_id")
 
 
 @query("r119_document_distance", f"select doc_id, levenshtein(a, b)::bigint as distance, round(case when greatest(length(a), length(b)) = 0 then 1.0::double else 1 - levenshtein(a, b)::double / greatest(length(a), length(b)) end, 9) as similarity, round(case when length(a) = 0 then 0.0::double else levenshtein(a, b)::double / length(a) end, 9) as cer from {NEXT}", "documents")
@@ -128,8 +131,9 @@ def _(documents: DataFrame) -> DataFrame:
 @query("r122_document_error_rates", f"select lang, sum(levenshtein(a, b)) / sum(length(a)) as corpus_cer from {NEXT} join (select doc_id, lang from documents) using (doc_id) group by lang", "documents")
 def _(documents: DataFrame) -> DataFrame:
     """Pooled character error rates of whole documents, by language."""
-    d = document_pairs(documents).join(documents.select("doc_id", "lang"), "doc_id").withColumn("n", edits.char_edits("a", "b"))
-    return d.groupBy("lang").agg((F.sum("n") / F.sum(F.length("a"))).alias("corpus_cer"))
+    d = document_pairs(documents).select("doc_id", edits.char_edits("a", "b").alias("n"), F.length("a").alias("size"))
+    d = d.join(documents.select("doc_id", "lang"), "doc_id")
+    return d.groupBy("lang").agg((F.sum("n") / F.sum("size")).alias("corpus_cer"))
 
 
 @query("r121_document_wer", None, "documents")

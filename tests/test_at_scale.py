@@ -251,3 +251,35 @@ def test_sliding_windows_edges(spark, tmp_path):
     got = plans.QUERIES["r186_sliding_windows"](spark, str(tmp_path)).select("user_id", "window_s", "n").collect()
     want = con.execute(f"select user_id, window_s, n from ({plans.ORACLES['r186_sliding_windows']})").fetchall()
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want)) and len(want) > 50
+
+
+def test_edit_distance_steps_by_the_shorter_side(monkeypatch):
+    """A long text against a short one takes as many steps as the short one has elements; any number of kinds."""
+
+    def by_hand(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            new = [i + 1]
+            for j, y in enumerate(b):
+                new.append(min(row[j] + (x != y), row[j + 1] + 1, new[-1] + 1))
+            row = new
+        return row[-1]
+
+    class Read(str):
+        reads = 0
+
+        def __getitem__(self, i):
+            Read.reads += 1
+            return str.__getitem__(self, i)
+
+    long, short = "x" + "ab" * 20_000 + "y", "c" * 30
+    Read.reads = 0
+    assert edits.distance(Read(long), Read(short)) == edits.distance(short, long) == len(long) and Read.reads < 500
+    rng = random.Random(122)
+    monkeypatch.setattr(edits, "TIDY", 3)
+    for kept in (1, 1 << 24):
+        monkeypatch.setattr(edits, "KEPT", kept)
+        for kinds in (2, 9, 500):
+            for _ in range(40):
+                a, b = ([rng.randrange(kinds) for _ in range(rng.randrange(70))] for _ in range(2))
+                assert edits.distance(a, b) == by_hand(a, b)
