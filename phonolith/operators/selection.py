@@ -4,7 +4,8 @@ A mergeable sketch brackets each rank: percentile_approx() errs by at most n / a
 twice that error to both sides enclose the one that is asked for. A second pass counts the values below a bracket and
 groups the distinct values inside it, a few ten-thousandths of a group; a window over those finds the value whose
 running count reaches the rank. Both passes are pre-aggregated; what is shuffled are sketches, counts and the values
-inside brackets.
+inside brackets. Keys are coarse: their brackets, a row a key, are broadcast, for a join by shuffle would bring a group to
+one task.
 """
 
 from __future__ import annotations
@@ -51,7 +52,7 @@ def select(df: DataFrame, keys: list[str], column: str, ranks: list[Rank], accur
     )
     brackets = brackets.select(*own, F.array(*[of(i, r) for i, r in enumerate(ranks)]).alias("_b"))
     same = [F.col(k).eqNullSafe(F.col(f"_of{k}")) for k in own]
-    met = rows.join(brackets.select(*[F.col(k).alias(f"_of{k}") for k in own], "_b"), same)
+    met = rows.join(F.broadcast(brackets.select(*[F.col(k).alias(f"_of{k}") for k in own], "_b")), same)
     v = F.col("_v")
     marks = F.transform("_b", lambda b, i: F.struct(i.alias("i"), F.when(v >= b["low"], v).alias("value"), (v <= b["high"]).alias("inside"), b["rank"].alias("rank")))
     each = met.select(*own, F.explode(F.filter(marks, lambda m: m["inside"])).alias("m"))  # value null: below the bracket

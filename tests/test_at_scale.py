@@ -283,3 +283,16 @@ def test_edit_distance_steps_by_the_shorter_side(monkeypatch):
             for _ in range(40):
                 a, b = ([rng.randrange(kinds) for _ in range(rng.randrange(70))] for _ in range(2))
                 assert edits.distance(a, b) == by_hand(a, b)
+
+
+def test_selection_meets_no_group(spark):
+    """Rows meet their brackets where they are, whatever Spark takes the brackets' size for."""
+    df = spark.range(1000).select((F.col("id") % 3).alias("k"), F.col("id").cast("double").alias("v"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = selection.select(df, ["k"], "v", selection.MIDDLE)
+        assert "BroadcastHashJoin" in out._jdf.queryExecution().executedPlan().toString()
+        assert sorted((r["k"], r["_low"], r["_high"]) for r in out.collect()) == [(0, 498.0, 501.0), (1, 499.0, 499.0), (2, 500.0, 500.0)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
