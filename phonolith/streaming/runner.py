@@ -14,6 +14,10 @@ from pyspark.sql.types import StructType
 from phonolith.session import ship
 
 
+#: Rows of an Arrow batch that are Python objects at once.
+SLICE = 512
+
+
 def _rows(pdf: pd.DataFrame) -> list[dict]:
     return [{k: v.tolist() if hasattr(v, "tolist") else v for k, v in r.items()} for r in pdf.to_dict("records")]
 
@@ -30,7 +34,7 @@ def fold_batch(df: DataFrame, key: str, order: list[str], make: Callable[[], Any
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, fold = None, None
-        for pdf in batches:
+        for pdf in (b.iloc[at : at + SLICE] for b in batches for at in range(0, max(1, len(b)), SLICE)):
             out = []
             for k, row in zip(pdf[key], _rows(pdf[columns])):
                 if fold is None or not (k == now or pd.isna(k) and pd.isna(now)):

@@ -296,3 +296,25 @@ def test_selection_meets_no_group(spark):
         assert sorted((r["k"], r["_low"], r["_high"]) for r in out.collect()) == [(0, 498.0, 501.0), (1, 499.0, 499.0), (2, 500.0, 500.0)]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_few_rows_are_python_objects_at_once(spark):
+    """A fold's rows become Python objects by slices of an Arrow batch; a controller's words come as texts."""
+    from phonolith import plans
+    from phonolith.streaming.runner import fold_batch
+
+    class Alive:
+        n = 0
+
+        def step(self, row):
+            import gc
+
+            self.n += 1
+            rows = sum(type(o) is dict and o.keys() == {"n", "words"} for o in gc.get_objects()) if self.n % 999 == 0 else 0
+            return [{"alive": rows, "at": row["n"]}]
+
+    df = spark.range(5000).select(F.lit(1).alias("k"), F.col("id").alias("n"), F.array(F.lit("a"), F.lit("b")).alias("words"))
+    got = fold_batch(df, "k", ["n"], Alive, "alive long, at long").collect()
+    assert [r["at"] for r in got] == list(range(5000)) and 0 < max(r["alive"] for r in got) < 2000
+    said = plans.folds.Spoken().step({"turn": 2, "base": 0, "end": 480_000, "words": ["One.", "two"], "silence_s": 0.0})
+    assert [(r["settled"], r["preview"], r["cursor"]) for r in said] == [("One.", "two", 60 * 0.3 + 0.25)]
