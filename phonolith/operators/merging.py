@@ -11,12 +11,12 @@ from bisect import bisect_left, insort
 from dataclasses import dataclass, field
 from functools import partial
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
 from phonolith.streaming.mergers import cut_sentences
-from phonolith.streaming.runner import fold_batch
+from phonolith.streaming.runner import SLICE, fold_batch
 
 SENTENCES = ArrayType(StructType([StructField("text", StringType()), StructField("end", DoubleType()), StructField("words", IntegerType())]))
 
@@ -43,15 +43,18 @@ class Repeats:
         return [row]
 
 
-@F.pandas_udf(SENTENCES)
-def _cut(words: pd.Series, ends: pd.Series) -> pd.Series:
-    """The sentences of windows' words, each with the end of its last word."""
+@F.arrow_udf(SENTENCES)
+def _cut(words: pa.Array, ends: pa.Array) -> pa.Array:
+    """The sentences of windows' words, each with the end of its last word. Few rows of a batch are Python objects at once."""
 
     def of(texts, times) -> list[dict]:
-        times = [None] * len(texts) if times is None else [None if t is None or t != t else float(t) for t in times]
+        texts = texts or []
+        times = [None] * len(texts) if times is None else [None if t is None or t != t else t for t in times]
         return [{"text": " ".join(w[0] for w in s), "end": s[-1][1], "words": len(s)} for s in cut_sentences(list(zip(texts, times)))]
 
-    return pd.Series([of(list(w) if w is not None else [], t) for w, t in zip(words, ends)])
+    kind = pa.list_(pa.struct([("text", pa.string()), ("end", pa.float64()), ("words", pa.int32())]))
+    parts = ((words.slice(at, SLICE).to_pylist(), ends.slice(at, SLICE).to_pylist()) for at in range(0, len(words), SLICE))
+    return pa.concat_arrays([pa.array([], kind), *[pa.array([of(w, t) for w, t in zip(*p)], kind) for p in parts]])
 
 
 def settled(windows: DataFrame, key: str, order: str, words: str, ends: str | None, final: str, tolerance: float = 0.15, least_words: int = 1) -> DataFrame:
