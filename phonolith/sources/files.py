@@ -21,9 +21,12 @@ import math
 import posixpath
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import Row, SparkSession
@@ -63,11 +66,15 @@ class Range(InputPartition):
     parts: list[tuple[str, int, int]]  # path, first frame, frames
 
 
+def _range(f: pa.NativeFile, form: wav.Layout, first: int, count: int) -> np.ndarray:
+    f.seek(form.begin + first * form.frame)
+    return wav.mono(f.read(count * form.frame), form)
+
+
 def _samples(fs: pafs.FileSystem, path: str, first: int, count: int) -> tuple[wav.Layout, np.ndarray]:
     with fs.open_input_file(path) as f:
         form = wav.layout(f)
-        f.seek(form.begin + first * form.frame)
-        return form, wav.mono(f.read(count * form.frame), form)
+        return form, _range(f, form, first, count)
 
 
 def _there(form: wav.Layout, size: int) -> tuple[int, bool]:
@@ -78,39 +85,49 @@ def _there(form: wav.Layout, size: int) -> tuple[int, bool]:
 
 HEAD = "key string, sample_rate int, channels int, bits int, frames long"
 FULL = f"{HEAD}, first_frame long, samples array<float>"
+#: Bytes of a partition, at most but for a longer row; tasks that small files are dealt to.
+SHARE, TASKS = 8 << 20, 200
+
+
+def _layout(fs: pafs.FileSystem, path: str) -> wav.Layout:
+    with fs.open_input_file(path) as f:
+        return wav.layout(f)
 
 
 class WavReader(DataSourceReader):
-    """option split: bytes of samples in a row and a partition, at most; small files share a partition."""
+    """option split: bytes of samples in a row, at most. Rows share partitions of SHARE bytes, or so that TASKS are enough."""
 
     def __init__(self, schema: StructType, options: dict):
-        self.path, self.split, self.heads = options["path"], int(options.get("split", 8 << 20)), "samples" not in schema.names
+        self.path, self.split, self.heads = options["path"], int(options.get("split", SHARE)), "samples" not in schema.names
 
     def partitions(self) -> list[InputPartition]:
-        fs, out, now, weight = opened(self.path)[0], [], [], 0
-        for f in listed(self.path, ".wav"):
-            if self.heads:
-                parts = [(f.path, 0, 0, 4096)]
-            else:
-                with fs.open_input_file(f.path) as opened_:
-                    form = wav.layout(opened_)
-                n, step = _there(form, f.size)[0], max(1, self.split // form.frame)
-                parts = [(f.path, at, min(step, n - at), min(step, n - at) * form.frame) for at in range(0, max(n, 1), step)]
-            for path, at, count, size in parts:
-                if now and weight + size > self.split:
-                    out.append(Range(now))
-                    now, weight = [], 0
-                now.append((path, at, count))
-                weight += size
+        fs, files, rows = opened(self.path)[0], listed(self.path, ".wav"), []
+        if self.heads:
+            rows = [(f.path, 0, 0, 4096) for f in files]
+        else:
+            with ThreadPoolExecutor(16) as pool:
+                forms = pool.map(lambda f: _layout(fs, f.path), files)
+                for f, form in zip(files, forms):
+                    n, step = _there(form, f.size)[0], max(1, self.split // form.frame)
+                    rows += [(f.path, at, min(step, n - at), min(step, n - at) * form.frame) for at in range(0, max(n, 1), step)]
+        share = max(self.split, min(SHARE, sum(r[3] for r in rows) // TASKS))
+        out, now, weight = [], [], 0
+        for path, at, count, size in rows:
+            if now and weight + size > share:
+                out.append(Range(now))
+                now, weight = [], 0
+            now.append((path, at, count))
+            weight += size
         return out + ([Range(now)] if now else [Range([])] if not out else [])
 
     def read(self, partition: Range) -> Iterator[tuple]:
         fs = opened(self.path)[0]
-        for path, first, count in partition.parts:
+        for path, parts in groupby(partition.parts, lambda p: p[0]):
             with fs.open_input_file(path) as f:
-                form, size = wav.layout(f), f.size()
-            head = (stem(path), form.rate, form.channels, form.bits, _there(form, size)[0])
-            yield head if self.heads else (*head, first, _samples(fs, path, first, count)[1].tolist())
+                form = wav.layout(f)
+                head = (stem(path), form.rate, form.channels, form.bits, _there(form, f.size())[0])
+                for _, first, count in parts:
+                    yield head if self.heads else (*head, first, _range(f, form, first, count).tolist())
 
 
 @dataclass

@@ -111,3 +111,15 @@ def test_failed_writes_leave_nothing(known, tmp_path):
     assert not (tmp_path / "w").exists() or list((tmp_path / "w").iterdir()) == []
     twice.limit(2).write.format("json_report").mode("append").save(str(tmp_path / "w"))
     assert json.loads((tmp_path / "w" / "report.json").read_text()) == [{"name": "same", "content": "x"}] * 2
+
+
+def test_small_ranges_share_partitions(tmp_path):
+    """Rows of few bytes don't make a task each; every range is there once, in order."""
+    from pyspark.sql.types import StructType
+
+    for k in range(40):
+        (tmp_path / f"a{k:02d}.wav").write_bytes(wav.build(np.zeros(1000 + k), 16000))
+    made = files.WavReader(StructType().add("samples", "string"), {"path": str(tmp_path), "split": "64"}).partitions()
+    parts = [p for m in made for p in m.parts]
+    assert 100 < len(made) < 2 * files.TASKS < len(parts) and len(set(parts)) == len(parts)
+    assert sum(n for _, _, n in parts) == sum(1000 + k for k in range(40)) and parts == sorted(parts)
